@@ -3,8 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sigweave.functions import scores as S
+from sigweave.functions.text import slug
+
+# Readings that mean "not there".
+ABSENT = ["none", "absent", "no", "normal", "regular", "0", ""]
+
 
 def hierarchy(sections: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """`section_of` edges to the parent (or chapter), and nodes for parents that have no section of their own."""
@@ -14,3 +21,305 @@ def hierarchy(sections: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     gone = h.select(key, F.col("up").alias("num")).distinct().join(h.select(key, "num"), [key, "num"], "left_anti")
     kind = F.when(F.col("num").contains("."), "stub").otherwise("chapter")
     return edges, gone.select(key, F.concat(F.lit("section:"), "num").alias("node"), kind.alias("kind"))
+
+
+# ---- building -----------------------------------------------------------------------------
+
+
+def edge(src, rel: str, dst, weight=None):
+    """An (src, rel, dst, weight) struct column; `weight` defaults to NULL."""
+    w = F.lit(None).cast("double") if weight is None else weight.cast("double")
+    return F.struct(src.alias("src"), F.lit(rel).alias("rel"), dst.alias("dst"), w.alias("weight"))
+
+
+def seed_graph(outcomes: DataFrame, features: DataFrame, regions: DataFrame, reported: DataFrame) -> DataFrame:
+    """Typed edges from nested knowledge rows; every branch is a local explode, no exchange.
+
+    outcomes(id, symptoms array, recs map<category, array>, questions array<struct<q, weight>>)
+    features(id, kind, points_to map, values map<value, map<outcome, weight>>)
+    regions(zone, organs text split on / and ,); reported(symptom, outcome, weight)
+    Symptoms and questions get an inverse `evidence_for` edge (0.3; question weight, default 0.4).
+    """
+    oid = F.concat(F.lit("pattern:"), F.col("id").cast("string"))
+    node = lambda kind, c: F.concat(F.lit(kind + ":"), slug(c))
+    sym = F.flatten(F.transform("symptoms", lambda s: F.array(edge(oid, "has_symptom", node("symptom", s)), edge(node("symptom", s), "evidence_for", oid, F.lit(0.3)))))
+    rec = F.flatten(F.transform(F.map_entries("recs"), lambda e: F.transform(e["value"], lambda x: edge(oid, "recommends", F.concat(F.lit("rec:"), e["key"], F.lit(":"), slug(x))))))
+    w = lambda q: F.coalesce(q["weight"], F.lit(0.4))
+    ask = F.flatten(F.transform("questions", lambda q: F.array(edge(oid, "probes", node("question", q["q"]), w(q)), edge(node("question", q["q"]), "evidence_for", oid, w(q)))))
+    a = outcomes.select(F.explode(F.concat(sym, rec, ask)).alias("e"))
+
+    fid = F.concat(F.lit("feature:"), F.col("id").cast("string"))
+    val = lambda v: F.concat(F.lit("value:"), F.col("id").cast("string"), F.lit("="), v)
+    to = lambda m, v: F.transform(F.map_entries(m), lambda e: edge(val(v), "points_to", F.concat(F.lit("pattern:"), e["key"]), e["value"]))
+    graded = F.when(
+        F.col("kind").isin("graded_value", "extra"),
+        F.concat(F.array(edge(val(F.lit("present")), "is_value_of", fid)), to(F.col("points_to"), F.lit("present"))),
+    ).otherwise(F.array().cast("array<struct<src:string,rel:string,dst:string,weight:double>>"))
+    valued = F.flatten(F.transform(F.map_entries("values"), lambda e: F.concat(F.array(edge(val(e["key"]), "is_value_of", fid)), to(e["value"], e["key"]))))
+    b = features.select(F.explode(F.concat(graded, valued)).alias("e"))
+
+    organs = F.filter(F.transform(F.split(F.replace("organs", F.lit("/"), F.lit(",")), ","), lambda o: F.trim(o)), lambda o: o != "")
+    c = regions.select(F.explode(F.transform(organs, lambda o: edge(F.concat(F.lit("region:"), "zone"), "maps_to", node("organ", o)))).alias("e"))
+    d = reported.select(edge(node("symptom", F.col("symptom")), "evidence_for", F.concat(F.lit("pattern:"), "outcome"), F.col("weight")).alias("e"))
+    return a.unionByName(b).unionByName(c).unionByName(d).select("e.*")
+
+
+def evidence_edges(trip: DataFrame, book: str) -> tuple[DataFrame, DataFrame]:
+    """Cited edges from resolved triplets, and the candidates kept aside (junk drops).
+
+    `trip(tid, section, feature, value, outcome, polarity, status)`: a mapped triplet
+    gives one weighted (0.5) edge with its citation and snippet id, and an
+    `attested_in` edge to its section.
+    """
+    m = trip.filter("status = 'mapped'")
+    val = F.concat(F.lit("value:"), "feature", F.lit("="), F.coalesce("value", F.lit("present")))
+    cite = F.concat(F.lit(book + " §"), F.col("section").cast("string"))
+    snip = F.concat(F.lit(f"snip:{book}:"), F.col("section").cast("string"), F.lit(":"), F.col("tid").cast("string"))
+    rel = F.when(F.col("polarity") == "supports", "points_to").otherwise("argues_against")
+    row = lambda r, dst, w, s: F.struct(val.alias("src"), r.alias("rel"), dst.alias("dst"), w.alias("weight"), cite.alias("source"), s.alias("snippet"))
+    both = F.array(
+        row(rel, F.concat(F.lit("pattern:"), "outcome"), F.lit(0.5), snip),
+        row(F.lit("attested_in"), F.concat(F.lit(f"section:{book}:"), F.col("section").cast("string")), F.lit(None).cast("double"), F.lit(None).cast("string")),
+    )
+    return m.select(F.explode(both).alias("e")).select("e.*"), trip.filter("status = 'candidate'").select("tid", "section", "feature", "outcome")
+
+
+def merge_nodes(nodes: DataFrame) -> DataFrame:
+    """Merge node rows `(id, ord, type, name, prop, prop_value, source)`: first name and type win,
+    later property values overwrite, sources keep first-seen order.
+
+    Sources and properties are made distinct by map-side combined aggregates before
+    they are listed, so a node mentioned in most rows does not gather them all.
+    """
+    head = nodes.groupBy("id").agg(F.min_by(F.struct("type", "name"), F.struct("ord", "name", "type")).alias("h"))
+    src = nodes.filter("source is not null and source <> ''").groupBy("id", "source").agg(F.min("ord").alias("o"))
+    src = src.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "source"))), lambda s: s["source"]).alias("sources"))
+    prop = nodes.filter("prop is not null").groupBy("id", "prop").agg(F.max_by("prop_value", F.struct("ord", "prop_value")).alias("v"))
+    prop = prop.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("prop", "v")))).alias("props"))
+    return head.join(src, "id", "left").join(prop, "id", "left").select("id", "h.type", "h.name", "sources", "props")
+
+
+# ---- lookups and walks ----------------------------------------------------------------------
+
+
+def edges_from(nodes: DataFrame, edges: DataFrame, rel: str) -> DataFrame:
+    return nodes.select(F.col("id").alias("src")).join(edges.filter(F.col("rel") == rel), "src")
+
+
+def edges_to(nodes: DataFrame, edges: DataFrame, rel: str) -> DataFrame:
+    return nodes.select(F.col("id").alias("dst")).join(edges.filter(F.col("rel") == rel), "dst")
+
+
+def neighborhood(seeds: DataFrame, edges: DataFrame, hops: int = 2, rels=None, directed: bool = True) -> DataFrame:
+    """(entity, node, hop): nodes reached from each entity's seeds within `hops` edges.
+
+    Only new nodes form the next frontier; the last hop needs no such test, since the
+    final minimum over hops removes repeats. Hot nodes make skewed join keys on the
+    frontier side, which adaptive execution splits because the edge side of a key is small.
+    """
+    e = edges.select("src", "dst") if rels is None else edges.filter(F.col("rel").isin(list(rels))).select("src", "dst")
+    if not directed:
+        e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    e = e.distinct()
+    reached = seeds.select("entity", "node").distinct().withColumn("hop", F.lit(0))
+    frontier = reached
+    for h in range(1, hops + 1):
+        step = frontier.select("entity", F.col("node").alias("src")).join(e, "src").select("entity", F.col("dst").alias("node")).distinct()
+        if h < hops:
+            step = step.join(reached.select("entity", "node"), ["entity", "node"], "left_anti")
+        frontier = step.withColumn("hop", F.lit(h))
+        reached = reached.unionByName(frontier)
+    return reached.groupBy("entity", "node").agg(F.min("hop").alias("hop"))
+
+
+def induced(reached: DataFrame, edges: DataFrame, rels=None) -> DataFrame:
+    """Edges whose two ends an entity has reached."""
+    e = edges if rels is None else edges.filter(F.col("rel").isin(list(rels)))
+    out = reached.select("entity", F.col("node").alias("src")).join(e, "src")
+    return out.join(reached.select("entity", F.col("node").alias("dst")), ["entity", "dst"], "left_semi")
+
+
+# ---- evidence ------------------------------------------------------------------------------
+
+
+# Corroboration and distinctiveness constants.
+CORROB, CORROB_CAP = 0.28, 0.8
+IDF_W, IDF_MIN, IDF_MAX, IDF_TYPICAL = 0.55, 0.65, 1.55, 3.0
+SIGNED = ["points_to", "argues_against"]
+
+
+def idf_mult(edges: DataFrame, n_outcomes: DataFrame) -> DataFrame:
+    """(src, df, idf): distinct outcomes per source and the bounded distinctiveness multiplier.
+
+    `n_outcomes(p)` is one row. Distinct pairs combine map-side before they are counted.
+    """
+    df = edges.filter(F.col("rel").isin(SIGNED) & F.col("dst").startswith("pattern:")).groupBy("src", "dst").agg(F.lit(1).alias("_")).groupBy("src").agg(F.count("*").alias("df"))
+    p = F.greatest(F.col("p"), F.lit(1))
+    ref = F.log(F.lit(1.0) + p / IDF_TYPICAL)
+    mult = F.lit(1.0) + IDF_W * (F.log(F.lit(1.0) + p / F.col("df")) - ref) / ref
+    return df.join(F.broadcast(n_outcomes), F.lit(True)).select("src", "df", S.rnd(S.clip(mult, IDF_MIN, IDF_MAX), 9).alias("idf"))
+
+
+def evidence_groups(edges: DataFrame, n_outcomes: DataFrame) -> DataFrame:
+    """Per (src, outcome, rel): signed contribution (max weight + log-scaled corroboration) * idf, and citations.
+
+    One map-side combined pass over the edges; the result has one row per
+    distinct pair however often it is cited.
+    """
+    e = edges.filter(F.col("rel").isin(SIGNED) & F.col("dst").startswith("pattern:"))
+    g = e.groupBy("src", "dst", "rel").agg(F.max(F.coalesce("weight", F.lit(1.0))).alias("base"), F.count("*").alias("n"))
+    bonus = F.when(F.col("n") > 1, F.least(F.lit(CORROB_CAP), F.lit(CORROB) * F.log(F.col("n").cast("double")))).otherwise(F.lit(0.0))
+    w = (F.col("base") + bonus) * F.col("idf")
+    return g.join(idf_mult(edges, n_outcomes), "src").select(
+        "src", F.substring_index("dst", ":", -1).alias("outcome"), "rel", "n", "base",
+        S.rnd(F.when(F.col("rel") == "points_to", w).otherwise(-w), 9).alias("contribution"),
+    )
+
+
+def citations(edges: DataFrame, n: int = 3) -> DataFrame:
+    """First n distinct citations per (src, outcome, rel) by weight; repeats are merged first."""
+    e = edges.filter(F.col("rel").isin(SIGNED)).groupBy("src", "dst", "rel", "snippet", "source").agg(F.max(F.coalesce("weight", F.lit(1.0))).alias("weight"))
+    rn = F.row_number().over(W.partitionBy("src", "dst", "rel").orderBy(F.desc("weight"), "source", "snippet"))
+    return e.withColumn("cite_rank", rn).filter(F.col("cite_rank") <= n).select("src", F.substring_index("dst", ":", -1).alias("outcome"), "rel", "cite_rank", "source", "snippet", "weight")
+
+
+def resolve_entries(present: DataFrame, nodes: DataFrame, feature_alias=None, value_alias=None, binary=(), positive=None, absent=ABSENT) -> DataFrame:
+    """(entity, feature, value, node): the exact value node, else its presence node, else the
+    feature node; `node` NULL = missing. Absent readings are skipped.
+
+    Candidates are three ranked strings per reading, matched by one equi join on the node id.
+    """
+    v = F.lower(F.trim(F.coalesce("value", F.lit(""))))
+    d = present.withColumn("_v", v).filter(~F.col("_v").isin(list(absent)))
+    for f, ok in (positive or {}).items():
+        d = d.filter((F.col("feature") != f) | F.col("_v").isin(list(ok)))
+    fa = F.lit(None).cast("string")
+    for a, b in (feature_alias or {}).items():
+        fa = F.when(F.col("feature") == a, F.lit(b)).otherwise(fa)
+    d = d.withColumn("_f", F.coalesce(fa, F.col("feature")))
+    val = F.col("_v")
+    for (f, a), b in (value_alias or {}).items():
+        val = F.when((F.col("_f") == f) & (F.col("_v") == a), F.lit(b)).otherwise(val)
+    d = d.withColumn("_w", F.when(F.col("_f").isin(list(binary) or [""]), F.lit("present")).otherwise(val))
+    cand = F.array(F.concat(F.lit("value:"), "_f", F.lit("="), "_w"), F.concat(F.lit("value:"), "_f", F.lit("=present")), F.concat(F.lit("feature:"), "_f"))
+    c = d.select("entity", "feature", "value", F.posexplode(cand).alias("rank", "id"))
+    hit = c.join(nodes.select("id").withColumn("_h", F.lit(1)), "id", "left")
+    return hit.groupBy("entity", "feature", "value").agg(F.min_by("id", F.when(F.col("_h") == 1, F.col("rank"))).alias("node"))
+
+
+def rank_evidence(entries: DataFrame, groups: DataFrame) -> DataFrame:
+    """(entity, outcome, score, n_cites) summed over an entity's distinct entry nodes."""
+    e = entries.filter("node is not null").select("entity", F.col("node").alias("src")).distinct()
+    s = e.join(groups, "src").groupBy("entity", "outcome").agg(S.rnd(F.sum("contribution"), 6).alias("score"), F.sum("n").alias("n_cites"))
+    rn = F.row_number().over(W.partitionBy("entity").orderBy(F.desc("score"), "outcome"))
+    return s.withColumn("rank", rn)
+
+
+def match_fallback(ranked: DataFrame, k: int = 3, full: float = 5.0) -> DataFrame:
+    """Deterministic matcher: the first k outcomes, those with a positive score kept; confidence min(1, score / 5)."""
+    m = ranked.filter((F.col("rank") <= k) & (F.col("score") > 0))
+    return m.select("entity", "outcome", "rank", S.rnd(F.least(F.lit(1.0), F.col("score") / full), 6).alias("confidence"), "score", "n_cites")
+
+
+def retrieve(entries: DataFrame, ranked: DataFrame, context: DataFrame) -> DataFrame:
+    """One record per entity: entry nodes, missing readings, ranked outcomes and their context lines.
+
+    `context(outcome, kind, item)` is knowledge-sized; lists are bounded by it.
+    """
+    e = entries.groupBy("entity").agg(
+        F.array_join(F.array_sort(F.collect_set("node")), ",").alias("entries"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("node").isNull(), F.concat_ws("=", "feature", "value")))), ",").alias("missing"),
+    )
+    r = ranked.groupBy("entity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "outcome"))), lambda x: x["outcome"]), ",").alias("outcomes"))
+    c = ranked.filter("score > 0").join(context, "outcome").groupBy("entity").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "kind", "item"))), ",").alias("context"))
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    return e.join(r, "entity", "left").join(c, "entity", "left").select("entity", "entries", "missing", blank("outcomes"), blank("context"))
+
+
+# ---- recalibration, parity, statistics ----------------------------------------------------------
+
+
+def citation_freq(edges: DataFrame) -> DataFrame:
+    return edges.filter("rel = 'points_to' and snippet is not null").groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+def recalibrate(votes: DataFrame, freq: DataFrame, lam: float = 0.35) -> DataFrame:
+    """Blend vote shares with citation shares per (feature, value), magnitude preserved; no citations = unchanged."""
+    f = freq.select(F.col("src"), F.substring_index("dst", ":", -1).alias("outcome"), "n")
+    v = votes.withColumn("src", F.concat(F.lit("value:"), "feature", F.lit("="), "value"))
+    per = W.partitionBy("feature", "value")
+    j = v.join(f, ["src", "outcome"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    base, cites = F.sum("weight").over(per), F.sum("n").over(per)
+    share = F.lit(1 - lam) * F.col("weight") / base + F.lit(lam) * F.col("n") / F.nullif(cites, F.lit(0))
+    return j.select("feature", "value", "outcome", S.rnd(F.when(cites == 0, F.col("weight")).otherwise(base * share), 6).alias("weight"), (cites > 0).alias("touched"))
+
+
+def parity(expected: DataFrame, edges: DataFrame, tol: float = 1e-9) -> DataFrame:
+    """Expected edges with no actual edge of (nearly) the same weight; NULL weight = any."""
+    e, a = expected.alias("e"), edges.alias("a")
+    same = (F.col("e.src") == F.col("a.src")) & (F.col("e.rel") == F.col("a.rel")) & (F.col("e.dst") == F.col("a.dst"))
+    close = F.col("e.weight").isNull() | (F.abs(F.coalesce(F.col("a.weight"), F.lit(0.0)) - F.col("e.weight")) < tol)
+    return e.join(a, same & close, "left_anti")
+
+
+def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    n = nodes.groupBy(F.col("type").alias("name")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("node"))
+    return n.unionByName(edges.groupBy(F.col("rel").alias("name")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("edge")))
+
+
+# ---- refinement ---------------------------------------------------------------------------------
+
+
+def select_questions(ranked: DataFrame, probes: DataFrame, fallback: DataFrame, k: int = 3) -> DataFrame:
+    """Questions that best separate the top-2 outcomes.
+
+    value = weight * 4q(1-q) with q the lead's share of the two confidences. The best
+    question of each target comes first, then the best remaining, texts unique.
+    Outcomes without probes fall back to the lead's own list. Per entity the list is
+    bounded by the probes of two outcomes, folded in order.
+    """
+    w = W.partitionBy("entity").orderBy("rank")
+    top = ranked.filter("outcome <> 'balanced'").withColumn("_r", F.row_number().over(w)).filter("_r <= 2")
+    pair = top.groupBy("entity").agg(
+        F.max(F.when(F.col("_r") == 1, F.col("confidence"))).alias("pa"), F.coalesce(F.max(F.when(F.col("_r") == 2, F.col("confidence"))), F.lit(0.0)).alias("pb"),
+        F.max(F.when(F.col("_r") == 1, F.col("outcome"))).alias("lead"), F.count("*").alias("n_cand"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "outcome"))), lambda s: s["outcome"]), "|").alias("candidates"),
+    )
+    s = F.col("pa") + F.col("pb")
+    q = F.col("pa") / F.nullif(s, F.lit(0.0))
+    pair = pair.withColumn("contest", F.when(s <= 0, F.lit(1.0)).otherwise(4.0 * q * (1.0 - q)))
+    items = top.select("entity", "outcome", "_r").join(probes, "outcome").join(pair.select("entity", "contest"), "entity")
+    item = F.struct((-S.rnd(F.col("weight") * F.col("contest"), 6)).alias("v"), F.col("_r"), F.col("question").alias("q"), F.col("outcome").alias("t"), F.col("weight").alias("w"))
+    per = items.groupBy("entity").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    d = pair.join(per, "entity", "left")
+    kind = "array<struct<v:double,_r:int,q:string,t:string,w:double>>"
+    empty = F.array().cast(kind)
+    first = F.aggregate(
+        F.coalesce("items", empty), empty,
+        lambda acc, x: F.when((F.size(acc) >= F.least(F.lit(k), F.col("n_cand"))) | F.exists(acc, lambda p: (p["t"] == x["t"]) | (p["q"] == x["q"])), acc).otherwise(F.concat(acc, F.array(x))),
+    )
+    filled = F.aggregate(
+        F.coalesce("items", empty), F.col("first"),
+        lambda acc, x: F.when((F.size(acc) >= k) | F.exists(acc, lambda p: p["q"] == x["q"]), acc).otherwise(F.concat(acc, F.array(x))),
+    )
+    d = d.withColumn("first", first).withColumn("picked", filled)
+    got = d.select("entity", "candidates", F.posexplode("picked").alias("pos", "x")).select(
+        "entity", "candidates", (F.col("pos") + 1).alias("pos"), F.col("x.q").alias("question"), F.col("x.t").alias("target"), (-F.col("x.v")).alias("value")
+    )
+    spare = d.filter(F.size("picked") == 0).join(fallback.withColumnRenamed("outcome", "lead"), "lead").select(
+        "entity", "candidates", "pos", "question", F.col("lead").alias("target"), F.lit(None).cast("double").alias("value")
+    )
+    return got.unionByName(spare)
+
+
+def rescore(ranked: DataFrame, answers: DataFrame) -> DataFrame:
+    """Fold yes/no answers into the confidences and re-rank, balanced last; `delta` logs the change.
+
+    `answers(entity, outcome, weight, yes)`; answers for outcomes not ranked are ignored.
+    """
+    ev = answers.groupBy("entity", "outcome").agg(F.sum(F.when(F.col("yes"), F.col("weight")).otherwise(-F.col("weight"))).alias("ev"))
+    j = ranked.join(ev, ["entity", "outcome"], "left")
+    new = S.rnd(S.logodds_update(F.col("confidence"), F.coalesce("ev", F.lit(0.0))), 6)
+    j = j.withColumn("new", new)
+    rn = F.row_number().over(W.partitionBy("entity").orderBy((F.col("outcome") == "balanced"), F.desc("new"), "outcome"))
+    return j.select("entity", "outcome", F.col("new").alias("confidence"), S.rnd(F.col("new") - F.col("confidence"), 6).alias("delta"), rn.alias("rank"))
