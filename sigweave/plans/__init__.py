@@ -1,4 +1,4 @@
 """All registered queries; importing this package registers them."""
 
-from sigweave.plans import behaviour, imaging, knowledge, labelling, texts  # noqa: F401
+from sigweave.plans import behaviour, flows, imaging, knowledge, labelling, texts  # noqa: F401
 from sigweave.plans.base import ORACLES, QUERIES  # noqa: F401

@@ -222,8 +222,8 @@ def cited_edges(spark, sf) -> DataFrame:
     # The fifth outcome is only cited by clicks, so breadths differ.
     outcome = F.when((outcome == "loyalty") & (k != 0), F.lit("growth")).otherwise(outcome)
     return li.select(
-        src.alias("src"), F.when(F.col("l_returnflag") == "R", "argues_against").otherwise("points_to").alias("rel"), F.concat(F.lit("pattern:"), outcome).alias("dst"),
-        S.rnd(F.col("l_discount") * 5, 2).alias("weight"), F.concat(F.lit("doc "), F.col("l_suppkey").cast("string")).alias("source"),
+        src.alias("src"), F.when((F.col("l_returnflag") == "R") & outcome.isin("churn", "friction"), "argues_against").otherwise("points_to").alias("rel"), F.concat(F.lit("pattern:"), outcome).alias("dst"),
+        S.rnd(F.col("l_discount") * (F.lit(3) + F.col("l_partkey") % 5), 2).alias("weight"), F.concat(F.lit("doc "), F.col("l_suppkey").cast("string")).alias("source"),
         F.concat(F.lit("s"), (F.col("l_orderkey") % 50).cast("string")).alias("snippet"),
     )
 
@@ -231,7 +231,7 @@ def cited_edges(spark, sf) -> DataFrame:
 C_CITED = f"""ce0 AS (SELECT *, CASE WHEN l_quantity < 17 THEN 'low' WHEN l_quantity < 34 THEN 'mid' ELSE 'high' END AS band, l_suppkey % 4 AS k,
    CASE l_partkey % 5 WHEN 0 THEN 'churn' WHEN 1 THEN 'dormant' WHEN 2 THEN 'friction' WHEN 3 THEN 'growth' ELSE 'loyalty' END AS o FROM lineitem),
 ce AS (SELECT CASE WHEN k = 0 THEN 'value:click=' || band WHEN k = 1 AND band = 'mid' THEN 'feature:view' WHEN k = 1 THEN 'value:view=' || band WHEN k = 2 THEN 'value:buy=present' ELSE 'value:error=present' END AS src,
-  CASE WHEN l_returnflag = 'R' THEN 'argues_against' ELSE 'points_to' END AS rel, 'pattern:' || CASE WHEN o = 'loyalty' AND k <> 0 THEN 'growth' ELSE o END AS dst, {r('l_discount*5', 2)} AS weight,
+  CASE WHEN l_returnflag = 'R' AND o IN ('churn','friction') THEN 'argues_against' ELSE 'points_to' END AS rel, 'pattern:' || CASE WHEN o = 'loyalty' AND k <> 0 THEN 'growth' ELSE o END AS dst, {r('l_discount*(3 + l_partkey % 5)', 2)} AS weight,
   'doc ' || l_suppkey AS source, 's' || (l_orderkey % 50) AS snippet FROM ce0)"""
 C_GROUPS = f"""np AS (SELECT count(DISTINCT dst) AS p FROM ce),
 idf AS (SELECT src, count(DISTINCT dst) AS df, {r('greatest(0.65::DOUBLE, least(1.55::DOUBLE, 1.0::DOUBLE + 0.55::DOUBLE*(ln(1.0::DOUBLE + p/count(DISTINCT dst)) - ln(1.0::DOUBLE + p/3.0::DOUBLE))/ln(1.0::DOUBLE + p/3.0::DOUBLE)))', 9)} AS idf FROM ce, np GROUP BY src, p),

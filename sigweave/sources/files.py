@@ -96,7 +96,8 @@ def read_shards(spark: SparkSession, globs: Sequence[str], schema: T.StructType)
             if "PATH_NOT_FOUND" in str(e):
                 continue
             raise
-        return d.withColumn("shard", basename(F.col("_metadata.file_path")))
+        path = F.col("_metadata.file_path")
+        return d.withColumn("shard", basename(path)).withColumn("shard_dir", F.element_at(F.split(path, "/"), -2))
     raise FileNotFoundError(f"no shard matches any of {list(globs)}")
 
 
