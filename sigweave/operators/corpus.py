@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sigweave.functions import text as X
 from sigweave.operators.matching import contains_any
 from sigweave.operators.ranking import previous_in_group
+from sigweave.session import cut
 
 # Heading grammars.
 NUMBERED = r"^[ \t]*(\d+(?:\.\d+){1,3})[ \t]+(\S.*\S)[ \t]*$"
@@ -211,7 +212,13 @@ def type_and_tags(chunks: DataFrame, cid: str, text: str, types: dict[str, str],
 
 
 def prefix_key(text: Column, n: int = 80) -> Column:
-    return F.substring(F.regexp_replace(F.lower(text), r"\s+", " "), 1, n)
+    """First n characters of the lower-cased, blank-folded text.
+
+    The first n units (a run of blanks, or one character) already hold them, so the
+    rest of the text is not rewritten.
+    """
+    head = F.regexp_extract(text, rf"^((?:\s++|\S){{0,{n}}})", 1)
+    return F.substring(F.regexp_replace(F.lower(head), r"\s+", " "), 1, n)
 
 
 def near_dup(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -220,7 +227,7 @@ def near_dup(docs: DataFrame, key: str, text: str) -> DataFrame:
     Only prefixes seen more than once are ranked, and a prefix shared by a large
     part of the corpus is spread by the range-partitioned ranker.
     """
-    d = docs.select(key, F.md5(prefix_key(F.col(text))).alias("_p"))
+    d = cut(docs.select(key, F.md5(prefix_key(F.col(text))).alias("_p")))  # the text is read once
     many = d.groupBy("_p").agg(F.count("*").alias("_c")).filter("_c > 1").select("_p")
     return previous_in_group(d.join(many, "_p", "left_semi"), ["_p"], [F.col(key)], key, "previous").filter("previous is not null").select(key, "previous")
 

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sigweave.functions import scores as S
+from sigweave.session import cut
 
 BALANCED = "balanced"
 
@@ -263,7 +264,7 @@ def attribute(found: DataFrame, ranked: DataFrame, effects: DataFrame, outcome_e
         f.join(anyv, "feature").join(exact.select("feature", "value").distinct(), ["feature", "value"], "left_anti").select("entity", "fpos", "pos", "item")
     )
     own = own.groupBy("entity", F.lower("item").alias("key")).agg(F.min(F.struct("fpos", "pos", "item")).alias("m"))
-    own = own.select("entity", "key", F.col("m.fpos").alias("a"), F.col("m.pos").alias("b"), F.col("m.item").alias("item"))
+    own = cut(own.select("entity", "key", F.col("m.fpos").alias("a"), F.col("m.pos").alias("b"), F.col("m.item").alias("item")))
     n_own = own.groupBy("entity").agg(F.count("*").alias("n_own"))
     extra = (
         lead_of(ranked)

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from sigweave.dims import checked_broadcast
 from sigweave.functions.text import fold_ws
+from sigweave.session import cut
 
 SHINGLE = 5  # interior tokens used as an anchor
 BROADCAST_ANCHORS = 200_000
+BROADCAST_PAIRS = 500_000
 
 
 def contains_any(text: Column, entries: Sequence[tuple[str, str]]) -> Column:
@@ -76,8 +78,8 @@ def contains_join(texts: DataFrame, tid: str, text: str, items: DataFrame, iid:
         cands = hits.select(tid, iid, "_item") if cands is None else cands.unionByName(hits.select(tid, iid, "_item"))
     if cands is None:
         return texts.select(tid).limit(0).withColumn(iid, F.lit(None).cast(items.schema[iid].dataType))
-    cands = cands.distinct()
-    return cands.join(tx, tid).filter(F.col("_text").contains(F.col("_item"))).select(tid, iid)
+    cands = checked_broadcast(cut(cands.distinct()), BROADCAST_PAIRS)
+    return tx.join(cands, tid).filter(F.col("_text").contains(F.col("_item"))).select(tid, iid)
 
 
 def validate_citations(trip: DataFrame, sections: DataFrame, key: str, snippet: str, body: str, required: Sequence[str] = ()) -> DataFrame:

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from sigweave.functions import scores as S
 
-IMG = W.partitionBy("image")
+
+def per_image():
+    return W.partitionBy("image")
 
 
 def by_image(px: DataFrame) -> DataFrame:
@@ -30,13 +32,17 @@ def _mean(c: Column) -> Column:
 def zone_stats(px: DataFrame, zones: dict[str, Column], min_n: int = 20) -> DataFrame:
     """(image, zone, n, l, a, b): channel means per zone, NULL for zones under `min_n` pixels.
 
-    Zones overlap (whole, tip, edge...), so each pixel carries the list of its
-    zones and one grouped aggregate computes them all.
+    Zones overlap (whole, tip, edge...), so they are conditional sums of one grouped
+    aggregate rather than copies of the pixels.
     """
-    tags = F.array_compact(F.array(*[F.when(c, F.lit(z)) for z, c in zones.items()]))
-    z = px.select("image", "c0", "c1", "c2", F.explode(tags).alias("zone"))
+    aggs = []
+    for i, c in enumerate(zones.values()):
+        aggs.append(F.count(F.when(c, 1)).alias(f"n_{i}"))
+        aggs += [F.sum(F.when(c, F.col(ch))).alias(f"{ch}_{i}") for ch in ("c0", "c1", "c2")]
+    g = px.groupBy("image").agg(*aggs)
+    slot = lambda i, z: F.struct(F.lit(z).alias("zone"), F.col(f"n_{i}").alias("n"), *[(F.col(f"c{k}_{i}") / F.nullif(F.col(f"n_{i}"), F.lit(0))).alias(f"_{k}") for k in range(3)])
+    s = g.select("image", F.explode(F.array(*[slot(i, z) for i, z in enumerate(zones)])).alias("s")).select("image", "s.*").filter("n > 0")
     ok = F.col("n") >= min_n
-    s = z.groupBy("image", "zone").agg(F.count("*").alias("n"), _mean(F.col("c0")).alias("_0"), _mean(F.col("c1")).alias("_1"), _mean(F.col("c2")).alias("_2"))
     return s.select(
         "image", "zone", "n",
         F.when(ok, F.col("_0") * 100.0 / 255.0).alias("l"),
@@ -52,10 +58,10 @@ def principal_axis(px: DataFrame) -> DataFrame:
     """
     m = px.filter("mask")
     x, y = F.col("x"), F.col("y")
-    n = F.count("*").over(IMG)
+    n = F.count("*").over(per_image())
     mom = m.select(
-        "*", n.alias("_n"), F.sum("x").over(IMG).alias("_sx"), F.sum("y").over(IMG).alias("_sy"),
-        F.sum(x * x).over(IMG).alias("_sxx"), F.sum(y * y).over(IMG).alias("_syy"), F.sum(x * y).over(IMG).alias("_sxy"),
+        "*", n.alias("_n"), F.sum("x").over(per_image()).alias("_sx"), F.sum("y").over(per_image()).alias("_sy"),
+        F.sum(x * x).over(per_image()).alias("_sxx"), F.sum(y * y).over(per_image()).alias("_syy"), F.sum(x * y).over(per_image()).alias("_sxy"),
     )
     d = mom.select(*m.columns, (F.col("_sx") / F.col("_n")).alias("_cx"), (F.col("_sy") / F.col("_n")).alias("_cy"), "_n", "_sxx", "_syy", "_sxy")
     vxx = F.col("_sxx") / F.col("_n") - F.col("_cx") * F.col("_cx")
@@ -76,14 +82,14 @@ def axis_zones(axis: DataFrame) -> DataFrame:
 
     Width of an end = mean |w| beyond the outer quartile of t.
     """
-    q = axis.withColumn("_q1", F.percentile("t", F.lit(0.25)).over(IMG)).withColumn("_q3", F.percentile("t", F.lit(0.75)).over(IMG))
-    far = lambda c: F.avg(F.when(c, F.abs("w"))).over(IMG)
+    q = axis.withColumn("_q1", F.percentile("t", F.lit(0.25)).over(per_image())).withColumn("_q3", F.percentile("t", F.lit(0.75)).over(per_image()))
+    far = lambda c: F.avg(F.when(c, F.abs("w"))).over(per_image())
     e = q.withColumn("_pos", S.rnd(F.coalesce(far(F.col("t") > S.rnd(F.col("_q3"), 6)), F.lit(1e9)), 6)).withColumn(
         "_neg", S.rnd(F.coalesce(far(F.col("t") < S.rnd(F.col("_q1"), 6)), F.lit(1e9)), 6)
     )
     tt = F.when(F.col("_pos") < F.col("_neg"), F.col("t")).otherwise(-F.col("t"))
     e = e.withColumn("_tt", tt)
-    lo, hi = F.min("_tt").over(IMG), F.max("_tt").over(IMG)
+    lo, hi = F.min("_tt").over(per_image()), F.max("_tt").over(per_image())
     tn = S.rnd((F.col("_tt") - lo) / (hi - lo + F.lit(1e-6)), 6)
     third = F.when(F.col("tn") >= 0.66, "tip").when(F.col("tn") >= 0.33, "middle").otherwise("root")
     return e.withColumn("tn", tn).withColumn("third", third).select(*axis.columns, "tn", "third")
@@ -94,10 +100,10 @@ def ring_zones(zoned: DataFrame) -> DataFrame:
 
     Stands in for the distance transform: rotation-free, one pass per image.
     """
-    n = F.count("*").over(IMG)
-    vt, vw = F.sum(F.col("t") * F.col("t")).over(IMG) / n, F.sum(F.col("w") * F.col("w")).over(IMG) / n
+    n = F.count("*").over(per_image())
+    vt, vw = F.sum(F.col("t") * F.col("t")).over(per_image()) / n, F.sum(F.col("w") * F.col("w")).over(per_image()) / n
     r = zoned.withColumn("_r", F.sqrt(F.col("t") * F.col("t") / (vt + 1e-9) + F.col("w") * F.col("w") / (vw + 1e-9)))
-    depth = S.rnd(F.lit(1.0) - F.col("_r") / (F.max("_r").over(IMG) + 1e-6), 6)
+    depth = S.rnd(F.lit(1.0) - F.col("_r") / (F.max("_r").over(per_image()) + 1e-6), 6)
     ring = F.when(F.col("depth") >= 0.55, "center").when((F.col("depth") > 0.10) & (F.col("depth") <= 0.35), "edge").otherwise("other")
     return r.withColumn("depth", depth).withColumn("ring", ring).drop("_r")
 
@@ -145,7 +151,7 @@ def gloss(px: DataFrame, bright: float = 210.0, chroma_max: float = 14.0, wet_at
 
     L is an 8-bit channel, so the exact percentile keeps at most 256 counts.
     """
-    m = px.filter("mask").withColumn("_hi", F.greatest(F.lit(bright), F.percentile("c0", F.lit(0.96)).over(IMG)))
+    m = px.filter("mask").withColumn("_hi", F.greatest(F.lit(bright), F.percentile("c0", F.lit(0.96)).over(per_image())))
     da, db = F.col("c1") - 128.0, F.col("c2") - 128.0
     spec = (F.col("c0") >= F.col("_hi") - 1e-9) & (da * da + db * db <= chroma_max * chroma_max)
     g = m.groupBy("image").agg((F.sum(spec.cast("int")) / F.count("*")).alias("_f"))
@@ -176,8 +182,8 @@ def sharpness(px: DataFrame, error_below: float = 45.0, warn_below: float = 110.
     """
     on = F.col("mask")
     box = px.select(
-        "*", F.min(F.when(on, F.col("x"))).over(IMG).alias("_x0"), F.max(F.when(on, F.col("x"))).over(IMG).alias("_x1"),
-        F.min(F.when(on, F.col("y"))).over(IMG).alias("_y0"), F.max(F.when(on, F.col("y"))).over(IMG).alias("_y1"),
+        "*", F.min(F.when(on, F.col("x"))).over(per_image()).alias("_x0"), F.max(F.when(on, F.col("x"))).over(per_image()).alias("_x1"),
+        F.min(F.when(on, F.col("y"))).over(per_image()).alias("_y0"), F.max(F.when(on, F.col("y"))).over(per_image()).alias("_y1"),
     ).filter("x between _x0 and _x1 and y between _y0 and _y1")
     row, col = W.partitionBy("image", "y").orderBy("x"), W.partitionBy("image", "x").orderBy("y")
     n = box.select(
@@ -223,7 +229,7 @@ def framing(px: DataFrame, target: tuple[float, float], width: int, height: int,
 
 def illuminant_gain(px: DataFrame, channels: Sequence[str] = ("c0", "c1", "c2"), p: int = 6, strength: float = 0.35) -> DataFrame:
     """Shades-of-grey white balance: power mean per channel, normalised, partly applied, clipped to 0..255."""
-    ill = {c: F.pow(F.avg(F.pow(F.col(c).cast("double"), F.lit(float(p)))).over(IMG), F.lit(1.0 / p)) for c in channels}
+    ill = {c: F.pow(F.avg(F.pow(F.col(c).cast("double"), F.lit(float(p)))).over(per_image()), F.lit(1.0 / p)) for c in channels}
     d = px.select("*", *[e.alias(f"_i_{c}") for c, e in ill.items()])
     mean = sum((F.col(f"_i_{c}") for c in channels[1:]), F.col(f"_i_{channels[0]}")) / len(channels)
     gain = lambda c: F.lit(1.0) + strength * (F.col(f"_i_{c}") / (mean + 1e-6) - 1.0)

@@ -81,25 +81,10 @@ def hash_rank(df: DataFrame, keys: Sequence[str], hash_hex: str, tie: str, rank_
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], cols: Sequence[str]) -> DataFrame:
-    """First row per key by `order`: map-side top-1 aggregation, no window, no hot task.
-
-    Descending numeric keys are negated inside the ordering struct.
-    """
-    marks = [F.struct(*_sortable(order)).alias("_o"), F.struct(*cols).alias("_v")]
-    best = df.select(*keys, *marks).groupBy(*keys).agg(F.min_by("_v", "_o").alias("_v"))
-    return best.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in cols])
-
-
-def _sortable(order: Sequence[Column]) -> list[Column]:
-    out = []
-    for i, c in enumerate(order):
-        text = str(c)
-        if "DESC" in text.upper().split("'")[1].split():
-            name = text.split("'")[1].split()[0]
-            out.append((-F.col(name)).alias(f"o{i}"))
-        else:
-            out.append(c.alias(f"o{i}"))
-    return out
+    """First row per key by `order`. The rank-limited window keeps one row per key in
+    every task before the exchange, so a hot key arrives as one row per task."""
+    rn = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_rn", rn).filter("_rn = 1").select(*keys, *cols)
 
 
 def previous_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], col: str, out: str) -> DataFrame:

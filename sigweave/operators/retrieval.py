@@ -35,14 +35,21 @@ def tfidf_topk(docs: DataFrame, did: str, text: str, queries: DataFrame, qid: st
 
     idf = ln((1 + n) / (1 + df)) + 1. The text crosses the network once (by
     document); term counts, norms and per-(document, query) sums then stay in
-    place. Document frequencies are broadcast only after their count is checked.
+    place. Most terms occur in one document and share one idf; only the others are
+    kept as a table, broadcast after its row count is checked.
     """
-    tf = terms(docs.repartition(did), did, text, stop).groupBy(did, "term").agg(F.count("*").alias("tf"))
-    n = F.broadcast(docs.agg(F.count("*").alias("n")))  # one row
-    df = cut(tf.groupBy("term").agg(F.count("*").alias("df")).join(n, F.lit(True)).select("term", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf")))
-    idf = checked_broadcast(df, VOCAB_BROADCAST)
-    w = tf.join(idf, "term").select(did, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    q = terms(queries, qid, qtext, stop).groupBy(qid, "term").agg(F.count("*").alias("tf")).join(idf, "term").select(qid, "term", (F.col("tf") * F.col("idf")).alias("qw"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tf = terms(docs.select(did, text).repartition(parts, did), did, text, stop).groupBy(did, "term").agg(F.count("*").alias("tf"))
+    n_docs = docs.count()
+    idf_of = lambda df: F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + df)) + F.lit(1.0)
+    common = cut(tf.groupBy("term").agg(F.count("*").alias("df")).filter("df > 1").select("term", idf_of(F.col("df")).alias("idf")))
+    common = checked_broadcast(common, VOCAB_BROADCAST)
+    idf = F.coalesce(F.col("idf"), idf_of(F.lit(1)))
+    w = tf.join(common, "term", "left").select(did, "term", (F.col("tf") * idf).alias("w"))
+    qtf = cut(terms(queries, qid, qtext, stop).groupBy(qid, "term").agg(F.count("*").alias("tf")))
+    # A query term counts only if some document has it.
+    known = tf.select("term").join(checked_broadcast(qtf.select("term").distinct(), QUERY_TERMS_BROADCAST), "term", "left_semi").distinct()
+    q = qtf.join(known, "term", "left_semi").join(common, "term", "left").select(qid, "term", (F.col("tf") * idf).alias("qw"))
     qn = q.groupBy(qid).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
     q = cut(q.join(qn, qid).select(qid, "term", (F.col("qw") / F.col("qn")).alias("qw")))
     norm = w.groupBy(did).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))

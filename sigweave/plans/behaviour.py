@@ -89,6 +89,15 @@ class Behaviour:
     def found(self) -> DataFrame:
         return I.findings(self.read, kb.PHRASES.small(self.spark), kb.CAVEAT)
 
+    @cached_property
+    def ranked_once(self) -> DataFrame:
+        """The ranking materialised, for steps that read it more than once."""
+        return cut(self.ranked)
+
+    @cached_property
+    def found_once(self) -> DataFrame:
+        return cut(self.found)
+
 
 # ---- SQL text of the same chain -----------------------------------------------------------
 
@@ -271,7 +280,7 @@ def t4(spark, sf):
  UNION ALL SELECT k.entity, 'avoid', v.pos, v.action FROM ranked k JOIN avoid v ON v.outcome = k.outcome AND v.pos <= 2 WHERE k.rank = 1"""))
 def t6(spark, sf):
     b = Behaviour(spark, sf)
-    return I.recommend(b.found, b.ranked, kb.ACTIONS.small(spark), kb.FALLBACK.small(spark), kb.AVOID.small(spark))
+    return I.recommend(b.found_once, b.ranked_once, kb.ACTIONS.small(spark), kb.FALLBACK.small(spark), kb.AVOID.small(spark))
 
 
 @query("j16_attribute", with_([*P_BOTH, kb.EFFECTS.cte(), kb.OUTCOME_EFFECTS.cte()], """, f4 AS (SELECT * FROM found WHERE pos <= 4 AND NOT doubted),
@@ -285,7 +294,7 @@ def t6(spark, sf):
  SELECT entity, CAST(pos AS INT) AS pos, item, CASE WHEN a = 99 THEN 'outcome' ELSE 'sign' END AS origin FROM al WHERE (a < 99 AND pos <= 10) OR (a = 99 AND pos <= 6)"""))
 def j16(spark, sf):
     b = Behaviour(spark, sf)
-    return I.attribute(b.found, b.ranked, kb.EFFECTS.small(spark), kb.OUTCOME_EFFECTS.small(spark))
+    return I.attribute(b.found_once, b.ranked_once, kb.EFFECTS.small(spark), kb.OUTCOME_EFFECTS.small(spark))
 
 
 @query("g13_explain", with_([*P_RANKED, kb.RULE_NOTES.cte()], """SELECT k.entity, k.outcome, k.rank, coalesce((SELECT string_agg(n.note, ' | ' ORDER BY f.rule_ord) FROM fired f

@@ -268,11 +268,11 @@ class Evidence(B.Behaviour):
 
     @B.cached_property
     def matched(self) -> DataFrame:
-        return G.match_fallback(self.evidence)
+        return cut(G.match_fallback(self.evidence))
 
     @B.cached_property
     def blended(self) -> DataFrame:
-        return I.ensemble(self.ranked, self.matched)
+        return I.ensemble(self.ranked_once, self.matched)
 
 
 @query("g8_idf_mult", with_([C_CITED, C_GROUPS], f"SELECT src, df, {r('idf')} AS idf FROM idf"))
@@ -334,13 +334,13 @@ srow AS (SELECT entity, len(list_intersect(a, b)) AS n_common, len(list_distinct
 @query("u4_list_overlap", with_([*P_BLEND, C_SHADOW], f"SELECT entity, n_common, n_union, {r('jaccard')} AS jaccard FROM srow"))
 def u4(spark, sf):
     b = Evidence(spark, sf)
-    return I.shadow_rows(b.ranked, b.matched, b.entities).select("entity", "n_common", "n_union", S.rnd(F.col("jaccard"), 6).alias("jaccard"))
+    return I.shadow_rows(b.ranked_once, b.matched, b.entities).select("entity", "n_common", "n_union", S.rnd(F.col("jaccard"), 6).alias("jaccard"))
 
 
 @query("a24_shadow", with_([*P_BLEND, C_SHADOW], f"SELECT count(*) AS n, {r('avg(CAST(top1 AS INT))')} AS top1_agreement, {r('avg(jaccard)')} AS mean_jaccard, {r('avg(CAST(abstain AS INT))')} AS abstain_rate FROM srow"))
 def a24(spark, sf):
     b = Evidence(spark, sf)
-    return I.shadow_summary(I.shadow_rows(b.ranked, b.matched, b.entities))
+    return I.shadow_summary(I.shadow_rows(b.ranked_once, b.matched, b.entities))
 
 
 @query("a25_ensemble_summary", with_([*P_BLEND, C_BLEND], f""", p AS (SELECT entity, arg_min(outcome, rank) AS ptop FROM ranked WHERE outcome <> 'balanced' GROUP BY 1),
@@ -348,7 +348,7 @@ def a24(spark, sf):
  SELECT count(*) AS n, {r("avg(CAST(btop = coalesce(ptop, '') AS INT))")} AS stability, {r('avg(lc)')} AS lead_cited, {r('avg(cov)')} AS coverage, {r('avg(added)')} AS added_rate FROM b LEFT JOIN p USING (entity)"""))
 def a25(spark, sf):
     b = Evidence(spark, sf)
-    return I.ensemble_summary(b.ranked, b.blended)
+    return I.ensemble_summary(b.ranked_once, b.blended)
 
 
 @query("a27_mapping_accuracy", with_([*B.P_RANKED], f""", acc AS (SELECT DISTINCT entity, CASE feature WHEN 'click' THEN 'growth' WHEN 'purchase' THEN 'loyalty' WHEN 'error' THEN 'friction' ELSE 'balanced' END AS outcome FROM sig WHERE severity > 0.5),
@@ -406,7 +406,7 @@ al AS (SELECT entity, 1 AS pos, q, t, v FROM p1 UNION ALL SELECT entity, 2, q, t
 @query("t5_select_questions", with_([*B.P_RANKED, PROBES.cte(), QUESTIONS.cte(), C_T5], """SELECT a.entity, c.candidates, CAST(a.pos AS INT) AS pos, a.q AS question, a.t AS target, a.v AS value FROM al a JOIN pc c USING (entity)
  UNION ALL SELECT c.entity, c.candidates, f.pos, f.question, c.lead, NULL FROM pc c JOIN questions f ON f.outcome = c.lead WHERE c.entity NOT IN (SELECT entity FROM it)"""))
 def t5(spark, sf):
-    return G.select_questions(B.Behaviour(spark, sf).ranked, PROBES.small(spark), QUESTIONS.small(spark))
+    return G.select_questions(B.Behaviour(spark, sf).ranked_once, PROBES.small(spark), QUESTIONS.small(spark))
 
 
 def answers(spark, sf) -> DataFrame:

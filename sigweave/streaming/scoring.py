@@ -7,10 +7,8 @@ so a lost executor or a restart resumes it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,31 +54,24 @@ def stream_score(stream: DataFrame, votes: DataFrame, gate: Column, key: Column,
     return run_to_files(j, "score")
 
 
-def _accumulate(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    total, n = state.get if state.exists else (0.0, 0)
-    for b in batches:
-        total += float(b["ev"].sum())
-        n += len(b)
-    state.update((total, n))
-    yield pd.DataFrame({"entity": [key[0]], "outcome": [key[1]], "salt": [key[2]], "total": [total], "n": [n]})
-
-
-def stream_refine(stream: DataFrame, answers: DataFrame, prior: float, salts: int = 16) -> DataFrame:
-    """Running log-odds per (entity, outcome) as answers arrive.
+def stream_refine(stream: DataFrame, answers: DataFrame, prior: float, width: str = "1 day", delay: str = "1 day") -> DataFrame:
+    """Running log-odds per (entity, outcome), one row per closed window with answers.
 
-    `answers(entity, outcome, ev, salt_by)` is derived from the stream. Keyed state
-    holds the running sum; a hot key is split over `salts` partial sums. Every
-    update is appended, the reader keeps the newest total per key and adds the salts.
+    `answers(ts, entity, outcome, units)` is derived from the stream; `units` are integer
+    thousandths of evidence, so sums are exact in any order. The stream keeps one small
+    sum per (window, entity, outcome), combined map-side before the exchange; the running
+    total over an entity's windows is taken on read.
     """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    a = answers.select("entity", "outcome", F.pmod(F.hash("salt_by"), F.lit(salts)).alias("salt"), "ev")
-    log = a.groupBy("entity", "outcome", "salt").applyInPandasWithState(
-        _accumulate, "entity bigint, outcome string, salt int, total double, n bigint", "total double, n bigint", "append", GroupStateTimeout.NoTimeout
+    w = (
+        answers.withWatermark("ts", delay)
+        .groupBy(F.window("ts", width), "entity", "outcome")
+        .agg(F.count("*").alias("n"), F.sum("units").alias("units"))
+        .select(F.col("window.start").alias("start"), "entity", "outcome", "n", "units")
     )
-    newest = run_to_files(log, "refine").groupBy("entity", "outcome", "salt").agg(F.max_by("total", "n").alias("total"), F.max("n").alias("n"))
-    s = newest.groupBy("entity", "outcome").agg(F.sum("total").alias("ev"), F.sum("n").alias("n_answers"))
-    return s.select("entity", "outcome", "n_answers", S.rnd(S.logodds_update(F.lit(prior), F.col("ev")), 6).alias("confidence"))
+    run = W.partitionBy("entity", "outcome").orderBy("start").rowsBetween(W.unboundedPreceding, 0)
+    out = run_to_files(w, "refine")
+    s = out.select("start", "entity", "outcome", F.sum("n").over(run).alias("n_answers"), (F.sum("units").over(run) / 1000.0).alias("ev"))
+    return s.select("start", "entity", "outcome", "n_answers", S.rnd(S.logodds_update(F.lit(prior), F.col("ev")), 6).alias("confidence"))
 
 
 def stream_trend(stream: DataFrame, by: list[str], value: str, width: str = "7 days", delay: str = "1 day") -> DataFrame:
