@@ -78,7 +78,7 @@ def cosine_topk(vectors: DataFrame, vid: str, vec: str, queries: DataFrame, qid:
     else:
         q = cut(queries.withColumn("_b", F.pmod(F.xxhash64(qid), F.lit(2 * blocks))))
         parts = [q.filter(F.col("_b") == i) for i in range(2 * blocks)]
-    best = reduce(DataFrame.unionByName, [_block_topk(vectors, vid, vec, p, qid, qvec, k) for p in parts])
+    best = reduce(DataFrame.unionByName, [_block_topk(vectors, vid, vec, p, qid, qvec, k) for p in parts])  # hash blocks average QUERY_BLOCK / 2 rows
     return pool_rank(best, ["query_id"], "score", "vector_id", k)
 
 
@@ -87,6 +87,9 @@ def _block_topk(vectors: DataFrame, vid: str, vec: str, block: DataFrame, qid: s
     if len(rows) > 4 * QUERY_BLOCK:
         raise ValueError("query block larger than its bound")
     spark = vectors.sparkSession
+    out = "query_id bigint, vector_id bigint, score double"
+    if not rows:
+        return spark.createDataFrame([], out)
     ids = np.array([x["i"] for x in rows], dtype=np.int64)
     mat = np.array([x["v"] for x in rows], dtype=np.float64)
     mat = mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300)
@@ -111,7 +114,7 @@ def _block_topk(vectors: DataFrame, vid: str, vec: str, block: DataFrame, qid: s
         yield pd.DataFrame({"query_id": np.repeat(qids, m), "vector_id": best_i.ravel(), "score": best_s.ravel()})
 
     src = vectors.select(F.col(vid).cast("bigint").alias("i"), F.col(vec).alias("v"))
-    return src.mapInPandas(task, "query_id bigint, vector_id bigint, score double")
+    return src.mapInPandas(task, out)
 
 
 def rrf(lists: Sequence[DataFrame], qid: str, did: str, k: int = 5, c: int = 60) -> DataFrame:
