@@ -171,33 +171,40 @@ def faithfulness(claims: DataFrame, entities: DataFrame, gate: float = 0.85) ->
 TAUS = [i / 10 for i in range(31)]
 
 
-def fit_tau(val: DataFrame, prior: DataFrame, n_classes: int) -> DataFrame:
-    """Prior logit adjustment: tau in 0..3 maximising macro-F1 of argmax(logit - tau * ln prior).
+def tau_confusion(rows: DataFrame, log_prior: Sequence[float]) -> DataFrame:
+    """(split, tau, gold, pred, n) of argmax(logit - tau * ln prior) for every tau.
 
-    `val(gold int, logits array)`, `prior(lp array)`: one row of log priors.
-    Only (tau, gold, pred) counts leave the map side. Tau 0 wins ties.
+    `rows(split, gold int, logits array)`. Only these counts leave the map side.
     """
-    m = tau_confusion(val, prior)
-    return tau_macro_f1(m, n_classes).agg(
-        F.max(F.struct(F.col("macro_f1"), (-F.col("tau")).alias("t"))).alias("b"), F.max(F.when(F.col("tau") == 0, F.col("macro_f1"))).alias("base_f1")
-    ).select(F.abs("b.t").alias("tau"), F.col("b.macro_f1").alias("best_f1"), "base_f1")
+    lp = F.array(*[F.lit(float(x)) for x in log_prior])
+    adj = lambda t: F.zip_with("logits", lp, lambda x, l: S.rnd(x - t * l, 9))
+    preds = F.explode(F.transform(F.array(*[F.lit(t) for t in TAUS]), lambda t: F.struct(t.alias("tau"), (F.array_position(adj(t), F.array_max(adj(t))) - 1).alias("pred"))))
+    x = rows.select("split", "gold", preds.alias("p")).select("split", "gold", "p.*")
+    return x.groupBy("split", "tau", "gold", "pred").agg(F.count("*").alias("n"))
 
 
-def tau_confusion(rows: DataFrame, prior: DataFrame) -> DataFrame:
-    lp = F.broadcast(prior)  # one row
-    adj = lambda t: F.zip_with("logits", "lp", lambda x, l: S.rnd(x - t * l, 9))
-    preds = F.explode(F.transform(F.array(*[F.lit(t) for t in TAUS]), lambda t: F.struct(t.alias("tau"), (F.array_position(adj(t), F.array_max(adj(t))) - 1).alias("pred"))))
-    x = rows.join(lp, F.lit(True)).select("gold", preds.alias("p")).select("gold", "p.*")
-    return x.groupBy("tau", "gold", "pred").agg(F.count("*").alias("n"))
+def tau_scores(m: DataFrame, n_classes: int, minority: int) -> DataFrame:
+    """(split, tau, macro_f1, minority_recall) from the confusion counts."""
+    x = m.withColumn("cls", F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1))))
+    g, p, c, n = F.col("gold"), F.col("pred"), F.col("cls"), F.col("n")
+    total = lambda cond: F.sum(F.when(cond, n).otherwise(0))
+    per = x.groupBy("split", "tau", "cls").agg(total((g == c) & (p == c)).alias("tp"), total(g == c).alias("ng"), total(p == c).alias("np"))
+    f1 = ratio(2 * F.col("tp"), F.col("ng") + F.col("np"))
+    return per.groupBy("split", "tau").agg(
+        S.rnd(F.avg(f1), 9).alias("macro_f1"), S.rnd(F.max(F.when(c == minority, ratio(F.col("tp"), F.col("ng")))), 6).alias("minority_recall")
+    )
 
 
-def tau_macro_f1(m: DataFrame, n_classes: int) -> DataFrame:
-    cls = F.explode(F.sequence(F.lit(0), F.lit(n_classes - 1)))
-    x = m.withColumn("cls", cls)
-    per = x.groupBy("tau", "cls").agg(
-        F.sum(F.when((F.col("gold") == F.col("cls")) & (F.col("pred") == F.col("cls")), F.col("n")).otherwise(0)).alias("tp"),
-        F.sum(F.when(F.col("gold") == F.col("cls"), F.col("n")).otherwise(0)).alias("ng"),
-        F.sum(F.when(F.col("pred") == F.col("cls"), F.col("n")).otherwise(0)).alias("np"),
+def fit_tau(scores: DataFrame) -> float:
+    """Tau with the best validation macro-F1; the smallest on ties (so 0 wins them)."""
+    b = scores.filter("split = 'val'").agg(F.max(F.struct("macro_f1", (-F.col("tau")).alias("t"))).alias("b")).first()["b"]
+    return abs(b["t"])
+
+
+def tau_report(scores: DataFrame, tau: float) -> DataFrame:
+    """Macro-F1 and minority recall before (tau 0) and after, per split."""
+    at = lambda t, c: F.max(F.when(F.col("tau") == t, F.col(c)))
+    return scores.groupBy("split").agg(
+        F.lit(tau).alias("tau"), at(0.0, "macro_f1").alias("base_f1"), at(tau, "macro_f1").alias("best_f1"),
+        at(0.0, "minority_recall").alias("base_recall"), at(tau, "minority_recall").alias("best_recall"),
     )
-    f1 = ratio(2 * F.col("tp"), F.col("ng") + F.col("np"))
-    return per.groupBy("tau").agg(S.rnd(F.avg(f1), 9).alias("macro_f1"))

@@ -148,19 +148,24 @@ IDF_W, IDF_MIN, IDF_MAX, IDF_TYPICAL = 0.55, 0.65, 1.55, 3.0
 SIGNED = ["points_to", "argues_against"]
 
 
-def idf_mult(edges: DataFrame, n_outcomes: DataFrame) -> DataFrame:
+def count_outcomes(edges: DataFrame) -> int:
+    """Distinct outcome nodes the edges end in."""
+    return edges.filter(F.col("dst").startswith("pattern:")).select("dst").distinct().count()
+
+
+def idf_mult(edges: DataFrame, n_outcomes: int) -> DataFrame:
     """(src, df, idf): distinct outcomes per source and the bounded distinctiveness multiplier.
 
-    `n_outcomes(p)` is one row. Distinct pairs combine map-side before they are counted.
+    Distinct pairs combine map-side before they are counted.
     """
     df = edges.filter(F.col("rel").isin(SIGNED) & F.col("dst").startswith("pattern:")).groupBy("src", "dst").agg(F.lit(1).alias("_")).groupBy("src").agg(F.count("*").alias("df"))
-    p = F.greatest(F.col("p"), F.lit(1))
+    p = F.lit(float(max(1, n_outcomes)))
     ref = F.log(F.lit(1.0) + p / IDF_TYPICAL)
     mult = F.lit(1.0) + IDF_W * (F.log(F.lit(1.0) + p / F.col("df")) - ref) / ref
-    return df.join(F.broadcast(n_outcomes), F.lit(True)).select("src", "df", S.rnd(S.clip(mult, IDF_MIN, IDF_MAX), 9).alias("idf"))
+    return df.select("src", "df", S.rnd(S.clip(mult, IDF_MIN, IDF_MAX), 9).alias("idf"))
 
 
-def evidence_groups(edges: DataFrame, n_outcomes: DataFrame) -> DataFrame:
+def evidence_groups(edges: DataFrame, n_outcomes: int) -> DataFrame:
     """Per (src, outcome, rel): signed contribution (max weight + log-scaled corroboration) * idf, and citations.
 
     One map-side combined pass over the edges; the result has one row per

@@ -393,13 +393,17 @@ def shadow_rows(a: DataFrame, b: DataFrame, entities: DataFrame) -> DataFrame:
     )
 
 
-def shadow_summary(rows: DataFrame) -> DataFrame:
+def shadow_summary(rows: DataFrame, validated: DataFrame) -> DataFrame:
+    """Agreement rates over all entities; an entity counts as rejected if any proposal was dropped."""
+    bad = validated.filter("status <> 'kept'").select("entity").distinct().withColumn("rejected", F.lit(True))
+    rows = rows.join(bad, "entity", "left").na.fill(False, ["rejected"])
     rate = lambda c: S.rnd(F.avg(F.col(c).cast("int")), 6)
     return rows.agg(
         F.count("*").alias("n"),
         rate("top1").alias("top1_agreement"),
         S.rnd(F.avg("jaccard"), 6).alias("mean_jaccard"),
         rate("abstain").alias("abstain_rate"),
+        rate("rejected").alias("reject_rate"),
     )
 
 

@@ -21,35 +21,41 @@ QUERY_TERMS_BROADCAST = 1_000_000
 QUERY_BLOCK = 4096
 
 
-def terms(df: DataFrame, key: str, text: str, stop: Sequence[str]) -> DataFrame:
-    """(key, term) rows: words without stop words, and bigrams of what remains."""
-    w = F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"({TOKEN})"), F.lit(1))
-    kept = F.filter(w, lambda t: ~t.isin(list(stop)))
-    d = df.select(key, kept.alias("w"))
-    two = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    return d.select(key, F.explode(F.concat("w", two)).alias("term"))
+def with_terms(df: DataFrame, keep: Sequence[str], text: str, stop: Sequence[str]) -> DataFrame:
+    """Rows with `terms`: words without stop words, then bigrams of what remains.
+
+    The word list is its own projection, so the text is tokenised once per row.
+    """
+    found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"({TOKEN})"), F.lit(1))
+    d = df.select(*keep, F.filter(found, lambda t: ~t.isin(list(stop))).alias("_w"))
+    n = F.size("_w")
+    pairs = F.zip_with(F.slice("_w", F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice("_w", F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    return d.select(*keep, F.concat("_w", pairs).alias("terms"))
+
+
+def term_counts(df: DataFrame, key: str, text: str, stop: Sequence[str]) -> DataFrame:
+    return with_terms(df, [key], text, stop).select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def tfidf_topk(docs: DataFrame, did: str, text: str, queries: DataFrame, qid: str, qtext: str, stop: Sequence[str], pool: int = 15) -> DataFrame:
     """Top `pool` documents per query by cosine of L2-normalised TF-IDF, 0-based rank.
 
-    idf = ln((1 + n) / (1 + df)) + 1. The text crosses the network once (by
-    document); term counts, norms and per-(document, query) sums then stay in
-    place. Most terms occur in one document and share one idf; only the others are
+    idf = ln((1 + n) / (1 + df)) + 1. Most terms occur in one document and share one idf; only the others are
     kept as a table, broadcast after its row count is checked.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tf = terms(docs.select(did, text).repartition(parts, did), did, text, stop).groupBy(did, "term").agg(F.count("*").alias("tf"))
     n_docs = docs.count()
     idf_of = lambda df: F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + df)) + F.lit(1.0)
-    common = cut(tf.groupBy("term").agg(F.count("*").alias("df")).filter("df > 1").select("term", idf_of(F.col("df")).alias("idf")))
+    qtf = cut(term_counts(queries, qid, qtext, stop))
+    asked = checked_broadcast(qtf.select("term").distinct().withColumn("_q", F.lit(1)), QUERY_TERMS_BROADCAST)
+    # Pass 1 reads the text where it lies: distinct terms per row, counted map-side.
+    seen = with_terms(docs, [], text, stop).select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    common = cut(seen.join(asked, "term", "left").filter("df > 1 or _q = 1").select("term", idf_of(F.col("df")).alias("idf")))
     common = checked_broadcast(common, VOCAB_BROADCAST)
-    idf = F.coalesce(F.col("idf"), idf_of(F.lit(1)))
-    w = tf.join(common, "term", "left").select(did, "term", (F.col("tf") * idf).alias("w"))
-    qtf = cut(terms(queries, qid, qtext, stop).groupBy(qid, "term").agg(F.count("*").alias("tf")))
-    # A query term counts only if some document has it.
-    known = tf.select("term").join(checked_broadcast(qtf.select("term").distinct(), QUERY_TERMS_BROADCAST), "term", "left_semi").distinct()
-    q = qtf.join(known, "term", "left_semi").join(common, "term", "left").select(qid, "term", (F.col("tf") * idf).alias("qw"))
+    # Pass 2 moves each text once, to the task that keeps everything of its document.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tf = term_counts(docs.select(did, text).repartition(parts, did), did, text, stop)
+    w = tf.join(common, "term", "left").select(did, "term", (F.col("tf") * F.coalesce(F.col("idf"), idf_of(F.lit(1)))).alias("w"))
+    q = qtf.join(common, "term").select(qid, "term", (F.col("tf") * F.col("idf")).alias("qw"))
     qn = q.groupBy(qid).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
     q = cut(q.join(qn, qid).select(qid, "term", (F.col("qw") / F.col("qn")).alias("qw")))
     norm = w.groupBy(did).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))

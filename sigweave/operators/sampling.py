@@ -61,15 +61,16 @@ def greedy_picks(cands: DataFrame, key: str, order: Sequence[Column], n_targets:
     return few.agg(F.explode(fold).alias("p")).select("p.target", F.col("p.k").alias(key))
 
 
-def rarity_weights(df: DataFrame, cols: Sequence[str], hi: float = 15.0) -> DataFrame:
+def rarity_weights(df: DataFrame, domains: dict[str, Sequence[str]], hi: float = 15.0) -> DataFrame:
     """Weight = max over columns of n_major / n_class, clipped to [1, hi].
 
-    Class counts are tiny and joined back by broadcast, one lookup per column;
-    the rows themselves are never shuffled. NULL classes weigh 1.
+    Counts of the listed classes are joined back by broadcast (at most one row per
+    listed class), one lookup per column; the rows themselves are never shuffled.
+    Classes outside the domain weigh 1.
     """
-    out = df
+    out, cols = df, list(domains)
     for c in cols:
-        n = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n"))
+        n = df.filter(F.col(c).isin(list(domains[c]))).groupBy(c).agg(F.count("*").alias("_n"))
         w = n.select(c, (F.max("_n").over(W.partitionBy(F.lit(1))) / F.col("_n")).alias(f"_w_{c}"))
         out = out.join(F.broadcast(w), c, "left")
     top = F.greatest(F.lit(1.0), *[F.coalesce(F.col(f"_w_{c}"), F.lit(1.0)) for c in cols])

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,17 +22,28 @@ def _features(df: DataFrame, vec: str, target: str) -> DataFrame:
     return df.withColumn("_x", array_to_vector(F.col(vec))).withColumn("_y", F.col(target).cast("double"))
 
 
-def train_head(df: DataFrame, vec: str, target: str, weight: str, regs: Sequence[float]):
-    """Weighted multinomial head per regularisation; keeps the one with the best validation macro-style F1
-    minus the mean class error. Returns (model, chosen regularisation)."""
+def head_score(confusion: DataFrame, n_classes: int) -> float:
+    """Mean per-class F1 minus the mean ordinal error (|pred - gold| / (n - 1)), from confusion counts."""
+    rows = [(int(x["gold"]), int(x["pred"]), x["n"]) for x in confusion.collect()]  # at most n_classes^2 rows
+    total = sum(n for _, _, n in rows) or 1
+    f1 = 0.0
+    for c in range(n_classes):
+        tp = sum(n for g, p, n in rows if g == c and p == c)
+        both = sum(n for g, _, n in rows if g == c) + sum(n for _, p, n in rows if p == c)
+        f1 += 2 * tp / both if both else 0.0
+    return f1 / n_classes - sum(abs(g - p) * n for g, p, n in rows) / total / max(1, n_classes - 1)
+
+
+def train_head(df: DataFrame, vec: str, target: str, weight: str, regs: Sequence[float], n_classes: int):
+    """Weighted multinomial head per regularisation on `split = train`; keeps the best `head_score`
+    on `split = val`. Returns (model, chosen regularisation)."""
     x = _features(df, vec, target)
     train, val = x.filter("split = 'train'"), x.filter("split = 'val'")
-    ev = MulticlassClassificationEvaluator(labelCol="_y", predictionCol="prediction", metricName="f1")
     best = None
     for reg in regs:
         m = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol=weight, regParam=reg, maxIter=30, family="multinomial").fit(train)
-        p = m.transform(val)
-        score = ev.evaluate(p)
+        c = m.transform(val).groupBy(F.col("_y").alias("gold"), F.col("prediction").alias("pred")).agg(F.count("*").alias("n"))
+        score = head_score(c, n_classes)
         if best is None or score > best[0]:
             best = (score, m, reg)
     return best[1], best[2]

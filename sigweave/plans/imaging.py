@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from sigweave.operators import evaluate as E
 from sigweave.operators import pixels as P
 from sigweave.operators import signals as G
 from sigweave.plans.base import query, r, with_
-from sigweave.session import table
+from sigweave.session import cut, table
 
 
 def pixels(spark, sf) -> DataFrame:
@@ -217,17 +219,23 @@ taus AS (SELECT i/10.0::DOUBLE AS tau FROM range(0, 31) t(i))"""
 _ADJ = [r(f"z[{i + 1}] - tau*l{i}", 9) for i in range(3)]
 C_TAU = f"""pd AS (SELECT tau, gold, val, list_position([a0, a1, a2], greatest(a0, a1, a2))-1 AS pred FROM (SELECT tau, gold, val, {_ADJ[0]} AS a0, {_ADJ[1]} AS a1, {_ADJ[2]} AS a2 FROM lg, pr, taus)),
 cf AS (SELECT tau, val, c, count(*) FILTER (gold = c AND pred = c) AS tp, count(*) FILTER (gold = c) AS g, count(*) FILTER (pred = c) AS p FROM pd, range(0, 3) k(c) GROUP BY 1, 2, 3),
-mf AS (SELECT tau, val, {r('avg(coalesce(2*tp/nullif(g+p, 0), 0.0))', 9)} AS f FROM cf GROUP BY 1, 2)"""
+rare AS (SELECT gold AS c FROM lg GROUP BY 1 ORDER BY count(*), 1 LIMIT 1),
+mf AS (SELECT tau, val, {r('avg(coalesce(2*tp/nullif(g+p, 0), 0.0))', 9)} AS f, {r('max(CASE WHEN c = (SELECT c FROM rare) THEN coalesce(tp/nullif(g, 0), 0.0) END)')} AS mr FROM cf GROUP BY 1, 2),
+bt AS (SELECT tau FROM mf WHERE val ORDER BY f DESC, tau LIMIT 1)"""
 
 
-@query("a21_fit_tau", with_([C_LOG, C_TAU], "SELECT tau, f AS best_f1, (SELECT f FROM mf WHERE val AND tau = 0) AS base_f1 FROM mf WHERE val ORDER BY f DESC, tau LIMIT 1"))
+@query("a21_fit_tau", with_([C_LOG, C_TAU], """SELECT CASE WHEN z.val THEN 'val' ELSE 'test' END AS split, b.tau, z.f AS base_f1, b.f AS best_f1, z.mr AS base_recall, b.mr AS best_recall FROM mf z JOIN mf b ON b.val = z.val AND b.tau = (SELECT tau FROM bt) WHERE z.tau = 0"""))
 def a21(spark, sf):
     e = table(spark, sf, "embeddings")
     z = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double") * 10)
-    lg = e.select((F.col("label") % 3).alias("gold"), z.alias("logits"), (F.substring(F.md5(F.concat_ws("|", F.lit("3"), F.col("vec_id").cast("string"))), 1, 1) < "8").alias("val"))
-    share = lambda k: F.log(F.count(F.when(F.col("gold") == k, 1)) / F.count("*"))
-    prior = lg.agg(F.array(share(0), share(1), share(2)).alias("lp"))
-    return E.fit_tau(lg.filter("val"), prior, 3)
+    val = F.substring(F.md5(F.concat_ws("|", F.lit("3"), F.col("vec_id").cast("string"))), 1, 1) < "8"
+    lg = e.select((F.col("label") % 3).alias("gold"), z.alias("logits"), F.when(val, "val").otherwise("test").alias("split"))
+    n = {x["gold"]: x["n"] for x in lg.groupBy("gold").agg(F.count("*").alias("n")).collect()}  # three classes
+    total = sum(n.values())
+    log_prior = [math.log(max(n.get(k, 0) / total, 1e-6)) for k in range(3)]
+    rare = min(range(3), key=lambda k: (n.get(k, 0), k))
+    s = cut(E.tau_scores(E.tau_confusion(lg, log_prior), 3, rare))
+    return E.tau_report(s, E.fit_tau(s))
 
 
 HEADS = [[round(((h * 7 + i * 3) % 11 - 5) / 5, 1) for i in range(64)] for h in range(3)]
@@ -253,5 +261,5 @@ def ml2(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", (F.col("label") % 3).cast("double").alias("target"), "embedding")
     h = F.substring(F.md5(F.concat_ws("|", F.lit("9"), F.col("vec_id").cast("string"))), 1, 1)
     e = e.withColumn("split", F.when(h < "4", "val").otherwise("train")).withColumn("weight", F.when(F.col("vec_id") % 2 == 0, 2.0).otherwise(1.0))
-    model, pick = train_head(e, "embedding", "target", "weight", [0.0, 0.01, 0.1])
+    model, pick = train_head(e, "embedding", "target", "weight", [0.0, 0.01, 0.1], 3)
     return evaluate_head(model, e, "embedding", "target").withColumn("reg", F.lit(pick))

@@ -247,15 +247,11 @@ P_EVID = [*B.P_PRESENT, C_CITED, C_GROUPS, C_ENTRY, C_EVID]
 P_BLEND = [*B.P_RANKED, C_CITED, C_GROUPS, C_ENTRY, C_EVID]
 
 
-def n_outcomes(e: DataFrame) -> DataFrame:
-    return e.groupBy("dst").agg(F.lit(1).alias("_")).agg(F.count("*").alias("p"))
-
-
 class Evidence(B.Behaviour):
     @B.cached_property
     def groups(self) -> DataFrame:
         e = cited_edges(self.spark, self.sf)
-        return checked_broadcast(cut(G.evidence_groups(e, n_outcomes(e))), GROUPS_BROADCAST)
+        return checked_broadcast(cut(G.evidence_groups(e, G.count_outcomes(e))), GROUPS_BROADCAST)
 
     @B.cached_property
     def entries(self) -> DataFrame:
@@ -278,7 +274,7 @@ class Evidence(B.Behaviour):
 @query("g8_idf_mult", with_([C_CITED, C_GROUPS], f"SELECT src, df, {r('idf')} AS idf FROM idf"))
 def g8(spark, sf):
     e = cited_edges(spark, sf)
-    return G.idf_mult(e, n_outcomes(e)).withColumn("idf", S.rnd(F.col("idf"), 6))
+    return G.idf_mult(e, G.count_outcomes(e)).withColumn("idf", S.rnd(F.col("idf"), 6))
 
 
 @query("g9_rank_evidence", with_(P_EVID, f"SELECT entity, outcome, score, n_cites, rank FROM evk"))
@@ -337,10 +333,13 @@ def u4(spark, sf):
     return I.shadow_rows(b.ranked_once, b.matched, b.entities).select("entity", "n_common", "n_union", S.rnd(F.col("jaccard"), 6).alias("jaccard"))
 
 
-@query("a24_shadow", with_([*P_BLEND, C_SHADOW], f"SELECT count(*) AS n, {r('avg(CAST(top1 AS INT))')} AS top1_agreement, {r('avg(jaccard)')} AS mean_jaccard, {r('avg(CAST(abstain AS INT))')} AS abstain_rate FROM srow"))
+@query("a24_shadow", with_([*P_BLEND, C_SHADOW, B.C_PROP], f""", rj AS (SELECT DISTINCT p.entity FROM prop p WHERE (p.entity, p.outcome) NOT IN (SELECT (entity, outcome) FROM ranked)
+   UNION SELECT entity FROM (SELECT p.entity, p.outcome, count(q.entity) AS g FROM prop p LEFT JOIN present q ON q.entity = p.entity AND q.feature = p.feature GROUP BY 1, 2) WHERE g = 0)
+ SELECT count(*) AS n, {r('avg(CAST(top1 AS INT))')} AS top1_agreement, {r('avg(jaccard)')} AS mean_jaccard, {r('avg(CAST(abstain AS INT))')} AS abstain_rate, {r('avg(CAST(entity IN (SELECT entity FROM rj) AS INT))')} AS reject_rate FROM srow"""))
 def a24(spark, sf):
     b = Evidence(spark, sf)
-    return I.shadow_summary(I.shadow_rows(b.ranked_once, b.matched, b.entities))
+    checked = I.validate_proposals(B.proposals(b), b.ranked_once, b.present)
+    return I.shadow_summary(I.shadow_rows(b.ranked_once, b.matched, b.entities), checked)
 
 
 @query("a25_ensemble_summary", with_([*P_BLEND, C_BLEND], f""", p AS (SELECT entity, arg_min(outcome, rank) AS ptop FROM ranked WHERE outcome <> 'balanced' GROUP BY 1),
@@ -438,8 +437,13 @@ def g12(spark, sf):
     return G.rescore(B.Behaviour(spark, sf).ranked, answers(spark, sf))
 
 
-@query("pr15_assemble")
+@query("pr15_assemble", with_(B.P_BOTH, """SELECT e.entity, (SELECT sum(n_obs) FROM sig s WHERE s.entity = e.entity) >= 5 AS accepted, (SELECT string_agg(outcome || '@' || rank, ',' ORDER BY rank) FROM ranked k WHERE k.entity = e.entity) AS outcomes,
+  (SELECT string_agg(phrase, ',' ORDER BY pos) FROM found f WHERE f.entity = e.entity) AS phrases FROM ents e"""))
 def pr15(spark, sf):
     b = B.Behaviour(spark, sf)
     quality = b.read.groupBy("entity").agg((F.sum("n_obs") >= 5).alias("accepted"))
-    return report.assemble(b.ranked, b.found, quality)
+    doc = report.assemble(b.ranked, b.found, quality)
+    shape = "accepted boolean, outcomes array<struct<rank:int,outcome:string,confidence:double>>, findings array<struct<pos:int,phrase:string>>"
+    d = doc.select("entity", F.from_json("result", shape).alias("r"))
+    tag = F.transform("r.outcomes", lambda o: F.concat(o["outcome"], F.lit("@"), o["rank"].cast("string")))
+    return d.select("entity", "r.accepted", F.array_join(tag, ",").alias("outcomes"), F.array_join(F.col("r.findings.phrase"), ",").alias("phrases"))

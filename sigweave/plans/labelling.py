@@ -24,6 +24,7 @@ DOMAIN = Dim(
     [("grade", g, i) for i, g in enumerate(GRADES)]
     + [("quality", "poor", 0), ("quality", "good", 1), ("toxic", "clean", 0), ("toxic", "toxic", 1)],
 )
+CLASSES = {"grade": GRADES, "quality": ["poor", "good"], "toxic": ["clean", "toxic"]}
 GRID = [0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8]
 
 
@@ -133,17 +134,17 @@ def pr4(spark, sf):
     )
 
 
-@query("a7_summary", f"""WITH s AS (SELECT l_returnflag, {r("least(1.0::DOUBLE, l_quantity*l_discount/10.0::DOUBLE)")} AS sev FROM lineitem)
+@query("a7_summary", f"""WITH s AS (SELECT l_returnflag, {r("least(1.0::DOUBLE, l_quantity*l_discount/10.0::DOUBLE)", 4)} AS sev FROM lineitem)
   SELECT l_returnflag, count(*) AS n, {r("avg(sev)")} AS mean_sev, {r("quantile_cont(sev, 0.5)", 5)} AS p50, {r("quantile_cont(sev, 0.9)", 5)} AS p90,
   {r("avg(CASE WHEN sev > 0.1 THEN 1.0 ELSE 0.0 END)*100", 4)} AS prevalence FROM s GROUP BY 1""")
 def a7(spark, sf):
     li = table(spark, sf, "lineitem").select("l_returnflag", "l_quantity", "l_discount")
-    s = S.rnd(L.area_severity(F.col("l_quantity"), F.col("l_discount")), 6)
+    s = S.rnd(L.area_severity(F.col("l_quantity"), F.col("l_discount")), 4)
     return severity_summary(li.withColumn("sev", s), "l_returnflag", "sev", 0.1)
 
 
 def severity_summary(df: DataFrame, by: str, sev: str, cut_at: float) -> DataFrame:
-    """Mean, p50, p90 and prevalence of a six-decimal severity in [0, 1] (a bounded percentile buffer)."""
+    """Mean, p50, p90 and prevalence of a four-decimal severity in [0, 1] (at most 10,001 counts per percentile buffer)."""
     return df.groupBy(by).agg(
         F.count("*").alias("n"),
         S.rnd(F.avg(sev), 6).alias("mean_sev"),
@@ -342,14 +343,14 @@ C_RARITY = ", ".join([rarity_sql("grade"), rarity_sql("quality"), rarity_sql("to
 
 @query("a19_rarity_weights", with_([C_MAN, C_TARGETS, C_RARITY], "SELECT doc_id, weight FROM rar"))
 def a19(spark, sf):
-    return P.rarity_weights(targets(spark, sf), ["grade", "quality", "toxic"]).select("doc_id", S.rnd(F.col("weight"), 6).alias("weight"))
+    return P.rarity_weights(targets(spark, sf), CLASSES).select("doc_id", S.rnd(F.col("weight"), 6).alias("weight"))
 
 
 @query("ml3_resample", with_([C_MAN, C_TARGETS, C_RARITY], """, c AS (SELECT doc_id, weight, ('0x' || substr(md5('7|' || doc_id), 1, 8))::UBIGINT / 4294967296.0 AS u FROM rar),
   n AS (SELECT doc_id, floor(weight) + CASE WHEN u < weight - floor(weight) THEN 1 ELSE 0 END AS n FROM c)
   SELECT doc_id, CAST(i AS INT) AS copy FROM n, LATERAL (SELECT unnest(range(1, n.n::BIGINT + 1)) AS i)"""))
 def ml3(spark, sf):
-    w = P.rarity_weights(targets(spark, sf), ["grade", "quality", "toxic"]).select("doc_id", S.rnd(F.col("weight"), 6).alias("weight"))
+    w = P.rarity_weights(targets(spark, sf), CLASSES).select("doc_id", S.rnd(F.col("weight"), 6).alias("weight"))
     return P.resample(w, "doc_id", "weight", 7).select("doc_id", "copy")
 
 
