@@ -22,17 +22,19 @@ BALANCED = "balanced"
 # ---- what is present --------------------------------------------------------------------
 
 
-def present_features(read: DataFrame, removed: Sequence[str] = ()) -> DataFrame:
+def present_features(read: DataFrame, removed: Sequence[str] = (), words: dict[str, str] | None = None) -> DataFrame:
     """Flat (entity, feature, value) of raw detections for the rules.
 
-    Core signs always contribute their value. Extra and zone signs contribute
-    `present` only when detected (`severity >= 0.5`), and never if removed.
+    Core signs (graded, categorical, display axes) always contribute their value.
+    Extra and zone signs contribute `present` (or their word in `words`) only when
+    detected (`severity >= 0.5`), and never if removed.
     """
-    core = F.col("kind").isin("graded", "categorical")
+    core = F.col("kind").isin("graded", "categorical", "axis")
     on = (F.col("severity") >= 0.5) & ~F.col("feature").isin(list(removed) or [""])
-    return read.filter(core | on).select(
-        "entity", "feature", F.when(core, F.col("value")).otherwise(F.lit("present")).alias("value")
-    )
+    word = F.lit("present")
+    for f, w in (words or {}).items():
+        word = F.when(F.col("feature") == f, F.lit(w)).otherwise(word)
+    return read.filter(core | on).select("entity", "feature", F.when(core, F.col("value")).otherwise(word).alias("value"))
 
 
 # ---- votes -------------------------------------------------------------------------------
