@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sigweave.functions import scores as S
 from sigweave.functions.text import slug
+from sigweave.session import cut
 
 # Readings that mean "not there".
 ABSENT = ["none", "absent", "no", "normal", "regular", "0", ""]
@@ -153,29 +154,36 @@ def count_outcomes(edges: DataFrame) -> int:
     return edges.filter(F.col("dst").startswith("pattern:")).select("dst").distinct().count()
 
 
-def idf_mult(edges: DataFrame, n_outcomes: int) -> DataFrame:
+def outcome_pairs(edges: DataFrame) -> DataFrame:
+    """Distinct (src, dst) of signed edges into outcomes; combines map-side."""
+    return edges.filter(F.col("rel").isin(SIGNED) & F.col("dst").startswith("pattern:")).select("src", "dst").distinct()
+
+
+def idf_mult(pairs: DataFrame, n_outcomes: int) -> DataFrame:
     """(src, df, idf): distinct outcomes per source and the bounded distinctiveness multiplier.
 
-    Distinct pairs combine map-side before they are counted.
+    `pairs(src, dst)` is distinct (see `outcome_pairs`).
     """
-    df = edges.filter(F.col("rel").isin(SIGNED) & F.col("dst").startswith("pattern:")).groupBy("src", "dst").agg(F.lit(1).alias("_")).groupBy("src").agg(F.count("*").alias("df"))
+    df = pairs.groupBy("src").agg(F.count("*").alias("df"))
     p = F.lit(float(max(1, n_outcomes)))
     ref = F.log(F.lit(1.0) + p / IDF_TYPICAL)
     mult = F.lit(1.0) + IDF_W * (F.log(F.lit(1.0) + p / F.col("df")) - ref) / ref
     return df.select("src", "df", S.rnd(S.clip(mult, IDF_MIN, IDF_MAX), 9).alias("idf"))
 
 
-def evidence_groups(edges: DataFrame, n_outcomes: int) -> DataFrame:
+def evidence_groups(edges: DataFrame, n_outcomes: int | None = None) -> DataFrame:
     """Per (src, outcome, rel): signed contribution (max weight + log-scaled corroboration) * idf, and citations.
 
-    One map-side combined pass over the edges; the result has one row per
-    distinct pair however often it is cited.
+    One map-side combined pass over the edges; everything after it works on one row
+    per distinct pair, however often it is cited. `n_outcomes` defaults to the
+    outcomes that are cited at all.
     """
     e = edges.filter(F.col("rel").isin(SIGNED) & F.col("dst").startswith("pattern:"))
-    g = e.groupBy("src", "dst", "rel").agg(F.max(F.coalesce("weight", F.lit(1.0))).alias("base"), F.count("*").alias("n"))
+    g = cut(e.groupBy("src", "dst", "rel").agg(F.max(F.coalesce("weight", F.lit(1.0))).alias("base"), F.count("*").alias("n")))
+    p = count_outcomes(g) if n_outcomes is None else n_outcomes
     bonus = F.when(F.col("n") > 1, F.least(F.lit(CORROB_CAP), F.lit(CORROB) * F.log(F.col("n").cast("double")))).otherwise(F.lit(0.0))
     w = (F.col("base") + bonus) * F.col("idf")
-    return g.join(idf_mult(edges, n_outcomes), "src").select(
+    return g.join(idf_mult(outcome_pairs(g), p), "src").select(
         "src", F.substring_index("dst", ":", -1).alias("outcome"), "rel", "n", "base",
         S.rnd(F.when(F.col("rel") == "points_to", w).otherwise(-w), 9).alias("contribution"),
     )

@@ -31,3 +31,9 @@ def r(x: str, d: int = 6) -> str:
 
 def with_(ctes: list[str], final: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + final
+
+
+def typed(sql: str, types: dict[str, str]) -> str:
+    """The same result with some columns cast."""
+    casts = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in types.items())
+    return f"SELECT * REPLACE ({casts}) FROM (\n{sql}\n)"

@@ -57,8 +57,11 @@ class Behaviour:
     @cached_property
     def read(self) -> DataFrame:
         # Votes, rules, findings and reports all read this; the rank expression is
-        # evaluated once here instead of being inlined into each of them.
-        return cut(G.readings(self.sig, kb.FEATURES.small(self.spark), self.curves, self.freq))
+        # evaluated once here instead of being inlined into each of them. The sign's
+        # wording is joined back by broadcast rather than stored with every row.
+        signs = kb.FEATURES.small(self.spark)
+        r = G.readings(self.sig, signs, self.curves, self.freq)
+        return cut(r.select("entity", "feature", "value", "n_obs", "severity", "rel", "mentioned")).join(signs, "feature")
 
     @cached_property
     def present(self) -> DataFrame:

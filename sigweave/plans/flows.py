@@ -32,14 +32,14 @@ def st2(spark, sf):
     e = events(spark, sf)
     units = F.floor(F.col("value") + F.lit(0.5))
     a = e.select("ts", F.col("user_id").alias("entity"), F.col("event_type").alias("outcome"), F.when(F.col("event_id") % 2 == 0, units).otherwise(-units).alias("units"))
-    return ST.stream_refine(e, a, 0.3).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return ST.stream_refine(e, a, 0.3).withColumn("start", ST.utc_wall(F.col("start")))
 
 
 @query("st3_stream_trend", f"""WITH w AS (SELECT time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') AS s, user_id, event_type, count(*) AS n, sum(floor(value*100+0.5)) AS c FROM events GROUP BY 1, 2, 3)
   SELECT s AS start, s + INTERVAL '7 days' AS stop, user_id, event_type, n, {r('c/n', 4)} AS mean_cents FROM w WHERE s + INTERVAL '7 days' <= (SELECT max(ts) FROM events) - INTERVAL '1 day'""")
 def st3(spark, sf):
     t = ST.stream_trend(events(spark, sf), ["user_id", "event_type"], "value")
-    return t.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("stop", F.col("stop").cast("timestamp_ntz"))
+    return t.withColumn("start", ST.utc_wall(F.col("start"))).withColumn("stop", ST.utc_wall(F.col("stop")))
 
 
 # ---- file formats: the table goes out and comes back through the reader under test --------------

@@ -251,7 +251,7 @@ class Evidence(B.Behaviour):
     @B.cached_property
     def groups(self) -> DataFrame:
         e = cited_edges(self.spark, self.sf)
-        return checked_broadcast(cut(G.evidence_groups(e, G.count_outcomes(e))), GROUPS_BROADCAST)
+        return checked_broadcast(cut(G.evidence_groups(e)), GROUPS_BROADCAST)
 
     @B.cached_property
     def entries(self) -> DataFrame:
@@ -273,8 +273,8 @@ class Evidence(B.Behaviour):
 
 @query("g8_idf_mult", with_([C_CITED, C_GROUPS], f"SELECT src, df, {r('idf')} AS idf FROM idf"))
 def g8(spark, sf):
-    e = cited_edges(spark, sf)
-    return G.idf_mult(e, G.count_outcomes(e)).withColumn("idf", S.rnd(F.col("idf"), 6))
+    pairs = cut(G.outcome_pairs(cited_edges(spark, sf)))
+    return G.idf_mult(pairs, G.count_outcomes(pairs)).withColumn("idf", S.rnd(F.col("idf"), 6))
 
 
 @query("g9_rank_evidence", with_(P_EVID, f"SELECT entity, outcome, score, n_cites, rank FROM evk"))

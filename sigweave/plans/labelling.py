@@ -477,5 +477,5 @@ def src9(spark, sf):
     from sigweave.sources.files import incremental
 
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    done = o.filter("o_orderdate < timestamp '1997-01-01'").select("o_orderkey", "o_custkey")
+    done = o.filter("o_orderdate < timestamp_ntz '1997-01-01'").select("o_orderkey", "o_custkey")
     return incremental(o.select("o_orderkey", "o_custkey"), done, ["o_orderkey"])

@@ -27,9 +27,18 @@ EVENTS = T.StructType(
 )
 
 
+def utc_instant(c: Column) -> Column:
+    """A zone-less wall time read as UTC, whatever the session time zone."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), c).cast("timestamp")
+
+
+def utc_wall(c: Column) -> Column:
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), c.cast("timestamp_ntz"))
+
+
 def event_stream(spark: SparkSession, glob: str, schema: T.StructType = EVENTS) -> DataFrame:
-    """File stream with a literal schema; event time cast to a zoned timestamp for watermarks."""
-    return spark.readStream.schema(schema).parquet(glob).withColumn("ts", F.col("ts").cast("timestamp"))
+    """File stream with a literal schema; event time read as UTC instants for watermarks."""
+    return spark.readStream.schema(schema).parquet(glob).withColumn("ts", utc_instant(F.col("ts")))
 
 
 def run_to_files(stream: DataFrame, name: str) -> DataFrame:

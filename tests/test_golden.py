@@ -85,7 +85,7 @@ def test_logodds_is_finite(spark, c):
 def test_evidence_corroboration_is_capped(spark):
     rows = [("value:a=1", "points_to", "pattern:x", 0.5, "s", "1")] + [("value:b=1", "points_to", "pattern:x", 0.5, "s", str(i)) for i in range(1000)]
     e = spark.createDataFrame(rows, "src string, rel string, dst string, weight double, source string, snippet string")
-    g = {r["src"]: r["contribution"] for r in graph.evidence_groups(e, graph.count_outcomes(e)).collect()}
+    g = {r["src"]: r["contribution"] for r in graph.evidence_groups(e).collect()}
     idf = 1 + 0.55 * (math.log(2) - math.log(1 + 1 / 3)) / math.log(1 + 1 / 3)
     idf = min(1.55, max(0.65, idf))
     assert g["value:a=1"] == pytest.approx(0.5 * idf)

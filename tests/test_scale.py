@@ -113,3 +113,14 @@ def test_label_store_is_a_projection_after_two_joins(spark, sf):
 @pytest.mark.parametrize("name", ["g6_neighborhood", "j9_verbatim_items", "w12_near_dup", "a13_average_precision", "r1_tfidf", "g9_rank_evidence"])
 def test_no_cartesian_products(spark, sf, name):
     assert "CartesianProduct" not in _plan(QUERIES[name](spark, sf))
+
+
+def test_streams_do_not_depend_on_the_session_zone(spark, sf):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    a = sorted(map(tuple, QUERIES["st3_stream_trend"](spark, sf).collect()))
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        b = sorted(map(tuple, QUERIES["st3_stream_trend"](spark, sf).collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert a == b and a
