@@ -81,6 +81,12 @@ def average_precision(scored: DataFrame, key: str) -> DataFrame:
     )
 
 
+def macro_map(ap: DataFrame) -> DataFrame:
+    """Mean AP over the features that have positives, as one more row named MACRO."""
+    m = ap.filter("ap is not null").agg(F.lit("MACRO").alias("feature"), F.sum("n").alias("n"), F.sum("n_pos").alias("n_pos"), S.rnd(F.avg("ap"), 6).alias("ap"))
+    return ap.unionByName(m)
+
+
 def sweep_counts(scored: DataFrame, grid: Sequence[float], by: Sequence[str] = ("feature",), strict: bool = True) -> DataFrame:
     """tp / fp / fn per threshold without multiplying rows by the grid.
 

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,6 +21,11 @@ QUERY_TERMS_BROADCAST = 1_000_000
 QUERY_BLOCK = 4096
 
 
+def lexical_text(cid: Column, text: Column) -> Column:
+    """Text of the lexical index: the words of the id (after its type prefix), then the text."""
+    return F.concat(F.replace(F.substring_index(cid, ":", -1), F.lit("_"), F.lit(" ")), F.lit(". "), text)
+
+
 def with_terms(df: DataFrame, keep: Sequence[str], text: str, stop: Sequence[str]) -> DataFrame:
     """Rows with `terms`: words without stop words, then bigrams of what remains.
 

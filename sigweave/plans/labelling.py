@@ -15,7 +15,7 @@ from sigweave.operators import evaluate as E
 from sigweave.operators import labels as L
 from sigweave.operators import sampling as P
 from sigweave.plans.base import query, r, with_
-from sigweave.session import table
+from sigweave.session import cut, table
 
 GRADES = ["low", "mid", "high"]
 DOMAIN = Dim(
@@ -279,9 +279,10 @@ C_SCORED = """scored AS (SELECT doc_id, least(1.0::DOUBLE, n_chars/4000.0::DOUBL
 
 
 @query("a13_average_precision", with_([C_SCORED], f""", k AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY score DESC, doc_id) AS i, sum(g) OVER (PARTITION BY feature ORDER BY score DESC, doc_id ROWS UNBOUNDED PRECEDING) AS tp FROM scored)
-  SELECT feature, count(*) AS n, sum(g) AS n_pos, {r('avg(CASE WHEN g = 1 THEN tp/i END)')} AS ap FROM k GROUP BY 1"""))
+  , p AS (SELECT feature, count(*) AS n, sum(g) AS n_pos, {r('avg(CASE WHEN g = 1 THEN tp/i END)')} AS ap FROM k GROUP BY 1)
+  SELECT * FROM p UNION ALL SELECT 'MACRO', sum(n), sum(n_pos), {r('avg(ap)')} FROM p WHERE ap IS NOT NULL"""))
 def a13(spark, sf):
-    return E.average_precision(scored(spark, sf), "doc_id")
+    return E.macro_map(cut(E.average_precision(scored(spark, sf), "doc_id")))
 
 
 C_GRID = "grid(t) AS (VALUES " + ", ".join(f"({t}::DOUBLE)" for t in GRID) + ")"

@@ -192,6 +192,11 @@ def test_cosine_topk_matches_numpy(spark):
         assert got == want
 
 
+def test_lexical_text_prefixes_id_words(spark):
+    d = spark.createDataFrame([("pattern:damp_heat", "body")], "i string, t string")
+    assert one(d.select(retrieval.lexical_text(F.col("i"), F.col("t")).alias("v")), "v") == "damp heat. body"
+
+
 def test_tfidf_matches_direct_formula(spark):
     import collections
 
