@@ -92,7 +92,8 @@ def apply_rules(scores: DataFrame, fired: DataFrame, boosts: DataFrame) -> DataF
             "entity", "outcome", F.lit(None).cast("double").alias("score"), F.struct("rule_ord", "delta").alias("d")
         )
     )
-    per = rows.groupBy("entity", "outcome").agg(
+    # Placed by entity, the (entity, outcome) groups and the ranking after them share one exchange.
+    per = rows.repartition("entity").groupBy("entity", "outcome").agg(
         F.coalesce(F.sum("score"), F.lit(0.0)).alias("base"), F.array_sort(F.collect_list("d")).alias("ds")
     )
     folded = F.aggregate("ds", F.col("base"), lambda acc, d: F.greatest(acc + d["delta"], F.lit(0.0)))
