@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from sigweave.llm import lsh_search, url_reputation, va_search
+from sigweave.llm import byte_bpe, lsh_search, packing, url_reputation, va_search
 
 QUERIES = {
     "op4_lsh_search": lsh_search.op4_lsh_search,
     "op6_url_reputation": url_reputation.op6_url_reputation,
+    "op7_pack": packing.op7_pack,
+    "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_va_search": va_search.op10_va_search,
 }
 ORACLES = {
