@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sigweave.llm import byte_bpe, lsh_search, packing, pii, quality, url_reputation, va_search
+from sigweave.llm import byte_bpe, jaccard_join, lsh_search, packing, pii, quality, url_reputation, va_search
 
 QUERIES = {
     "op1_nb_svm": quality.op1_nb_svm,
     "op3_bilstm_pii": pii.op3_bilstm_pii,
     "op4_lsh_search": lsh_search.op4_lsh_search,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_url_reputation": url_reputation.op6_url_reputation,
     "op7_pack": packing.op7_pack,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
