@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sigweave.llm import byte_bpe, jaccard_join, lsh_search, packing, pii, quality, url_reputation, va_search
+from sigweave.llm import byte_bpe, jaccard_join, lsh_search, packing, pii, quality, suffix_dedup, url_reputation, va_search
 
 QUERIES = {
     "op1_nb_svm": quality.op1_nb_svm,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_bilstm_pii": pii.op3_bilstm_pii,
     "op4_lsh_search": lsh_search.op4_lsh_search,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
