@@ -1,20 +1,67 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and read again by the next.
+
+Quality classifier (rejected documents go), n-gram Jaccard join (one document of each group stays), suffix-array
+removal of repeated strings, masking of personal data, packing into token sequences.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from sigweave.llm import jaccard_join, packing, pii, quality, suffix_dedup
+from sigweave.session import scratch, table
 
-STAGES: list = []
+#: no SQL form: a trained classifier and tagger, byte-level repeats and a packing plan; tests/llm compares with brute force
 ORACLE_SQL = None
+#: documents whose score is below it are rejected
+QUALITY = 0.3
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return quality.with_score(docs, model, "_score").where(F.col("_score") >= QUALITY).drop("_score")
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    return jaccard_join.keep_one(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings of 100 bytes that an earlier place has."""
+    return _counted(suffix_dedup.remove_repeats(docs))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced by its kind."""
+    return _counted(pii.mask_pii(docs, pii.fit_tagger(docs)))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the tokenised documents with their places in sequences."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality", keep_good),
+    ("near_duplicates", keep_one_of_each),
+    ("repeats", cut_repeats),
+    ("personal_data", mask_personal_data),
+    ("packing", pack_sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in their order, from the documents of a folder."""
-    from sigweave.session import scratch, table
-
     docs = table(spark, sf_dir, "documents")
+    base = scratch(spark, "pipeline")
     for name, stage in STAGES:
-        out = f"{scratch(spark, 'pipeline')}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        docs = spark.read.parquet(f"{base}/{name}")
     return docs

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sigweave.llm.links import IdFilter, buckets_of, components
 from sigweave.llm.shingles import mixed, shingles
@@ -85,7 +85,7 @@ def set_keys(s: np.ndarray) -> tuple[int, int]:
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, bits) of every row."""
+    """(doc_id, row, n_shingles, k1, k2, bits) of every row."""
 
     def run(batches):
         for b in batches:
@@ -98,11 +98,12 @@ def profile(docs: DataFrame) -> DataFrame:
                 k2.append(y)
                 bits.append(parity_bits(s))
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bits, pa.binary())],
-                ["doc_id", "n_shingles", "k1", "k2", "bits"],
+                [b["doc_id"], b["row"], pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bits, pa.binary())],
+                ["doc_id", "row", "n_shingles", "k1", "k2", "bits"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bits binary")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    return rows.mapInArrow(run, "doc_id long, row long, n_shingles long, k1 long, k2 long, bits binary")
 
 
 def _keys(percent: int, buckets: int):
@@ -256,7 +257,7 @@ def _verify(percent: int):
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs(doc_id, text)."""
+    """(doc_id, n_shingles, component_id, row) of every row of docs(doc_id, text); `row` is the text's xxhash64."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -296,12 +297,30 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     if comps is not None:
         classes = classes.join(comps.withColumnRenamed("id", "node"), "node", "left")
         classes = classes.withColumn("node", F.coalesce("component", "node"))
-    named = rows.select("doc_id", "n_shingles", "k1", "k2").join(classes.select("k1", "k2", "n_shingles", "node"), ["k1", "k2", "n_shingles"], "left")
+    named = rows.select("doc_id", "row", "n_shingles", "k1", "k2").join(classes.select("k1", "k2", "n_shingles", "node"), ["k1", "k2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id"))
-    return named.select("doc_id", "n_shingles", component.alias("component_id"))
+    return named.select("doc_id", "n_shingles", component.alias("component_id"), "row")
+
+
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """Rows of docs(doc_id, text, ...) with one row of each near-duplicate class: the smallest id's.
+
+    Rows without words or without an id are in no class and stay.
+    """
+    found = near_duplicates(docs, percent).where("component_id is not null and n_shingles > 0")
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("x")).select("x.doc_id", "x.row")
+    others = found.select("doc_id", "row").distinct().join(first, ["doc_id", "row"], "left_anti").withColumn("drop", F.lit(True))
+    key = F.xxhash64(F.col("text").cast("string"))
+    marked = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_row": key})
+    names = {"doc_id": "_id", "row": "_row", "drop": "_drop"}
+    marked = marked.join(others.withColumnsRenamed(names), ["_id", "_row"], "left").where("_drop is null")
+    again = F.row_number().over(Window.partitionBy("_id", "_row").orderBy("_id"))  # a row that is there several times
+    words = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    marked = marked.withColumn("_again", again).where((F.col("_again") == 1) | F.col("_id").isNull() | ~words)
+    return marked.select(*docs.columns)
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
     from sigweave.session import table
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
