@@ -11,8 +11,8 @@ Keys travel in blobs (a row per block of documents and bucket), so a shuffle mov
 key form a run; equal runs are one run. In a run a second parity sketch (1 bit per shingle, `BITS` bits) bounds the
 difference again, with whole rows of Hamming distances at a time. What passes is verified on whole sets. A run never
 emits all its pairs: members that are in one class already are skipped, and while more than `PER_MEMBER` pairs per member
-are open, each member proposes its nearest one outside its class only; rounds go on until no run is open, so no link
-between classes is lost. Runs over `BLOCK` members are split into pairs of blocks.
+are open, each member proposes only its nearest ones outside its class, one in the first round and `PER_MEMBER` times
+as many in each further one; rounds go on until no run is open, so no link between classes is lost. Runs over `BLOCK` members are split into pairs of blocks.
 
 Equal sets are one node (its smallest doc_id). Of equal sets in a block of documents only the smallest id sends keys.
 Components are found on links in shared tables; no list of links or ids reaches the driver.
@@ -217,9 +217,10 @@ def _propose(percent: int, turn: int):
                 by = np.lexsort((both[:, 1], far, both[:, 0]))
                 first = np.flatnonzero(np.r_[True, np.diff(both[by, 0]) != 0])
                 count = np.diff(np.r_[first, len(by)])
-                pick = first[count > turn] + turn  # in round r the rth nearest
-                pairs = both[by[pick]]
-                out = {"run": [name], "a": [None], "b": [None]}
+                nth = np.arange(len(by)) - np.repeat(first, count)
+                if count.max() > PER_MEMBER**turn:
+                    pairs = np.unique(np.sort(both[by[nth < PER_MEMBER**turn]], 1), axis=0)
+                    out = {"run": [name], "a": [None], "b": [None]}
             pairs = np.sort(doc[pairs], 1)
             out = {k: out[k] + v for k, v in {"run": [name] * len(pairs), "a": pairs[:, 0].tolist(), "b": pairs[:, 1].tolist()}.items()}
         return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
