@@ -61,8 +61,16 @@ class Dim:
         return list(dict.fromkeys(self.column(name)))
 
 
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast `df` only if it has at most `max_rows` rows; otherwise leave the
-    join strategy to the planner (shuffle join with adaptive skew splitting)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+#: bytes of rows (as text) up to which a measured table is broadcast
+BROADCAST_BYTES = 64 << 20
+
+
+def checked_broadcast(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Broadcast `df` only if its rows take at most `max_bytes` bytes; otherwise leave the
+    join to the planner (shuffle join with adaptive skew splitting). Results are the same.
+
+    The size is summed over the rows as they are, so wide texts count in full. Pass stored or cheap frames.
+    """
+    bound = BROADCAST_BYTES if max_bytes is None else max_bytes
+    size = df.select(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if size <= bound else df

@@ -19,6 +19,9 @@ LEADER = r"\.[ \t]+\."
 PAGE_END = r"\s\d{1,3}$"
 TITLE = r"^[A-Z][A-Za-z][A-Za-z/&,'()\- ]{1,52}[A-Za-z)]$"
 GLOSSARY = r"^\s*(\d{3,4})\s+(\S.*)$"
+#: where a text is cut into lines: behind a line feed, a carriage return without one, a form feed and the rarer ends
+LINE_CUT = r"(?<=\n)|(?<=\r)(?!\n)|(?<=[\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}])"
+LINE_END = r"(\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}])\z"
 CJK = r"[\x{4E00}-\x{9FFF}]"
 ROMANISED = r"^[a-zàáǎàāēéěèêīíǐìōóǒòūúǔùǖǘǚǜüA-Z' \-]+$"
 
@@ -26,14 +29,16 @@ ROMANISED = r"^[a-zàáǎàāēéěèêīíǐìōóǒòūúǔùǖǘǚǜüA-Z' \-
 def _lines(docs: DataFrame, key: str, text: str, head: Column, title: Column) -> DataFrame:
     """Heading candidates with their character span; line text itself never leaves the map side.
 
-    Offsets are running sums inside one document, i.e. inside one input row's worth of lines.
+    A line ends at any of the usual line and page ends. Its own end is no part of the text that the patterns see (so a
+    heading before `\\r\\n` is one), but counts in the offsets. Offsets are running sums inside one document.
     """
-    line = F.col("line")
-    x = docs.select(key, F.length(text).alias("_len"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    n = x.select(key, "_len", "pos", F.length(line).alias("n"), head.alias("num"), title.alias("title"))
-    start = F.coalesce(F.sum(F.col("n") + 1).over(W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    line = F.regexp_replace("line", LINE_END, "").alias("line")
+    x = docs.select(key, F.length(text).alias("_len"), F.posexplode(F.split(text, LINE_CUT)).alias("pos", "line"))
+    x = x.select(key, "_len", "pos", F.length("line").alias("n"), line)
+    n = x.select(key, "_len", "pos", "n", head.alias("num"), title.alias("title"))
+    start = F.coalesce(F.sum("n").over(W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     s = n.withColumn("start", start).filter("num is not null")
-    return s.withColumn("stop", F.least(F.col("start") + F.col("n") + 1, F.col("_len")))
+    return s.withColumn("stop", F.col("start") + F.col("n"))
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
@@ -68,14 +73,16 @@ def parse_numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def parse_titled(docs: DataFrame, key: str, text: str, max_words: int = 8, max_indent: int = 2) -> DataFrame:
-    """Flush-left capitalised short lines as headings, numbered in document order."""
+    """Flush-left capitalised short lines as headings, numbered in document order; each is its own chapter."""
     line = F.col("line")
-    title = F.trim(line)
-    indent = F.length(line) - F.length(F.ltrim(line))
+    title = F.regexp_replace(line, r"^\s+|\s+$", "")
+    indent = F.length(F.regexp_extract(line, r"^[ \t]*", 0))
     good = (indent <= max_indent) & title.rlike(TITLE) & (F.size(F.split(title, r"\s+")) <= max_words)
     h = _lines(docs, key, text, F.when(good, title), F.when(good, title))
     s = spans(last_per_key(h, [key, "title"], "pos"), key)
-    return s.select(key, F.row_number().over(W.partitionBy(key).orderBy("start")).cast("string").alias("num"), "title", "body_start", "body_end", "n_chars")
+    s = s.withColumn("num", F.row_number().over(W.partitionBy(key).orderBy("start")).cast("string"))
+    flat = [F.lit(1).alias("level"), F.lit(None).cast("string").alias("parent"), F.col("num").alias("chapter")]
+    return s.select(key, "num", "title", *flat, "body_start", "body_end", "n_chars")
 
 
 def slice_sections(docs: DataFrame, sections: DataFrame, key: str, text: str) -> DataFrame:
@@ -136,15 +143,16 @@ def resolve_terms(
     d = trip.withColumn("_f", f).withColumn("_o", o)
     f, o = F.col("_f"), F.col("_o")
     lit_map = lambda m: F.create_map(*[x for k, v in m.items() for x in (F.lit(k), F.lit(v))])
-    fa = F.try_element_at(lit_map({k: f"{a}={b}" for k, (a, b) in feature_alias.items()}), f)
+    pair = lambda a, b: F.struct(F.lit(a).alias("feature"), F.lit(b).alias("value"))
+    fa = F.try_element_at(F.create_map(*[x for k, v in feature_alias.items() for x in (F.lit(k), pair(*v))]), f)
     f_hidden = F.lit(False)
     for u in unobservable:
         f_hidden = f_hidden | f.contains(u)
     f_status = (
         F.when(X.is_junk(f), "junk").when(f.isin(list(features)), "mapped").when(fa.isNotNull(), "mapped").when(f_hidden, "candidate").when(F.length(f) > 45, "junk").otherwise("candidate")
     )
-    f_key = F.when(f.isin(list(features)), f).when(fa.isNotNull(), F.substring_index(fa, "=", 1)).otherwise(f)
-    f_val = F.when(f.isin(list(features)), F.coalesce("value", F.lit("present"))).when(fa.isNotNull(), F.substring_index(fa, "=", -1)).otherwise(F.col("value"))
+    f_key = F.when(f.isin(list(features)), f).when(fa.isNotNull(), fa["feature"]).otherwise(f)
+    f_val = F.when(f.isin(list(features)), F.when(F.col("value") != "", F.col("value")).otherwise("present")).when(fa.isNotNull(), fa["value"]).otherwise(F.col("value"))
     oa = F.try_element_at(lit_map(outcome_alias), o)
     inside = F.get(contains_any(o, list(outcome_alias.items())), F.lit(0))["key"]
     o_key = F.when(o.isin(list(outcomes)), o).when(oa.isNotNull(), oa).when(inside.isNotNull(), inside).otherwise(o)

@@ -111,9 +111,11 @@ def edges_to(nodes: DataFrame, edges: DataFrame, rel: str) -> DataFrame:
     return nodes.select(F.col("id").alias("dst")).join(edges.filter(F.col("rel") == rel), "dst")
 
 
-def neighborhood(seeds: DataFrame, edges: DataFrame, hops: int = 2, rels=None, directed: bool = True) -> DataFrame:
+def neighborhood(seeds: DataFrame, edges: DataFrame, hops: int = 2, rels=None, directed: bool = True, nodes: DataFrame | None = None) -> DataFrame:
     """(entity, node, hop): nodes reached from each entity's seeds within `hops` edges.
 
+    With `nodes(id)` given, seeds that are no nodes of the graph are left out.
+
     Only new nodes form the next frontier; the last hop needs no such test, since the
     final minimum over hops removes repeats. Hot nodes make skewed join keys on the
     frontier side, which adaptive execution splits because the edge side of a key is small.
@@ -122,7 +124,10 @@ def neighborhood(seeds: DataFrame, edges: DataFrame, hops: int = 2, rels=None, d
     if not directed:
         e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     e = e.distinct()
-    reached = seeds.select("entity", "node").distinct().withColumn("hop", F.lit(0))
+    reached = seeds.select("entity", "node").distinct()
+    if nodes is not None:
+        reached = reached.join(nodes.select(F.col("id").alias("node")), "node", "left_semi").select("entity", "node")
+    reached = reached.withColumn("hop", F.lit(0))
     frontier = reached
     for h in range(1, hops + 1):
         step = frontier.select("entity", F.col("node").alias("src")).join(e, "src").select("entity", F.col("dst").alias("node")).distinct()

@@ -350,13 +350,15 @@ def ensemble(prior: DataFrame, evidence: DataFrame, alpha: float = 0.2, k: int =
 def validate_proposals(proposals: DataFrame, candidates: DataFrame, present: DataFrame) -> DataFrame:
     """Cite-or-abstain: a proposal must be a candidate AND rest on a detected feature.
 
-    `proposals(entity, outcome, feature, confidence)`, one row per cited feature.
+    `proposals(entity, outcome, feature, confidence)`, one row per cited feature. A cited feature is grounded if it
+    equals, contains or is contained in a detected one, whatever the case; blank ones ground nothing.
     Confidence is clamped to [0, 1], default 0.5. Every proposal comes out once
     with its status.
     """
-    grounded = proposals.join(
-        present.select("entity", "feature").withColumn("g", F.lit(1)), ["entity", "feature"], "left"
-    )
+    seen = present.groupBy("entity").agg(F.collect_set(F.lower("feature")).alias("_seen"))  # at most one per feature of the domain
+    cited = F.lower(F.trim("feature"))
+    fits = F.exists("_seen", lambda s: (s != "") & (cited != "") & (s.contains(cited) | cited.contains(s)))
+    grounded = proposals.join(seen, "entity", "left").withColumn("g", F.when(fits, 1))
     per = grounded.groupBy("entity", "outcome").agg(
         F.max(S.clip(F.coalesce("confidence", F.lit(0.5)), 0.0, 1.0)).alias("confidence"), F.count("g").alias("n_grounded")
     )

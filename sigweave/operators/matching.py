@@ -4,6 +4,7 @@ that are tables are anchored on token shingles, so the join is an equi join."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +14,7 @@ from sigweave.functions.text import fold_ws
 from sigweave.session import cut
 
 SHINGLE = 5  # interior tokens used as an anchor
-BROADCAST_ANCHORS = 200_000
-BROADCAST_PAIRS = 500_000
+GRAM = 3  # characters that anchor an item without interior tokens
 
 
 def contains_any(text: Column, entries: Sequence[tuple[str, str]]) -> Column:
@@ -51,35 +51,32 @@ def contains_join(texts: DataFrame, tid: str, text: str, items: DataFrame, iid:
     are whole tokens of any text containing it. Their first five form an anchor
     shingle; texts emit the shingles of each anchor length, an equi join proposes
     candidates and `contains` verifies them on the whole text. Items with fewer
-    than three tokens have no interior: they are looked up as substrings of token
-    pairs. Nothing is capped, no pair is emitted without a shared anchor.
+    than three tokens have no interior: their first three characters (or fewer, if
+    they are shorter) are looked up among the texts' own. Anchors travel without
+    item texts, which join by id once the candidates are known. Nothing is
+    capped, no pair is emitted without a shared anchor.
     """
     it = items.select(iid, fold_ws(F.col(item)).alias("_item")).filter("_item <> ''")
-    it = it.withColumn("_tk", F.split("_item", " ")).withColumn("_n", F.least(F.size("_tk") - 2, F.lit(SHINGLE)))
-    long = it.filter("_n > 0").select(iid, "_item", "_n", F.xxhash64(F.array_join(F.slice(F.col("_tk"), F.lit(2), F.col("_n")), " ")).alias("_a"))
-    short = it.filter("_n <= 0").select(iid, "_item", F.length("_item").alias("_len"))
-    sizes = [r["_n"] for r in long.select("_n").distinct().collect()]  # at most SHINGLE values
-    lens = [r["_len"] for r in short.select("_len").distinct().collect()]
+    tk = it.withColumn("_tk", F.split("_item", " ")).withColumn("_n", F.least(F.size("_tk") - 2, F.lit(SHINGLE)))
+    long = tk.filter("_n > 0").select(iid, "_n", F.xxhash64(F.array_join(F.slice(F.col("_tk"), F.lit(2), F.col("_n")), " ")).alias("_a"))
+    short = tk.filter("_n <= 0").select(iid, F.least(F.length("_item"), F.lit(GRAM)).alias("_n"), F.substring("_item", 1, GRAM).alias("_g"))
+    sizes = sorted(r["_n"] for r in long.select("_n").distinct().collect())  # at most SHINGLE values
+    grams = sorted(r["_n"] for r in short.select("_n").distinct().collect())  # at most GRAM values
 
     tx = texts.select(tid, fold_ws(F.col(text)).alias("_text"))
-    tk = tx.select(tid, F.split("_text", " ").alias("_tk"))
-    cands = None
+    cands = []
     if sizes:
-        grams = F.concat(*[_shingles(F.col("_tk"), n) for n in sorted(sizes)])
-        anchors = tk.select(tid, F.explode(F.array_distinct(grams)).alias("_a"))
-        cands = anchors.join(checked_broadcast(long, BROADCAST_ANCHORS), "_a").select(tid, iid, "_item")
-    if lens:
-        pairs = F.transform(
-            F.sequence(F.lit(1), F.size("_tk")), lambda i: F.array_join(F.slice(F.col("_tk"), i, F.lit(2)), " ")
-        )
-        unit = tk.select(tid, F.explode(F.array_distinct(pairs)).alias("_u"))
-        subs = F.concat(*[_substrings(F.col("_u"), n) for n in sorted(lens)])
-        hits = unit.select(tid, F.explode(F.array_distinct(subs)).alias("_item")).join(checked_broadcast(short.select(iid, "_item"), BROADCAST_ANCHORS), "_item")
-        cands = hits.select(tid, iid, "_item") if cands is None else cands.unionByName(hits.select(tid, iid, "_item"))
-    if cands is None:
+        tokens = tx.select(tid, F.split("_text", " ").alias("_tk"))
+        found = F.array_distinct(F.concat(*[_shingles(F.col("_tk"), n) for n in sizes]))
+        cands.append(tokens.select(tid, F.explode(found).alias("_a")).join(checked_broadcast(long.select(iid, "_a")), "_a").select(tid, iid))
+    if grams:
+        found = F.array_distinct(F.concat(*[_substrings(F.col("_text"), n) for n in grams]))
+        cands.append(tx.select(tid, F.explode(found).alias("_g")).join(checked_broadcast(short.select(iid, "_g")), "_g").select(tid, iid))
+    if not cands:
         return texts.select(tid).limit(0).withColumn(iid, F.lit(None).cast(items.schema[iid].dataType))
-    cands = checked_broadcast(cut(cands.distinct()), BROADCAST_PAIRS)
-    return tx.join(cands, tid).filter(F.col("_text").contains(F.col("_item"))).select(tid, iid)
+    pairs = cut(reduce(DataFrame.unionByName, cands).distinct())
+    whole = checked_broadcast(pairs).join(tx, tid).join(it, iid)
+    return whole.filter(F.col("_text").contains(F.col("_item"))).select(tid, iid)
 
 
 def validate_citations(trip: DataFrame, sections: DataFrame, key: str, snippet: str, body: str, required: Sequence[str] = ()) -> DataFrame:

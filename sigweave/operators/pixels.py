@@ -21,8 +21,9 @@ def per_image():
     return W.partitionBy("image")
 
 
-def by_image(px: DataFrame) -> DataFrame:
-    return px.repartition("image")
+def by_image(images: DataFrame) -> DataFrame:
+    """Rows dealt out by `image`; call it on whole images, before they become pixels."""
+    return images.repartition("image")
 
 
 def _mean(c: Column) -> Column:

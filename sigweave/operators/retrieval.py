@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,9 +16,7 @@ from sigweave.functions import scores as S
 from sigweave.session import cut
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
-VOCAB_BROADCAST = 2_000_000
-QUERY_TERMS_BROADCAST = 1_000_000
-QUERY_BLOCK = 4096
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192  # rows of a task's two matrices
 
 
 def lexical_text(cid: Column, text: Column) -> Column:
@@ -45,26 +43,25 @@ def term_counts(df: DataFrame, key: str, text: str, stop: Sequence[str]) -> Data
 def tfidf_topk(docs: DataFrame, did: str, text: str, queries: DataFrame, qid: str, qtext: str, stop: Sequence[str], pool: int = 15) -> DataFrame:
     """Top `pool` documents per query by cosine of L2-normalised TF-IDF, 0-based rank.
 
-    idf = ln((1 + n) / (1 + df)) + 1. Most terms occur in one document and share one idf; only the others are
-    kept as a table, broadcast after its row count is checked.
+    idf = ln((1 + n) / (1 + df)) + 1. The text is read and split once: (document, term, tf) rows are stored, and the
+    frequencies, norms and products all come from them. Most terms occur in one document and share one idf; only the
+    others form a table. Products are made for terms of the queries only.
     """
     n_docs = docs.count()
     idf_of = lambda df: F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + df)) + F.lit(1.0)
     qtf = cut(term_counts(queries, qid, qtext, stop))
-    asked = checked_broadcast(qtf.select("term").distinct().withColumn("_q", F.lit(1)), QUERY_TERMS_BROADCAST)
-    # Pass 1 reads the text where it lies: distinct terms per row, counted map-side.
-    seen = with_terms(docs, [], text, stop).select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    common = cut(seen.join(asked, "term", "left").filter("df > 1 or _q = 1").select("term", idf_of(F.col("df")).alias("idf")))
-    common = checked_broadcast(common, VOCAB_BROADCAST)
-    # Pass 2 moves each text once, to the task that keeps everything of its document.
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tf = term_counts(docs.select(did, text).repartition(parts, did), did, text, stop)
-    w = tf.join(common, "term", "left").select(did, "term", (F.col("tf") * F.coalesce(F.col("idf"), idf_of(F.lit(1)))).alias("w"))
-    q = qtf.join(common, "term").select(qid, "term", (F.col("tf") * F.col("idf")).alias("qw"))
+    tf = cut(term_counts(docs, did, text, stop))
+    asked = checked_broadcast(cut(qtf.select("term").distinct().withColumn("_q", F.lit(True))))
+    seen = tf.groupBy("term").agg(F.count("*").alias("df"))
+    common = cut(seen.join(asked, "term", "left").filter("df > 1 or _q").select("term", idf_of(F.col("df")).alias("idf"), "_q"))
+    once = idf_of(F.lit(1))
+    norm = tf.join(checked_broadcast(common.select("term", "idf")), "term", "left")
+    norm = norm.groupBy(did).agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.coalesce("idf", once), 2))).alias("dn"))
+    idf = common.filter("_q").select("term", "idf")
+    q = qtf.join(idf, "term").select(qid, "term", "idf", (F.col("tf") * F.col("idf")).alias("qw"))
     qn = q.groupBy(qid).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    q = cut(q.join(qn, qid).select(qid, "term", (F.col("qw") / F.col("qn")).alias("qw")))
-    norm = w.groupBy(did).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    dots = w.join(checked_broadcast(q, QUERY_TERMS_BROADCAST), "term").groupBy(did, qid).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    q = checked_broadcast(cut(q.join(qn, qid).select(qid, "term", (F.col("qw") / F.col("qn") * F.col("idf")).alias("qw"))))
+    dots = tf.join(q, "term").groupBy(did, qid).agg(F.sum(F.col("tf") * F.col("qw")).alias("dot"))
     s = dots.join(norm, did).select(qid, did, S.rnd(F.col("dot") / F.col("dn"), 9).alias("score"))
     return pool_rank(s, [qid], "score", did, pool)
 
@@ -76,56 +73,42 @@ def pool_rank(scores: DataFrame, by: Sequence[str], score: str, key: str, cap: i
 
 
 def cosine_topk(vectors: DataFrame, vid: str, vec: str, queries: DataFrame, qid: str, qvec: str, k: int = 15) -> DataFrame:
-    """Exact top-k by cosine for a batch of query vectors, 0-based rank.
+    """Exact top-k by cosine for a set of query vectors of any size, 0-based rank.
 
-    Queries are taken in blocks of at most QUERY_BLOCK rows. Each task multiplies
-    its vectors with the block and keeps its own k best per query, so the exchange
-    carries at most tasks * queries * k rows, never all pairs.
+    Vectors and queries are dealt into blocks of bounded size by hash; each task multiplies one
+    block of vectors with one block of queries and keeps its k best per query. The vectors are read
+    once and repeated per query block only; neither side passes through the driver.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    if blocks == 1:
-        parts = [queries]
-    else:
-        q = cut(queries.withColumn("_b", F.pmod(F.xxhash64(qid), F.lit(2 * blocks))))
-        parts = [q.filter(F.col("_b") == i) for i in range(2 * blocks)]
-    best = reduce(DataFrame.unionByName, [_block_topk(vectors, vid, vec, p, qid, qvec, k) for p in parts])  # hash blocks average QUERY_BLOCK / 2 rows
+    qb = max(1, -(-queries.count() // QUERY_BLOCK))
+    vb = max(1, -(-vectors.count() // VECTOR_BLOCK))
+
+    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {"query_id": np.empty(0, np.int64), "vector_id": np.empty(0, np.int64), "score": np.empty(0)}
+        if left.num_rows and right.num_rows:
+            ids, v = _unit_rows(left)
+            qids, q = _unit_rows(right)
+            s = np.floor((q @ v.T) * 1e9 + 0.5) / 1e9
+            rows = []
+            for x in s:  # all rows as good as the kth, then the smaller ids
+                good = np.flatnonzero(x >= np.partition(x, len(x) - k)[len(x) - k]) if len(x) > k else np.arange(len(x))
+                rows.append(good[np.lexsort((ids[good], -x[good]))[:k]])
+            n = [len(x) for x in rows]
+            at = np.concatenate(rows)
+            out = {"query_id": np.repeat(qids, n), "vector_id": ids[at], "score": s[np.repeat(np.arange(len(n)), n), at]}
+        return pa.table(out)
+
+    row = lambda d, i, v: d.select(F.col(i).cast("bigint").alias("i"), F.col(v).cast("array<double>").alias("v"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    v = row(vectors, vid, vec).withColumn("_g", F.pmod(F.xxhash64("i"), F.lit(vb))).withColumn("_b", numbers(qb))
+    q = row(queries, qid, qvec).withColumn("_b", F.pmod(F.xxhash64("i"), F.lit(qb))).withColumn("_g", numbers(vb))
+    best = v.groupBy("_g", "_b").cogroup(q.groupBy("_g", "_b")).applyInArrow(task, "query_id bigint, vector_id bigint, score double")
     return pool_rank(best, ["query_id"], "score", "vector_id", k)
 
 
-def _block_topk(vectors: DataFrame, vid: str, vec: str, block: DataFrame, qid: str, qvec: str, k: int) -> DataFrame:
-    rows = block.select(F.col(qid).cast("bigint").alias("i"), F.col(qvec).cast("array<double>").alias("v")).limit(4 * QUERY_BLOCK + 1).collect()
-    if len(rows) > 4 * QUERY_BLOCK:
-        raise ValueError("query block larger than its bound")
-    spark = vectors.sparkSession
-    out = "query_id bigint, vector_id bigint, score double"
-    if not rows:
-        return spark.createDataFrame([], out)
-    ids = np.array([x["i"] for x in rows], dtype=np.int64)
-    mat = np.array([x["v"] for x in rows], dtype=np.float64)
-    mat = mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300)
-    shared = spark.sparkContext.broadcast((ids, mat))
-
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, q = shared.value
-        best_s = np.full((len(qids), 0), -np.inf)
-        best_i = np.zeros((len(qids), 0), dtype=np.int64)
-        for b in batches:
-            if not len(b):
-                continue
-            v = np.stack(b["v"].to_numpy()).astype(np.float64)
-            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            s = np.floor((q @ v.T) * 1e9 + 0.5) / 1e9
-            best_s = np.concatenate([best_s, s], axis=1)
-            best_i = np.concatenate([best_i, np.tile(b["i"].to_numpy(np.int64), (len(qids), 1))], axis=1)
-            if best_s.shape[1] > k:
-                order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-        m = best_s.shape[1]
-        yield pd.DataFrame({"query_id": np.repeat(qids, m), "vector_id": best_i.ravel(), "score": best_s.ravel()})
-
-    src = vectors.select(F.col(vid).cast("bigint").alias("i"), F.col(vec).alias("v"))
-    return src.mapInPandas(task, out)
+def _unit_rows(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of a block."""
+    m = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+    return t["i"].to_numpy(), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
 def rrf(lists: Sequence[DataFrame], qid: str, did: str, k: int = 5, c: int = 60) -> DataFrame:

@@ -100,8 +100,6 @@ def resample(df: DataFrame, key: str, weight: str, seed: int) -> DataFrame:
     return df.withColumn("_n", copies).filter("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
 
 
-def hash_pool(df: DataFrame, group: str, key: str, reject: str, name: Column, cap: int, seed: int) -> DataFrame:
-    """Pool of rows whose name does not match `reject`, at most `cap` per group in hash order (the sampling feature)."""
-    d = df.filter(~name.rlike(reject)).withColumn("_h", hash_order(key, seed))
-    rn = F.row_number().over(W.partitionBy(group).orderBy("_h", key))
-    return d.withColumn("rank", rn).filter(F.col("rank") <= cap).drop("_h")
+def name_pool(df: DataFrame, reject: str, name: Column) -> DataFrame:
+    """Pool of all rows whose name does not match `reject`."""
+    return df.filter(~name.rlike(reject))

@@ -426,13 +426,13 @@ def proposals(b: Behaviour) -> DataFrame:
     f, v = F.col("feature"), F.col("value")
     o = F.when(f == "click", "growth").when(f == "view", "dormant").when(f == "purchase", "loyalty").when(f == "error", "churn").otherwise("unknown")
     return b.sig.select(
-        "entity", o.alias("outcome"), F.when(v == "mid", "signup").otherwise(f).alias("feature"), F.when(v == "high", None).otherwise(F.col("severity") * 2).alias("confidence")
+        "entity", o.alias("outcome"), F.when(v == "mid", "signup").when(v == "low", F.concat(f, F.lit(" on tip"))).otherwise(f).alias("feature"), F.when(v == "high", None).otherwise(F.col("severity") * 2).alias("confidence")
     )
 
 
 @query("j13_validate_proposals", with_([*P_RANKED, C_PROP, C_PRESENT.replace("present AS", "present2 AS")], f"""SELECT entity, outcome, {r('max(greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(confidence, 0.5::DOUBLE))))', 3)} AS confidence,
   CASE WHEN NOT EXISTS (SELECT 1 FROM ranked k WHERE k.entity = p.entity AND k.outcome = p.outcome) THEN 'not a candidate'
-       WHEN count(*) FILTER (EXISTS (SELECT 1 FROM present2 q WHERE q.entity = p.entity AND q.feature = p.feature)) = 0 THEN 'no grounded evidence' ELSE 'kept' END AS status
+       WHEN count(*) FILTER (EXISTS (SELECT 1 FROM present2 q WHERE q.entity = p.entity AND (contains(q.feature, p.feature) OR contains(p.feature, q.feature)))) = 0 THEN 'no grounded evidence' ELSE 'kept' END AS status
   FROM prop p GROUP BY entity, outcome"""))
 def j13(spark, sf):
     b = Behaviour(spark, sf)

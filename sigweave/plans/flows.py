@@ -26,19 +26,19 @@ def st1(spark, sf):
 
 
 @query("st2_stream_refine", f"""WITH w AS (SELECT time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS start, user_id AS entity, event_type AS outcome, count(*) AS n, sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END*floor(value+0.5)) AS u FROM events GROUP BY 1, 2, 3),
-  c AS (SELECT start, entity, outcome, sum(n) OVER k AS n_answers, sum(u) OVER k/1000.0::DOUBLE AS ev FROM w WHERE start + INTERVAL '1 day' <= (SELECT max(ts) FROM events) - INTERVAL '1 day' WINDOW k AS (PARTITION BY entity, outcome ORDER BY start))
+  c AS (SELECT start, entity, outcome, sum(n) OVER k AS n_answers, sum(u) OVER k/1000.0::DOUBLE AS ev FROM w WINDOW k AS (PARTITION BY entity, outcome ORDER BY start))
   SELECT start, entity, outcome, n_answers, {r('1.0::DOUBLE/(1.0::DOUBLE+exp(-(ln(0.3::DOUBLE/(1.0::DOUBLE-0.3::DOUBLE)) + 1.4::DOUBLE*ev)))')} AS confidence FROM c""")
 def st2(spark, sf):
     e = events(spark, sf)
     units = F.floor(F.col("value") + F.lit(0.5))
     a = e.select("ts", F.col("user_id").alias("entity"), F.col("event_type").alias("outcome"), F.when(F.col("event_id") % 2 == 0, units).otherwise(-units).alias("units"))
-    return ST.stream_refine(e, a, 0.3).withColumn("start", ST.utc_wall(F.col("start")))
+    return ST.stream_refine(a, 0.3).withColumn("start", ST.utc_wall(F.col("start")))
 
 
 @query("st3_stream_trend", f"""WITH w AS (SELECT time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') AS s, user_id, event_type, count(*) AS n, sum(floor(value*100+0.5)) AS c FROM events GROUP BY 1, 2, 3)
-  SELECT s AS start, s + INTERVAL '7 days' AS stop, user_id, event_type, n, {r('c/n', 4)} AS mean_cents FROM w WHERE s + INTERVAL '7 days' <= (SELECT max(ts) FROM events) - INTERVAL '1 day'""")
+  SELECT s AS start, s + INTERVAL '7 days' AS stop, user_id, event_type, n, {r('c/n', 4)} AS mean_cents, s + INTERVAL '7 days' <= (SELECT max(ts) FROM events) - INTERVAL '1 day' AS closed FROM w""")
 def st3(spark, sf):
-    t = ST.stream_trend(events(spark, sf), ["user_id", "event_type"], "value")
+    t = ST.stream_trend(events(spark, sf), "value")
     return t.withColumn("start", ST.utc_wall(F.col("start"))).withColumn("stop", ST.utc_wall(F.col("stop")))
 
 
@@ -56,12 +56,12 @@ def src2(spark, sf):
     return FS.read_tsv(spark, out, schema)
 
 
-@query("src3_manifest_io", with_([LB.C_MAN], "SELECT doc_id, source, quality, grade_manual FROM man WHERE lang = 'en'"))
+@query("src3_manifest_io", with_([LB.C_MAN], "SELECT doc_id, source, lang, quality, grade_manual FROM man"))
 def src3(spark, sf):
     out = scratch(spark, "manifest")
-    FS.write_manifest(LB.manifest(spark, sf), out, ["lang"])
-    # The language filter prunes the partition folders of the sink.
-    return spark.read.parquet(out).filter("lang = 'en'").select("doc_id", "source", "quality", "grade_manual")
+    cols = LB.manifest(spark, sf).select("doc_id", "source", "lang", "quality", "grade_manual")
+    FS.write_manifest_csv(cols, out)
+    return FS.read_manifest(spark, out, cols.schema)
 
 
 @query("src6_corpus_io", "SELECT CAST(doc_id AS VARCHAR) AS id, md5(text) AS h, source, lang FROM documents")

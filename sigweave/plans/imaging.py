@@ -16,7 +16,10 @@ from sigweave.session import cut, table
 
 
 def pixels(spark, sf) -> DataFrame:
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("image"), "label", F.posexplode("embedding").alias("pos", "f"))
+    """Pixels of every image. Whole images are dealt out by id before they are spread into pixels, so the exchange moves
+    one row per image and everything grouped by image afterwards needs no other."""
+    e = P.by_image(table(spark, sf, "embeddings").select(F.col("vec_id").alias("image"), "label", "embedding"))
+    e = e.select("image", "label", F.posexplode("embedding").alias("pos", "f"))
     v = F.col("f").cast("double")
     x, y = F.col("pos") % 8, F.floor(F.col("pos") / 8).cast("int")
     b = e.select("image", "label", x.alias("x"), y.alias("y"), v.alias("v"), (v > 0).alias("mask"), (v > 0.02).alias("gold"))
@@ -58,7 +61,7 @@ P_STATS = [*P_ZONES, C_RINGS, C_STATS]
 
 
 def rings(spark, sf):
-    return P.ring_zones(P.axis_zones(P.principal_axis(P.by_image(pixels(spark, sf)))))
+    return P.ring_zones(P.axis_zones(P.principal_axis(pixels(spark, sf))))
 
 
 def stats(spark, sf):
@@ -73,12 +76,12 @@ def z1(spark, sf):
 
 @query("z2_principal_axis", with_([C_PX, C_AXIS], "SELECT image, x, y, t, w FROM ax"))
 def z2(spark, sf):
-    return P.principal_axis(P.by_image(pixels(spark, sf))).select("image", "x", "y", "t", "w")
+    return P.principal_axis(pixels(spark, sf)).select("image", "x", "y", "t", "w")
 
 
 @query("z3_axis_zones", with_(P_ZONES, "SELECT image, x, y, tn, third FROM zo"))
 def z3(spark, sf):
-    return P.axis_zones(P.principal_axis(P.by_image(pixels(spark, sf)))).select("image", "x", "y", "tn", "third")
+    return P.axis_zones(P.principal_axis(pixels(spark, sf))).select("image", "x", "y", "tn", "third")
 
 
 @query("z4_ring_zones", with_([*P_ZONES, C_RINGS], "SELECT image, x, y, depth, ring, (ring = 'edge' AND third = 'middle') AS side FROM rg"))
@@ -101,7 +104,7 @@ def z6(spark, sf):
  f AS (SELECT image, avg(CAST(c0 >= hi - 1e-9 AND (c1-128)*(c1-128)+(c2-128)*(c2-128) <= 196 AS INT)) AS f FROM px JOIN h USING (image) WHERE mask GROUP BY 1)
  SELECT image, {r('f', 4)} AS gloss, CASE WHEN f >= 0.02 THEN 'wet' ELSE 'normal' END AS moisture, {r('least(1.0::DOUBLE, f/0.04::DOUBLE)', 4)} AS wet_severity FROM f"""))
 def z7(spark, sf):
-    return P.gloss(P.by_image(pixels(spark, sf)))
+    return P.gloss(pixels(spark, sf))
 
 
 @query("z8_exposure", with_([C_PX], f""", e AS (SELECT image, avg(c0) AS m, avg(CAST(c0 <= 8 AS INT)) AS lo, avg(CAST(c0 >= 250 AS INT)) AS hi FROM px WHERE mask GROUP BY 1)
@@ -118,7 +121,7 @@ def z8(spark, sf):
  v AS (SELECT image, {r('sum(lap*lap)/count(*) - (sum(lap)/count(*))*(sum(lap)/count(*))', 4)} AS sharpness FROM nb GROUP BY 1)
  SELECT image, sharpness, CASE WHEN sharpness < 45 THEN 'error' WHEN sharpness < 110 THEN 'warn' ELSE 'ok' END AS status FROM v"""))
 def z9(spark, sf):
-    return P.sharpness(P.by_image(pixels(spark, sf)))
+    return P.sharpness(pixels(spark, sf))
 
 
 C_FRAME = f"""fr0 AS (SELECT image, avg(CAST(mask AS INT)) AS cov, avg(x) FILTER (mask) AS mx, avg(y) FILTER (mask) AS my, min(x) FILTER (mask) AS x0, max(x) FILTER (mask) AS x1, min(y) FILTER (mask) AS y0, max(y) FILTER (mask) AS y1 FROM px GROUP BY 1),
@@ -141,7 +144,7 @@ def gain_sql(c: str) -> str:
 @query("z11_illuminant_gain", with_([C_PX], f""", il AS (SELECT image, pow(avg(pow(c0::DOUBLE, 6)), 1.0::DOUBLE/6) AS i_c0, pow(avg(pow(c1::DOUBLE, 6)), 1.0::DOUBLE/6) AS i_c1, pow(avg(pow(c2::DOUBLE, 6)), 1.0::DOUBLE/6) AS i_c2 FROM px GROUP BY 1)
  SELECT image, x, y, {gain_sql('c0')}, {gain_sql('c1')}, {gain_sql('c2')} FROM px JOIN il USING (image)"""))
 def z11(spark, sf):
-    return P.illuminant_gain(P.by_image(pixels(spark, sf).select("image", "x", "y", "c0", "c1", "c2")))
+    return P.illuminant_gain(pixels(spark, sf).select("image", "x", "y", "c0", "c1", "c2"))
 
 
 @query("z12_masked_pool", with_([C_PX], f"SELECT image, {r('sum(v*CAST(mask AS INT))/greatest(sum(CAST(mask AS INT)), 1)')} AS masked, {r('sum(v)/count(*)')} AS pooled FROM px GROUP BY 1"))

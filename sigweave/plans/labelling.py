@@ -461,11 +461,10 @@ def w11(spark, sf):
     return P.greedy_picks(m, "doc_id", [], len(specs))
 
 
-@query("ml4_image_pool", """SELECT doc_id, source, CAST(rank AS INT) AS rank FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('5|' || doc_id), doc_id) AS rank FROM documents
-  WHERE NOT regexp_matches(lang || '/' || doc_id, 'de|/9')) WHERE rank <= 20""")
+@query("ml4_image_pool", "SELECT doc_id, source FROM documents WHERE NOT regexp_matches(lang || '/' || doc_id, 'de|/9')")
 def ml4(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "source", "lang")
-    return P.hash_pool(d, "source", "doc_id", "de|/9", F.concat_ws("/", "lang", F.col("doc_id").cast("string")), 20, 5).select("doc_id", "source", "rank")
+    return P.name_pool(d, "de|/9", F.concat_ws("/", "lang", F.col("doc_id").cast("string"))).select("doc_id", "source")
 
 
 @query("pr19_vocabulary", "SELECT p_brand AS feature, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS allowed FROM part GROUP BY 1")

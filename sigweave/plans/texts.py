@@ -12,35 +12,46 @@ from sigweave.operators import labels as L
 from sigweave.operators import matching as M
 from sigweave.operators import retrieval as R
 from sigweave.plans.base import query, r, with_
-from sigweave.session import spread, table
+from sigweave.session import scratch, table
 from sigweave.sources import files as FS
 
 STOP = "the of and to in is it for on as are by with that this an at be or from was".split()
 
 
 def docs(spark, sf, *cols: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", *cols)
-    return spread(d, "doc_id") if "text" in cols else d
+    return table(spark, sf, "documents").select("doc_id", *cols)
 
 
 # ---- sources bound to tables ----------------------------------------------------------------
 
 
-@query("src1_scan_files", "SELECT 'nation' AS stem, count(*) AS n_rows FROM nation UNION ALL SELECT 'region', count(*) FROM region UNION ALL SELECT 'orders', count(*) FROM orders")
+@query("src1_scan_files", "SELECT 'r' || (o_custkey % 7) AS folder, count(*) AS n_rows, o_custkey % 7 < 4 AS has_pair FROM orders GROUP BY ALL")
 def src1(spark, sf):
-    files = [f"{sf}/{t}.parquet" for t in ("nation", "region", "orders")]
-    parts = [spark.read.parquet(f).select(X.stem(F.col("_metadata.file_path")).alias("stem")) for f in files]
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return u.groupBy("stem").agg(F.count("*").alias("n_rows"))
+    """Two inventories of written folders; a part of the left one has a folder of the same name on the right."""
+    out = scratch(spark, "inventory")
+    o = table(spark, sf, "orders").select(F.concat(F.lit("r"), (F.col("o_custkey") % 7).cast("string")).alias("folder"), F.col("o_orderkey").cast("string").alias("value"))
+    o.write.partitionBy("folder").text(f"{out}/left")
+    o.filter("folder < 'r4'").write.partitionBy("folder").text(f"{out}/right")
+    folder = F.regexp_extract("path", r"/folder=([^/]+)/", 1)
+    left, right = (FS.scan_files(spark, f"{out}/{side}").withColumn("stem", folder) for side in ("left", "right"))
+    pairs = FS.pair_files(left.select("stem", F.col("path")), right.groupBy("stem").agg(F.min("path").alias("path")))
+    lines = spark.read.option("recursiveFileLookup", "true").text(f"{out}/left").select(F.col("_metadata.file_path").alias("file"))
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    n = lines.groupBy(name(F.col("file")).alias("name"), F.regexp_extract("file", r"/folder=([^/]+)/", 1).alias("stem")).agg(F.count("*").alias("n"))
+    j = pairs.withColumn("name", name(F.col("path"))).join(n, ["name", "stem"])
+    return j.groupBy(F.col("stem").alias("folder"), "has_pair").agg(F.sum("n").alias("n_rows"))
 
 
 @query("src4_read_boxes", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), b AS (SELECT doc_id, length(line) || '.0 0.5 0.5 0.1 0.1' AS line FROM l WHERE trim(line) <> '' UNION ALL SELECT doc_id, line FROM l WHERE trim(line) = '')
-  SELECT doc_id, CAST(CAST(string_split(trim(line), ' ')[1] AS DOUBLE) AS INT) AS class_id, count(*) AS n FROM b WHERE trim(line) <> '' GROUP BY 1, 2""")
+  SELECT CAST(CAST(string_split(trim(line), ' ')[1] AS DOUBLE) AS INT) AS class_id, count(*) AS n, count(DISTINCT doc_id % 5) AS n_parts FROM b WHERE trim(line) <> '' GROUP BY 1""")
 def src4(spark, sf):
     line = F.explode(F.split("text", "\n"))
     d = docs(spark, sf, "text").select("doc_id", line.alias("line"))
     d = d.select("doc_id", F.when(F.trim("line") != "", F.concat(F.length("line").cast("string"), F.lit(".0 0.5 0.5 0.1 0.1"))).otherwise(F.col("line")).alias("line"))
-    return FS.parse_boxes(d, "line", ["doc_id"]).groupBy("doc_id", "class_id").agg(F.count("*").alias("n"))
+    out = scratch(spark, "boxes")
+    d.select((F.col("doc_id") % 5).alias("part"), F.col("line").alias("value")).write.partitionBy("part").text(out)
+    part = F.regexp_extract("path", r"/part=([0-9]+)/", 1)
+    return FS.read_boxes(spark, out).groupBy("class_id").agg(F.count("*").alias("n"), F.countDistinct(part).alias("n_parts"))
 
 
 @query("src5_unnest_label_json", "SELECT event_id, CAST(user_id AS VARCHAR) AS id, 'k' AS feature, json_extract_string(props, '$.k') AS value FROM events WHERE user_id % 3 <> 0")
@@ -83,18 +94,18 @@ def triplets(spark, sf) -> DataFrame:
     k = F.col("p_partkey")
     f = F.when(k % 7 == 0, F.concat(F.lit("other: "), "p_name")).when(k % 7 == 1, F.concat("p_name", F.lit(" (seen)"))).when(k % 7 == 2, F.lit("none")).when(k % 7 == 3, F.concat("p_name", F.lit(" in a very long free text that is not any sign"))).otherwise(F.col("p_name"))
     o = F.when(k % 5 == 0, F.concat_ws(" ", "p_brand", F.lit("kind"))).when(k % 5 == 1, F.concat(F.lit("<"), "p_type", F.lit(">"))).otherwise(F.col("p_type"))
-    return table(spark, sf, "part").select("p_partkey", f.alias("feature"), F.when(k % 2 == 0, "mid").alias("value"), o.alias("outcome"))
+    return table(spark, sf, "part").select("p_partkey", f.alias("feature"), F.when(k % 2 == 0, "mid").when(k % 3 == 0, "").alias("value"), o.alias("outcome"))
 
 
 C_TRIP = """trip AS (SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'other: ' || p_name WHEN 1 THEN p_name || ' (seen)' WHEN 2 THEN 'none' WHEN 3 THEN p_name || ' in a very long free text that is not any sign' ELSE p_name END AS feature,
-  CASE WHEN p_partkey % 2 = 0 THEN 'mid' END AS value, CASE p_partkey % 5 WHEN 0 THEN p_brand || ' kind' WHEN 1 THEN '<' || p_type || '>' ELSE p_type END AS outcome FROM part)"""
+  CASE WHEN p_partkey % 2 = 0 THEN 'mid' WHEN p_partkey % 3 = 0 THEN '' END AS value, CASE p_partkey % 5 WHEN 0 THEN p_brand || ' kind' WHEN 1 THEN '<' || p_type || '>' ELSE p_type END AS outcome FROM part)"""
 
 
 @query("f3_resolve_terms", with_([C_TRIP], """, c AS (SELECT p_partkey, value, lower(CASE p_partkey % 7 WHEN 0 THEN substr(feature, 8) WHEN 1 THEN replace(feature, ' (seen)', '') ELSE feature END) AS f, lower(replace(replace(outcome, '<', ''), '>', '')) AS o FROM trip),
  s AS (SELECT *, CASE WHEN f = 'none' THEN 'junk' WHEN f IN ('red widget','blue bolt','small ring','large ring','green bolt') THEN 'mapped' WHEN contains(f, 'plate') OR contains(f, 'cog') THEN 'candidate' WHEN length(f) > 45 THEN 'junk' ELSE 'candidate' END AS fs,
    CASE WHEN o IN ('economy','standard','small','brand#1','promo') THEN 'mapped' WHEN contains(o, 'small') OR contains(o, 'brand#1') OR contains(o, 'promo') THEN 'mapped' ELSE 'candidate' END AS os FROM c)
  SELECT p_partkey, CASE WHEN fs = 'junk' THEN NULL WHEN f = 'large ring' THEN 'small ring' WHEN f = 'green bolt' THEN 'blue bolt' ELSE f END AS feature,
-  CASE WHEN fs = 'junk' THEN NULL WHEN f IN ('red widget','blue bolt','small ring') THEN coalesce(value, 'present') WHEN f = 'large ring' THEN 'big' WHEN f = 'green bolt' THEN 'green' ELSE value END AS value,
+  CASE WHEN fs = 'junk' THEN NULL WHEN f IN ('red widget','blue bolt','small ring') THEN CASE WHEN value <> '' THEN value ELSE 'present' END WHEN f = 'large ring' THEN 'big' WHEN f = 'green bolt' THEN 'green' ELSE value END AS value,
   CASE WHEN o IN ('economy','standard') THEN o WHEN contains(o, 'small') THEN 'economy' WHEN contains(o, 'brand#1') OR contains(o, 'promo') THEN 'standard' ELSE o END AS outcome,
   CASE WHEN fs = 'junk' THEN 'junk' WHEN fs = 'candidate' OR os = 'candidate' THEN 'candidate' ELSE 'mapped' END AS status FROM s"""))
 def f3(spark, sf):
@@ -272,18 +283,20 @@ def sectioned(spark, sf, titled: bool = False) -> DataFrame:
         sub = lambda i: F.when(i % 3 == 0, "1").when(i % 3 == 1, "2").otherwise("2.1")
         head = lambda i: F.concat(F.floor(i / 3 + 1).cast("string"), F.lit("."), sub(i), F.lit(" Part "), F.col("lang"), F.lit(" "), letter(i))
         front = F.lit("1.1 Part one . . . 3\n1.1 Part again\n")
-    body = F.array_join(F.transform(ln, lambda x, i: F.concat(head(i), F.lit("\n"), x)), "\n")
+    page = lambda i: F.when(i % 5 == 4, "\f").otherwise("")
+    tab = lambda i: F.when(i % 4 == 1, "\t").otherwise("")
+    body = F.array_join(F.transform(ln, lambda x, i: F.concat(page(i), tab(i), head(i), F.lit("\n"), x)), "\n")
     return docs(spark, sf, "lang", "text").select("doc_id", F.concat(front, body).alias("text"))
 
 
 C_SECDOC = r"""l0 AS (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM documents),
 l1 AS (SELECT doc_id, lang, i-1 AS i, l[i] AS line FROM l0, LATERAL (SELECT unnest(range(1, len(l)+1)) AS i)),
-sd AS (SELECT doc_id, '1.1 Part one . . . 3' || chr(10) || '1.1 Part again' || chr(10) || string_agg((i//3+1) || '.' || CASE i%3 WHEN 0 THEN '1' WHEN 1 THEN '2' ELSE '2.1' END || ' Part ' || lang || ' ' || chr(CAST(97+i%26 AS INT)) || chr(10) || line, chr(10) ORDER BY i) AS text FROM l1 GROUP BY 1),
-td AS (SELECT doc_id, '   Part of contents' || chr(10) || string_agg('Part ' || chr(CAST(97+i%26 AS INT)) || ' of ' || lang || chr(10) || line, chr(10) ORDER BY i) AS text FROM l1 GROUP BY 1)"""
+sd AS (SELECT doc_id, '1.1 Part one . . . 3' || chr(10) || '1.1 Part again' || chr(10) || string_agg(CASE WHEN i%5 = 4 THEN chr(12) ELSE '' END || CASE WHEN i%4 = 1 THEN chr(9) ELSE '' END || (i//3+1) || '.' || CASE i%3 WHEN 0 THEN '1' WHEN 1 THEN '2' ELSE '2.1' END || ' Part ' || lang || ' ' || chr(CAST(97+i%26 AS INT)) || chr(10) || line, chr(10) ORDER BY i) AS text FROM l1 GROUP BY 1),
+td AS (SELECT doc_id, '   Part of contents' || chr(10) || string_agg(CASE WHEN i%5 = 4 THEN chr(12) ELSE '' END || CASE WHEN i%4 = 1 THEN chr(9) ELSE '' END || 'Part ' || chr(CAST(97+i%26 AS INT)) || ' of ' || lang || chr(10) || line, chr(10) ORDER BY i) AS text FROM l1 GROUP BY 1)"""
 
 
 def heads_sql(src: str, num: str, good: str) -> str:
-    return rf"""m0 AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM {src}),
+    return rf"""m0 AS (SELECT doc_id, text, string_split_regex(text, '[\n\f]') AS l FROM {src}),
 m1 AS (SELECT doc_id, length(text) AS tl, i AS pos, l[i] AS line FROM m0, LATERAL (SELECT unnest(range(1, len(l)+1)) AS i)),
 m2 AS (SELECT *, coalesce(sum(length(line)+1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM m1),
 m3 AS (SELECT *, {num} AS num FROM m2 WHERE {good}),
@@ -318,7 +331,8 @@ def w4(spark, sf):
 @query("w3_last_per_key", with_([C_SECDOC, C_HEADS], "SELECT doc_id, num, pos - 1 AS pos FROM m4 WHERE back = 1"))
 def w3(spark, sf):
     line = F.col("line")
-    d = sectioned(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    d = sectioned(spark, sf).select("doc_id", F.posexplode(F.split("text", C.LINE_CUT)).alias("pos", "line"))
+    d = d.withColumn("line", F.regexp_replace("line", C.LINE_END, ""))
     title = F.trim(F.regexp_extract(line, C.NUMBERED, 2))
     good = line.rlike(C.NUMBERED) & ~line.rlike(C.LEADER) & ~line.rlike(C.PAGE_END) & F.length(title).between(3, 80) & title.rlike(r"^\p{L}")
     h = d.filter(good).select("doc_id", F.regexp_extract(line, C.NUMBERED, 1).alias("num"), "pos")
@@ -328,7 +342,7 @@ def w3(spark, sf):
 TITLE_SQL = C.TITLE.replace("'", "''")
 
 
-@query("f6_parse_titled", with_([C_SECDOC, heads_sql("td", "trim(line)", rf"length(line) - length(ltrim(line)) <= 2 AND regexp_matches(trim(line), '{TITLE_SQL}') AND len(regexp_split_to_array(trim(line), '\s+')) <= 8")], """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY st) AS VARCHAR) AS num, num AS title, CAST(body_start AS INT) AS body_start, CAST(body_end AS INT) AS body_end, CAST(body_end-body_start AS INT) AS n_chars FROM m5"""))
+@query("f6_parse_titled", with_([C_SECDOC, heads_sql("td", "trim(line, chr(9) || ' ')", rf"length(line) - length(ltrim(line, chr(9) || ' ')) <= 2 AND regexp_matches(trim(line, chr(9) || ' '), '{TITLE_SQL}') AND len(regexp_split_to_array(trim(line, chr(9) || ' '), '\s+')) <= 8")], """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY st) AS VARCHAR) AS num, num AS title, 1 AS level, CAST(NULL AS VARCHAR) AS parent, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY st) AS VARCHAR) AS chapter, CAST(body_start AS INT) AS body_start, CAST(body_end AS INT) AS body_end, CAST(body_end-body_start AS INT) AS n_chars FROM m5"""))
 def f6(spark, sf):
     return C.parse_titled(sectioned(spark, sf, titled=True), "doc_id", "text")
 

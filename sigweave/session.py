@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "sigweave", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with adaptive execution, skew handling and a pinned time zone."""
+    """A session with adaptive execution, skew handling and a pinned time zone.
+
+    Results do not depend on these settings; in a session made elsewhere some joins take one more exchange.
+    """
     b = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -17,6 +20,8 @@ def build_session(app: str = "sigweave", master: str | None = None, **conf: str)
         # a side already partitioned on `entity` may join on (entity, outcome) as it is
         .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # stored intermediate tables go when no frame refers to them any more
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
     )
     if master:
@@ -43,15 +48,6 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows over all cores when the input has fewer splits than cores (one big file).
-
-    A table stored in many files passes through untouched, so at scale this adds no exchange.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want, *keys)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder and cut its lineage.
 

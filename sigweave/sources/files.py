@@ -44,17 +44,20 @@ def write_manifest(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
+def write_manifest_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
 def parse_boxes(lines: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
-    """Detection lines `class cx cy w h` to class ids; blank lines drop, `3.0` is class 3."""
+    """Detection lines `class cx cy w h` to class ids; blank lines drop, `3.0` is class 3, no number is NULL."""
     tok = F.split(F.trim(F.col(text)), r"\s+")
-    return lines.filter(F.trim(F.col(text)) != "").select(*keep, F.try_to_number(tok[0], F.lit("S999999999.99")).cast("double").cast("int").alias("class_id"))
+    return lines.filter(F.trim(F.col(text)) != "").select(*keep, tok[0].try_cast("double").try_cast("int").alias("class_id"))
 
 
 def read_boxes(spark: SparkSession, path: str) -> DataFrame:
     """(path, class_id) per annotation line of a directory of text files."""
-    d = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"))
-    tok = F.split(F.trim("value"), r"\s+")
-    return d.filter(F.trim("value") != "").select("path", tok[0].cast("double").cast("int").alias("class_id"))
+    d = spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    return parse_boxes(d, "value", ["path"])
 
 
 def unnest_label_json(df: DataFrame, col: str, keep: Sequence[str] = ()) -> DataFrame:

@@ -7,6 +7,8 @@ so a lost executor or a restart resumes it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,37 +65,59 @@ def stream_score(stream: DataFrame, votes: DataFrame, gate: Column, key: Column,
     return run_to_files(j, "score")
 
 
-def stream_refine(stream: DataFrame, answers: DataFrame, prior: float, width: str = "1 day", delay: str = "1 day") -> DataFrame:
-    """Running log-odds per (entity, outcome), one row per closed window with answers.
+def run_partial_sums(stream: DataFrame, name: str, shape: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
+    """Partial sums of everything that has arrived, late rows included; `shape` makes those of one micro-batch.
+
+    Each batch adds one folder named by its number, so a batch that is repeated after a failure replaces its own. Sums
+    are integers; totals are taken on read and do not depend on how rows fell into batches.
+    """
+    spark = stream.sparkSession
+    out = scratch(spark, name)
+
+    def add(batch: DataFrame, number: int) -> None:
+        shape(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    q = stream.writeStream.foreachBatch(add).option("checkpointLocation", out + "-state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    if not q.recentProgress or not any(x["numInputRows"] for x in q.recentProgress):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(out).select(*spark.createDataFrame([], schema).columns)
+
+
+def stream_refine(answers: DataFrame, prior: float, width: str = "1 day") -> DataFrame:
+    """Running log-odds per (entity, outcome), one row per window with answers, the newest included.
 
     `answers(ts, entity, outcome, units)` is derived from the stream; `units` are integer
-    thousandths of evidence, so sums are exact in any order. The stream keeps one small
-    sum per (window, entity, outcome), combined map-side before the exchange; the running
-    total over an entity's windows is taken on read.
+    thousandths of evidence, so sums are exact in any order. The running total over an
+    entity's windows is taken on read.
     """
-    w = (
-        answers.withWatermark("ts", delay)
-        .groupBy(F.window("ts", width), "entity", "outcome")
-        .agg(F.count("*").alias("n"), F.sum("units").alias("units"))
-        .select(F.col("window.start").alias("start"), "entity", "outcome", "n", "units")
-    )
+
+    def shape(batch: DataFrame) -> DataFrame:
+        w = batch.groupBy(F.window("ts", width).alias("w"), "entity", "outcome").agg(F.count("*").alias("n"), F.sum("units").cast("bigint").alias("units"))
+        return w.select("w.start", "entity", "outcome", "n", "units")
+
+    parts = run_partial_sums(answers, "refine", shape, "start timestamp, entity bigint, outcome string, n bigint, units bigint")
+    out = parts.groupBy("start", "entity", "outcome").agg(F.sum("n").alias("n"), F.sum("units").alias("units"))
     run = W.partitionBy("entity", "outcome").orderBy("start").rowsBetween(W.unboundedPreceding, 0)
-    out = run_to_files(w, "refine")
     s = out.select("start", "entity", "outcome", F.sum("n").over(run).alias("n_answers"), (F.sum("units").over(run) / 1000.0).alias("ev"))
     return s.select("start", "entity", "outcome", "n_answers", S.rnd(S.logodds_update(F.lit(prior), F.col("ev")), 6).alias("confidence"))
 
 
-def stream_trend(stream: DataFrame, by: list[str], value: str, width: str = "7 days", delay: str = "1 day") -> DataFrame:
-    """Closed windows of the reading history: count and mean per key and window.
+def stream_trend(stream: DataFrame, value: str, width: str = "7 days", delay: str = "1 day") -> DataFrame:
+    """Windows of the reading history per (user, event type): count, mean, and whether the window is closed.
 
-    Append mode: a window is emitted once the watermark (newest event time minus
-    the delay) passes its end; later rows for it are dropped.
+    A window is closed once the newest event time minus the delay passes its end. Rows that come later still count.
     """
-    w = (
-        stream.withWatermark("ts", delay)
-        .groupBy(F.window("ts", width), *by)
-        .agg(F.count("*").alias("n"), F.sum(F.floor(F.col(value) * 100 + F.lit(0.5))).alias("cents"))
-        .select(F.col("window.start").alias("start"), F.col("window.end").alias("stop"), *by, "n", "cents")
-    )
-    out = run_to_files(w, "trend")
-    return out.select("start", "stop", *by, "n", S.rnd(F.col("cents") / F.col("n"), 4).alias("mean_cents"))
+
+    def shape(batch: DataFrame) -> DataFrame:
+        cents = F.sum(F.floor(F.col(value) * 100 + F.lit(0.5))).cast("bigint").alias("cents")
+        w = batch.groupBy(F.window("ts", width).alias("w"), "user_id", "event_type").agg(F.count("*").alias("n"), cents, F.max("ts").alias("newest"))
+        return w.select("w.start", F.col("w.end").alias("stop"), "user_id", "event_type", "n", "cents", "newest")
+
+    schema = "start timestamp, stop timestamp, user_id bigint, event_type string, n bigint, cents bigint, newest timestamp"
+    parts = run_partial_sums(stream, "trend", shape, schema)
+    keys = ["start", "stop", "user_id", "event_type"]
+    out = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("cents").alias("cents"))
+    last = parts.agg(F.max("newest").alias("newest"))  # one row
+    closed = (F.col("stop") <= F.col("newest") - F.expr(f"INTERVAL {delay}")).alias("closed")
+    return out.join(F.broadcast(last)).select(*keys, "n", S.rnd(F.col("cents") / F.col("n"), 4).alias("mean_cents"), closed)

@@ -172,7 +172,7 @@ def test_verbatim_join_matches_brute_force(spark):
     assert got == want and (2, 2) in want and (2, 7) in want
 
 
-def test_cosine_topk_matches_numpy(spark):
+def test_cosine_topk_matches_numpy(spark, monkeypatch):
     import numpy as np
 
     rng = np.random.default_rng(0)
@@ -182,13 +182,10 @@ def test_cosine_topk_matches_numpy(spark):
     dq = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(q)], "i bigint, v array<double>")
     s = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
     want = {(a, int(b)): k for a in range(5) for k, b in enumerate(np.argsort(-s[a])[:6])}
-    small = retrieval.QUERY_BLOCK
-    for block in (small, 2):  # one block, and several blocks
-        retrieval.QUERY_BLOCK = block
-        try:
-            got = {(r["query_id"], r["vector_id"]): r["rank"] for r in retrieval.cosine_topk(dv, "i", "v", dq, "i", "v", 6).collect()}
-        finally:
-            retrieval.QUERY_BLOCK = small
+    for sizes in ((1024, 8192), (2, 30)):  # one block, and a grid of blocks
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", sizes[0])
+        monkeypatch.setattr(retrieval, "VECTOR_BLOCK", sizes[1])
+        got = {(r["query_id"], r["vector_id"]): r["rank"] for r in retrieval.cosine_topk(dv, "i", "v", dq, "i", "v", 6).collect()}
         assert got == want
 
 

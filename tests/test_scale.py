@@ -124,3 +124,53 @@ def test_streams_do_not_depend_on_the_session_zone(spark, sf):
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert a == b and a
+
+
+@pytest.mark.parametrize("bound", [0, 1 << 30])
+def test_results_do_not_depend_on_broadcasts(spark, sf, monkeypatch, bound):
+    """Joins with measured tables, on both sides of the bound."""
+    from oracle import compare, duck
+
+    from sigweave import dims
+    from sigweave.plans import ORACLES
+
+    monkeypatch.setattr(dims, "BROADCAST_BYTES", bound)
+    con = duck(sf)
+    for name in ("r1_tfidf", "j9_verbatim_items", "g9_rank_evidence"):
+        msg, ok = compare(spark, con, name, QUERIES[name], ORACLES[name], sf)
+        assert ok, msg
+
+
+def test_lexical_index_moves_no_text(spark, sf):
+    plan = _plan(QUERIES["r1_tfidf"](spark, sf))
+    assert "Scan parquet" not in plan.split("Scan ExistingRDD")[0] and "Generate" not in plan
+
+
+def test_images_are_dealt_out_before_they_become_pixels(spark, sf):
+    lines = [x for x in _plan(QUERIES["z1_zone_stats"](spark, sf)).split("\n") if "Exchange" in x or "Generate" in x]
+    assert sum("Exchange" in x for x in lines) == 1 and "Exchange" in lines[-1] and any("Generate" in x for x in lines)
+
+
+def test_induced_edges_read_stored_tables(spark, sf):
+    assert _plan(QUERIES["g7_induced"](spark, sf)).count("FileScan") == 0
+
+
+def test_seeds_outside_the_graph_are_left_out(spark):
+    e = spark.createDataFrame([("a", "r", "b")], "src string, rel string, dst string")
+    s = spark.createDataFrame([(1, "a"), (1, "zzz")], "entity int, node string")
+    n = spark.createDataFrame([("a",), ("b",)], "id string")
+    assert {r["node"] for r in graph.neighborhood(s, e, 1, nodes=n).collect()} == {"a", "b"}
+
+
+def test_every_window_of_a_stream_comes_out(spark, tmp_path):
+    import datetime
+
+    from sigweave.streaming import scoring
+
+    at = lambda d, h: datetime.datetime(2024, 1, d, h)
+    batches = [[(1, at(10, 5), 7, "a", 1.0, "")], [(2, at(1, 5), 7, "a", 3.0, ""), (3, at(10, 9), 7, "a", 2.0, "")]]
+    for i, rows in enumerate(batches):  # the second batch is late
+        spark.createDataFrame(rows, scoring.EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    stream = scoring.event_stream(spark, str(tmp_path / "events"))
+    got = [(r["n"], r["mean_cents"], r["closed"]) for r in scoring.stream_trend(stream, "value").orderBy("start").collect()]
+    assert got == [(1, 300.0, True), (2, 150.0, False)]

@@ -105,3 +105,39 @@ def test_literal_argmax_default(spark):
     d = spark.createDataFrame([("the cat",), ("zzz",)], "t string")
     got = [r["o"] for r in d.select(report.literal_argmax(F.col("t"), [("cat", "x", 1.0), ("the", "y", 0.5)], "none").alias("o")).collect()]
     assert got == ["x", "none"]
+
+
+def _sections(spark, parse, text):
+    d = spark.createDataFrame([(1, text)], "k int, t string")
+    return [(r["num"], r["title"], text[r["body_start"] : r["body_end"]]) for r in parse(d, "k", "t").orderBy("body_start").collect()]
+
+
+def test_headings_behind_every_line_end(spark):
+    text = "front\n\f1.2 Title one\nbody\r\n1.3 Title two\r\nmore\x0b\t2.1 Third\u2028last\r"
+    assert _sections(spark, corpus.parse_numbered, text) == [
+        ("1.2", "Title one", "body\r\n"), ("1.3", "Title two", "more\x0b"), ("2.1", "Third", "last\r"),
+    ]
+
+
+def test_titles_behind_tabs_and_form_feeds(spark):
+    text = "\tPale Body\nx\f Red Tip \ny\n\t\t\tToo Deep\n"
+    got = _sections(spark, corpus.parse_titled, text)
+    assert got == [("1", "Pale Body", "x\f"), ("2", "Red Tip", "y\n\t\t\tToo Deep\n")]
+    d = corpus.parse_titled(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t")
+    assert {(r["level"], r["parent"], r["chapter"]) for r in d.collect()} == {(1, None, "1"), (1, None, "2")}
+
+
+def test_bad_box_lines_have_no_class(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x 0.5\n3.1234 0\n7 0.1\n")
+    assert sorted((r["class_id"] for r in files.read_boxes(spark, str(tmp_path)).collect()), key=str) == [3, 7, None]
+
+
+def test_names_are_taken_literally_in_redaction(spark):
+    d = spark.createDataFrame([("see C++ (x. and axb)",)], "t string")
+    assert d.select(X.redact(F.col("t"), ["C++", "(x."]).alias("v")).first()["v"] == "see traditional texts and axb)"
+
+
+def test_csv_manifest_round_trip(spark, tmp_path):
+    d = spark.createDataFrame([("a,b", None, 1), ('q"', "x\ny", 2)], "sid string, split string, n int")
+    files.write_manifest_csv(d.filter("n = 1"), str(tmp_path / "m"))
+    assert [tuple(r) for r in files.read_manifest(spark, str(tmp_path / "m"), d.schema).collect()] == [("a,b", None, 1)]
