@@ -312,12 +312,12 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("x")).select("x.doc_id", "x.row")
     others = found.select("doc_id", "row").distinct().join(first, ["doc_id", "row"], "left_anti").withColumn("drop", F.lit(True))
     key = F.xxhash64(F.col("text").cast("string"))
-    marked = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_row": key})
-    names = {"doc_id": "_id", "row": "_row", "drop": "_drop"}
-    marked = marked.join(others.withColumnsRenamed(names), ["_id", "_row"], "left").where("_drop is null")
-    again = F.row_number().over(Window.partitionBy("_id", "_row").orderBy("_id"))  # a row that is there several times
+    marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__row": key})
+    names = {"doc_id": "__id", "row": "__row", "drop": "__drop"}
+    marked = marked.join(others.withColumnsRenamed(names), ["__id", "__row"], "left").where("__drop is null")
+    again = F.row_number().over(Window.partitionBy("__id", "__row").orderBy("__id"))  # a row that is there several times
     words = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    marked = marked.withColumn("_again", again).where((F.col("_again") == 1) | F.col("_id").isNull() | ~words)
+    marked = marked.withColumn("__again", again).where((F.col("__again") == 1) | F.col("__id").isNull() | ~words)
     return marked.select(*docs.columns)
 
 

@@ -13,7 +13,7 @@ import regex
 
 CHUNK = 1 << 20
 #: fixed values: the white space of the tokenizer's own engine, the letters and numbers of Latin-1
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LETTERS, NUMBERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
 
 

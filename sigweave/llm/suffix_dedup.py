@@ -334,17 +334,19 @@ def removed_ranges(rows: DataFrame, length: int, gram: int, bits: int) -> DataFr
 
 
 def with_ranges(docs: DataFrame, length: int, gram: int = 40, bits: int = 1 << 26) -> DataFrame:
-    """All rows and columns of docs(doc_id, text, ...) with `first` and `last`, the removed ranges (null: none)."""
+    """All rows and columns of docs(doc_id, text, ...) with `__first` and `__last`, the removed ranges (null: none)."""
     if not 0 < gram < length <= 250:
         raise ValueError("0 < gram < length <= 250")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.withColumns({"ord": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "row": F.xxhash64(text)})
-    ranges = removed_ranges(marked.select("ord", "row", text.alias("text")), length, gram, bits)
-    return marked.join(ranges, ["ord", "row"], "left")
+    key = {"__ord": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__row": F.xxhash64(text)}
+    rows = docs.select(key["__ord"].alias("ord"), key["__row"].alias("row"), text.alias("text"))
+    ranges = removed_ranges(rows, length, gram, bits)
+    ranges = ranges.withColumnsRenamed({k: f"__{k}" for k in ranges.columns})
+    return docs.withColumns(key).join(ranges, [*key], "left")
 
 
 def _ranges_of(b, i: int) -> tuple[np.ndarray, np.ndarray]:
-    first, last = b["first"][i], b["last"][i]
+    first, last = b["__first"][i], b["__last"][i]
     if not first.is_valid:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return first.values.to_numpy(), last.values.to_numpy()
@@ -367,16 +369,18 @@ def dedup_report(docs: DataFrame, length: int = 100) -> DataFrame:
 
     rows = with_ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), length)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return rows.select("doc_id", "text", "first", "last").mapInArrow(run, schema)
+    return rows.select("doc_id", "text", "__first", "__last").mapInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """All rows and columns of docs(doc_id, text, ...), repeated strings cut out of `text`.
 
-    Bytes of a character of which a part was removed go with it, so the text stays valid.
+    Bytes of a character of which a part was removed go with it, so the text stays valid. Column names that begin with two
+    underscores are kept for this module.
     """
-    rows = with_ranges(docs, length).drop("ord", "row")
+    rows = with_ranges(docs, length)
     names, at = docs.columns, docs.columns.index("text")
+    rows = rows.select(*names, "__first", "__last")
 
     def run(batches):
         for b in batches:
@@ -386,7 +390,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
                     out.append(None)
                 else:
                     out.append(kept(t, *_ranges_of(b, i), length)[0].decode("utf-8", "ignore"))
-            cols = [pa.array(out, pa.string()) if k == at else b[c] for k, c in enumerate(names)]
+            cols = [pa.array(out, pa.string()) if k == at else b.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return rows.mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)
