@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sigweave.llm import byte_bpe, jaccard_join, lsh_search, packing, pii, quality, suffix_dedup, url_reputation, va_search
+from sigweave.llm import byte_bpe, jaccard_join, lsh_search, packing, pii, quality, suffix_dedup, token_counts, url_reputation, va_search
 
 QUERIES = {
     "op1_nb_svm": quality.op1_nb_svm,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_url_reputation": url_reputation.op6_url_reputation,
     "op7_pack": packing.op7_pack,
+    "op8_token_counts": token_counts.op8_token_counts,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_va_search": va_search.op10_va_search,
 }

@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from sigweave.llm import byte_bpe, packing
+from sigweave.llm import byte_bpe, packing, token_counts
 from sigweave.llm.pretokens import pre_tokens
 
 RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
@@ -147,3 +147,71 @@ def test_packing_of_odd_rows(spark, monkeypatch):
     whole = packing.sequences(docs, JSON, 64).collect()
     assert sum(len(r.ids) for r in whole) == sum(map(len, ids.values()))
     assert packing.pack(docs.limit(0), JSON).count() == 0
+
+
+def plain_places(spans, sections, rule):
+    """Index of the section of each token span, -1 for a gap, byte by byte."""
+    out = []
+    for a, b in spans:
+        owner = [next((i for i, (s, e) in enumerate(sections) if s <= x < e), None) for x in range(a, b)]
+        runs = []
+        for x, o in zip(range(a, b), owner, strict=True):
+            gap = ("gap", sum(s <= x for s, _ in sections)) if o is None else o
+            if not runs or runs[-1][0] != gap:
+                runs.append([gap, 0])
+            runs[-1][1] += 1
+        best = {"first": runs[0], "last": runs[-1], "most": max(runs, key=lambda r: r[1])}[rule]
+        out.append((-1 if isinstance(best[0], tuple) else best[0], len(runs) > 1))
+    return out
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_allocation_equals_byte_by_byte(rule):
+    r = random.Random(6)
+    for _ in range(400):
+        size = r.randint(1, 30)
+        cuts = sorted({0, size, *(r.randint(0, size) for _ in range(8))})
+        spans = list(zip(cuts, cuts[1:], strict=False))
+        ends = sorted(r.sample(range(size + 1), 2 * min((size + 1) // 2, r.randint(0, 3))))
+        sections = list(zip(ends[::2], ends[1::2], strict=True))
+        start, end = np.array([s for s, _ in sections], int), np.array([e for _, e in sections], int)
+        if not sections:
+            continue
+        at, crosses = token_counts.allocate(np.array([a for a, _ in spans]), np.array([b for _, b in spans]), start, end, rule)
+        got = [((p - 1) // 2 if p % 2 else -1, bool(c)) for p, c in zip(at.tolist(), crosses, strict=True)]
+        assert got == plain_places(spans, sections, rule), (spans, sections)
+
+
+def test_counts_of_documents(spark, sf, reference):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {}
+    for r in token_counts.op8_token_counts(spark, sf).collect():
+        got.setdefault(r.doc_id, {})[r.section] = (r.start, r.end, r.n_tokens)
+    assert set(got) == set(texts)
+    for d, t in texts.items():
+        at, want, spans, point = 0, [], [], 0
+        for p in [x + "\n" for x in t.split("\n")[:-1]] + ([t.split("\n")[-1]] if t.split("\n")[-1] else []):
+            want.append((at, at + len(p)))
+            at += len(p)
+        sections = [(len(t[:a].encode()), len(t[:b].encode())) for a, b in want]
+        for i in reference.encode_ordinary(t):
+            n = len(reference.decode_single_token_bytes(i))
+            spans.append((point, point + n))
+            point += n
+        n = [0] * len(want)
+        for a, b in spans[:400]:
+            n[plain_places([(a, b)], sections, "most")[0][0]] += 1
+        if len(spans) <= 400:
+            assert [got[d][i] for i in range(len(want))] == [(*w, k) for w, k in zip(want, n, strict=True)]
+        assert sum(x[2] for x in got[d].values()) == len(spans)
+
+
+def test_counts_of_odd_rows(spark):
+    docs = spark.createDataFrame([(1, None, 1), (2, "", 1), (None, "a\n\n\nbé\U0001f600\n", 1), (2, "", 1)], "doc_id long, text string, section int")
+    got = sorted((tuple(r)[:5] for r in token_counts.count_tokens(docs, RANKS).collect()), key=str)
+    assert [x for x in got if x[0] is not None] == [(1, 0, 0, 0, 0), (2, 0, 0, 0, 0), (2, 0, 0, 0, 0)]
+    rest = [x for x in got if x[0] is None]
+    assert [x[1:4] for x in rest] == [(0, 0, 2), (1, 2, 3), (2, 3, 4), (3, 4, 8)]
+    assert token_counts.count_tokens(docs.limit(0), RANKS).count() == 0
+    head = lambda t: (np.array([0]), np.array([min(1, len(t))]))
+    assert {(r.section, r.n_tokens > 0) for r in token_counts.count_tokens(docs.where("doc_id is null"), RANKS, head).collect()} == {(0, True), (-1, True)}
