@@ -19,7 +19,7 @@ Components are found on links in shared tables; no list of links or ids reaches
 
 Defined results: null or blank texts have no shingles and stay alone (component_id is their own id); texts of fewer words
 than a shingle are one shingle of all words; rows with a null doc_id are linked with nothing and have a null
-component; rows that repeat an id are told apart by their sets; other columns are ignored.
+component; rows that repeat an id are one node with the links of each of them; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from sigweave.llm.shingles import mixed, shingles
 from sigweave.llm.textbytes import text_bytes
 from sigweave.session import cut
 
-BITS, BLOCK, PER_MEMBER, DOCS = 1024, 2000, 8, 2000
+BITS, BLOCK, PER_MEMBER, DOCS, SLICE = 1024, 2000, 8, 2000, 500
 
 
 def size_bands(percent: int, upto: int = 1 << 40) -> np.ndarray:
@@ -229,7 +229,7 @@ def _propose(percent: int, turn: int):
 
 
 def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, s): shingles of the documents named in ids(doc_id), in a narrow pass and a join of what it finds."""
+    """(doc_id, s): shingles of the documents named in ids(doc_id), found in a narrow pass; a few others may come along."""
     few = IdFilter(ids)
 
     def run(batches):
@@ -240,23 +240,41 @@ def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 found = [shingles(t).tobytes() for t in text_bytes(b["text"])]
                 yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(found, pa.binary())], ["doc_id", "s"])
 
-    rows = docs.where("doc_id is not null").withColumn("at", few.column("doc_id")).mapInArrow(run, "doc_id long, s binary")
-    return rows.join(ids, "doc_id")
+    return docs.where("doc_id is not null").withColumn("at", few.column("doc_id")).mapInArrow(run, "doc_id long, s binary")
 
 
 def _verify(percent: int):
-    def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b["s"], b["s2"], strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([b["a"].filter(pa.array(keep)), b["b"].filter(pa.array(keep))], ["a", "b"])
+    def alike(p: np.ndarray, q: np.ndarray) -> bool:
+        both = len(np.intersect1d(p, q, assume_unique=True))
+        return 100 * both >= percent * (len(p) + len(q) - both) > 0
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        sets: dict[int, list] = {}
+        for d, s in zip(right["doc_id"].to_pylist(), right["s"], strict=True):
+            sets.setdefault(d, []).append(np.frombuffer(s.as_py(), np.uint64))
+        pairs = zip(left["a"].to_pylist(), left["b"].to_pylist(), strict=True)
+        good = [(a, b) for a, b in pairs if any(alike(p, q) for p in sets[a] for q in sets[b])]
+        return pa.table({"a": pa.array([a for a, _ in good], pa.int64()), "b": pa.array([b for _, b in good], pa.int64())})
 
     return run
 
 
+def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs(a, b) whose whole sets are alike.
+
+    Pairs are dealt out by their first document (in slices of `SLICE` partners); a part gets the set of each document it
+    needs once.
+    """
+    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    slices = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(SLICE)).alias("slices"))
+    part = F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("slices"))), F.lit(parts))
+    p = pairs.join(slices, "a").select(part.alias("part"), "a", "b")
+    needs = p.select("part", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = whole_sets(docs, ids).join(needs, "doc_id").select(F.col("part").alias("to"), "doc_id", "s")
+    return p.groupBy("part").cogroup(sets.groupBy("to")).applyInArrow(_verify(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, row) of every row of docs(doc_id, text); `row` is the text's xxhash64."""
     spark = docs.sparkSession
@@ -272,7 +290,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     members = members.join(sizes, "run").withColumn("own", own).withColumn("other", other)
     part = F.when(F.col("blocks") == 1, F.col("run")).otherwise(F.xxhash64("run", F.least("own", "other"), F.greatest("own", "other")))
     members = cut(members.select(part.alias("run"), "doc_id").distinct())
-    bits = rows.where("doc_id is not null").groupBy("doc_id", "n_shingles").agg(F.min("bits").alias("bits"))
+    bits = rows.where("doc_id is not null and n_shingles > 0").select("doc_id", "n_shingles", "bits").distinct()
     links, comps, turn, open_runs = None, None, 0, None
     while True:
         m = members if open_runs is None else members.join(open_runs, "run")
@@ -284,11 +302,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         proposed = cut(m.groupBy("run").applyInArrow(_propose(percent, turn), "run long, a long, b long"))
         pairs = cut(proposed.where("a is not null").select("a", "b").distinct())
         if not pairs.isEmpty():
-            ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-            sets = cut(whole_sets(docs, ids))
-            joined = pairs.join(sets.select(F.col("doc_id").alias("a"), "s"), "a")
-            joined = joined.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("s2")), "b").select("a", "b", "s", "s2")
-            found = joined.mapInArrow(_verify(percent), "a long, b long")
+            found = verified(docs, pairs, percent)
             links = cut(found if links is None else links.unionByName(found))
             comps = components(links)
         open_runs = proposed.where("a is null").select("run").distinct()
