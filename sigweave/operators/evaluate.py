@@ -32,8 +32,8 @@ def confusion(pairs: DataFrame) -> DataFrame:
     return c.withColumn("share", S.rnd(F.col("n") / F.sum("n").over(W.partitionBy("feature", "gold")), 6))
 
 
-def multiclass(pairs: DataFrame, domain: DataFrame) -> DataFrame:
-    """Accuracy and macro precision / recall / F1 per feature over classes seen in gold or prediction."""
+def per_class(pairs: DataFrame) -> DataFrame:
+    """Precision, recall and F1 (0 where undefined) of every class seen in gold or prediction, with its counts."""
     c = pairs.groupBy("feature", "gold", "pred").agg(F.count("*").alias("n"))
     side = lambda col, tp: c.groupBy("feature", F.col(col).alias("cls")).agg(
         F.sum("n").alias(f"n_{col}"), *([F.sum(F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0)).alias("tp")] if tp else [])
@@ -41,18 +41,17 @@ def multiclass(pairs: DataFrame, domain: DataFrame) -> DataFrame:
     per = side("gold", True).join(side("pred", False), ["feature", "cls"], "full_outer").na.fill(0)
     p, r = ratio(F.col("tp"), F.col("n_pred")), ratio(F.col("tp"), F.col("n_gold"))
     f1 = ratio(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r"))
-    return (
-        per.withColumn("p", p)
-        .withColumn("r", r)
-        .withColumn("f1", f1)
-        .groupBy("feature")
-        .agg(
-            F.sum("n_gold").alias("n"),
-            S.rnd(F.sum("tp") / F.sum("n_gold"), 6).alias("accuracy"),
-            S.rnd(F.avg("p"), 6).alias("macro_p"),
-            S.rnd(F.avg("r"), 6).alias("macro_r"),
-            S.rnd(F.avg("f1"), 6).alias("macro_f1"),
-        )
+    return per.withColumn("p", p).withColumn("r", r).withColumn("f1", f1)
+
+
+def multiclass(pairs: DataFrame) -> DataFrame:
+    """Accuracy and macro precision / recall / F1 per feature over classes seen in gold or prediction."""
+    return per_class(pairs).groupBy("feature").agg(
+        F.sum("n_gold").alias("n"),
+        S.rnd(F.sum("tp") / F.sum("n_gold"), 6).alias("accuracy"),
+        S.rnd(F.avg("p"), 6).alias("macro_p"),
+        S.rnd(F.avg("r"), 6).alias("macro_r"),
+        S.rnd(F.avg("f1"), 6).alias("macro_f1"),
     )
 
 
@@ -81,10 +80,11 @@ def average_precision(scored: DataFrame, key: str) -> DataFrame:
     )
 
 
-def macro_map(ap: DataFrame) -> DataFrame:
-    """Mean AP over the features that have positives, as one more row named MACRO."""
-    m = ap.filter("ap is not null").agg(F.lit("MACRO").alias("feature"), F.sum("n").alias("n"), F.sum("n_pos").alias("n_pos"), S.rnd(F.avg("ap"), 6).alias("ap"))
-    return ap.unionByName(m)
+def macro_map(ap: DataFrame, least: int = 20) -> DataFrame:
+    """Rows flagged `reliable` from `least` positives on, and the mean AP over those as one more row named MACRO."""
+    flagged = ap.withColumn("reliable", F.col("n_pos") >= least)
+    mean = [F.sum("n").alias("n"), F.sum("n_pos").alias("n_pos"), S.rnd(F.avg("ap"), 6).alias("ap")]
+    return flagged.unionByName(flagged.filter("reliable").agg(F.lit("MACRO").alias("feature"), *mean).withColumn("reliable", F.lit(True)))
 
 
 def sweep_counts(scored: DataFrame, grid: Sequence[float], by: Sequence[str] = ("feature",), strict: bool = True) -> DataFrame:
@@ -128,6 +128,13 @@ def best_f1(scored: DataFrame, grid: Sequence[float], by: Sequence[str] = ("feat
     )
 
 
+def suggested_cut(scored: DataFrame, grid: Sequence[float], by: Sequence[str] = ("feature",)) -> DataFrame:
+    """The grid's cut with the best F1, the lowest of equals (the first one if no cut finds anything)."""
+    m = with_prf(sweep_counts(scored, grid, by))
+    b = m.groupBy(*by).agg(F.max(F.struct(F.col("f1").alias("f1"), (-F.col("threshold")).alias("t"))).alias("b"))
+    return b.select(*by, (-F.col("b.t")).alias("cut"), F.col("b.f1").alias("f1"))
+
+
 def grade_means(sig: DataFrame) -> DataFrame:
     """Mean signal per gold grade (separation check)."""
     return sig.groupBy("feature", "gold").agg(F.count("*").alias("n"), S.rnd(F.avg("score"), 6).alias("mean_score"))

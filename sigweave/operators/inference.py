@@ -412,8 +412,12 @@ def shadow_summary(rows: DataFrame, validated: DataFrame) -> DataFrame:
     )
 
 
-def ensemble_summary(prior: DataFrame, blended: DataFrame) -> DataFrame:
-    """Stability of the lead, share of leads with citations, coverage and added rates."""
+def ensemble_summary(prior: DataFrame, blended: DataFrame, validated: DataFrame) -> DataFrame:
+    """Stability of the lead, share of leads with citations, coverage, added and reject rates.
+
+    An entity counts as rejected if the validation dropped any of its proposals.
+    """
+    bad = validated.filter("status <> 'kept'").select("entity").distinct().withColumn("rejected", F.lit(1))
     p = prior.filter(F.col("outcome") != BALANCED).groupBy("entity").agg(F.min_by("outcome", "rank").alias("ptop"))
     b = blended.groupBy("entity").agg(
         F.min_by("outcome", "rank").alias("btop"),
@@ -421,12 +425,13 @@ def ensemble_summary(prior: DataFrame, blended: DataFrame) -> DataFrame:
         F.avg((F.col("n_cites") > 0).cast("int")).alias("cov"),
         F.max((F.col("origin") == "evidence-added").cast("int")).alias("added"),
     )
-    return b.join(p, "entity", "left").agg(
+    return b.join(p, "entity", "left").join(bad, "entity", "left").agg(
         F.count("*").alias("n"),
         S.rnd(F.avg((F.col("btop") == F.coalesce("ptop", F.lit(""))).cast("int")), 6).alias("stability"),
         S.rnd(F.avg("lead_cited"), 6).alias("lead_cited"),
         S.rnd(F.avg("cov"), 6).alias("coverage"),
         S.rnd(F.avg("added"), 6).alias("added_rate"),
+        S.rnd(F.avg(F.coalesce("rejected", F.lit(0))), 6).alias("reject_rate"),
     )
 
 

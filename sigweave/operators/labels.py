@@ -131,16 +131,15 @@ def coverage(df: DataFrame, row: str, col: str, values: Sequence[str]) -> DataFr
     return df.groupBy(row).pivot(col, list(values)).count().na.fill(0)
 
 
-def profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Per column: non-null count and number of classes.
-
-    Distinct classes come from a (column, class) count, which combines map-side,
-    instead of a distinct aggregate per column.
-    """
+def class_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, class, n) of the non-null classes of several columns, counted map-side in one pass."""
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "column", "class")
-    return long.filter("class is not null").groupBy("column", "class").agg(F.count("*").alias("n")).groupBy("column").agg(
-        F.sum("n").alias("n_non_null"), F.count("*").alias("n_classes")
-    )
+    return long.filter("class is not null").groupBy("column", "class").agg(F.count("*").alias("n"))
+
+
+def profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Per column: non-null count and number of classes, from the class counts instead of a distinct aggregate per column."""
+    return class_counts(df, cols).groupBy("column").agg(F.sum("n").alias("n_non_null"), F.count("*").alias("n_classes"))
 
 
 def multi_hot(obs: DataFrame, key: str, class_col: str, classes: dict[int, str]) -> DataFrame:

@@ -6,6 +6,7 @@ from sigweave.plans.base import ORACLES, QUERIES, typed
 # The SQL engine sums integers to 128 bits and sizes lists in 64; these columns get the Spark type.
 for _name, _types in {
     "a11_multiclass": {"n": "BIGINT"},
+    "a15_calibrate_cut": {"n": "BIGINT"},
     "a13_average_precision": {"n": "BIGINT", "n_pos": "BIGINT"},
     "a23_axis_recall": {"n_hit": "BIGINT"},
     "a26_faithfulness": {"claims": "BIGINT", "supported": "BIGINT"},

@@ -419,7 +419,7 @@ def u3(spark, sf):
 # Proposals stand in for an external matcher: each surfaced sign proposes every
 # outcome whose name shares its initial or the outcome after it in the alphabet.
 C_PROP = """prop AS (SELECT entity, CASE feature WHEN 'click' THEN 'growth' WHEN 'view' THEN 'dormant' WHEN 'purchase' THEN 'loyalty' WHEN 'error' THEN 'churn' ELSE 'unknown' END AS outcome,
-   CASE WHEN value = 'mid' THEN 'signup' ELSE feature END AS feature, CASE WHEN value = 'high' THEN NULL ELSE severity*2 END AS confidence FROM sig)"""
+   CASE WHEN value = 'mid' THEN 'signup' WHEN value = 'low' THEN feature || ' on tip' ELSE feature END AS feature, CASE WHEN value = 'high' THEN NULL ELSE severity*2 END AS confidence FROM sig)"""
 
 
 def proposals(b: Behaviour) -> DataFrame:
@@ -430,10 +430,14 @@ def proposals(b: Behaviour) -> DataFrame:
     )
 
 
-@query("j13_validate_proposals", with_([*P_RANKED, C_PROP, C_PRESENT.replace("present AS", "present2 AS")], f"""SELECT entity, outcome, {r('max(greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(confidence, 0.5::DOUBLE))))', 3)} AS confidence,
+VALIDATED = f"""SELECT entity, outcome, {r('max(greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(confidence, 0.5::DOUBLE))))', 3)} AS confidence,
   CASE WHEN NOT EXISTS (SELECT 1 FROM ranked k WHERE k.entity = p.entity AND k.outcome = p.outcome) THEN 'not a candidate'
        WHEN count(*) FILTER (EXISTS (SELECT 1 FROM present2 q WHERE q.entity = p.entity AND (contains(q.feature, p.feature) OR contains(p.feature, q.feature)))) = 0 THEN 'no grounded evidence' ELSE 'kept' END AS status
-  FROM prop p GROUP BY entity, outcome"""))
+  FROM prop p GROUP BY entity, outcome"""
+P_VALID = [C_PROP, C_PRESENT.replace("present AS", "present2 AS")]
+
+
+@query("j13_validate_proposals", with_([*P_RANKED, *P_VALID], VALIDATED))
 def j13(spark, sf):
     b = Behaviour(spark, sf)
     return I.validate_proposals(proposals(b), b.ranked, b.present)

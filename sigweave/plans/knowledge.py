@@ -346,12 +346,13 @@ def a24(spark, sf):
     return I.shadow_summary(I.shadow_rows(b.ranked_once, b.matched, b.entities), checked)
 
 
-@query("a25_ensemble_summary", with_([*P_BLEND, C_BLEND], f""", p AS (SELECT entity, arg_min(outcome, rank) AS ptop FROM ranked WHERE outcome <> 'balanced' GROUP BY 1),
+@query("a25_ensemble_summary", with_([*P_BLEND, C_BLEND, *B.P_VALID], f""", val AS ({B.VALIDATED}), p AS (SELECT entity, arg_min(outcome, rank) AS ptop FROM ranked WHERE outcome <> 'balanced' GROUP BY 1),
  b AS (SELECT entity, arg_min(outcome, rank) AS btop, arg_min(CAST(n_cites > 0 AS INT), rank) AS lc, avg(CAST(n_cites > 0 AS INT)) AS cov, max(CAST(origin = 'evidence-added' AS INT)) AS added FROM blend GROUP BY 1)
- SELECT count(*) AS n, {r("avg(CAST(btop = coalesce(ptop, '') AS INT))")} AS stability, {r('avg(lc)')} AS lead_cited, {r('avg(cov)')} AS coverage, {r('avg(added)')} AS added_rate FROM b LEFT JOIN p USING (entity)"""))
+ SELECT count(*) AS n, {r("avg(CAST(btop = coalesce(ptop, '') AS INT))")} AS stability, {r('avg(lc)')} AS lead_cited, {r('avg(cov)')} AS coverage, {r('avg(added)')} AS added_rate,
+  {r("avg(CAST(entity IN (SELECT entity FROM val WHERE status <> 'kept') AS INT))")} AS reject_rate FROM b LEFT JOIN p USING (entity)"""))
 def a25(spark, sf):
     b = Evidence(spark, sf)
-    return I.ensemble_summary(b.ranked_once, b.blended)
+    return I.ensemble_summary(b.ranked_once, b.blended, I.validate_proposals(B.proposals(b), b.ranked_once, b.present))
 
 
 @query("a27_mapping_accuracy", with_([*B.P_RANKED], f""", acc AS (SELECT DISTINCT entity, CASE feature WHEN 'click' THEN 'growth' WHEN 'purchase' THEN 'loyalty' WHEN 'error' THEN 'friction' ELSE 'balanced' END AS outcome FROM sig WHERE severity > 0.5),

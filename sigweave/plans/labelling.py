@@ -223,6 +223,12 @@ def a2(spark, sf):
     return L.profile(table(spark, sf, "customer"), ["c_mktsegment", "c_nationkey"])
 
 
+@query("a2_distribution", """SELECT 'c_mktsegment' AS "column", c_mktsegment AS class, count(*) AS n FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 2
+  UNION ALL SELECT 'c_nationkey', c_nationkey::VARCHAR, count(*) FROM customer WHERE c_nationkey IS NOT NULL GROUP BY 2""")
+def a2_distribution(spark, sf):
+    return L.class_counts(table(spark, sf, "customer"), ["c_mktsegment", "c_nationkey"])
+
+
 @query("a3_overlap", with_(P_STORE, "SELECT count(*) AS n_common FROM (SELECT entity FROM store WHERE source = 'expert' INTERSECT SELECT entity FROM store WHERE source = 'third')"))
 def a3(spark, sf):
     s = store(manifest(spark, sf))
@@ -244,7 +250,15 @@ def a10(spark, sf):
   m AS (SELECT *, CASE WHEN p = 0 THEN 0.0 ELSE tp/p END AS pr, CASE WHEN g = 0 THEN 0.0 ELSE tp/g END AS rc FROM per)
   SELECT feature, sum(g) AS n, {r('sum(tp)/sum(g)')} AS accuracy, {r('avg(pr)')} AS macro_p, {r('avg(rc)')} AS macro_r, {r('avg(CASE WHEN pr+rc = 0 THEN 0.0 ELSE 2*pr*rc/(pr+rc) END)')} AS macro_f1 FROM m GROUP BY 1"""))
 def a11(spark, sf):
-    return E.multiclass(pairs(spark, sf), DOMAIN.small(spark))
+    return E.multiclass(pairs(spark, sf))
+
+
+@query("a11_per_class", with_(P_PAIRS, f""", cls AS (SELECT feature, gold AS c FROM pairs UNION SELECT feature, pred FROM pairs),
+  per AS (SELECT c.feature, c.c, count(*) FILTER (gold = c AND pred = c) AS tp, count(*) FILTER (gold = c) AS g, count(*) FILTER (pred = c) AS p FROM cls c JOIN pairs x USING (feature) GROUP BY 1, 2),
+  m AS (SELECT *, CASE WHEN p = 0 THEN 0.0 ELSE tp/p END AS pr, CASE WHEN g = 0 THEN 0.0 ELSE tp/g END AS rc FROM per)
+  SELECT feature, c AS cls, CAST(g AS BIGINT) AS n_gold, {r('CASE WHEN pr+rc = 0 THEN 0.0 ELSE 2*pr*rc/(pr+rc) END')} AS f1 FROM m"""))
+def a11_per_class(spark, sf):
+    return E.per_class(pairs(spark, sf)).select("feature", "cls", "n_gold", S.rnd(F.col("f1"), 6).alias("f1"))
 
 
 def presence_pairs(spark, sf) -> DataFrame:
@@ -280,7 +294,7 @@ C_SCORED = """scored AS (SELECT doc_id, least(1.0::DOUBLE, n_chars/4000.0::DOUBL
 
 @query("a13_average_precision", with_([C_SCORED], f""", k AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY score DESC, doc_id) AS i, sum(g) OVER (PARTITION BY feature ORDER BY score DESC, doc_id ROWS UNBOUNDED PRECEDING) AS tp FROM scored)
   , p AS (SELECT feature, count(*) AS n, sum(g) AS n_pos, {r('avg(CASE WHEN g = 1 THEN tp/i END)')} AS ap FROM k GROUP BY 1)
-  SELECT * FROM p UNION ALL SELECT 'MACRO', sum(n), sum(n_pos), {r('avg(ap)')} FROM p WHERE ap IS NOT NULL"""))
+  SELECT *, n_pos >= 20 AS reliable FROM p UNION ALL SELECT 'MACRO', sum(n), sum(n_pos), {r('avg(ap)')}, true FROM p WHERE n_pos >= 20"""))
 def a13(spark, sf):
     return E.macro_map(cut(E.average_precision(scored(spark, sf), "doc_id")))
 
@@ -297,12 +311,15 @@ def a14(spark, sf):
 
 
 @query("a15_calibrate_cut", with_([C_SCORED, C_GRID, C_SWEEP], f"""SELECT feature, 'threshold' AS kind, threshold AS at, tp AS n, f1 AS figure FROM m
-  UNION ALL SELECT feature, 'grade', g::DOUBLE, count(*), {r('avg(score)')} FROM scored GROUP BY feature, g"""))
+  UNION ALL SELECT feature, 'grade', g::DOUBLE, count(*), {r('avg(score)')} FROM scored GROUP BY feature, g
+  UNION ALL SELECT feature, 'suggested', threshold, tp, f1 FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY f1 DESC, threshold) AS rn FROM m) WHERE rn = 1"""))
 def a15(spark, sf):
     s = scored(spark, sf)
     m = E.with_prf(E.sweep_counts(s, GRID)).select("feature", F.lit("threshold").alias("kind"), F.col("threshold").alias("at"), F.col("tp").alias("n"), F.col("f1").alias("figure"))
     g = E.grade_means(s.withColumnRenamed("g", "gold")).select("feature", F.lit("grade").alias("kind"), F.col("gold").cast("double").alias("at"), "n", F.col("mean_score").alias("figure"))
-    return m.unionByName(g)
+    best = E.suggested_cut(s, GRID).join(m.select("feature", F.col("at").alias("cut"), "n"), ["feature", "cut"])
+    best = best.select("feature", F.lit("suggested").alias("kind"), F.col("cut").alias("at"), "n", F.col("f1").alias("figure"))
+    return m.unionByName(g).unionByName(best)
 
 
 @query("a16_fair_accuracy", with_([*P_PAIRS, DOMAIN.cte()], f"""SELECT x.feature, count(*) AS n, {r('avg(CAST(p.ord = g.ord AS INT))')} AS exact, {r('avg(CAST(abs(p.ord-g.ord) <= 1 AS INT))')} AS within1, {r('avg(CAST((p.ord=0) = (g.ord=0) AS INT))')} AS presence
