@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -201,6 +203,51 @@ def citations(edges: DataFrame, n: int = 3) -> DataFrame:
     return e.withColumn("cite_rank", rn).filter(F.col("cite_rank") <= n).select("src", F.substring_index("dst", ":", -1).alias("outcome"), "rel", "cite_rank", "source", "snippet", "weight")
 
 
+def evidence_list(entries: DataFrame, groups: DataFrame, edges: DataFrame, n: int = 6) -> DataFrame:
+    """First n cited lines of every (entity, outcome): the largest contribution first, then the weight, supporting before opposing.
+
+    Citations of one (source, outcome, relation) that repeat a snippet and source are one. Within such a group lines go by
+    weight, so n per group are enough; `pos` counts from 1.
+    """
+    cited = groups.join(citations(edges, n), ["src", "outcome", "rel"])
+    seeds = entries.filter("node is not null").select("entity", F.col("node").alias("src")).distinct()
+    name = F.substring_index("src", ":", -1)
+    lines = seeds.join(cited, "src").select(
+        "entity", "outcome", F.substring_index(name, "=", 1).alias("feature"), F.when(name.contains("="), F.substring_index(name, "=", -1)).otherwise("").alias("value"),
+        F.col("rel").alias("polarity"), "source", "snippet", "contribution", "weight", "src",
+    )
+    order = [F.abs("contribution").desc(), F.desc("weight"), F.col("polarity") == "argues_against", F.col("src"), F.col("source"), F.col("snippet")]
+    pos = F.row_number().over(W.partitionBy("entity", "outcome").orderBy(*order))
+    return lines.withColumn("pos", pos).filter(F.col("pos") <= n).drop("weight", "src")
+
+
+def prompt_lines(evidence: DataFrame) -> DataFrame:
+    """(entity, outcome, pos, line): evidence as text lines, each with its source and snippet."""
+    tag = F.when(F.col("polarity") == "argues_against", "argues AGAINST").otherwise("supports")
+    quote = F.when(F.coalesce("snippet", F.lit("")) != "", F.concat(F.lit(' "'), "snippet", F.lit('"'))).otherwise("")
+    line = F.concat(F.lit("- "), "feature", F.lit("="), "value", F.lit(" "), tag, F.lit(" ["), F.coalesce("source", F.lit("rule KB")), F.lit("]"), quote)
+    return evidence.select("entity", "outcome", "pos", line.alias("line"))
+
+
+def match_citations(matched: DataFrame, evidence: DataFrame, n: int = 3) -> DataFrame:
+    """(entity, outcome, pos, feature, source): the first n citations of every match."""
+    c = evidence.filter(F.col("pos") <= n).select("entity", "outcome", "pos", "feature", F.coalesce("source", F.lit("rule KB")).alias("source"))
+    return matched.select("entity", "outcome").join(c, ["entity", "outcome"])
+
+
+def walked_context(entries: DataFrame, ranked: DataFrame, edges: DataFrame, rels: Sequence[str], hops: int = 2) -> DataFrame:
+    """(entity, outcome, kind, item): what an entity's ranked outcomes lead to, as far as the walk from its entries reached it.
+
+    `edges(src, rel, dst)` holds the evidence and the context of outcomes; only edges in `rels` are walked.
+    """
+    e = edges.select("src", "rel", "dst").distinct()
+    seeds = entries.filter("node is not null").select("entity", "node").distinct()
+    reached = neighborhood(seeds, e, hops, rels).select("entity", F.col("node").alias("dst"))
+    out = e.filter(F.col("src").startswith("pattern:") & ~F.col("rel").isin(SIGNED)).select(F.substring_index("src", ":", -1).alias("outcome"), F.col("rel").alias("kind"), "dst")
+    got = ranked.select("entity", "outcome").join(out, "outcome").join(reached, ["entity", "dst"], "left_semi")
+    return got.select("entity", "outcome", "kind", F.substring_index("dst", ":", -1).alias("item"))
+
+
 def resolve_entries(present: DataFrame, nodes: DataFrame, feature_alias=None, value_alias=None, binary=(), positive=None, absent=ABSENT) -> DataFrame:
     """(entity, feature, value, node): the exact value node, else its presence node, else the
     feature node; `node` NULL = missing. Absent readings are skipped.
@@ -239,19 +286,21 @@ def match_fallback(ranked: DataFrame, k: int = 3, full: float = 5.0) -> DataFram
     return m.select("entity", "outcome", "rank", S.rnd(F.least(F.lit(1.0), F.col("score") / full), 6).alias("confidence"), "score", "n_cites")
 
 
-def retrieve(entries: DataFrame, ranked: DataFrame, context: DataFrame) -> DataFrame:
-    """One record per entity: entry nodes, missing readings, ranked outcomes and their context lines.
+def retrieve(entries: DataFrame, ranked: DataFrame, context: DataFrame, evidence: DataFrame) -> DataFrame:
+    """One record per entity: entry nodes, missing readings, ranked outcomes, their context and the snippets of their evidence.
 
-    `context(outcome, kind, item)` is knowledge-sized; lists are bounded by it.
+    `context` comes from `walked_context`, `evidence` from `evidence_list`; lists are bounded by outcomes and lines per outcome.
     """
+    s = evidence.groupBy("entity").agg(F.array_join(F.array_sort(F.collect_set("snippet")), ",").alias("snippets"))
     e = entries.groupBy("entity").agg(
         F.array_join(F.array_sort(F.collect_set("node")), ",").alias("entries"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("node").isNull(), F.concat_ws("=", "feature", "value")))), ",").alias("missing"),
     )
     r = ranked.groupBy("entity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "outcome"))), lambda x: x["outcome"]), ",").alias("outcomes"))
-    c = ranked.filter("score > 0").join(context, "outcome").groupBy("entity").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "kind", "item"))), ",").alias("context"))
+    c = context.groupBy("entity").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "kind", "item"))), ",").alias("context"))
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    return e.join(r, "entity", "left").join(c, "entity", "left").select("entity", "entries", "missing", blank("outcomes"), blank("context"))
+    rows = e.join(r, "entity", "left").join(c, "entity", "left").join(s, "entity", "left")
+    return rows.select("entity", "entries", "missing", blank("outcomes"), blank("context"), blank("snippets"))
 
 
 # ---- recalibration, parity, statistics ----------------------------------------------------------

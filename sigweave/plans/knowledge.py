@@ -266,6 +266,10 @@ class Evidence(B.Behaviour):
     def evidence(self) -> DataFrame:
         return G.rank_evidence(self.entries, self.groups)
 
+    @B.cached_property
+    def lines(self) -> DataFrame:
+        return G.evidence_list(self.entries, self.groups, cited_edges(self.spark, self.sf))
+
     @B.cached_property
     def matched(self) -> DataFrame:
         return cut(G.match_fallback(self.evidence))
@@ -302,15 +306,46 @@ def g11(spark, sf):
     return Evidence(spark, sf).matched.drop("score")
 
 
-CONTEXT = Dim("context", [("outcome", "string"), ("kind", "string"), ("item", "string")], [(o, k, f"{o} {k} {i}") for o in kb.OUTCOMES for k in ("symptom", "rec") for i in (1, 2)])
+C_LIST = """cit0 AS (SELECT src, rel, dst, snippet, source, max(weight) AS weight FROM ce GROUP BY ALL),
+cit AS (SELECT *, substr(dst, 9) AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY src, dst, rel ORDER BY weight DESC, source, snippet) AS rn FROM cit0) WHERE rn <= 6),
+evl AS (SELECT * FROM (SELECT entity, outcome, CASE WHEN contains(src, '=') THEN string_split(string_split(src, ':')[2], '=')[1] ELSE string_split(src, ':')[2] END AS feature,
+   CASE WHEN contains(src, '=') THEN string_split(src, '=')[2] ELSE '' END AS value, rel AS polarity, source, snippet, contribution,
+   CAST(row_number() OVER (PARTITION BY entity, outcome ORDER BY abs(contribution) DESC, weight DESC, rel = 'argues_against', src, source, snippet) AS INT) AS pos
+  FROM (SELECT DISTINCT entity, node AS src FROM entry WHERE node IS NOT NULL) e JOIN grp USING (src) JOIN cit USING (src, outcome, rel)) WHERE pos <= 6)"""
+
+
+@query("g9_evidence_list", with_([*P_EVID, C_LIST], "SELECT entity, outcome, pos, feature, value, polarity, source, snippet, contribution FROM evl"))
+def g9_list(spark, sf):
+    return Evidence(spark, sf).lines
+
+
+@query("g9_prompt_lines", with_([*P_EVID, C_LIST], """SELECT entity, outcome, pos, '- ' || feature || '=' || value || CASE WHEN polarity = 'argues_against' THEN ' argues AGAINST [' ELSE ' supports [' END || source || '] "' || snippet || '"' AS line FROM evl"""))
+def g9_prompt(spark, sf):
+    return G.prompt_lines(Evidence(spark, sf).lines)
+
+
+@query("g11_citations", with_([*P_EVID, C_LIST], "SELECT entity, outcome, pos, feature, source FROM evl JOIN mat USING (entity, outcome) WHERE pos <= 3"))
+def g11_citations(spark, sf):
+    b = Evidence(spark, sf)
+    return G.match_citations(b.matched, b.lines)
+
+
+#: what outcomes lead to; `mentions` is a relation that walks do not follow
+CONTEXT = Dim(
+    "ctx", [("src", "string"), ("rel", "string"), ("dst", "string")],
+    [(f"pattern:{o}", rel, f"{rel}:{o} {rel} {i}") for o in kb.OUTCOMES for rel in ("symptom", "rec", "question", "mentions") for i in (1, 2)],
+)
+WALKED = ["points_to", "argues_against", "symptom", "rec", "question"]
 
 
-@query("g10_retrieve", with_([*P_EVID, CONTEXT.cte()], """SELECT entity, coalesce(string_agg(DISTINCT node, ',' ORDER BY node), '') AS entries, coalesce(string_agg(feature || '=' || value, ',' ORDER BY feature || '=' || value) FILTER (node IS NULL), '') AS missing,
+@query("g10_retrieve", with_([*P_EVID, C_LIST, CONTEXT.cte()], """SELECT entity, coalesce(string_agg(DISTINCT node, ',' ORDER BY node), '') AS entries, coalesce(string_agg(feature || '=' || value, ',' ORDER BY feature || '=' || value) FILTER (node IS NULL), '') AS missing,
   coalesce((SELECT string_agg(outcome, ',' ORDER BY rank) FROM evk k WHERE k.entity = e.entity), '') AS outcomes,
-  coalesce((SELECT string_agg(DISTINCT kind || ':' || item, ',' ORDER BY kind || ':' || item) FROM evk k JOIN context USING (outcome) WHERE k.entity = e.entity AND k.score > 0), '') AS context FROM entry e GROUP BY entity"""))
+  coalesce((SELECT string_agg(DISTINCT x, ',' ORDER BY x) FROM (SELECT k.entity, c.rel || ':' || string_split(c.dst, ':')[2] AS x FROM evk k JOIN ctx c ON c.src = 'pattern:' || k.outcome WHERE c.rel <> 'mentions') q WHERE q.entity = e.entity), '') AS context,
+  coalesce((SELECT string_agg(DISTINCT snippet, ',' ORDER BY snippet) FROM evl l WHERE l.entity = e.entity), '') AS snippets FROM entry e GROUP BY entity"""))
 def g10(spark, sf):
     b = Evidence(spark, sf)
-    return G.retrieve(b.entries, b.evidence, CONTEXT.small(spark))
+    edges = cited_edges(spark, sf).select("src", "rel", "dst").distinct().unionByName(CONTEXT.small(spark))
+    return G.retrieve(b.entries, b.evidence, G.walked_context(b.entries, b.evidence, edges, WALKED), b.lines)
 
 
 C_BLEND = f"""gate AS (SELECT k.entity, k.outcome <> 'balanced' AND k.entity IN (SELECT entity FROM mat) AS on_ FROM ranked k WHERE rank = 1),
