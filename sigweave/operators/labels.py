@@ -113,6 +113,18 @@ def merge_labels(sets: Sequence[tuple[DataFrame, DataFrame, str]]) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def members(merged: DataFrame, domain: DataFrame) -> DataFrame:
+    """(feature, ord, value, id): who carries each value of the domain, values in domain order. Long rows, since a value may be very common."""
+    long = merged.select("id", F.explode("labels").alias("feature", "value"))
+    return long.join(domain, ["feature", "value"]).select("feature", "ord", "value", "id")
+
+
+def composite_tag(labels: Column, order: Sequence[str], short: dict[str, str]) -> Column:
+    """`short-value` of the features that have a value, in the given order, joined by two underscores."""
+    part = lambda f: F.when(F.coalesce(labels[f], F.lit("")) != "", F.concat(F.lit(short.get(f, f) + "-"), labels[f]))
+    return F.concat_ws("__", *[part(f) for f in order])
+
+
 def stratified_split(df: DataFrame, key: str, stratum: Column, fracs: dict, seed: int = 42) -> DataFrame:
     """Reproducible split by md5 order inside each stratum: test first, then val, rest train.
 

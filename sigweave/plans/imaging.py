@@ -189,34 +189,34 @@ def pr9(spark, sf):
     return g.select("image", status.alias("status"), msg.alias("message"))
 
 
-@query("pr21_multi_label_rows", """SELECT vec_id, array_to_string(list_transform(embedding[1:8], lambda x: CAST(x > 0.1 AS INT)), '') AS targets, CASE WHEN label < 5 THEN label/10.0::DOUBLE ELSE 1.0 END AS mask_share FROM embeddings WHERE label <> 3""")
+@query("pr21_multi_label_rows", """SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CAST(x > 0.1 AS INT)), '') AS targets, CASE WHEN label < 5 THEN label/10.0::DOUBLE ELSE 1.0 END AS mask_share FROM embeddings WHERE label <> 3""")
 def pr21(spark, sf):
     e = table(spark, sf, "embeddings")
     masks = e.filter("label < 5").select("vec_id", (F.col("label") / 10.0).alias("m"))
-    vec = F.transform(F.slice("embedding", 1, 8), lambda x: (x > 0.1).cast("int").cast("string"))
+    vec = F.transform("embedding", lambda x: (x > 0.1).cast("int").cast("string"))
     rows = e.filter("label <> 3").select("vec_id", F.array_join(vec, "").alias("targets"))
     return rows.join(masks, "vec_id", "left").select("vec_id", "targets", F.coalesce("m", F.lit(1.0)).alias("mask_share"))
 
 
-NAMES8 = [f"s{i}" for i in range(8)]
+NAMES = [f"s{i}" for i in range(64)]
 
 
-@query("f16_softmax_score", f"""WITH e AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: exp(x::DOUBLE*8 - list_max(embedding[1:8])::DOUBLE*8)) AS e FROM embeddings),
+@query("f16_softmax_score", f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: exp(x::DOUBLE*8 - list_max(embedding)::DOUBLE*8)) AS e FROM embeddings),
  p AS (SELECT vec_id, list_transform(e, lambda x: x/list_sum(e)) AS p FROM e)
- SELECT vec_id, 's' || (list_position(p, list_max(p))-1) AS value, {r('list_max(p)')} AS confidence, {r('(p[2]+2*p[3]+3*p[4]+4*p[5]+5*p[6]+6*p[7]+7*p[8])/7')} AS severity FROM p""")
+ SELECT vec_id, 's' || (list_position(p, list_max(p))-1) AS value, {r('list_max(p)')} AS confidence, {r('list_sum(list_transform(range(1, 65), lambda i: (i-1)*p[i]))/63.0::DOUBLE')} AS severity FROM p""")
 def f16(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double") * 8).alias("z"))
-    return G.softmax_score(e, "z", NAMES8).select("vec_id", "value", S.rnd(F.col("confidence"), 6).alias("confidence"), S.rnd(F.col("severity"), 6).alias("severity"))
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 8).alias("z"))
+    return G.softmax_score(e, "z", NAMES).select("vec_id", "value", S.rnd(F.col("confidence"), 6).alias("confidence"), S.rnd(F.col("severity"), 6).alias("severity"))
 
 
-@query("f17_sigmoid_score", f"""SELECT vec_id, 's' || (i-1) AS feature, CASE WHEN 1.0/(1.0+exp(-(embedding[i]::DOUBLE))) > 0.5 THEN 'present' ELSE 'absent' END AS value, {r('1.0/(1.0+exp(-(embedding[i]::DOUBLE)))')} AS severity FROM embeddings, range(1, 9) t(i)""")
+@query("f17_sigmoid_score", f"""SELECT vec_id, 's' || (i-1) AS feature, CASE WHEN 1.0/(1.0+exp(-(embedding[i]::DOUBLE))) > 0.5 THEN 'present' ELSE 'absent' END AS value, {r('1.0/(1.0+exp(-(embedding[i]::DOUBLE)))')} AS severity FROM embeddings, range(1, 65) t(i)""")
 def f17(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("z"))
-    return G.sigmoid_score(e, "z", NAMES8).select("vec_id", "feature", "value", S.rnd(F.col("severity"), 6).alias("severity"))
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("z"))
+    return G.sigmoid_score(e, "z", NAMES).select("vec_id", "feature", "value", S.rnd(F.col("severity"), 6).alias("severity"))
 
 
-# Three logits per vector, gold = label mod 3, val / test by hash.
-C_LOG = """lg AS (SELECT vec_id, label % 3 AS gold, [embedding[1]::DOUBLE*10, embedding[2]::DOUBLE*10, embedding[3]::DOUBLE*10] AS z, substr(md5('3|' || vec_id), 1, 1) < '8' AS val FROM embeddings),
+# Three logits per vector (sums over its parts), gold = label mod 3, val / test by hash.
+C_LOG = """lg AS (SELECT vec_id, label % 3 AS gold, list_transform([[1, 21], [22, 42], [43, 64]], lambda b: floor(list_sum(list_transform(embedding[b[1]:b[2]], lambda x: x::DOUBLE*10))*1e9+0.5)/1e9) AS z, substr(md5('3|' || vec_id), 1, 1) < '8' AS val FROM embeddings),
 pr AS (SELECT ln(count(*) FILTER (gold = 0)/count(*)) AS l0, ln(count(*) FILTER (gold = 1)/count(*)) AS l1, ln(count(*) FILTER (gold = 2)/count(*)) AS l2 FROM lg),
 taus AS (SELECT i/10.0::DOUBLE AS tau FROM range(0, 31) t(i))"""
 _ADJ = [r(f"z[{i + 1}] - tau*l{i}", 9) for i in range(3)]
@@ -230,7 +230,8 @@ bt AS (SELECT tau FROM mf WHERE val ORDER BY f DESC, tau LIMIT 1)"""
 @query("a21_fit_tau", with_([C_LOG, C_TAU], """SELECT CASE WHEN z.val THEN 'val' ELSE 'test' END AS split, b.tau, z.f AS base_f1, b.f AS best_f1, z.mr AS base_recall, b.mr AS best_recall FROM mf z JOIN mf b ON b.val = z.val AND b.tau = (SELECT tau FROM bt) WHERE z.tau = 0"""))
 def a21(spark, sf):
     e = table(spark, sf, "embeddings")
-    z = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double") * 10)
+    part = lambda a, n: S.rnd(F.aggregate(F.slice("embedding", a, n), F.lit(0.0), lambda s, x: s + x.cast("double") * 10), 9)
+    z = F.array(part(1, 21), part(22, 21), part(43, 22))
     val = F.substring(F.md5(F.concat_ws("|", F.lit("3"), F.col("vec_id").cast("string"))), 1, 1) < "8"
     lg = e.select((F.col("label") % 3).alias("gold"), z.alias("logits"), F.when(val, "val").otherwise("test").alias("split"))
     n = {x["gold"]: x["n"] for x in lg.groupBy("gold").agg(F.count("*").alias("n")).collect()}  # three classes

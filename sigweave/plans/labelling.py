@@ -414,17 +414,35 @@ def u6(spark, sf):
     return u.groupBy("target").agg(F.count("*").alias("n"), S.rnd(F.avg("v"), 6).alias("mean"), F.min("v").alias("lo"), F.max("v").alias("hi"))
 
 
-@query("u7_merge_labels", with_([C_MAN], """, a AS (SELECT 'a-' || doc_id AS id, CASE WHEN has_gold THEN quality_manual ELSE quality END AS quality, grade, CASE WHEN has_gold THEN toxic_manual END AS toxic FROM man WHERE lang = 'en' AND grade IS NOT NULL),
-  b AS (SELECT 'b-' || doc_id AS id, CASE WHEN has_gold THEN quality_manual ELSE quality END AS quality, grade, CASE WHEN has_gold THEN toxic_manual END AS toxic FROM man WHERE lang = 'fr' AND grade IS NOT NULL),
-  u AS (SELECT * FROM a UNION ALL SELECT * FROM b),
-  l AS (SELECT id, 'quality' AS feature, quality AS value FROM u UNION ALL SELECT id, 'grade', grade FROM u UNION ALL SELECT id, 'toxic', toxic FROM u)
-  SELECT id, feature, value FROM l WHERE value IS NOT NULL"""))
-def u7(spark, sf):
-    m = manifest(spark, sf).filter("grade is not null").withColumn("id", F.col("doc_id").cast("string"))
+SETS = {"en": "a", "fr": "b", "de": "c", "es": "d"}
+C_MERGED = "u7l AS (" + " UNION ALL ".join(
+    f"SELECT '{p}-' || doc_id AS id, CASE WHEN has_gold THEN quality_manual ELSE quality END AS quality, grade, CASE WHEN has_gold THEN toxic_manual END AS toxic FROM man WHERE lang = '{lang}'"
+    for lang, p in SETS.items()
+) + """), u7 AS (SELECT * FROM (SELECT id, 'quality' AS feature, quality AS value FROM u7l UNION ALL SELECT id, 'grade', grade FROM u7l UNION ALL SELECT id, 'toxic', toxic FROM u7l) WHERE value IS NOT NULL)"""
+
+
+def merged_labels(spark, sf) -> DataFrame:
+    m = manifest(spark, sf).withColumn("id", F.col("doc_id").cast("string"))
     core = lambda d: d.select("id", F.create_map(F.lit("quality"), F.col("quality"), F.lit("grade"), F.col("grade")).alias("labels"))
     extra = lambda d: d.filter("has_gold").select("id", F.create_map(F.lit("quality"), F.col("quality_manual"), F.lit("toxic"), F.col("toxic_manual")).alias("labels"))
-    en, fr = m.filter("lang = 'en'"), m.filter("lang = 'fr'")
-    return L.merge_labels([(core(en), extra(en), "a"), (core(fr), extra(fr), "b")]).select("id", F.explode("labels").alias("feature", "value"))
+    of = lambda lang: m.filter(F.col("lang") == lang)
+    return L.merge_labels([(core(of(lang)), extra(of(lang)), p) for lang, p in SETS.items()])
+
+
+@query("u7_merge_labels", with_([C_MAN, C_MERGED], "SELECT id, feature, value FROM u7"))
+def u7(spark, sf):
+    return merged_labels(spark, sf).select("id", F.explode("labels").alias("feature", "value")).filter("value is not null")
+
+
+@query("u7_members", with_([C_MAN, C_MERGED, DOMAIN.cte()], "SELECT feature, ord, value, id FROM u7 JOIN dom USING (feature, value)"))
+def u7_members(spark, sf):
+    return L.members(merged_labels(spark, sf), DOMAIN.small(spark))
+
+
+@query("u7_tags", with_([C_MAN, C_MERGED], "SELECT id, string_agg(substr(feature, 1, 1) || '-' || value, '__' ORDER BY CASE feature WHEN 'quality' THEN 0 WHEN 'grade' THEN 1 ELSE 2 END) AS tag FROM u7 GROUP BY 1"))
+def u7_tags(spark, sf):
+    tag = L.composite_tag(F.col("labels"), ["quality", "grade", "toxic"], {"quality": "q", "grade": "g", "toxic": "t"})
+    return merged_labels(spark, sf).select("id", tag.alias("tag")).filter("tag <> ''")
 
 
 @query("w1_stratified_split", with_([C_MAN], """, k AS (SELECT doc_id, has_gold, row_number() OVER (PARTITION BY has_gold ORDER BY md5('42|' || doc_id), doc_id) AS rn, count(*) OVER (PARTITION BY has_gold) AS n FROM man)
