@@ -41,12 +41,14 @@ RELIABILITY = {
     "purple_body": 0.17,
     "black_coating": 0.35,
 }
+UNLISTED = 0.35
 REMOVED = ["black_coating"]
 ZONES = {
     "red_tip": (["present", "strong"], "present", 0.85),
     "red_sides": (["present"], "present", 0.7),
     "moisture": (["wet"], "wet", 0.7),
 }
+# Votes of the zone signs, the kinds of signs without a domain, the axes of the coating grades.
 ZONE_VOTES = Dim(
     "zone_votes",
     [("feature", "string"), ("value", "string"), ("outcome", "string"), ("weight", "double")],
@@ -71,7 +73,7 @@ def rank_cases(spark: SparkSession, kb: K.Knowledge, curves: DataFrame, freq: Da
     """Ranked outcomes of every case: synthesised signals, votes, rules, confidences."""
     sig = C.synth_signals(cases, DOMAINS, SEVERITIES, list(RELIABILITY), ZONES)
     sig = sig.unionByName(C.axis_signals(sig, "coating", "greasy", "greasy_thick", AXES))
-    factor = F.lit(0.35)
+    factor = F.lit(UNLISTED)
     for f, w in RELIABILITY.items():
         factor = F.when(F.col("feature") == f, F.lit(w)).otherwise(factor)
     signs = kb.features.filter(~F.col("feature").isin(REMOVED)).select("feature", "kind").unionByName(OTHER_SIGNS.df(spark))
