@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sigweave.functions import scores as S
-from sigweave.operators.ranking import distributed_rank
+from sigweave.operators.ranking import numbered, sorted_rows
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -69,15 +69,15 @@ def binary_prf(pairs: DataFrame, by: Sequence[str] = ("feature",)) -> DataFrame:
 def average_precision(scored: DataFrame, key: str) -> DataFrame:
     """AP per feature: mean of precision@i over positives, by score descending, id on ties.
 
-    `scored(feature, key, score, g)` with g in 0/1; NULL without positives. The
-    rank and running positives come from the range-partitioned ranker, so one
-    feature holding most rows does not end in one task.
+    `scored(feature, key, score, g)` with g in 0/1; NULL without positives. Rows are sorted
+    and stored once; positives get their number among all rows and among positives from
+    totals per partition, so one feature holding most rows does not end in one task.
     """
-    r = distributed_rank(scored.select("feature", key, "score", "g"), ["feature"], [F.col("score").desc(), F.col(key)], sums=["g"])
-    prec = F.when(F.col("g") == 1, F.col("cum_g") / F.col("rn"))
-    return r.groupBy("feature").agg(
-        F.count("*").alias("n"), F.sum("g").alias("n_pos"), S.rnd(F.avg(prec), 6).alias("ap")
-    )
+    rows = sorted_rows(scored.select("feature", key, "score", "g"), ["feature"], [F.col("score").desc(), F.col(key)])
+    pos = rows.filter("g = 1").withColumn("_place", F.monotonically_increasing_id())
+    hits = numbered(numbered(pos, rows, ["feature"], "_mid", "rn"), pos, ["feature"], "_place", "tp")
+    ap = hits.groupBy("feature").agg(S.rnd(F.avg(F.col("tp") / F.col("rn")), 6).alias("ap"))
+    return rows.groupBy("feature").agg(F.count("*").alias("n"), F.sum("g").alias("n_pos")).join(ap, "feature", "left")
 
 
 def macro_map(ap: DataFrame, least: int = 20) -> DataFrame:

@@ -13,48 +13,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sigweave.dims import checked_broadcast
 from sigweave.session import cut
 
 
-def distributed_rank(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    sums: Sequence[str] = (),
-    rank_col: str = "rn",
-    size_col: str | None = None,
-) -> DataFrame:
-    """Add a 1-based row number per group and, for each column in `sums`, its running
-    sum `cum_<c>` up to and including the row. `order` must end in a unique column.
+def sorted_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The rows in (keys, order), dealt over range partitions and stored, with their place `_mid` and partition `_pid`.
 
-    The sorted rows are materialised once (`cut`) because the partition ids used
-    for the totals must be the ones the rows carry. Select narrow columns first.
+    They are materialised once (`cut`) because the partition ids used for totals must be the ones the rows carry.
+    Select narrow columns first; `order` must end in a unique column.
+    """
+    by = [*[F.col(k) for k in keys], *order]
+    placed = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_mid", F.monotonically_increasing_id()))
+    return placed.withColumn("_pid", F.shiftright("_mid", 33))
+
+
+def numbered(rows: DataFrame, base: DataFrame, keys: Sequence[str], place: str, rank_col: str, size_col: str | None = None) -> DataFrame:
+    """`rows` of sorted rows with their 1-based number among `base` per group, without another exchange.
+
+    Places of a group are consecutive inside a partition, so a row's number is its place less the first one, plus the
+    rows in earlier partitions: one small total per (group, partition).
     """
     keys = list(keys)
-    placed = df.repartitionByRange(*[F.col(k) for k in keys], *order).sortWithinPartitions(*[F.col(k) for k in keys], *order)
-    placed = cut(placed.withColumn("_mid", F.monotonically_increasing_id()))
-    placed = placed.withColumn("_pid", F.shiftright("_mid", 33))
-    totals = placed.groupBy(*keys, "_pid").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in sums])
+    totals = base.groupBy(*keys, "_pid").agg(F.count("*").alias("_n"), F.min(place).alias("_first"))
     before = W.partitionBy(*keys).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
-    offs = totals.select(
-        *keys,
-        "_pid",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_on"),
-        *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums],
-        *([F.sum("_n").over(W.partitionBy(*keys)).alias(size_col)] if size_col else []),
-    )
-    local = W.partitionBy(*keys, "_pid").orderBy("_mid")
-    run = local.rowsBetween(W.unboundedPreceding, 0)
-    part = placed.select(
-        "*", F.row_number().over(local).alias("_rn"), *[F.sum(c).over(run).alias(f"_c_{c}") for c in sums]
-    )
-    j = part.join(offs, [*keys, "_pid"])
-    return j.select(
-        *df.columns,
-        (F.col("_rn") + F.col("_on")).cast("bigint").alias(rank_col),
-        *[(F.col(f"_c_{c}") + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums],
-        *([size_col] if size_col else []),
-    )
+    size = [F.sum("_n").over(W.partitionBy(*keys)).alias(size_col)] if size_col else []
+    offs = cut(totals.select(*keys, "_pid", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), *size))
+    j = rows.join(checked_broadcast(offs), [*keys, "_pid"])
+    return j.withColumn(rank_col, (F.col(place) - F.col("_first") + 1 + F.col("_before")).cast("bigint")).drop("_first", "_before")
+
+
+def distributed_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank_col: str = "rn", size_col: str | None = None) -> DataFrame:
+    """Add a 1-based row number per group, with one range exchange. `order` must end in a unique column."""
+    placed = sorted_rows(df, keys, order)
+    ranked = numbered(placed, placed, keys, "_mid", rank_col, size_col)
+    return ranked.select(*df.columns, rank_col, *([size_col] if size_col else []))
 
 
 def hash_rank(df: DataFrame, keys: Sequence[str], hash_hex: str, tie: str, rank_col: str = "rn", size_col: str = "n") -> DataFrame:

@@ -382,12 +382,13 @@ def j9v(spark, sf):
     return M.contains_join(docs(spark, sf, "text"), "doc_id", "text", table(spark, sf, "benchmark"), "item_id", "text")
 
 
-@query("j12_validate_citations", r"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE doc_id + 1 END AS section, '  ' || translate(substr(text, 11, 300), 'aeiou', 'AEIOU') || ' ' AS snippet FROM documents WHERE trim(substr(text, 11, 300)) <> '')
+@query("j12_validate_citations", r"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE doc_id + 1 END AS section, '  ' || translate(substr(text, CAST(1 + (doc_id*7919) % greatest(length(text) - 300, 1) AS BIGINT), 300), 'aeiou', 'AEIOU') || ' ' AS snippet FROM documents)
  SELECT t.doc_id, substr(trim(snippet), 1, 200) AS snippet FROM t JOIN documents d ON d.doc_id = t.section WHERE contains(trim(regexp_replace(lower(d.text), '\s+', ' ', 'g')), trim(regexp_replace(lower(snippet), '\s+', ' ', 'g')))""")
 def j12(spark, sf):
     d = docs(spark, sf, "text")
     sec = F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).otherwise(F.col("doc_id") + 1)
-    trip = d.select("doc_id", sec.alias("section"), F.concat(F.lit("  "), F.translate(F.substring("text", 11, 300), "aeiou", "AEIOU"), F.lit(" ")).alias("snippet"))
+    at = (F.lit(1) + (F.col("doc_id") * 7919) % F.greatest(F.length("text") - 300, F.lit(1))).cast("int")  # anywhere in the text
+    trip = d.select("doc_id", sec.alias("section"), F.concat(F.lit("  "), F.translate(F.substring("text", at, F.lit(300)), "aeiou", "AEIOU"), F.lit(" ")).alias("snippet"))
     return M.validate_citations(trip, d.select(F.col("doc_id").alias("section"), "text"), "section", "snippet", "text").select("doc_id", "snippet")
 
 

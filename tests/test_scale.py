@@ -13,7 +13,7 @@ from sigweave.plans import QUERIES
 def test_distributed_rank_with_a_hot_group(spark):
     n = 3000
     d = spark.range(n).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("k"), ((F.col("id") * 7919) % 101).alias("v"), "id", (F.col("id") % 2).alias("g"))
-    r = distributed_rank(d.repartition(6), ["k"], [F.col("v").desc(), F.col("id")], sums=["g"], size_col="n")
+    r = distributed_rank(d.repartition(6), ["k"], [F.col("v").desc(), F.col("id")], size_col="n")
     rows = r.collect()
     groups = {}
     for x in rows:
@@ -21,10 +21,26 @@ def test_distributed_rank_with_a_hot_group(spark):
     assert sum(len(v) for v in groups.values()) == n
     for v in groups.values():
         v.sort(key=lambda x: (-x["v"], x["id"]))
-        cum = 0
         for i, x in enumerate(v, 1):
-            cum += x["g"]
-            assert (x["rn"], x["cum_g"], x["n"]) == (i, cum, len(v))
+            assert (x["rn"], x["n"]) == (i, len(v))
+
+
+def test_precision_of_a_hot_feature(spark):
+    d = spark.range(2000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise("other").alias("feature"), "id", (F.col("id") * 37 % 101 / 101).alias("score"), (F.col("id") % 7 == 0).cast("int").alias("g"))
+    got = {r["feature"]: (r["n"], r["n_pos"], r["ap"]) for r in evaluate.average_precision(d.repartition(5), "id").collect()}
+    for f in ("hot", "other"):
+        rows = sorted(((-r["score"], r["id"], r["g"]) for r in d.collect() if r["feature"] == f))
+        tp, total = 0, 0.0
+        for i, (_, _, g) in enumerate(rows, 1):
+            tp += g
+            total += g * tp / i
+        assert got[f] == (len(rows), tp, pytest.approx(total / tp, abs=1e-6))
+
+
+def test_rank_takes_one_exchange_of_rows(spark):
+    d = spark.range(500).select((F.col("id") % 3).alias("k"), "id")
+    plan = _plan(distributed_rank(d, ["k"], [F.col("id")]))
+    assert "Exchange hashpartitioning" not in plan and "Window" not in plan
 
 
 def test_hash_rank_is_a_permutation_of_each_group(spark):
