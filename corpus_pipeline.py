@@ -25,7 +25,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
-    return quality.with_score(docs, model, "_score").where(F.col("_score") >= QUALITY).drop("_score")
+    return quality.with_score(docs, model, "__score").where(F.col("__score") >= QUALITY).drop("__score")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
