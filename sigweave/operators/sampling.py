@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sigweave.functions import scores as S
+from sigweave.operators.ranking import sorted_rows
 
 
 def hash_order(key: str, seed: int) -> Column:
@@ -92,12 +93,25 @@ def pos_weight(pos: Column, neg: Column, hi: float = 15.0) -> Column:
     return S.clip(neg / F.greatest(pos, F.lit(1)), 1.0, hi)
 
 
-def resample(df: DataFrame, key: str, weight: str, seed: int) -> DataFrame:
-    """Expected-copies resampling with replacement: floor(w) copies plus a hash coin on the fraction."""
-    w = F.col(weight)
-    coin = unit_hash(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
-    copies = (F.floor(w) + F.when(coin < w - F.floor(w), 1).otherwise(0)).cast("int")
-    return df.withColumn("_n", copies).filter("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
+def resample(df: DataFrame, key: str, weight: str, n: int, seed: int, share: int = 1000) -> DataFrame:
+    """(draw, key): n draws with replacement in proportion to the weights (counted in millionths).
+
+    Every row owns a stretch of the running sum of weights; draw number i is a hash-made point on it. Points meet
+    stretches in cells that hold about `share` draws each, so the lookup is an equi join and a comparison inside cells.
+    """
+    rows = sorted_rows(df.select(key, F.floor(F.col(weight) * 1e6 + 0.5).cast("bigint").alias("_w")).filter("_w > 0"), [], [F.col(key)])
+    total = rows.agg(F.sum("_w").alias("t")).first()["t"] or 0
+    sums = rows.groupBy("_pid").agg(F.sum("_w").alias("_s"))  # a row per partition
+    before = F.coalesce(F.sum("_s").over(W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    run = F.sum("_w").over(W.partitionBy("_pid").orderBy("_mid").rowsBetween(W.unboundedPreceding, 0))
+    own = rows.withColumn("_run", run).join(F.broadcast(sums.select("_pid", before.alias("_before"))), "_pid")
+    width = max(1, total // max(1, n // share))
+    own = own.select(key, (F.col("_run") + F.col("_before") - F.col("_w")).alias("_lo"), (F.col("_run") + F.col("_before")).alias("_hi"))
+    cells = F.sequence(F.expr(f"_lo div {width}"), F.expr(f"(_hi - 1) div {width}"))
+    own = own.withColumn("_cell", F.explode(cells))
+    point = F.floor(unit_hash(F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"))) * float(total)).cast("bigint")
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), point.alias("_u")).withColumn("_cell", F.expr(f"_u div {width}"))
+    return draws.join(own, "_cell").filter("_u >= _lo and _u < _hi").select("draw", key)
 
 
 def name_pool(df: DataFrame, reject: str, name: Column) -> DataFrame:

@@ -364,12 +364,13 @@ def a19(spark, sf):
     return P.rarity_weights(targets(spark, sf), CLASSES).select("doc_id", S.rnd(F.col("weight"), 6).alias("weight"))
 
 
-@query("ml3_resample", with_([C_MAN, C_TARGETS, C_RARITY], """, c AS (SELECT doc_id, weight, ('0x' || substr(md5('7|' || doc_id), 1, 8))::UBIGINT / 4294967296.0 AS u FROM rar),
-  n AS (SELECT doc_id, floor(weight) + CASE WHEN u < weight - floor(weight) THEN 1 ELSE 0 END AS n FROM c)
-  SELECT doc_id, CAST(i AS INT) AS copy FROM n, LATERAL (SELECT unnest(range(1, n.n::BIGINT + 1)) AS i)"""))
+@query("ml3_resample", with_([C_MAN, C_TARGETS, C_RARITY], """, c AS (SELECT doc_id, CAST(floor(weight*1e6 + 0.5) AS BIGINT) AS w FROM rar),
+  k AS (SELECT doc_id, sum(w) OVER (ORDER BY doc_id) - w AS lo, sum(w) OVER (ORDER BY doc_id) AS hi FROM c),
+  d AS (SELECT i AS draw, floor(('0x' || substr(md5('7|' || i), 1, 8))::UBIGINT / 4294967296.0::DOUBLE * (SELECT sum(w) FROM c)::DOUBLE) AS u FROM range(0, (SELECT count(*) FROM rar)) t(i))
+  SELECT draw, doc_id FROM d JOIN k ON u >= lo AND u < hi"""))
 def ml3(spark, sf):
     w = P.rarity_weights(targets(spark, sf), CLASSES).select("doc_id", S.rnd(F.col("weight"), 6).alias("weight"))
-    return P.resample(w, "doc_id", "weight", 7).select("doc_id", "copy")
+    return P.resample(w, "doc_id", "weight", w.count(), 7)
 
 
 @query("a20_class_weights", with_([C_MAN, C_TARGETS, DOMAIN.cte()], f""", lg AS (SELECT 'grade' AS feature, grade AS value FROM tg UNION ALL SELECT 'quality', quality FROM tg UNION ALL SELECT 'toxic', toxic FROM tg),
