@@ -139,8 +139,6 @@ class Codec:
 
     def learn(self, words: set[str]) -> None:
         """Adds the ids of pre-tokens to the memo: the perfect hash first, the heap for what it does not hold."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
         new = list(words)
         raw = [w.encode() for w in new]
         for w, b, i in zip(new, raw, self.table.find(raw), strict=True):
@@ -151,15 +149,11 @@ class Codec:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         out = []
         for words in pre_tokens(text):
+            if len(self.memo) > MEMO:
+                self.memo.clear()
             if new := set(words).difference(self.memo):
                 self.learn(new)
-                if len(self.memo) < len(new):  # emptied meanwhile
-                    self.learn(set(words).difference(self.memo))
-            try:
-                out.append(b"".join(map(self.memo.__getitem__, words)))
-            except KeyError:
-                self.learn(set(words).difference(self.memo))
-                out.append(b"".join(map(self.memo.__getitem__, words)))
+            out.append(b"".join(map(self.memo.__getitem__, words)))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:

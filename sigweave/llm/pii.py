@@ -2,8 +2,8 @@
 
 Base rules (email, ip, card, phone) are applied as the contract states them, in forms that take linear time on any text.
 The tagger is trained here: windows around digits and `@` of a bounded sample (by hash, `sample` windows) are labelled
-with the base spans; in half of the copies a span is rewritten as people disguise it (` at `, blanks around dots, a phone
-without its country code, dots in a card), so that the model learns forms the rules miss.
+with the base spans; each labelled window comes a second time with its spans rewritten as people disguise them (` at `,
+blanks around dots, a phone without its country code, dots in a card), so that the model learns forms the rules miss.
 
 Every text is covered: wherever a digit or an `@` stands, windows with `MARGIN` characters of context overlap by half. They
 are decoded together; each character takes its tag from the window in which it is most central, and runs of tags over
@@ -226,7 +226,7 @@ def fit_tagger(docs: DataFrame, sample: int = 2500, epochs: int = 6, seed: int =
     if not any(spans for _, spans in got):
         return None
     rng = np.random.default_rng(seed)
-    rows = [example(w, s, rng if i % 2 and s else None) for i, (w, s) in enumerate(got)]
+    rows = [example(w, s, None) for w, s in got] + [example(w, s, rng) for w, s in got if s]
     model = Tagger(N_CODES, N_TAGS)
     model.train(np.stack([c for c, _ in rows]), np.stack([t for _, t in rows]), epochs=epochs)
     return model
