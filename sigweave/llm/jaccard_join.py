@@ -10,9 +10,10 @@ of them that its agreeing words might all be empty.
 Keys travel in blobs (a row per block of documents and bucket), so a shuffle moves about 10 bytes per key. Members of a
 key form a run; equal runs are one run. In a run a second parity sketch (1 bit per shingle, `BITS` bits) bounds the
 difference again, with whole rows of Hamming distances at a time. What passes is verified on whole sets. A run never
-emits all its pairs: members that are in one class already are skipped, and while more than `PER_MEMBER` pairs per member
-are open, each member proposes only its nearest ones outside its class, one in the first round and `PER_MEMBER` times
-as many in each further one; rounds go on until no run is open, so no link between classes is lost. Runs over `BLOCK` members are split into pairs of blocks.
+emits all its pairs: members that are in one class already are skipped, and while more than `CLOSED` pairs per member
+are open, each member proposes only those with the smallest ids outside its class (the same ones in most of its runs), one
+in the first round and `GROWTH` times as many in each further one; rounds go on until no run is open, so no link between
+classes is lost. Runs over `BLOCK` members are split into pairs of blocks.
 
 Equal sets are one node (its smallest doc_id). Of equal sets in a block of documents only the smallest id sends keys.
 Components are found on links in shared tables; no list of links or ids reaches the driver.
@@ -33,7 +34,8 @@ from sigweave.llm.shingles import mixed, shingles
 from sigweave.llm.textbytes import text_bytes
 from sigweave.session import cut
 
-BITS, BLOCK, PER_MEMBER, DOCS, SLICE = 1024, 2000, 8, 2000, 500
+BITS, BLOCK, DOCS, SLICE = 1024, 2000, 2000, 500
+CLOSED, GROWTH = 2, 8
 
 
 def size_bands(percent: int, upto: int = 1 << 40) -> np.ndarray:
@@ -198,7 +200,7 @@ def _propose(percent: int, turn: int):
         doc, comp, n = doc[order], comp[order], n[order]
         bits = np.frombuffer(b"".join(x.as_py() for x in t["bits"].combine_chunks().take(pa.array(order))), np.uint64).reshape(len(doc), -1)
         last = np.searchsorted(n * percent, 100 * n, "right")  # partners are at most 100 / percent as large
-        pairs, near = [], []
+        pairs = []
         if comp.min() != comp.max():
             for i in range(len(doc)):
                 j = np.arange(i + 1, last[i])
@@ -209,17 +211,16 @@ def _propose(percent: int, turn: int):
                 ok = h * (100 + percent) <= (100 - percent) * (n[i] + n[j])
                 if ok.any():
                     pairs.append(np.stack([np.full(ok.sum(), i), j[ok]], 1))
-                    near.append(h[ok])
         if pairs:
-            pairs, near = np.concatenate(pairs), np.concatenate(near)
-            if len(pairs) > PER_MEMBER * len(doc):
-                both, far = np.concatenate([pairs, pairs[:, ::-1]]), np.concatenate([near, near])
-                by = np.lexsort((both[:, 1], far, both[:, 0]))
+            pairs = np.concatenate(pairs)
+            if len(pairs) > CLOSED * len(doc):
+                both = np.concatenate([pairs, pairs[:, ::-1]])
+                by = np.lexsort((doc[both[:, 1]], both[:, 0]))
                 first = np.flatnonzero(np.r_[True, np.diff(both[by, 0]) != 0])
                 count = np.diff(np.r_[first, len(by)])
                 nth = np.arange(len(by)) - np.repeat(first, count)
-                if count.max() > PER_MEMBER**turn:
-                    pairs = np.unique(np.sort(both[by[nth < PER_MEMBER**turn]], 1), axis=0)
+                if count.max() > GROWTH**turn:
+                    pairs = np.unique(np.sort(both[by[nth < GROWTH**turn]], 1), axis=0)
                     out = {"run": [name], "a": [None], "b": [None]}
             pairs = np.sort(doc[pairs], 1)
             out = {k: out[k] + v for k, v in {"run": [name] * len(pairs), "a": pairs[:, 0].tolist(), "b": pairs[:, 1].tolist()}.items()}
