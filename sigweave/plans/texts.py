@@ -203,6 +203,34 @@ def f13(spark, sf):
     return a.unionByName(b)
 
 
+@query("f13_knowledge_chunks", """WITH f AS (SELECT p_partkey AS doc, p_name AS name, p_type AS type, p_brand AS brand, p_size AS size FROM part)
+ SELECT doc, 'feature:' || name AS id, name || ' — when present: ' || type || '. In plain terms: ' || brand || '.' AS text, 'a; b' AS source FROM f WHERE size % 2 = 0
+ UNION ALL SELECT doc, 'feature:' || name || '=low', name || ' ''low'' (' || type || '): size ' || size || CASE WHEN size % 3 = 0 THEN '' ELSE ' Traditionally associated with: ' || brand || '.' END, 'a; b' FROM f
+ UNION ALL SELECT doc, 'extra:' || brand, brand || ': ' || type || '. ', 'a; b' FROM f
+ UNION ALL SELECT doc, 'pattern:' || type, type || ' (' || brand || '): made' || CASE WHEN size > 25 THEN ' Often noticed: ' || name || ', ' || brand || '.' ELSE '' END || ' Modern view: new. Wellness notes: 1; 2; 3; 4.', 'book' FROM f
+ UNION ALL SELECT doc, 'rule:r' || size, 'Combination reasoning: ' || name, brand FROM f WHERE size > 10
+ UNION ALL SELECT doc, 'zone:tip', 'Part tip reflects ' || type || ': ' || name, 'map' FROM f""")
+def f13_knowledge(spark, sf):
+    from sigweave.sources.knowledge import KNOWLEDGE, knowledge_chunks
+
+    st = lambda **c: F.struct(*[v.alias(k) for k, v in c.items()])
+    p, size = table(spark, sf, "part"), F.col("p_size")
+    c, none = F.col, F.lit(None).cast("string")
+    low = st(tcm_term=c("p_type"), plain_gloss=F.concat(F.lit("size "), size.cast("string")), points_to=F.when(size % 3 != 0, F.create_map("p_brand", F.lit(0.5))))
+    feature = st(label=none, kind=F.when(size % 2 == 0, "graded_value").otherwise("categorical"), present_tcm=c("p_type"), present_plain=c("p_brand"), values=F.create_map(F.lit("low"), low))
+    advice = F.create_map(F.lit("diet"), F.array(F.lit("1"), F.lit("2"), F.lit("3")), F.lit("lifestyle"), F.array(F.lit("4"), F.lit("5")))
+    seen = F.when(size > 25, F.array("p_name", "p_brand"))
+    outcome = st(tcm_name=none, plain_name=c("p_brand"), explanation=F.lit("made"), associated_symptoms=seen, recommendations=advice, modern_correlation=F.lit("new"))
+    rule = st(id=F.concat(F.lit("r"), size.cast("string")), note=F.when(size > 10, c("p_name")), cite=c("p_brand"))
+    nested = st(
+        features=F.create_map(c("p_name"), feature), extra_features=F.create_map(c("p_brand"), st(present_tcm=c("p_type"))),
+        patterns=F.create_map(c("p_type"), outcome, F.lit("balanced"), outcome), combination_rules=F.array(rule),
+        regions=F.create_map(F.lit("tip"), st(organs=c("p_type"), note=c("p_name"))), sources=F.array(F.lit("a"), F.lit("b"), F.lit("c")),
+    )
+    d = p.select(c("p_partkey").alias("doc"), F.from_json(F.to_json(nested), KNOWLEDGE).alias("d")).select("doc", "d.*")
+    return knowledge_chunks(d, ["doc"], zone_prefix="Part ", outcome_source="book", zone_source="map")
+
+
 NAME_LIST = [("aten", "d"), ("ción", "c"), ("ation", "a"), ("eaux", "b"), ("src1", "e")]
 
 

@@ -8,15 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _VALUE = "struct<tcm_term:string,plain_gloss:string,points_to:map<string,double>>"
-_FEATURE = f"struct<label:string,kind:string,absent_value:string,tcm_term:string,points_to:map<string,double>,values:map<string,{_VALUE}>>"
+_FEATURE = f"struct<label:string,kind:string,absent_value:string,tcm_term:string,present_tcm:string,present_plain:string,points_to:map<string,double>,values:map<string,{_VALUE}>>"
 _PATTERN = (
-    "struct<tcm_name:string,plain_name:string,explanation:string,associated_symptoms:array<string>,"
+    "struct<tcm_name:string,plain_name:string,explanation:string,associated_symptoms:array<string>,modern_correlation:string,"
     "recommendations:map<string,array<string>>,followup_questions:array<struct<q:string,weight:double>>>"
 )
 _RULE = "struct<id:string,when:map<string,string>,any:map<string,string>,boost:map<string,double>,enabled:boolean,cite:string,note:string>"
 KNOWLEDGE = (
     f"severity_bands array<struct<max:double,word:string>>, features map<string,{_FEATURE}>, extra_features map<string,{_FEATURE}>, "
-    f"patterns map<string,{_PATTERN}>, combination_rules array<{_RULE}>, regions map<string,string>, symptom_patterns map<string,map<string,double>>"
+    f"patterns map<string,{_PATTERN}>, combination_rules array<{_RULE}>, regions map<string,string>, symptom_patterns map<string,map<string,double>>, sources array<string>"
 )
 STATS = "graded map<string,struct<mean:double,q:array<double>>>, categorical map<string,map<string,double>>"
 
@@ -103,3 +103,50 @@ def read_cases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         d.select(F.col("c.id").alias("entity"), F.explode("c.features").alias("feature", "value")),
         d.select(F.col("c.id").alias("entity"), F.explode("c.accept").alias("outcome")),
     )
+
+
+# How entries of a knowledge document read as corpus chunks.
+WHEN_PRESENT, PLAIN, LEADS_TO = " — when present: ", ". In plain terms: ", " Traditionally associated with: "
+NOTICED, VIEW, NOTES, REASONING, REFLECTS = " Often noticed: ", " Modern view: ", " Wellness notes: ", "Combination reasoning: ", " reflects "
+
+
+def knowledge_chunks(docs: DataFrame, keep: list[str], balanced: str = "balanced", zone_prefix: str = "Tongue ", outcome_source: str = "", zone_source: str = "") -> DataFrame:
+    """(*keep, id, text, source): corpus chunks of nested knowledge documents (the columns of `KNOWLEDGE`).
+
+    One chunk per graded feature, value with a gloss or term, extra feature, outcome (but the neutral one), rule with a
+    note and zone with organs. Every chunk is made from one entry, so this is a chain of local explodes.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    some = lambda c: text(c) != ""
+    first_two = F.array_join(F.slice(F.coalesce("sources", F.array().cast("array<string>")), 1, 2), "; ")
+    d = docs.withColumn("_src", first_two)
+    of = lambda col: d.select(*keep, "_src", F.explode(col).alias("k", "f")).withColumn("label", F.coalesce("f.label", "k"))
+    core, extra = of("features"), of("extra_features")
+    out = lambda rows, i, t, src: rows.select(*keep, i.alias("id"), t.alias("text"), src.alias("source"))
+    k, label, src = F.col("k"), F.col("label"), F.col("_src")
+    graded = core.filter((F.col("f.kind") == "graded_value") & some(F.col("f.present_tcm")))
+    a = out(graded, F.concat(F.lit("feature:"), k), F.concat(label, F.lit(WHEN_PRESENT), text(F.col("f.present_tcm")), F.lit(PLAIN), text(F.col("f.present_plain")), F.lit(".")), src)
+    v = core.select(*keep, "_src", "k", "label", F.explode("f.values").alias("v", "x")).filter(some(F.col("x.plain_gloss")) | some(F.col("x.tcm_term")))
+    to = F.array_join(F.map_keys(F.coalesce("x.points_to", F.create_map().cast("map<string,double>"))), ", ")
+    tail = F.when(to != "", F.concat(F.lit(LEADS_TO), to, F.lit("."))).otherwise("")
+    body = F.concat(label, F.lit(" '"), F.col("v"), F.lit("' ("), text(F.col("x.tcm_term")), F.lit("): "), text(F.col("x.plain_gloss")), tail)
+    b = out(v, F.concat(F.lit("feature:"), k, F.lit("="), F.col("v")), body, src)
+    e = extra.filter(some(F.col("f.present_tcm")) | some(F.col("f.present_plain")))
+    c = out(e, F.concat(F.lit("extra:"), k), F.concat(label, F.lit(": "), text(F.col("f.present_tcm")), F.lit(". "), text(F.col("f.present_plain"))), src)
+    p = d.select(*keep, F.explode("patterns").alias("k", "p")).filter(k != balanced)
+    listed = lambda c, sep: F.array_join(c, sep)
+    of_kind = lambda n: F.coalesce(F.try_element_at("p.recommendations", F.lit(n)), F.array().cast("array<string>"))
+    advice = F.slice(F.concat(of_kind("diet"), of_kind("lifestyle")), 1, 4)
+    symptoms = listed(F.coalesce("p.associated_symptoms", F.array().cast("array<string>")), ", ")
+    body = F.concat(
+        F.coalesce("p.tcm_name", "k"), F.lit(" ("), text(F.col("p.plain_name")), F.lit("): "), text(F.col("p.explanation")),
+        F.when(symptoms != "", F.concat(F.lit(NOTICED), symptoms, F.lit("."))).otherwise(""),
+        F.when(some(F.col("p.modern_correlation")), F.concat(F.lit(VIEW), F.col("p.modern_correlation"), F.lit("."))).otherwise(""),
+        F.when(F.size(advice) > 0, F.concat(F.lit(NOTES), listed(advice, "; "), F.lit("."))).otherwise(""),
+    )
+    g = out(p, F.concat(F.lit("pattern:"), k), body, F.lit(outcome_source))
+    r = d.select(*keep, F.explode("combination_rules").alias("r")).filter(some(F.col("r.note")))
+    h = out(r, F.concat(F.lit("rule:"), F.col("r.id")), F.concat(F.lit(REASONING), F.col("r.note")), text(F.col("r.cite")))
+    z = d.select(*keep, F.explode("regions").alias("k", "z")).select(*keep, "k", F.from_json("z", "organs string, note string").alias("z")).filter(some(F.col("z.organs")))
+    i = out(z, F.concat(F.lit("zone:"), k), F.concat(F.lit(zone_prefix), k, F.lit(REFLECTS), F.col("z.organs"), F.lit(": "), text(F.col("z.note"))), F.lit(zone_source))
+    return a.unionByName(b).unionByName(c).unionByName(g).unionByName(h).unionByName(i)
