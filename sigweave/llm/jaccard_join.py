@@ -8,8 +8,8 @@ sets agree in a word (pigeonhole): sketch words are the join keys. Empty words a
 of them that its agreeing words might all be empty.
 
 Keys travel in blobs (a row per block of documents and bucket), so a shuffle moves about 10 bytes per key. Members of a
-key form a run; equal runs are one run. In a run a second parity sketch (1 bit per shingle, `BITS` bits) bounds the
-difference again, with whole rows of Hamming distances at a time. What passes is verified on whole sets. A run never
+key form a run; equal runs are one run. In a run a second parity sketch (1 bit per shingle, as many bits as shingles
+at least) bounds the difference again, with whole rows of Hamming distances at a time. What passes is verified on whole sets. A run never
 emits all its pairs: members that are in one class already are skipped, and while more than `CLOSED` pairs per member
 are open, each member proposes only those with the smallest ids outside its class (the same ones in most of its runs), one
 in the first round and `GROWTH` times as many in each further one; rounds go on until no run is open, so no link between
@@ -73,8 +73,16 @@ def sketch_keys(s: np.ndarray, level: int, d: int, g: int) -> np.ndarray:
 
 
 def parity_bits(s: np.ndarray) -> bytes:
-    at = (mixed(s ^ np.uint64(0xA5A5A5A5)) % np.uint64(BITS)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    """A bit per shingle, XORed: `BITS` bits, doubled until there are as many as shingles. A longer sketch folds to a shorter one."""
+    size = max(BITS, 1 << max(0, len(s) - 1).bit_length())
+    at = (mixed(s ^ np.uint64(0xA5A5A5A5)) % np.uint64(size)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of words, all folded to the shortest one's length (bits that meet are XORed)."""
+    n = min(map(len, sketches)) // 8
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, n), 0) for x in sketches])
 
 
 def set_keys(s: np.ndarray) -> tuple[int, int]:
@@ -198,7 +206,7 @@ def _propose(percent: int, turn: int):
         out = {"run": [], "a": [], "b": []}
         order = np.lexsort((doc, n))
         doc, comp, n = doc[order], comp[order], n[order]
-        bits = np.frombuffer(b"".join(x.as_py() for x in t["bits"].combine_chunks().take(pa.array(order))), np.uint64).reshape(len(doc), -1)
+        bits = folded(t["bits"].combine_chunks().take(pa.array(order)).to_pylist())
         last = np.searchsorted(n * percent, 100 * n, "right")  # partners are at most 100 / percent as large
         pairs = []
         if comp.min() != comp.max():

@@ -161,3 +161,12 @@ def test_removal_keeps_columns_and_odd_rows(spark):
     texts = {r.row: (r.text, r["first"]) for r in got.collect()}
     assert texts == {1: (long, "p"), 2: ("", "q"), 3: ("", "r"), 4: (None, "s"), 5: ("", "t"), 6: ("ü", "u")}
     assert suffix_dedup.dedup_report(docs.limit(0)).count() == 0
+
+
+def test_parity_sketches_bound_the_difference():
+    r = np.random.default_rng(5)
+    for n, m in ((50, 60), (1000, 1200), (1500, 3000), (9000, 5000)):
+        a, b = r.integers(0, 1 << 60, n).astype(np.uint64), r.integers(0, 1 << 60, m).astype(np.uint64)
+        b[: min(n, m) // 2] = a[: min(n, m) // 2]
+        x = jaccard_join.folded([jaccard_join.parity_bits(np.unique(s)) for s in (a, b)])
+        assert int(np.bitwise_count(x[0] ^ x[1]).sum()) <= len(np.setxor1d(a, b))
