@@ -110,7 +110,7 @@ def windows_of(marks: np.ndarray, size: int) -> list[tuple[int, int, int, int]]:
 def tags_of(spans: Iterable[tuple[int, int, int]], size: int) -> np.ndarray:
     tags = np.zeros(size, np.int64)
     for kind, s, e in sorted(spans, key=lambda x: x[1]):
-        if not tags[s:e].any():
+        if s < e and not tags[s:e].any():
             tags[s:e] = 2 + 2 * kind
             tags[s] = 1 + 2 * kind
     return tags

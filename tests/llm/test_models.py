@@ -131,3 +131,13 @@ def test_descent_separates(n):
     m = quality.fit(rows, good, 8)
     margin = np.array([m.weight[x].sum() / np.sqrt(m.square[x].sum()) for x in rows]) + m.bias
     assert (margin[good == 1].min() > margin[good == 0].max()) or ((m.slope * margin + m.shift > 0) == (good == 1)).mean() > 0.95
+
+
+def test_examples_of_spans_at_window_ends():
+    r = np.random.default_rng(1)
+    text = "x" * (pii.WINDOW - 3) + "+12"
+    for kind in range(4):
+        for span in ((kind, pii.WINDOW - 3, pii.WINDOW), (kind, 0, 1), (kind, pii.WINDOW - 1, pii.WINDOW)):
+            for _ in range(4):
+                codes, tags = pii.example(text, [span], r)
+                assert len(codes) == len(tags) == pii.WINDOW
