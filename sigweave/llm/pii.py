@@ -1,8 +1,8 @@
 """Personal data in whole texts: base rules and a character BiLSTM-CRF trained on labelled spans.
 
 Base rules (email, ip, card, phone) are applied as the contract states them, in forms that take linear time on any text.
-The tagger is trained here: windows around digits and `@` of a bounded sample (by hash, `sample` windows) are labelled
-with the base spans; each labelled window comes a second time with its spans rewritten as people disguise them (` at `,
+The tagger is trained here: distinct windows of a bounded sample (by hash, about `sample`) are labelled with the base
+spans: some about spans of each kind, some around digits and `@` without a span, some of the other text; each labelled window comes a second time with its spans rewritten as people disguise them (` at `,
 blanks around dots, a phone without its country code, dots in a card), so that the model learns forms the rules miss.
 
 Every text is covered: wherever a digit or an `@` stands, windows with `MARGIN` characters of context overlap by half. They
@@ -11,20 +11,24 @@ the whole text become spans. Added spans are those that touch no base span, hold
 `SHORTEST` characters. A text without digits and `@` can hold none of the four kinds.
 
 Defined results: a null text is empty (no spans, checksum of the empty string); repeated rows each get their row;
-without any window to train on nothing is added; texts of any length are handled in batches of windows.
+without any base span in the whole table nothing is added; texts of any length are handled in batches of windows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sigweave.llm.bilstm_crf import Tagger
+from sigweave.session import cut
 
 KINDS = ("email", "ip", "card", "phone")
 MARK = re.compile(r"[0-9@]")
@@ -91,6 +95,12 @@ def codes_of(text: str) -> np.ndarray:
     return CODES[np.minimum(points, 255)]
 
 
+#: strata of the training windows: the kinds, then windows without a span
+MARKED, PLAIN, STRATA = len(KINDS), len(KINDS) + 1, len(KINDS) + 2
+#: characters by which a disguise lengthens a span, about
+DISGUISED = 8
+
+
 def windows_of(marks: np.ndarray, size: int) -> list[tuple[int, int, int, int]]:
     """(start, end, first, last): windows over `size` characters and the part of each that its tags count for."""
     out = []
@@ -198,30 +208,80 @@ def example(text: str, spans: list[tuple[int, int, int]], rng: np.random.Generat
     return codes, tags
 
 
+def labelled_windows(text: str) -> Iterable[tuple[int, int, int, list[tuple[int, int, int]]]]:
+    """(stratum, start, end, spans inside) of a text's windows.
+
+    A window about each base span has its kind as stratum, windows without any span have `MARKED` or `PLAIN`: those around
+    digits and `@`, and those over the rest of the text.
+    """
+    spans, size, marked = base_spans(text), len(text), np.empty(0, np.int64)
+    held = np.zeros(size + 1, np.int64)
+    for _, a, z in spans:
+        held[a + 1 : z + 1] = 1
+    held = np.cumsum(held)
+    by_start = sorted(spans, key=lambda x: x[1])
+    starts = [x[1] for x in by_start]
+    longest = max((z - a for _, a, z in spans), default=0)
+    for kind, a, z in by_start:
+        room = max(0, WINDOW - DISGUISED - (z - a))  # the place in the window differs from span to span
+        s = max(0, a - zlib.crc32(text[a:z].encode("utf-8", "surrogatepass")) % (room + 1))
+        e = min(size, s + WINDOW)
+        near = by_start[bisect_left(starts, s - longest) : bisect_left(starts, e)]
+        s = max([s, *(y for _, x, y in near if x < s < y <= a)])  # a piece of another span is no example
+        e = min([e, *(x for _, x, y in near if z <= x < e < y)])
+        yield kind, s, e, [(k, max(x, s) - s, min(y, e) - s) for k, x, y in near if x < e and s < y]
+    if MARK.search(text):
+        marks = marks_of(codes_of(text))
+        for s, e, _, _ in windows_of(marks, size):
+            if held[e] == held[s]:
+                yield MARKED, s, e, []
+        marked = np.zeros(size + 1, np.int64)
+        marked[marks + 1] = 1
+        marked = np.cumsum(marked)
+    for s in range(0, size, WINDOW):
+        e = min(size, s + WINDOW)
+        if not len(marked) or marked[e] == marked[s]:
+            yield PLAIN, s, e, []
+
+
 def training_windows(docs: DataFrame, sample: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """At most `sample` windows (by hash of their text) with the base spans that lie in them."""
+    """At most about `sample` distinct windows with the base spans that lie in them: those of each stratum by hash.
+
+    The first of a stratum in the whole table are among the first of some task, so each task hands on no more than these.
+    """
+    quota = [-(-sample // 8)] * (STRATA - 1) + [-(-3 * sample // 8)]  # most of a corpus is plain
 
     def run(batches):
+        have: list[dict] = [{} for _ in range(STRATA)]
+        bar = [np.iinfo(np.int64).max] * STRATA
         for b in batches:
-            texts, marks = [], []
             for t in b["text"]:
                 text = t.as_py()
-                if not text or not MARK.search(text):
-                    continue
-                codes, spans = codes_of(text), base_spans(text)
-                for s, e, _, _ in windows_of(marks_of(codes), len(codes)):
-                    own = [(k, max(a, s) - s, min(z, e) - s) for k, a, z in spans if a < e and s < z]
-                    texts.append(text[s:e])
-                    marks.append(" ".join(f"{k}:{a}:{z}" for k, a, z in own))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(marks, pa.string())], ["w", "spans"])
-
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "w string, spans string")
-    rows = rows.orderBy(F.xxhash64("w"), "w").limit(sample).collect()
-    return [(r["w"], [tuple(map(int, x.split(":"))) for x in r["spans"].split()]) for r in rows]
+                for stratum, s, e, own in labelled_windows(text or ""):
+                    w, spans = text[s:e], " ".join(f"{k}:{a}:{z}" for k, a, z in own)
+                    raw = f"{w}\0{spans}".encode("utf-8", "surrogatepass")
+                    h = (zlib.crc32(raw) << 31) ^ zlib.crc32(raw, 0x9E3779B9)
+                    if h > bar[stratum]:
+                        continue
+                    have[stratum][h, w, spans] = None
+                    if len(have[stratum]) >= 2 * quota[stratum]:
+                        have[stratum] = dict.fromkeys(sorted(have[stratum])[: quota[stratum]])
+                        bar[stratum] = max(have[stratum])[0]
+        rows = [(i, *x) for i, found in enumerate(have) for x in sorted(found)[: quota[i]]]
+        if rows:
+            cols = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.string(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays(cols, ["stratum", "h", "w", "spans"])
+
+    schema = "stratum int, h long, w string, spans string"
+    rows = cut(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, schema)).distinct()
+    order = ["h", "w", "spans"]
+    parts = [rows.where(F.col("stratum") == i).orderBy(*order).limit(quota[i]) for i in range(STRATA)]
+    got = sorted(tuple(r) for r in reduce(DataFrame.unionAll, parts).collect())
+    return [(w, [tuple(map(int, x.split(":"))) for x in spans.split()]) for _, _, w, spans in got]
 
 
 def fit_tagger(docs: DataFrame, sample: int = 2500, epochs: int = 6, seed: int = 17) -> Tagger | None:
-    """The tagger, trained on a bounded sample of windows of docs(text)."""
+    """The tagger, trained on a bounded sample of windows of docs(text); None where no text has a base span."""
     got = training_windows(docs, sample)
     if not any(spans for _, spans in got):
         return None

@@ -141,3 +141,13 @@ def test_examples_of_spans_at_window_ends():
             for _ in range(4):
                 codes, tags = pii.example(text, [span], r)
                 assert len(codes) == len(tags) == pii.WINDOW
+
+
+def test_training_sample_holds_every_kind_beside_copies(spark):
+    rows = [(i, f"copied line {i % 3} of the table") for i in range(3000)]
+    rows += [(9001, "to a.b@c.org now"), (9002, "at 10.2.3.4 now"), (9003, "card 4539 1488 0343 6467 now"), (9004, "call +1 (743) 555-3824 now")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pii.training_windows(docs, 16)
+    assert {k for _, spans in got for k, _, _ in spans} == {0, 1, 2, 3}
+    assert len(got) == len({(w, tuple(s)) for w, s in got}) <= 18
+    assert pii.fit_tagger(docs, sample=16) is not None
