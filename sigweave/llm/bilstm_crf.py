@@ -45,22 +45,75 @@ class Tagger:
                 states.append((s, gates, new, squashed, before))
         return out, states
 
+    def _ahead(self, codes: np.ndarray, d: str, e: np.ndarray) -> None:
+        """Adds one direction's share to the scores e(step, window, tag); keeps one step's states only."""
+        n, t, h = codes.shape[0], codes.shape[1], self.hidden
+        sign = np.repeat(np.float32([-1, -1, -1, -2]), h)  # sigmoid(x) = 1 / (1 + exp(-x)), tanh(x) = 2 sigmoid(2 x) - 1
+        by_gate = lambda w: np.ascontiguousarray((w * sign).reshape(-1, 4, h).transpose(1, 0, 2), np.float32)
+        wx, wh = by_gate(self.p[f"x{d}"]), by_gate(self.p[f"h{d}"])
+        out = self.p["out"][:h] if d == "f" else self.p["out"][h:]
+        hid, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
+        z, y, steps = np.empty((4, n, h), np.float32), np.empty((4, n, h), np.float32), codes.T.astype(np.intp, order="C")
+        with np.errstate(over="ignore"):  # 1 / (1 + inf) is 0, as it should be
+            for s in range(t) if d == "f" else range(t - 1, -1, -1):
+                for k in range(4):
+                    np.take(wx[k], steps[s], axis=0, out=z[k], mode="clip")
+                np.matmul(hid, wh, out=y)
+                z += y
+                np.exp(z, out=z)
+                z += 1
+                np.divide(1, z, out=z)
+                z[3] *= 2
+                z[3] -= 1
+                cell *= z[1]
+                z[0] *= z[3]
+                cell += z[0]
+                np.tanh(cell, out=hid)
+                hid *= z[2]
+                e[s] += hid @ out
+
     def emissions(self, codes: np.ndarray) -> np.ndarray:
         """(step, window, tag) scores."""
-        both = np.concatenate([self._lstm(codes, "f", False)[0], self._lstm(codes, "b", False)[0]], 2)
-        return both @ self.p["out"] + self.p["bias"]
+        e = np.empty((codes.shape[1], codes.shape[0], self.tags), np.float32)
+        e[:] = self.p["bias"]
+        for d in "fb":
+            self._ahead(codes, d, e)
+        return e
+
+    def _all_outside(self, e: np.ndarray) -> np.ndarray:
+        """Windows whose best path is surely tag 0 throughout.
+
+        Every step is compared by itself, after the part of a step's score that only pays on the way back to tag 0 was moved
+        to the way there; where tag 0 wins at each, no path is better.
+        """
+        step = self.p["step"]
+        h = np.minimum(0, step[0, 0] - step[:, 0])
+        first = (e[0] - h).max(1) <= e[0, :, 0]
+        best = (step + h[:, None] - h[None, :]).max(0)
+        ok = first
+        for x in e[1:]:
+            ok = ok & ((x + best).max(1) <= x[:, 0] + step[0, 0])
+        return ok
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
         """Best tags of each window."""
-        e, step = self.emissions(codes), self.p["step"]
+        e = self.emissions(codes)
+        tags = np.zeros(codes.shape, np.int64)
+        todo = np.flatnonzero(~self._all_outside(e))
+        if len(todo):
+            tags[todo] = self._best_path(e[:, todo])
+        return tags
+
+    def _best_path(self, e: np.ndarray) -> np.ndarray:
+        step = self.p["step"]
         best, back = e[0], []
         for x in e[1:]:
             s = best[:, :, None] + step[None]
             back.append(s.argmax(1).astype(np.int8))
             best = s.max(1) + x
-        tags = np.empty((codes.shape[1], codes.shape[0]), np.int64)
+        tags = np.empty(e.shape[:2], np.int64)
         tags[-1] = best.argmax(1)
-        rows = np.arange(codes.shape[0])
+        rows = np.arange(e.shape[1])
         for s in range(len(back) - 1, -1, -1):
             tags[s] = back[s][rows, tags[s + 1]]
         return tags.T

@@ -1,14 +1,15 @@
 """Personal data in whole texts: base rules and a character BiLSTM-CRF trained on labelled spans.
 
 Base rules (email, ip, card, phone) are applied as the contract states them, in forms that take linear time on any text.
-The tagger is trained here: distinct windows of a bounded sample (by hash, about `sample`) are labelled with the base
-spans: some about spans of each kind, some around digits and `@` without a span, some of the other text; each labelled window comes a second time with its spans rewritten as people disguise them (` at `,
-blanks around dots, a phone without its country code, dots in a card), so that the model learns forms the rules miss.
+The tagger is trained here on distinct windows of a bounded sample (`sample` windows, by hash): some about base spans of
+each kind, some around digits and `@` without a span, some of the other text. Labelled windows come again with their spans
+rewritten as people disguise them (`(at)`, blanks around dots, a phone without its country code, dots in a card, addresses
+without digits), so that the model learns forms the rules miss; dotted words without an address are shown as such.
 
-Every text is covered: wherever a digit or an `@` stands, windows with `MARGIN` characters of context overlap by half. They
-are decoded together; each character takes its tag from the window in which it is most central, and runs of tags over
-the whole text become spans. Added spans are those that touch no base span, hold a digit or `@`, and have at least
-`SHORTEST` characters. A text without digits and `@` can hold none of the four kinds.
+Every character of every text is covered: windows of `DECODE` characters overlap by twice `CONTEXT`. They are decoded
+together; each character takes its tag from the window in which it is more central, and runs of tags over the whole text
+become spans. Added spans are those that touch no base span and have at least `SHORTEST` characters; they need not hold a
+digit or `@`, which only the base rules ask for.
 
 Defined results: a null text is empty (no spans, checksum of the empty string); repeated rows each get their row;
 without any base span in the whole table nothing is added; texts of any length are handled in batches of windows.
@@ -32,7 +33,9 @@ from sigweave.session import cut
 
 KINDS = ("email", "ip", "card", "phone")
 MARK = re.compile(r"[0-9@]")
-WINDOW, MARGIN, SHORTEST, BATCH = 48, 16, 7, 2048
+WINDOW, MARGIN, SHORTEST = 48, 16, 7
+#: widths of a window to be tagged and of its context on either side, windows in a batch, characters tagged together
+DECODE, CONTEXT, BATCH, TOGETHER = 384, 32, 1024, 1 << 20
 #: the contract's patterns; the first part of an email is found by hand, from its `@` to the left
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -78,7 +81,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _code(c: int) -> int:
-    special = {ord(x): i for i, x in enumerate("@.-+()_%=\"' \n:,/", 5)}
+    special = {ord(x): i for i, x in enumerate("@.-+()_%=\"' \n:,/at", 5)}
     if c in special:
         return special[c]
     return 1 if 48 <= c <= 57 else 2 if 97 <= c <= 122 else 3 if 65 <= c <= 90 else 4
@@ -99,6 +102,8 @@ def codes_of(text: str) -> np.ndarray:
 MARKED, PLAIN, STRATA = len(KINDS), len(KINDS) + 1, len(KINDS) + 2
 #: characters by which a disguise lengthens a span, about
 DISGUISED = 8
+#: forms of one example in training, at most
+COPIES = 24
 
 
 def windows_of(marks: np.ndarray, size: int) -> list[tuple[int, int, int, int]]:
@@ -141,23 +146,41 @@ def marks_of(codes: np.ndarray) -> np.ndarray:
     return np.flatnonzero((codes == 1) | (codes == 5))
 
 
-def model_spans(texts: list[str], model: Tagger) -> list[list[tuple[int, int, int]]]:
-    """Spans of the tagger in every text, overlapping windows reconciled."""
-    coded = [codes_of(t) if MARK.search(t) else None for t in texts]
-    todo = [(i, w) for i, c in enumerate(coded) if c is not None for w in windows_of(marks_of(c), len(c))]
-    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+def cover(size: int) -> list[tuple[int, int, int, int]]:
+    """(start, end, first, last): overlapping windows over a whole text and the part of each that its tags count for."""
+    step = DECODE - 2 * CONTEXT
+    starts = range(0, max(1, size - 2 * CONTEXT), step)
+    last = len(starts) - 1
+    return [(s, min(s + DECODE, size), s + CONTEXT * (i > 0), size if i == last else s + DECODE - CONTEXT) for i, s in enumerate(starts)]
+
+
+def _tagged(texts: list[str], model: Tagger) -> list[list[tuple[int, int, int]]]:
+    coded = [codes_of(t) for t in texts]
+    tags = [np.zeros(len(c), np.int8) for c in coded]
+    todo = sorted(((e - s, i, s, e, a, b) for i, c in enumerate(coded) if len(c) for s, e, a, b in cover(len(c))), reverse=True)
     for at in range(0, len(todo), BATCH):
         part = todo[at : at + BATCH]
-        grid = np.zeros((len(part), WINDOW), np.int16)
-        for r, (i, (s, e, _, _)) in enumerate(part):
+        grid = np.zeros((len(part), part[0][0]), np.int16)
+        for r, (_, i, s, e, _, _) in enumerate(part):
             grid[r, : e - s] = coded[i][s:e]
-        tags = model.decode(grid)
-        for r, (i, (s, e, a, b)) in enumerate(part):
-            found.setdefault(i, []).append((tags[r, a - s : min(b, e) - s], np.arange(a, min(b, e))))
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for i, pieces in found.items():
-        out[i] = spans_of(np.concatenate([p for p, _ in pieces]), np.concatenate([p for _, p in pieces]))
-    return out
+        got = model.decode(grid)
+        for r in np.flatnonzero(got.any(1)):
+            _, i, s, _, a, b = part[r]
+            tags[i][a:b] = got[r, a - s : b - s]
+    return [spans_of(t[at].astype(np.int64), at) for t in tags for at in [np.flatnonzero(t)]]
+
+
+def model_spans(texts: list[str], model: Tagger) -> list[list[tuple[int, int, int]]]:
+    """Spans of the tagger in every text, overlapping windows reconciled; some `TOGETHER` characters at a time."""
+    out: list[list[tuple[int, int, int]]] = []
+    group, size = [], 0
+    for t in texts:
+        group.append(t)
+        size += len(t)
+        if size >= TOGETHER:
+            out += _tagged(group, model)
+            group, size = [], 0
+    return out + _tagged(group, model)
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], tagged: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -165,7 +188,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]], tagged: list[tuple[
     for kind, s, e in tagged:
         piece = text[s:e]
         s, e = s + len(piece) - len(piece.lstrip()), e - len(piece) + len(piece.rstrip())
-        if e - s >= SHORTEST and MARK.search(text, s, e) and not any(s < b and a < e for _, a, b in base):
+        if e - s >= SHORTEST and not any(s < b and a < e for _, a, b in base):
             out.append((kind, s, e))
     return out
 
@@ -179,9 +202,13 @@ def detect(texts: list[str], model: Tagger | None) -> list[tuple[list, list]]:
 
 def disguise(kind: int, s: str, rng: np.random.Generator) -> str:
     """A span as people write it to get past rules."""
-    way = rng.integers(2)
     if kind == 0:
-        return s.replace("@", " @ ") if way else s.replace("@", "(at)")
+        if rng.integers(2):  # an address need not hold digits
+            s = re.sub("[0-9]+", lambda m: "letter"[: rng.integers(1, 7)], s)
+        if rng.integers(2):
+            s = re.sub(r"@[^.]+\.(?=.*\.)", "@", s)
+        return s.replace("@", (" @ ", "(at)", " (at) ")[rng.integers(3)])
+    way = rng.integers(2)
     if kind == 1:
         return s.replace(".", " . ") if way else s.replace(".", "-")
     if kind == 2:
@@ -191,9 +218,9 @@ def disguise(kind: int, s: str, rng: np.random.Generator) -> str:
 
 
 def example(text: str, spans: list[tuple[int, int, int]], rng: np.random.Generator | None) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and tags of one training window; with `rng` its spans are disguised."""
+    """Codes and tags of one training window; with `rng` its spans are disguised, and it begins somewhere before the first."""
     if rng is not None:
-        out, new, at = "", [], 0
+        out, new, at = "", [], int(rng.integers(min((s for _, s, _ in spans), default=0) + 1))
         for kind, s, e in sorted(spans, key=lambda x: x[1]):
             if s < at:
                 continue
@@ -280,13 +307,34 @@ def training_windows(docs: DataFrame, sample: int) -> list[tuple[str, list[tuple
     return [(w, [tuple(map(int, x.split(":"))) for x in spans.split()]) for _, _, w, spans in got]
 
 
+def near_miss(text: str, rng: np.random.Generator) -> str:
+    """A window of addresses without what makes them such: dotted words and numbers in a row are no address."""
+    if rng.integers(2):
+        text = re.sub("[0-9]+", lambda m: "xyz"[: len(m.group())], text)
+    stop = (".", ". ")[rng.integers(2)]
+    text = text.replace("@", (" ", stop)[rng.integers(2)]).replace(".", stop)
+    at = int(rng.integers(len(text)))
+    word = f"{text[at : at + int(rng.integers(2, 7))].strip(' .')}{stop}"
+    return text if rng.integers(2) else text[:at] + word * (WINDOW // len(word))
+
+
+def examples(windows: list[tuple[str, list[tuple[int, int, int]]]], sample: int, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Every window as it is, and those with spans in disguises: where they are few, in up to `COPIES` each."""
+    held = [(w, s) for w, s in windows if s]
+    copies = min(COPIES, max(1, sample // max(1, len(held))))
+    out = [example(w, s, None) for w, s in windows] + [example(w, s, rng) for w, s in held for _ in range(copies)]
+    bare = [w for w, s in windows if not s and MARK.search(w)]
+    out += [example(w[rng.integers(len(w)) :], [], None) for w in bare for _ in range(min(COPIES, sample // len(bare)))]
+    mails = [w for w, s in held if all(kind == 0 for kind, _, _ in s)]
+    return out + [example(near_miss(w, rng), [], None) for w in mails for _ in range(copies)]
+
+
 def fit_tagger(docs: DataFrame, sample: int = 2500, epochs: int = 6, seed: int = 17) -> Tagger | None:
     """The tagger, trained on a bounded sample of windows of docs(text); None where no text has a base span."""
     got = training_windows(docs, sample)
     if not any(spans for _, spans in got):
         return None
-    rng = np.random.default_rng(seed)
-    rows = [example(w, s, None) for w, s in got] + [example(w, s, rng) for w, s in got if s]
+    rows = examples(got, sample, np.random.default_rng(seed))
     model = Tagger(N_CODES, N_TAGS)
     model.train(np.stack([c for c, _ in rows]), np.stack([t for _, t in rows]), epochs=epochs)
     return model

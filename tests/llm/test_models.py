@@ -143,6 +143,37 @@ def test_examples_of_spans_at_window_ends():
                 assert len(codes) == len(tags) == pii.WINDOW
 
 
+def test_disguised_address_without_digits_has_its_exact_bounds(spark, sf):
+    model = pii.fit_tagger(spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet"))
+    one, plain = "Reach john.doe (at) mail.example.com or not", "and so the lines went on with words, "
+    far = plain * 40 + one + " " + plain * 40
+    for text in (one, far):
+        at = text.index("john")
+        ((base, more),) = pii.detect([text], model)
+        assert base == [] and more == [(0, at, at + len("john.doe (at) mail.example.com"))]
+        assert pii.mask(text, more).count("<EMAIL>") == 1 and "john" not in pii.mask(text, more)
+
+
+def test_windows_over_whole_texts():
+    for size in [*range(1, 500), 5000, 5001]:
+        parts = pii.cover(size)
+        assert np.concatenate([np.arange(a, b) for _, _, a, b in parts]).tolist() == list(range(size))
+        assert all(s <= a and b <= e <= size and e - s <= pii.DECODE for s, e, a, b in parts)
+
+
+def test_paths_that_are_not_searched_have_no_tag():
+    m = bilstm_crf.Tagger(6, 5, hidden=4, seed=2)
+    rng = np.random.default_rng(0)
+    codes = rng.integers(0, 6, (300, 12))
+    for bias in (0.0, 0.4, 1.0, 3.0):
+        m.p["bias"][0] = bias
+        e = m.emissions(codes)
+        assert not m._best_path(e)[m._all_outside(e)].any() and (m.decode(codes) == m._best_path(e)).all()
+    both = np.concatenate([m._lstm(codes, d, False)[0] for d in "fb"], 2)
+    assert np.allclose(e, both @ m.p["out"] + m.p["bias"], atol=1e-4)
+    assert m._all_outside(e).any()
+
+
 def test_training_sample_holds_every_kind_beside_copies(spark):
     rows = [(i, f"copied line {i % 3} of the table") for i in range(3000)]
     rows += [(9001, "to a.b@c.org now"), (9002, "at 10.2.3.4 now"), (9003, "card 4539 1488 0343 6467 now"), (9004, "call +1 (743) 555-3824 now")]
