@@ -6,8 +6,9 @@ fitted distance r, to fall into the bucket given where the query lies in its own
 visited probabilities reach the share that all tables together need for `success`. Candidates of all tables are merged
 and ranked by the exact distance in double precision.
 
-r is the median distance to the 10th neighbour in a sample of at most `sample` rows (by hash of the id; a larger table
-has nearer neighbours, so the sample errs towards more probes). Every row is indexed. Of exact copies of one vector the
+r is the median distance to the 10th neighbour in a sample of at most `sample` distinct vectors (by hash of the id; a larger
+table has nearer neighbours, so the sample errs towards more probes). Queries that met fewer than k rows, or whose kth is
+farther than `far` * r, where probes are no longer likely to succeed, are answered by an exact scan in blocks. Every row is indexed. Of exact copies of one vector the
 k + 1 smallest ids are enough for every query (ties go to the smaller id), so a vector shared by a third of all rows costs
 k + 1 rows. Buckets over `bucket_rows` rows are dealt over several groups, to which the probes are repeated.
 
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sigweave.llm.vectors import finite, ids, matrix, one_row_per_id, top_k
+from sigweave.session import cut
 
 ERF = np.frompyfunc(math.erf, 1, 1)
 
@@ -145,18 +147,45 @@ def _rerank(k: int):
     return run
 
 
+def _scan(k: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if left.num_rows and right.num_rows:
+            x, own, q = matrix(left["v"], np.float64), ids(left["id"]), matrix(right["v"], np.float64)
+            for i, query in enumerate(ids(right["id"])):
+                d = np.sqrt(((x - q[i]) ** 2).sum(1))
+                best = np.lexsort((own, d))
+                best = best[own[best] != query][:k]
+                out.append((np.full(len(best), query), own[best], d[best]))
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    return run
+
+
+def scanned(rows: DataFrame, queries: DataFrame, n_queries: int, k: int, block: int = 8192, queries_per_block: int = 1024) -> DataFrame:
+    """The k nearest rows(id, v, dim) of each of queries(id, v, dim) by a grid of blocks of both."""
+    blocks, qblocks = max(1, -(-rows.count() // block)), -(-n_queries // queries_per_block)
+    x = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))))
+    q = queries.withColumn("q", F.pmod(F.xxhash64(F.col("id") + 1), F.lit(qblocks)).cast("int"))
+    q = q.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    key = ["dim", "b", "q"]
+    part = x.groupBy(*key).cogroup(q.groupBy(*key)).applyInArrow(_scan(k), "query_id long, vec_id long, score double")
+    return top_k(part, k, F.col("score"), F.col("vec_id"))
+
+
 def nearest(
     vectors: DataFrame, k: int, every: int, tables: int = 3, hashes: int = 4, width: float = 1.0,
-    success: float = 0.97, sample: int = 4096, bucket_rows: int = 4096, groups: int | None = None, seed: int = 7,
+    success: float = 0.97, sample: int = 4096, bucket_rows: int = 4096, groups: int | None = None, seed: int = 7, far: float = 1.2,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) for each row of vectors(id, v array<double>) whose id is divisible by `every`."""
     spark = vectors.sparkSession
     rows = vectors.where(F.col("id").isNotNull() & finite(F.col("v")) & F.exists("v", lambda x: x != 0))
     rows = one_row_per_id(rows, "id", "v").withColumn("dim", F.size("v"))
-    fit = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("dim", "v").toPandas()
-    radius = {int(d): fit_radius(np.array(g["v"].tolist(), np.float64), k) for d, g in fit.groupby("dim")}
     copies = Window.partitionBy("v").orderBy("id")
-    kept = rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy")
+    kept = rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1)
+    fit = kept.where("copy = 1").orderBy(F.xxhash64("id"), "id").limit(sample).select("dim", "v").toPandas()
+    radius = {int(d): fit_radius(np.array(g["v"].tolist(), np.float64), k) for d, g in fit.groupby("dim")}
+    kept = kept.drop("copy")
     share = 1 - (1 - success) ** (1 / tables)
     index = kept.mapInArrow(_index(radius, seed, tables, hashes, width), "bucket long, id long, v array<double>")
     queries = rows.where(F.col("id") % every == 0)
@@ -171,7 +200,18 @@ def nearest(
     probes = probes.select(group, "bucket", "query_id").groupBy("g", "query_id").agg(F.collect_list("bucket").alias("buckets"))
     probes = probes.join(queries.select(F.col("id").alias("query_id"), "v"), "query_id").select("g", "query_id", "buckets", "v")
     part = index.groupBy("g").cogroup(probes.groupBy("g")).applyInArrow(_rerank(k), "query_id long, vec_id long, score double")
-    return top_k(part.dropDuplicates(["query_id", "vec_id"]), k, F.col("score"), F.col("vec_id")).select("query_id", "rank", "vec_id", "score")
+    found = top_k(part.dropDuplicates(["query_id", "vec_id"]), k, F.col("score"), F.col("vec_id")).select("query_id", "rank", "vec_id", "score")
+    found = cut(found)
+    full = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+    r = F.lit(1.0)
+    for dim, value in radius.items():
+        r = F.when(F.col("dim") == dim, value).otherwise(r)
+    short = cut(queries.join(full, "id", "left").where(F.col("kth").isNull() | (F.col("kth") > far * r)).select("id", "v", "dim"))
+    n = short.count()
+    if not n:
+        return found
+    whole = scanned(kept, short, n, k).select("query_id", "rank", "vec_id", "score")
+    return found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(whole)
 
 
 def op4_lsh_search(spark, sf_dir: str) -> DataFrame:

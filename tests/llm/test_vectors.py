@@ -65,6 +65,20 @@ def test_hashing_search_odd_rows(spark):
     assert lsh_search.nearest(docs.limit(0), 10, 10).count() == 0
 
 
+def test_far_queries_get_their_exact_neighbours(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 8)) * 0.01  # one tight cluster, near copies, and rows far from all others
+    x[::50] = rng.normal(size=(12, 8)) * 1000
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got: dict[int, list] = {}
+    for r in lsh_search.nearest(docs, 10, 50).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q in range(0, 600, 50):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert got[q] == np.lexsort((np.arange(600), d))[:10].tolist()
+
+
 def test_probes_come_in_order_of_success():
     q = np.array([[0.1, 3.7]])
     rows, cells = lsh_search.probe_cells(q, 1.0, 0.9, 3)
