@@ -1,19 +1,24 @@
-"""Substring joins. Literal dictionaries become a row-local expression; dictionaries
-that are tables are anchored on token shingles, so the join is an equi join."""
+"""Substring joins. Literal dictionaries become a row-local expression; dictionaries that are tables
+become an automaton, or, beyond a measured size, an equi join on anchors."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sigweave.dims import checked_broadcast
 from sigweave.functions.text import fold_ws
+from sigweave.operators.automaton import Automaton
 from sigweave.session import cut
 
 SHINGLE = 5  # interior tokens used as an anchor
+AUTOMATON_BYTES = 4 << 20  # of a dictionary (8 for each item and its text): states and arrays of a task are bounded by it
 GRAM = 3  # characters that anchor an item without interior tokens
 
 
@@ -44,9 +49,42 @@ def _substrings(c: Column, n: int) -> Column:
     return F.when(F.length(c) >= n, F.transform(starts, lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
-def contains_join(texts: DataFrame, tid: str, text: str, items: DataFrame, iid: str, item: str) -> DataFrame:
+def contains_join(texts: DataFrame, tid: str, text: str, items: DataFrame, iid: str, item: str, max_bytes: int | None = None) -> DataFrame:
     """Exact (tid, iid) pairs where the folded item is a substring of the folded text.
 
+    The dictionary is measured first. Up to `max_bytes` (`AUTOMATON_BYTES`) it becomes one automaton, built on the
+    driver and broadcast: each text is read once, in place, whatever the number of items, and only hits leave the task.
+    A larger dictionary is anchored and joined (`anchored_join`), so nothing that grows with it is broadcast. Both ways
+    give the same rows: one per text row and item row; null or blank items and texts match nothing.
+    """
+    it = items.select(iid, fold_ws(F.col(item)).alias("_item")).filter("_item <> ''")
+    size = it.agg(F.sum(F.octet_length("_item") + 8).alias("n")).first()["n"] or 0
+    if size > (AUTOMATON_BYTES if max_bytes is None else max_bytes):
+        return anchored_join(texts, tid, text, items, iid, item)
+    known = it.toArrow()
+    number: dict[bytes, int] = {}
+    nth = np.array([number.setdefault(w.encode(), len(number)) for w in known["_item"].to_pylist()], np.int64)
+    rows = np.argsort(nth, kind="stable")  # rows of the dictionary by the number of their text
+    first = np.searchsorted(nth[rows], np.arange(len(number) + 1))
+    shared = texts.sparkSession.sparkContext.broadcast((Automaton(list(number)), known[iid].combine_chunks(), rows, first))
+
+    def find(batches):
+        automaton, ids, rows, first = shared.value
+        for b in batches:
+            c = b["_text"].cast(pa.large_binary())
+            offsets = np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c) + 1]
+            at, hit = automaton.find(np.frombuffer(c.buffers()[2], np.uint8), offsets)
+            n = first[hit + 1] - first[hit]
+            each = np.repeat(first[hit] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            yield pa.RecordBatch.from_arrays([b[tid].take(pa.array(np.repeat(at, n))), ids.take(pa.array(rows[each]))], [tid, iid])
+
+    schema = T.StructType([texts.schema[tid], items.schema[iid]])
+    return texts.select(tid, fold_ws(F.col(text)).alias("_text")).filter("_text <> ''").mapInArrow(find, schema)
+
+
+def anchored_join(texts: DataFrame, tid: str, text: str, items: DataFrame, iid: str, item: str) -> DataFrame:
+    """`contains_join` for dictionaries too large for one task.
+
     Blanks around an item's interior tokens are part of the item, so those tokens
     are whole tokens of any text containing it. Their first five form an anchor
     shingle; texts emit the shingles of each anchor length, an equi join proposes

@@ -10,9 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sigweave.functions import scores as S
 
@@ -96,17 +99,87 @@ def axis_zones(axis: DataFrame) -> DataFrame:
     return e.withColumn("tn", tn).withColumn("third", third).select(*axis.columns, "tn", "third")
 
 
+def mask_distance(px: DataFrame) -> DataFrame:
+    """`px` with `dist`, the exact Euclidean distance of every pixel to the nearest one outside the mask.
+
+    Separable: along each line the distance to the nearest pixel outside is a running maximum from both sides; along each
+    column the squared distance is the lower envelope of one parabola per pixel. NULL where the image has nothing outside.
+    """
+    line = W.partitionBy("image", "y").rowsBetween(W.unboundedPreceding, 0)
+    out = F.when(~F.col("mask"), F.col("x"))
+    before, after = F.max(out).over(line.orderBy("x")), F.min(out).over(line.orderBy(F.desc("x")))
+    gap = F.least(F.col("x") - before, after - F.col("x")).cast("double")
+    lined = px.select(F.struct("*").alias("_px"), "image", "x", "y", (gap * gap).alias("_g"))
+    columns = lined.groupBy("image", "x").agg(F.array_sort(F.collect_list(F.struct("y", "_g", "_px"))).alias("_c"))
+    columns = columns.select(F.col("_c.y").cast("array<double>").alias("y"), F.col("_c._g").alias("g"), F.col("_c._px").alias("px"))
+
+    def envelope(batches):
+        for b in batches:
+            size = np.diff(b["y"].offsets.to_numpy())
+            d = np.sqrt(lower_envelope(size, b["y"].flatten().to_numpy(), b["g"].flatten().to_numpy(zero_copy_only=False)))
+            flat = pa.array(d, mask=~np.isfinite(d))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([b["px"], lists], ["px", "d"])
+
+    schema = T.StructType([columns.schema["px"], T.StructField("d", T.ArrayType(T.DoubleType()))])
+    rows = columns.mapInArrow(envelope, schema).select(F.explode(F.arrays_zip("px", "d")).alias("z"))
+    return rows.select("z.px.*", F.col("z.d").alias("dist"))
+
+
+def lower_envelope(size: np.ndarray, at: np.ndarray, height: np.ndarray) -> np.ndarray:
+    """min over j of (at[i] - at[j])^2 + height[j] inside each column, for many columns at once.
+
+    Columns lie one after another, `at` ascending in each; NaN heights are no parabolas. One step per place of the longest
+    column: a new parabola takes the hidden ones off its column's stack; then all places are read off from left to right.
+    """
+    n, start = len(size), np.cumsum(size) - size
+    deep = int(size.max()) if n else 0
+    vertex, left = np.zeros((n, deep), np.int64), np.full((n, deep + 1), np.inf)  # parabolas of a column, and where each begins
+    top = np.full(n, -1)
+    for i in range(deep):
+        lanes = np.flatnonzero(size > i)
+        lanes = lanes[~np.isnan(height[start[lanes] + i])]
+        new = start[lanes] + i
+        border = np.full(len(lanes), -np.inf)
+        todo = np.flatnonzero(top[lanes] >= 0)
+        while len(todo):
+            lane, v = lanes[todo], vertex[lanes[todo], top[lanes[todo]]]
+            w = new[todo]
+            border[todo] = (height[w] + at[w] ** 2 - height[v] - at[v] ** 2) / (2 * (at[w] - at[v]))
+            hidden = border[todo] <= left[lane, top[lane]]
+            top[lane[hidden]] -= 1
+            todo = todo[hidden]
+            empty = top[lanes[todo]] < 0
+            border[todo[empty]] = -np.inf
+            todo = todo[~empty]
+        top[lanes] += 1
+        vertex[lanes, top[lanes]] = new
+        left[lanes, top[lanes]] = border
+    out = np.full(len(at), np.nan)
+    now = np.zeros(n, np.int64)
+    for i in range(deep):
+        lanes = np.flatnonzero((size > i) & (top >= 0))
+        here = start[lanes] + i
+        todo = lanes
+        while len(todo):
+            more = now[todo] < top[todo]
+            todo = todo[more]
+            todo = todo[left[todo, now[todo] + 1] < at[start[todo] + i]]
+            now[todo] += 1
+        v = vertex[lanes, now[lanes]]
+        out[here] = (at[here] - at[v]) ** 2 + height[v]
+    return out
+
+
 def ring_zones(zoned: DataFrame) -> DataFrame:
-    """Add `ring`: centre, edge or other, by depth = 1 - normalised Mahalanobis radius.
+    """Add `depth`, the share of the image's largest `dist`, and `ring`: centre, edge or other.
 
-    Stands in for the distance transform: rotation-free, one pass per image.
+    A mask that fills its frame has no border: all of it is centre.
     """
-    n = F.count("*").over(per_image())
-    vt, vw = F.sum(F.col("t") * F.col("t")).over(per_image()) / n, F.sum(F.col("w") * F.col("w")).over(per_image()) / n
-    r = zoned.withColumn("_r", F.sqrt(F.col("t") * F.col("t") / (vt + 1e-9) + F.col("w") * F.col("w") / (vw + 1e-9)))
-    depth = S.rnd(F.lit(1.0) - F.col("_r") / (F.max("_r").over(per_image()) + 1e-6), 6)
+    far = F.max("dist").over(per_image())
+    depth = F.coalesce(S.rnd(F.col("dist") / (far + F.lit(1e-6)), 6), F.lit(1.0))
     ring = F.when(F.col("depth") >= 0.55, "center").when((F.col("depth") > 0.10) & (F.col("depth") <= 0.35), "edge").otherwise("other")
-    return r.withColumn("depth", depth).withColumn("ring", ring).drop("_r")
+    return zoned.withColumn("depth", depth).withColumn("ring", ring)
 
 
 def zone_map() -> dict[str, Column]:

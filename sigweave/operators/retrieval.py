@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sigweave.dims import checked_broadcast
 from sigweave.functions import scores as S
@@ -17,6 +20,7 @@ from sigweave.session import cut
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192  # rows of a task's two matrices
+TEXT_BLOCK, RUN, TERM_ROWS = 2048, 16, 1 << 20  # documents of a task, of a run with common bounds; rows of a batch
 
 
 def lexical_text(cid: Column, text: Column) -> Column:
@@ -24,46 +28,137 @@ def lexical_text(cid: Column, text: Column) -> Column:
     return F.concat(F.replace(F.substring_index(cid, ":", -1), F.lit("_"), F.lit(" ")), F.lit(". "), text)
 
 
-def with_terms(df: DataFrame, keep: Sequence[str], text: str, stop: Sequence[str]) -> DataFrame:
-    """Rows with `terms`: words without stop words, then bigrams of what remains.
-
-    The word list is its own projection, so the text is tokenised once per row.
-    """
+def term_counts(df: DataFrame, key: str, text: str, stop: Sequence[str]) -> DataFrame:
+    """(key, term, tf) of every row, counted where its words lie: rows are not shuffled to be counted."""
     found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"({TOKEN})"), F.lit(1))
-    d = df.select(*keep, F.filter(found, lambda t: ~t.isin(list(stop))).alias("_w"))
-    n = F.size("_w")
-    pairs = F.zip_with(F.slice("_w", F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice("_w", F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return d.select(*keep, F.concat("_w", pairs).alias("terms"))
+    words = df.select(key, F.filter(found, lambda t: ~t.isin(list(stop))).alias("_w"))
 
+    def count(batches):
+        for b in batches:
+            rows, terms, n = [], [], []
+            for i, w in enumerate(b["_w"].to_pylist()):
+                if w:
+                    c = Counter(w)
+                    c.update(map(" ".join, zip(w, w[1:])))
+                    rows.append((i, len(c)))
+                    terms.extend(c)
+                    n.extend(c.values())
+                if len(terms) > TERM_ROWS:
+                    yield _term_batch(b[key], key, rows, terms, n)
+                    rows, terms, n = [], [], []
+            yield _term_batch(b[key], key, rows, terms, n)
 
-def term_counts(df: DataFrame, key: str, text: str, stop: Sequence[str]) -> DataFrame:
-    return with_terms(df, [key], text, stop).select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return words.mapInArrow(count, T.StructType([df.schema[key], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())]))
 
 
-def tfidf_topk(docs: DataFrame, did: str, text: str, queries: DataFrame, qid: str, qtext: str, stop: Sequence[str], pool: int = 15) -> DataFrame:
+def _term_batch(keys: pa.Array, key: str, rows: list[tuple[int, int]], terms: list[str], n: list[int]) -> pa.RecordBatch:
+    at = np.repeat(*np.array(rows, np.int64).reshape(-1, 2).T)
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array(terms, pa.string()), pa.array(n, pa.int64())], [key, "term", "tf"])
+
+
+def tfidf_topk(docs: DataFrame, did: str, text: str, queries: DataFrame, qid: str, qtext: str, stop: Sequence[str], pool: int = 15, block: int = TEXT_BLOCK) -> DataFrame:
     """Top `pool` documents per query by cosine of L2-normalised TF-IDF, 0-based rank.
 
     idf = ln((1 + n) / (1 + df)) + 1. The text is read and split once: (document, term, tf) rows are stored, and the
-    frequencies, norms and products all come from them. Most terms occur in one document and share one idf; only the
-    others form a table. Products are made for terms of the queries only.
+    frequencies, norms and weights all come from them. Most terms occur in one document and share one idf; only the
+    others form a table. A document then keeps the weights of asked terms only.
+
+    Blocks of documents meet blocks of queries of bounded size. A task lays the block out as posting lists with the
+    largest weight per term and run of `RUN` documents (`best_of_block`) and leaves out all runs whose bound is below the
+    kth score so far; only `pool` rows of a query leave it, never a row per document and query. Exact, nothing is capped.
     """
-    n_docs = docs.count()
+    n_docs, n_queries = docs.count(), queries.count()
     idf_of = lambda df: F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + df)) + F.lit(1.0)
     qtf = cut(term_counts(queries, qid, qtext, stop))
     tf = cut(term_counts(docs, did, text, stop))
     asked = checked_broadcast(cut(qtf.select("term").distinct().withColumn("_q", F.lit(True))))
     seen = tf.groupBy("term").agg(F.count("*").alias("df"))
-    common = cut(seen.join(asked, "term", "left").filter("df > 1 or _q").select("term", idf_of(F.col("df")).alias("idf"), "_q"))
-    once = idf_of(F.lit(1))
-    norm = tf.join(checked_broadcast(common.select("term", "idf")), "term", "left")
-    norm = norm.groupBy(did).agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.coalesce("idf", once), 2))).alias("dn"))
-    idf = common.filter("_q").select("term", "idf")
-    q = qtf.join(idf, "term").select(qid, "term", "idf", (F.col("tf") * F.col("idf")).alias("qw"))
-    qn = q.groupBy(qid).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    q = checked_broadcast(cut(q.join(qn, qid).select(qid, "term", (F.col("qw") / F.col("qn") * F.col("idf")).alias("qw"))))
-    dots = tf.join(q, "term").groupBy(did, qid).agg(F.sum(F.col("tf") * F.col("qw")).alias("dot"))
-    s = dots.join(norm, did).select(qid, did, S.rnd(F.col("dot") / F.col("dn"), 9).alias("score"))
-    return pool_rank(s, [qid], "score", did, pool)
+    common = seen.join(asked, "term", "left").filter("df > 1 or _q").select("term", idf_of(F.col("df")).alias("idf"), "_q")
+    common = cut(common.withColumn("_t", F.monotonically_increasing_id()))
+    weight = F.col("tf") * F.coalesce("idf", idf_of(F.lit(1)))
+    terms = tf.join(checked_broadcast(common), "term", "left").groupBy(did).agg(
+        F.sqrt(F.sum(F.pow(weight, 2))).alias("_norm"), F.collect_list(F.when(F.col("_q"), F.struct("_t", weight.alias("_w")))).alias("_p")
+    )
+    listed = terms.filter(F.size("_p") > 0).select(did, "_norm", F.col("_p._t").alias("_t"), F.col("_p._w").alias("_w"))
+    q = qtf.join(common.filter("_q"), "term").groupBy(qid).agg(F.collect_list(F.struct("_t", (F.col("tf") * F.col("idf")).alias("_w"))).alias("_p"))
+    q = q.select(qid, F.col("_p._t").alias("_t"), F.col("_p._w").alias("_w"))
+
+    blocks, qblocks = max(1, -(-n_docs // block)), max(1, -(-n_queries // QUERY_BLOCK))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    left = listed.withColumn("_b", F.pmod(F.xxhash64(did), F.lit(blocks))).withColumn("_g", numbers(qblocks))
+    right = q.withColumn("_g", F.pmod(F.xxhash64(qid), F.lit(qblocks))).withColumn("_b", numbers(blocks))
+
+    def task(docs: pa.Table, asks: pa.Table) -> pa.Table:
+        if not docs.num_rows or not asks.num_rows:
+            return pa.table([docs[did].slice(0, 0), asks[qid].slice(0, 0), pa.array([], pa.float64())], names=[did, qid, "score"])
+        norm = docs["_norm"].to_numpy()
+        ids = pc.rank(docs[did], tiebreaker="dense").to_numpy()
+        (dn, dt, dw), (qn, qt, qw) = _lists(docs), _lists(asks)
+        qw = qw / np.repeat(np.sqrt(np.add.reduceat(qw * qw, np.cumsum(qn) - qn)), qn)
+        d, a, score, _ = best_of_block(ids, dn, dt, dw / np.repeat(norm, dn), qn, qt, qw, pool)
+        return pa.table([docs[did].take(pa.array(d)), asks[qid].take(pa.array(a)), pa.array(score)], names=[did, qid, "score"])
+
+    schema = T.StructType([docs.schema[did], queries.schema[qid], T.StructField("score", T.DoubleType())])
+    best = left.groupBy("_b", "_g").cogroup(right.groupBy("_b", "_g")).applyInArrow(task, schema)
+    return pool_rank(best, [qid], "score", did, pool)
+
+
+def _lists(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths, terms and weights of the lists of a block."""
+    terms, weights = t["_t"].combine_chunks(), t["_w"].combine_chunks()
+    return np.diff(terms.offsets.to_numpy()), terms.flatten().to_numpy(), weights.flatten().to_numpy()
+
+
+def best_of_block(ids: np.ndarray, dn: np.ndarray, dt: np.ndarray, dw: np.ndarray, qn: np.ndarray, qt: np.ndarray, qw: np.ndarray, k: int):
+    """(document, query, score) rows of the k best documents of each query, and how many (document, query) scores were made.
+
+    Documents are ordered by their heaviest term, so runs of RUN documents have much in common. Postings lie in the order
+    of (term, document); every (term, run) has a largest weight. A query adds these up to a bound per run and scores
+    runs from the best bound down, twice as many each time, until no bound left reaches its kth score.
+    """
+    n, owner = len(ids), np.repeat(np.arange(len(ids)), dn)
+    heaviest = np.lexsort((-dw, owner))[np.cumsum(dn) - dn]
+    order = np.lexsort((ids, dt[heaviest]))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    runs = -(-n // RUN)
+    by = np.lexsort((place[owner], dt))
+    term, doc, weight = dt[by], place[owner][by], dw[by]
+    known, number = np.unique(term, return_inverse=True)
+    cell = number * runs + doc // RUN
+    cells, first = np.unique(cell, return_index=True)
+    last, top = np.append(first[1:], len(cell)), np.maximum.reduceat(weight, first)
+    rank_of = ids[order]
+    out, scored = [], 0
+    for a, (hi, m) in enumerate(zip(np.cumsum(qn), qn, strict=True)):
+        at = np.searchsorted(known, qt[hi - m : hi])
+        ok = known[np.minimum(at, len(known) - 1)] == qt[hi - m : hi]
+        at, ask = at[ok], qw[hi - m : hi][ok]
+        lo, up = np.searchsorted(cells, at * runs), np.searchsorted(cells, (at + 1) * runs)
+        size = up - lo
+        own = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())  # the query's cells
+        weigh, run = np.repeat(ask, size), cells[own] % runs
+        bound = np.bincount(run, weigh * top[own], runs)
+        todo = np.flatnonzero(bound > 0)
+        todo = todo[np.argsort(-bound[todo], kind="stable")]
+        have_d, have_s, kth, done, step = np.empty(0, np.int64), np.empty(0), -1.0, 0, 2
+        while done < len(todo) and bound[todo[done]] >= kth - 2e-9:
+            part = np.zeros(runs, bool)
+            part[todo[done : done + step]] = True
+            c = part[run]
+            n_post = last[own[c]] - first[own[c]]
+            post = np.repeat(first[own[c]] - np.cumsum(n_post) + n_post, n_post) + np.arange(n_post.sum())
+            found, inverse = np.unique(doc[post], return_inverse=True)
+            score = np.floor(np.bincount(inverse, np.repeat(weigh[c], n_post) * weight[post], len(found)) * 1e9 + 0.5) / 1e9
+            scored += len(found)
+            have_d, have_s = np.concatenate([have_d, found]), np.concatenate([have_s, score])
+            best = np.lexsort((rank_of[have_d], -have_s))[:k]
+            have_d, have_s = have_d[best], have_s[best]
+            kth = have_s[-1] if len(have_s) == k else -1.0
+            done, step = done + step, step * 2
+        out.append((order[have_d], np.full(len(have_d), a), have_s))
+    d, a, s = (np.concatenate(x) for x in zip(*out, strict=True))
+    return d, a, s, scored
 
 
 def pool_rank(scores: DataFrame, by: Sequence[str], score: str, key: str, cap: int = 15) -> DataFrame:

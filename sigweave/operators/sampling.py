@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sigweave.functions import scores as S
 from sigweave.operators.ranking import sorted_rows
@@ -22,24 +24,43 @@ def unit_hash(text: Column) -> Column:
 
 
 def quota_sample(df: DataFrame, key: str, quotas: Sequence[tuple[str, str, int]], n: int, seed: int = 11) -> DataFrame:
-    """Rows filling each (column, class) quota in hash order, topped up in hash order to n rows.
+    """(key, pick, picked_by): a greedy cover of (column, class, quota) cells, topped up in hash order to n rows.
 
-    Rank-limited windows keep at most the quota per cell in every task before the
-    exchange. The serial greedy cover is replaced by independent cells.
+    Each pick is the row that counts towards most cells still open, the first in hash order among equals, until n rows are
+    picked or no row helps; then rows not picked yet follow in hash order. Rows with the same cells are interchangeable
+    but for their order, so the first n of each set of cells decide the outcome exactly: rank-limited windows keep these
+    in every task, and what one task then goes through is n rows per set of cells, whatever the size of the table.
     """
-    h = df.withColumn("_h", hash_order(key, seed))
-    cells = F.array_compact(F.array(*[F.when(F.col(c) == v, F.struct(F.lit(i).alias("cell"), F.lit(q).alias("quota"))) for i, (c, v, q) in enumerate(quotas)]))
-    hits = h.select(key, "_h", F.explode(cells).alias("x")).select(key, "_h", "x.*")
-    top = max(q for _, _, q in quotas)
-    rn = F.row_number().over(W.partitionBy("cell").orderBy("_h", key))
-    picked = hits.withColumn("rn", rn).filter(F.col("rn") <= top).filter("rn <= quota").select(key).distinct().withColumn("_q", F.lit(1))
-    return (
-        h.join(picked, key, "left")
-        .withColumn("picked_by", F.when(F.col("_q") == 1, "quota").otherwise("fill"))
-        .orderBy(F.desc("picked_by"), "_h", key)
-        .limit(n)
-        .drop("_h", "_q")
-    )
+    cells = F.concat(*[F.when(F.col(c) == v, "1").otherwise("0") for c, v, _ in quotas])
+    h = df.select(key, hash_order(key, seed).alias("_h"), cells.alias("_cells"))
+    rn = F.row_number().over(W.partitionBy("_cells").orderBy("_h", key))
+    few = h.withColumn("_rn", rn).filter(F.col("_rn") <= n)
+    limits = [q for _, _, q in quotas]
+
+    def pick(rows: pa.Table) -> pa.Table:
+        order = rows.sort_by([("_h", "ascending"), (key, "ascending")])
+        sets: dict[str, list[int]] = {}
+        for i, c in enumerate(order["_cells"].to_pylist()):
+            sets.setdefault(c, []).append(i)
+        queue = {c: iter(x) for c, x in sets.items()}
+        ahead = {c: next(x) for c, x in queue.items()}
+        open_, picks = list(limits), []
+        gain = lambda c: sum(bit == "1" and left > 0 for bit, left in zip(c, open_, strict=True))
+        while ahead and len(picks) < n:
+            best = max(ahead, key=lambda c: (gain(c), -ahead[c]))
+            if not gain(best):
+                break
+            picks.append(ahead.pop(best))
+            open_ = [left - (bit == "1" and left > 0) for bit, left in zip(best, open_, strict=True)]
+            if (following := next(queue[best], None)) is not None:
+                ahead[best] = following
+        covered, taken = len(picks), set(picks)
+        picks += [i for i in range(order.num_rows) if i not in taken][: n - covered]
+        by = ["quota"] * covered + ["fill"] * (len(picks) - covered)
+        return pa.table([order[key].take(pa.array(picks, pa.int64())), pa.array(range(1, len(picks) + 1), pa.int32()), pa.array(by, pa.string())], names=[key, "pick", "picked_by"])
+
+    schema = T.StructType([df.schema[key], T.StructField("pick", T.IntegerType()), T.StructField("picked_by", T.StringType())])
+    return few.groupBy().applyInArrow(pick, schema)
 
 
 def greedy_picks(cands: DataFrame, key: str, order: Sequence[Column], n_targets: int) -> DataFrame:

@@ -46,9 +46,8 @@ tt AS (SELECT a.*, CASE WHEN pos < neg THEN t ELSE -t END AS tt FROM ax a JOIN e
 mm AS (SELECT image, min(tt) AS lo, max(tt) AS hi FROM tt GROUP BY 1),
 zn AS (SELECT tt.* EXCLUDE (tt), {r('(tt-lo)/(hi-lo+1e-6)')} AS tn FROM tt JOIN mm USING (image)),
 zo AS (SELECT *, CASE WHEN tn >= 0.66 THEN 'tip' WHEN tn >= 0.33 THEN 'middle' ELSE 'root' END AS third FROM zn)"""
-C_RINGS = f"""vr AS (SELECT image, sum(t*t)/count(*) AS vt, sum(w*w)/count(*) AS vw FROM zo GROUP BY 1),
-rr AS (SELECT z.*, sqrt(t*t/(vt+1e-9) + w*w/(vw+1e-9)) AS rho FROM zo z JOIN vr USING (image)),
-rg0 AS (SELECT * EXCLUDE (rho), {r('1.0 - rho/(max(rho) OVER (PARTITION BY image) + 1e-6)')} AS depth FROM rr),
+C_RINGS = f"""ds AS (SELECT a.image, a.x, a.y, sqrt(min((a.x-o.x)*(a.x-o.x) + (a.y-o.y)*(a.y-o.y))::DOUBLE) AS dist FROM px a JOIN px o ON o.image = a.image AND a.mask AND NOT o.mask GROUP BY 1, 2, 3),
+rg0 AS (SELECT z.*, coalesce({r('dist/(max(dist) OVER (PARTITION BY z.image) + 1e-6)')}, 1.0::DOUBLE) AS depth FROM zo z LEFT JOIN ds d ON d.image = z.image AND d.x = z.x AND d.y = z.y),
 rg AS (SELECT *, CASE WHEN depth >= 0.55 THEN 'center' WHEN depth > 0.10 AND depth <= 0.35 THEN 'edge' ELSE 'other' END AS ring FROM rg0)"""
 C_STATS = """zt AS (SELECT image, c0, c1, c2, unnest(list_filter([ 'whole', CASE WHEN third='tip' THEN 'tip' END, CASE WHEN third='middle' THEN 'middle' END, CASE WHEN third='root' THEN 'root' END,
   CASE WHEN ring='center' THEN 'center' END, CASE WHEN ring='edge' THEN 'edge' END, CASE WHEN ring='edge' AND third='middle' THEN 'sides' END], lambda z: z IS NOT NULL)) AS zone FROM rg),
@@ -61,7 +60,7 @@ P_STATS = [*P_ZONES, C_RINGS, C_STATS]
 
 
 def rings(spark, sf):
-    return P.ring_zones(P.axis_zones(P.principal_axis(pixels(spark, sf))))
+    return P.ring_zones(P.axis_zones(P.principal_axis(P.mask_distance(pixels(spark, sf)))))
 
 
 def stats(spark, sf):

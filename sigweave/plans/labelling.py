@@ -466,12 +466,17 @@ def w2(spark, sf):
 QUOTAS = [("quality", "good", 20), ("quality", "poor", 20), ("grade", "mid", 15), ("toxic", "toxic", 25)]
 
 
-@query("w9_quota_sample", with_([C_MAN, "h AS (SELECT *, md5('11|' || doc_id) AS h FROM man)"], """, hits AS (SELECT doc_id, h, 1 AS cell, 20 AS q FROM h WHERE quality = 'good' UNION ALL SELECT doc_id, h, 2, 20 FROM h WHERE quality = 'poor' UNION ALL SELECT doc_id, h, 3, 15 FROM h WHERE grade = 'mid' UNION ALL SELECT doc_id, h, 4, 25 FROM h WHERE toxic = 'toxic'),
-  pk AS (SELECT DISTINCT doc_id FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY h, doc_id) AS rn FROM hits) WHERE rn <= q)
-  SELECT h.doc_id, CASE WHEN pk.doc_id IS NOT NULL THEN 'quota' ELSE 'fill' END AS picked_by FROM h LEFT JOIN pk USING (doc_id) ORDER BY pk.doc_id IS NULL, h, doc_id LIMIT 100"""))
+@query("w9_quota_sample", "WITH RECURSIVE " + with_([C_MAN, """c AS (SELECT doc_id, md5('11|' || doc_id) AS h, [(quality IS NOT DISTINCT FROM 'good')::INT, (quality IS NOT DISTINCT FROM 'poor')::INT, (grade IS NOT DISTINCT FROM 'mid')::INT, (toxic IS NOT DISTINCT FROM 'toxic')::INT] AS cells FROM man),
+  g AS (SELECT 0 AS pick, NULL::BIGINT AS doc_id, [20, 20, 15, 25] AS room, []::BIGINT[] AS seen
+    UNION ALL SELECT pick, doc_id, room, seen FROM (SELECT g.pick + 1 AS pick, c.doc_id, list_transform(list_zip(g.room, c.cells), lambda z: greatest(z[1] - z[2], 0)) AS room, list_append(g.seen, c.doc_id) AS seen,
+      list_sum(list_transform(list_zip(g.room, c.cells), lambda z: CASE WHEN z[1] > 0 THEN z[2] ELSE 0 END)) AS gain,
+      row_number() OVER (ORDER BY list_sum(list_transform(list_zip(g.room, c.cells), lambda z: CASE WHEN z[1] > 0 THEN z[2] ELSE 0 END)) DESC, c.h, c.doc_id) AS rn
+      FROM g JOIN c ON NOT list_contains(g.seen, c.doc_id) AND list_sum(c.cells) > 0 AND g.pick < 100) WHERE rn = 1 AND gain > 0),
+  k AS (SELECT doc_id, pick FROM g WHERE pick > 0)"""], """SELECT doc_id, CAST(pick AS INT) AS pick, 'quota' AS picked_by FROM k
+  UNION ALL SELECT doc_id, CAST(pick AS INT), 'fill' FROM (SELECT doc_id, (SELECT count(*) FROM k) + row_number() OVER (ORDER BY h, doc_id) AS pick FROM c WHERE doc_id NOT IN (SELECT doc_id FROM k)) WHERE pick <= 100""").removeprefix("WITH "))
 def w9(spark, sf):
     m = manifest(spark, sf).select("doc_id", "quality", "grade", "toxic")
-    return P.quota_sample(m, "doc_id", QUOTAS, 100).select("doc_id", "picked_by")
+    return P.quota_sample(m, "doc_id", QUOTAS, 100)
 
 
 @query("w10_exemplars", with_(P_PAIRS, """, c AS (SELECT p.entity, p.feature, p.gold, d.n_chars FROM pairs p JOIN documents d ON d.doc_id = p.entity WHERE pred = gold),
