@@ -7,12 +7,14 @@ so a lost executor or a restart resumes it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from sigweave.functions import scores as S
 from sigweave.session import scratch
@@ -65,59 +67,231 @@ def stream_score(stream: DataFrame, votes: DataFrame, gate: Column, key: Column,
     return run_to_files(j, "score")
 
 
-def run_partial_sums(stream: DataFrame, name: str, shape: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
-    """Partial sums of everything that has arrived, late rows included; `shape` makes those of one micro-batch.
+def millis(spark: SparkSession, interval: str) -> int:
+    return spark.sql(f"SELECT unix_millis(timestamp_seconds(0) + INTERVAL {interval})").first()[0]
 
-    Each batch adds one folder named by its number, so a batch that is repeated after a failure replaces its own. Sums
-    are integers; totals are taken on read and do not depend on how rows fell into batches.
-    """
-    spark = stream.sparkSession
-    out = scratch(spark, name)
 
-    def add(batch: DataFrame, number: int) -> None:
-        shape(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+def run_to_batches(rows: DataFrame, out: str, state: str | None = None) -> None:
+    """Runs what is available and writes each micro-batch to its own folder of `out`, named by the batch's number.
 
-    q = stream.writeStream.foreachBatch(add).option("checkpointLocation", out + "-state").trigger(availableNow=True).start()
+    A batch that is repeated after a failure has the same number and replaces its own folder, so no row comes twice.
+    """
+    q = (
+        rows.writeStream.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}"))
+        .outputMode("append")
+        .option("checkpointLocation", state or out + "-state")
+        .trigger(availableNow=True)
+        .start()
+    )
     q.awaitTermination()
-    if not q.recentProgress or not any(x["numInputRows"] for x in q.recentProgress):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(out).select(*spark.createDataFrame([], schema).columns)
 
 
-def stream_refine(answers: DataFrame, prior: float, width: str = "1 day") -> DataFrame:
-    """Running log-odds per (entity, outcome), one row per window with answers, the newest included.
+def read_batches(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
+    """All rows that batches have written so far, with the number of their batch."""
+    whole = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    try:
+        return spark.read.schema(whole).parquet(out)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], whole)
+        raise
+
+
+# ---- answers folded in as they arrive ---------------------------------------------------------------
 
-    `answers(ts, entity, outcome, units)` is derived from the stream; `units` are integer
-    thousandths of evidence, so sums are exact in any order. The running total over an
-    entity's windows is taken on read.
+REFINED = T.StructType(
+    [
+        T.StructField("entity", T.LongType()),
+        T.StructField("outcome", T.StringType()),
+        T.StructField("session", T.LongType()),  # the watermark when the session opened, in milliseconds
+        T.StructField("n_answers", T.LongType()),
+        T.StructField("units", T.LongType()),
+        T.StructField("closed", T.BooleanType()),
+    ]
+)
+
+
+def summed(rows: DataFrame, keys: dict[str, pa.DataType], value: str, delay: str) -> DataFrame:
+    """Integer sums (n, value) per key of each task's rows, made before the rows are shuffled to their state.
+
+    Late rows have to reach the state, so they must not carry the time that Spark compares with the watermark: sums have no
+    time, and a row of its own, `clock`, has the newest one of its task's batch.
     """
+    names, schema = list(keys), ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches):
+        for b in batches:
+            g = pa.Table.from_batches([b]).group_by(names).aggregate([(value, "count"), (value, "sum")])
+            newest, n = pc.max(b["ts"]), g.num_rows
+            row = lambda c, t: pa.concat_arrays([g[c].combine_chunks(), pa.nulls(1, t)])
+            ts = pa.concat_arrays([pa.nulls(n, b["ts"].type), pa.array([newest.as_py()], b["ts"].type)])
+            cols = [row(k, t) for k, t in keys.items()] + [row(f"{value}_count", pa.int64()), row(f"{value}_sum", pa.int64())]
+            yield pa.RecordBatch.from_arrays([*cols, ts, pa.array([False] * n + [True])], [*names, "n", value, "ts", "clock"])
+
+    return rows.mapInArrow(run, f"{schema}, n long, {value} long, ts timestamp, clock boolean").withWatermark("ts", delay)
+
+
+def _refine(idle_ms: int | None):
+    """State of one (entity, outcome): answers and evidence of its open session. One row per micro-batch with answers."""
+
+    def update(key, frames, state):
+        clock, entity, outcome = key
+        if clock:
+            return
+        if state.hasTimedOut:
+            session, n, units, _ = state.get
+            state.remove()
+            yield pd.DataFrame([(entity, outcome, session, n, units, True)], columns=REFINED.names)
+            return
+        n, units, newest = 0, 0, 0
+        for f in frames:
+            n, units, newest = n + int(f["n"].sum()), units + int(f["units"].sum()), max(newest, int(f["hour"].max()))
+        # a session ends after the watermark has moved, so the next one of the key has another number
+        session, have_n, have_units, have_last = state.get if state.exists else (state.getCurrentWatermarkMs(), 0, 0, newest)
+        n, units, newest = n + have_n, units + have_units, max(newest, have_last)
+        state.update((session, n, units, newest))
+        if idle_ms is not None:
+            state.setTimeoutTimestamp(max(newest + idle_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(entity, outcome, session, n, units, False)], columns=REFINED.names)
+
+    return update
+
+
+def refine_rows(answers: DataFrame, idle: str | None = None) -> DataFrame:
+    """A streaming frame with one row per micro-batch and (entity, outcome) that has answers in it: the running sums.
+
+    `answers(ts, entity, outcome, units)`; `units` are integer thousandths of evidence, so sums do not depend on the order.
+    The sums live in keyed state. With `idle`, a key without answers for that event time (two hours late rows allowed) gives
+    a last row that is `closed`, and its state goes; answers after that open a new session. Sums of the sessions of a key
+    add up to the sums of all its answers.
+    """
+    ms = None if idle is None else millis(answers.sparkSession, idle)
+    hour = F.unix_millis(F.window("ts", "1 hour")["end"]).alias("hour")  # sums are made per hour, so that each has its time
+    long = answers.select("ts", F.col("entity").cast("long").alias("entity"), F.col("outcome").cast("string").alias("outcome"), F.col("units").cast("long").alias("units"), hour)
+    few = summed(long, {"entity": pa.int64(), "outcome": pa.string(), "hour": pa.int64()}, "units", "2 hours")
+    timeout = GroupStateTimeout.NoTimeout if ms is None else GroupStateTimeout.EventTimeTimeout
+    return few.groupBy("clock", "entity", "outcome").applyInPandasWithState(_refine(ms), REFINED, "session long, n long, units long, last long", "append", timeout)
 
-    def shape(batch: DataFrame) -> DataFrame:
-        w = batch.groupBy(F.window("ts", width).alias("w"), "entity", "outcome").agg(F.count("*").alias("n"), F.sum("units").cast("bigint").alias("units"))
-        return w.select("w.start", "entity", "outcome", "n", "units")
 
-    parts = run_partial_sums(answers, "refine", shape, "start timestamp, entity bigint, outcome string, n bigint, units bigint")
-    out = parts.groupBy("start", "entity", "outcome").agg(F.sum("n").alias("n"), F.sum("units").alias("units"))
-    run = W.partitionBy("entity", "outcome").orderBy("start").rowsBetween(W.unboundedPreceding, 0)
-    s = out.select("start", "entity", "outcome", F.sum("n").over(run).alias("n_answers"), (F.sum("units").over(run) / 1000.0).alias("ev"))
-    return s.select("start", "entity", "outcome", "n_answers", S.rnd(S.logodds_update(F.lit(prior), F.col("ev")), 6).alias("confidence"))
+def refined_totals(rows: DataFrame, prior: float) -> DataFrame:
+    """(entity, outcome, n_answers, confidence) after all answers: the last row of each session, sessions added up."""
+    last = rows.groupBy("entity", "outcome", "session").agg(F.max_by(F.struct("n_answers", "units"), F.struct("batch", "closed")).alias("s"))
+    sums = last.groupBy("entity", "outcome").agg(F.sum("s.n_answers").alias("n_answers"), F.sum("s.units").alias("units"))
+    return sums.select("entity", "outcome", "n_answers", S.rnd(S.logodds_update(F.lit(prior), F.col("units") / F.lit(1000.0)), 6).alias("confidence"))
 
 
-def stream_trend(stream: DataFrame, value: str, width: str = "7 days", delay: str = "1 day") -> DataFrame:
-    """Windows of the reading history per (user, event type): count, mean, and whether the window is closed.
+def stream_refine(answers: DataFrame, prior: float, idle: str | None = None, out: str | None = None) -> DataFrame:
+    """Runs the available answers into the sink `out` (a new folder if none is given) and returns all its rows.
 
-    A window is closed once the newest event time minus the delay passes its end. Rows that come later still count.
+    Started again with the same folder it goes on from its state; see `refined_totals` for the end of the story.
     """
+    out = out or scratch(answers.sparkSession, "refine")
+    run_to_batches(refine_rows(answers, idle), out)
+    rows = read_batches(answers.sparkSession, out, REFINED)
+    return rows.withColumn("confidence", S.rnd(S.logodds_update(F.lit(prior), F.col("units") / F.lit(1000.0)), 6))
+
 
-    def shape(batch: DataFrame) -> DataFrame:
-        cents = F.sum(F.floor(F.col(value) * 100 + F.lit(0.5))).cast("bigint").alias("cents")
-        w = batch.groupBy(F.window("ts", width).alias("w"), "user_id", "event_type").agg(F.count("*").alias("n"), cents, F.max("ts").alias("newest"))
-        return w.select("w.start", F.col("w.end").alias("stop"), "user_id", "event_type", "n", "cents", "newest")
-
-    schema = "start timestamp, stop timestamp, user_id bigint, event_type string, n bigint, cents bigint, newest timestamp"
-    parts = run_partial_sums(stream, "trend", shape, schema)
-    keys = ["start", "stop", "user_id", "event_type"]
-    out = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("cents").alias("cents"))
-    last = parts.agg(F.max("newest").alias("newest"))  # one row
-    closed = (F.col("stop") <= F.col("newest") - F.expr(f"INTERVAL {delay}")).alias("closed")
-    return out.join(F.broadcast(last)).select(*keys, "n", S.rnd(F.col("cents") / F.col("n"), 4).alias("mean_cents"), closed)
+# ---- reading history in windows ---------------------------------------------------------------------
+
+TREND = T.StructType(
+    [
+        T.StructField("user_id", T.LongType()),
+        T.StructField("event_type", T.StringType()),
+        T.StructField("start", T.LongType()),  # milliseconds
+        T.StructField("kind", T.StringType()),  # open: so far; closed: final; late: came after its window was closed
+        T.StructField("n", T.LongType()),
+        T.StructField("cents", T.LongType()),
+    ]
+)
+
+
+def _trend(width_ms: int):
+    """State of one (user, event type): sums of the windows that the watermark has not passed."""
+
+    def emit(key, rows):
+        return pd.DataFrame([(*key[1:], start, kind, n, cents) for start, kind, n, cents in rows], columns=TREND.names)
+
+    def update(key, frames, state):
+        if key[0]:
+            return
+        mark = state.getCurrentWatermarkMs()
+        starts, counts, sums = state.get if state.exists else ([], [], [])
+        held = {s: (n, c) for s, n, c in zip(starts, counts, sums, strict=True)}
+        fresh: dict[int, tuple[int, int]] = {}
+        if not state.hasTimedOut:
+            for f in frames:
+                for s, n, c in zip(f["start"].tolist(), f["n"].tolist(), f["cents"].tolist(), strict=True):
+                    have = fresh.get(s, (0, 0))
+                    fresh[s] = have[0] + n, have[1] + c
+        out = []
+        for s, (n, c) in sorted(fresh.items()):
+            if s + width_ms <= mark:
+                out.append((s, "late", n, c))
+            else:
+                have = held.get(s, (0, 0))
+                held[s] = have[0] + n, have[1] + c
+                out.append((s, "open", *held[s]))
+        for s in sorted(s for s in held if s + width_ms <= mark):
+            out.append((s, "closed", *held.pop(s)))
+        if held:
+            first = sorted(held)
+            state.update((first, [held[s][0] for s in first], [held[s][1] for s in first]))
+            state.setTimeoutTimestamp(max(first[0] + width_ms, mark + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield emit(key, out)
+
+    return update
+
+
+def trend_rows(stream: DataFrame, value: str, width: str = "7 days", delay: str = "1 day") -> DataFrame:
+    """A streaming frame of window rows per (user, event type): open ones so far, closed ones once, late rows as corrections.
+
+    State holds the windows only that the watermark (newest event time less `delay`) has not passed; a window that it
+    passes comes out as `closed` and is forgotten. Rows of a closed window come out as `late` and change no state.
+    """
+    width_ms = millis(stream.sparkSession, width)
+    cents = F.floor(F.col(value) * 100 + F.lit(0.5)).cast("long")
+    at = F.unix_millis(F.window("ts", width)["start"])
+    rows = stream.select("ts", F.col("user_id").cast("long").alias("user_id"), "event_type", at.alias("start"), cents.alias("cents"))
+    few = summed(rows, {"user_id": pa.int64(), "event_type": pa.string(), "start": pa.int64()}, "cents", delay)
+    state = "starts array<long>, counts array<long>, sums array<long>"
+    return few.groupBy("clock", "user_id", "event_type").applyInPandasWithState(_trend(width_ms), TREND, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def trend_state(rows: DataFrame) -> DataFrame:
+    """One row per window of trend rows (with `batch`): its final row or the newest one so far, corrections added."""
+    keys = ["user_id", "event_type", "start"]
+    kept = F.max_by(F.when(F.col("kind") != "late", F.struct("n", "cents")), F.when(F.col("kind") != "late", F.struct((F.col("kind") == "closed").alias("c"), "batch")))
+    late = lambda c: F.coalesce(F.sum(F.when(F.col("kind") == "late", F.col(c))), F.lit(0))
+    g = rows.groupBy(*keys).agg(kept.alias("k"), F.max((F.col("kind") == "closed").cast("int")).alias("closed"), late("n").alias("late_n"), late("cents").alias("late_cents"))
+    total = lambda c: (F.coalesce(F.col(f"k.{c}"), F.lit(0)) + F.col(f"late_{c}")).alias(c)
+    return g.select(*keys, total("n"), total("cents"), "late_n", (F.col("k").isNull() | (F.col("closed") == 1)).alias("closed"))
+
+
+def compact(spark: SparkSession, out: str, into: str) -> DataFrame:
+    """Writes one row per window of the sink `out` to the folder `into`, so that a history is as large as its windows.
+
+    A sink goes on in a new folder with the same state; reading both (`trend_state` of their union, the compacted rows as
+    batch -1) gives the same rows as before. Rows of closed windows stay closed; open ones are replaced by later ones.
+    """
+    state = trend_state(read_batches(spark, out, TREND))
+    rows = state.select("user_id", "event_type", "start", F.when(F.col("closed"), "closed").otherwise("open").alias("kind"), "n", "cents")
+    rows.write.mode("overwrite").parquet(f"{into}/batch=-1")
+    return read_batches(spark, into, TREND)
+
+
+def stream_trend(stream: DataFrame, value: str, width: str = "7 days", delay: str = "1 day", out: str | None = None) -> DataFrame:
+    """Windows of the reading history per (user, event type) after all that is available: count, mean, late rows, closed or not.
+
+    Started again with the same folder `out` it goes on from its state.
+    """
+    spark = stream.sparkSession
+    out = out or scratch(spark, "trend")
+    run_to_batches(trend_rows(stream, value, width, delay), out)
+    w = trend_state(read_batches(spark, out, TREND))
+    start = F.timestamp_millis("start")
+    return w.select(
+        start.alias("start"), (start + F.expr(f"INTERVAL {width}")).alias("stop"), "user_id", "event_type", "n", S.rnd(F.col("cents") / F.col("n"), 4).alias("mean_cents"), "late_n", "closed"
+    )
