@@ -219,7 +219,7 @@ def build(docs: DataFrame, path: str, base: Index | None = None, key_of: Callabl
     """The index of docs(doc_id, text) below the new folder `path`, on top of an earlier one if given."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows.mapInArrow(_windows(key_of), WINDOW).write.parquet(f"{path}/windows")
+    rows.mapInArrow(_windows(key_of), WINDOW).write.option("compression", "zstd").parquet(f"{path}/windows")
     fields = ["entry", "key", "text_sha256", "text", "keep_id", "n"]
     made = spark.read.schema(WINDOW).parquet(f"{path}/windows")
     todo, sizes = made.select(*fields), made.select("size")
@@ -232,7 +232,7 @@ def build(docs: DataFrame, path: str, base: Index | None = None, key_of: Callabl
     taken = int(owners - 1).bit_length()
     owner = F.shiftrightunsigned("key", 64 - taken).cast("int") if taken else F.lit(0)
     owned = todo.withColumn("owner", owner).repartitionById(1 << taken, "owner").drop("owner")
-    owned.mapInArrow(_own(taken, room), PAGE).write.partitionBy("kind").parquet(f"{path}/index")
+    owned.mapInArrow(_own(taken, room), PAGE).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/index")
     return Index(spark, path)
 
 
