@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sigweave.functions import text as X
 from sigweave.operators.matching import contains_any
@@ -19,26 +22,44 @@ LEADER = r"\.[ \t]+\."
 PAGE_END = r"\s\d{1,3}$"
 TITLE = r"^[A-Z][A-Za-z][A-Za-z/&,'()\- ]{1,52}[A-Za-z)]$"
 GLOSSARY = r"^\s*(\d{3,4})\s+(\S.*)$"
-#: where a text is cut into lines: behind a line feed, a carriage return without one, a form feed and the rarer ends
-LINE_CUT = r"(?<=\n)|(?<=\r)(?!\n)|(?<=[\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}])"
-LINE_END = r"(\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}])\z"
+#: ends of lines beside the line feed and the carriage return, each one character
+RARE_ENDS = "\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+LONE_RETURN = r"\r(?!\n)"
 CJK = r"[\x{4E00}-\x{9FFF}]"
 ROMANISED = r"^[a-zàáǎàāēéěèêīíǐìōóǒòūúǔùǖǘǚǜüA-Z' \-]+$"
 
 
+def split_lines(text: Column) -> Column:
+    """Lines of a text without their ends; every end is one character, but for `\\r\\n`, whose `\\r` stays on the line.
+
+    Rarer ends become line feeds, which keeps all lengths; the pattern for lone carriage returns runs over texts with one only.
+    """
+    one = F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, LONE_RETURN, "\n")).otherwise(text)
+    return F.split(F.translate(one, RARE_ENDS, "\n" * len(RARE_ENDS)), "\n")
+
+
+def bare(line: Column) -> Column:
+    """The line without the `\\r` of its end."""
+    return F.when(line.endswith("\r"), F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _starts(sizes: pd.Series) -> pd.Series:
+    return sizes.map(lambda n: np.cumsum(n) - n)
+
+
 def _lines(docs: DataFrame, key: str, text: str, head: Column, title: Column) -> DataFrame:
-    """Heading candidates with their character span; line text itself never leaves the map side.
+    """Heading candidates with their character span, found where their text lies: lines are neither shuffled nor sorted.
 
-    A line ends at any of the usual line and page ends. Its own end is no part of the text that the patterns see (so a
-    heading before `\\r\\n` is one), but counts in the offsets. Offsets are running sums inside one document.
+    A line's own end is no part of what the patterns see (so a heading before `\\r\\n` is one), but counts in the offsets,
+    which are running sums inside the row.
     """
-    line = F.regexp_replace("line", LINE_END, "").alias("line")
-    x = docs.select(key, F.length(text).alias("_len"), F.posexplode(F.split(text, LINE_CUT)).alias("pos", "line"))
-    x = x.select(key, "_len", "pos", F.length("line").alias("n"), line)
-    n = x.select(key, "_len", "pos", "n", head.alias("num"), title.alias("title"))
-    start = F.coalesce(F.sum("n").over(W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    s = n.withColumn("start", start).filter("num is not null")
-    return s.withColumn("stop", F.col("start") + F.col("n"))
+    x = docs.select(key, F.length(text).alias("_len"), split_lines(F.col(text)).alias("_l"))
+    x = x.withColumn("_s", _starts(F.transform("_l", lambda c: F.length(c) + 1)))
+    x = x.select(key, "_len", F.posexplode(F.arrays_zip("_l", "_s")).alias("pos", "z"))
+    x = x.select(key, "_len", "pos", F.col("z._s").alias("start"), (F.length("z._l") + 1).alias("n"), bare(F.col("z._l")).alias("line"))
+    s = x.select(key, "_len", "pos", "start", "n", head.alias("num"), title.alias("title")).filter("num is not null")
+    return s.withColumn("stop", F.least(F.col("start") + F.col("n"), F.col("_len")))
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:

@@ -15,7 +15,7 @@ from sigweave.operators import evaluate as E
 from sigweave.operators import labels as L
 from sigweave.operators import sampling as P
 from sigweave.plans.base import query, r, with_
-from sigweave.session import cut, table
+from sigweave.session import cut, scratch, table
 
 GRADES = ["low", "mid", "high"]
 DOMAIN = Dim(
@@ -513,10 +513,29 @@ def pr19(spark, sf):
     return L.vocabulary(table(spark, sf, "part"), "p_brand", "p_type").select("feature", F.array_join("allowed", ",").alias("allowed"))
 
 
-@query("src9_incremental", """SELECT o_orderkey, o_custkey FROM orders""")
+@query("src9_incremental", """SELECT o_orderkey, CASE WHEN o_orderdate < TIMESTAMP '1997-01-01' THEN o_custkey + 1000000 ELSE o_custkey END AS o_custkey FROM orders""")
 def src9(spark, sf):
+    """What is done keeps its own values; only the other keys come from the new run."""
     from sigweave.sources.files import incremental
 
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    done = o.filter("o_orderdate < timestamp_ntz '1997-01-01'").select("o_orderkey", "o_custkey")
+    done = o.filter("o_orderdate < timestamp_ntz '1997-01-01'").select("o_orderkey", (F.col("o_custkey") + 1000000).alias("o_custkey"))
     return incremental(o.select("o_orderkey", "o_custkey"), done, ["o_orderkey"])
+
+
+@query("src9_merge", """SELECT o_orderkey AS id, CASE WHEN o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderkey % 2 = 0 THEN 'second' ELSE CASE WHEN o_orderdate < TIMESTAMP '1997-01-01' THEN 'first' ELSE 'second' END END AS origin,
+  CAST(floor(o_totalprice*100 + 0.5) AS BIGINT) + CASE WHEN o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderkey % 2 = 0 THEN 100 ELSE 0 END AS cents FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' OR o_orderdate >= TIMESTAMP '1996-01-01'""")
+def src9_merge(spark, sf):
+    """Two runs into one artefact: the second one changes rows of even id, adds later orders and leaves the rest; then it is
+    repeated, which must change nothing."""
+    from sigweave.sources.artefact import Artefact
+
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_orderdate", F.floor(F.col("o_totalprice") * 100 + 0.5).cast("bigint").alias("cents"))
+    first = o.filter("o_orderdate < timestamp_ntz '1997-01-01'").select("id", F.lit("first").alias("origin"), "cents")
+    second = o.filter("o_orderdate >= timestamp_ntz '1997-01-01' or (o_orderdate >= timestamp_ntz '1996-01-01' and id % 2 = 0)")
+    second = second.select("id", F.lit("second").alias("origin"), F.when(F.col("id") % 2 == 0, F.col("cents") + 100).otherwise(F.col("cents")).alias("cents"))
+    store = Artefact(spark, scratch(spark, "artefact"), first.schema, "id", 16)
+    store.merge(first, 1)
+    store.merge(second, 2)
+    store.merge(second.withColumn("cents", F.lit(0).cast("bigint")), 2)
+    return store.read()

@@ -359,8 +359,8 @@ def w4(spark, sf):
 @query("w3_last_per_key", with_([C_SECDOC, C_HEADS], "SELECT doc_id, num, pos - 1 AS pos FROM m4 WHERE back = 1"))
 def w3(spark, sf):
     line = F.col("line")
-    d = sectioned(spark, sf).select("doc_id", F.posexplode(F.split("text", C.LINE_CUT)).alias("pos", "line"))
-    d = d.withColumn("line", F.regexp_replace("line", C.LINE_END, ""))
+    d = sectioned(spark, sf).select("doc_id", F.posexplode(C.split_lines(F.col("text"))).alias("pos", "line"))
+    d = d.withColumn("line", C.bare(line))
     title = F.trim(F.regexp_extract(line, C.NUMBERED, 2))
     good = line.rlike(C.NUMBERED) & ~line.rlike(C.LEADER) & ~line.rlike(C.PAGE_END) & F.length(title).between(3, 80) & title.rlike(r"^\p{L}")
     h = d.filter(good).select("doc_id", F.regexp_extract(line, C.NUMBERED, 1).alias("num"), "pos")

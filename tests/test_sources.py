@@ -141,3 +141,34 @@ def test_csv_manifest_round_trip(spark, tmp_path):
     d = spark.createDataFrame([("a,b", None, 1), ('q"', "x\ny", 2)], "sid string, split string, n int")
     files.write_manifest_csv(d.filter("n = 1"), str(tmp_path / "m"))
     assert [tuple(r) for r in files.read_manifest(spark, str(tmp_path / "m"), d.schema).collect()] == [("a,b", None, 1)]
+
+
+def test_artefact_merges_by_id(spark, tmp_path):
+    """Only touched buckets are written again; a lost or repeated run changes nothing; of equal new ids one counts."""
+    import os
+    import random
+
+    from sigweave.sources.artefact import Artefact
+
+    r, want = random.Random(1), {}
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.StringType()), T.StructField("at", T.IntegerType())])
+    for run in range(1, 5):
+        store = Artefact(spark, str(tmp_path / "a"), schema, "id", 8)
+        new = [(r.randrange(60 if run < 4 else 3), f"{run}-{i}", i) for i in range(40 if run < 4 else 2)] + [(None, "x", 1)]
+        before = store.state()[1]
+        assert store.merge(spark.createDataFrame(new, schema), run, [F.desc("at")])
+        want |= {i: v for i, v, _ in new if i is not None}
+        assert {x["id"]: x["v"] for x in store.read().collect()} == want and store.read().count() == len(want)
+        touched = {b for b, held in store.state()[1].items() if held == run}
+        assert {b: h for b, h in store.state()[1].items() if b not in touched} == {b: h for b, h in before.items() if b not in touched}
+    assert len(touched) <= 2
+    assert not store.merge(spark.createDataFrame([(1, "again", 1)], schema), 4)
+    # a run that died before its state was whole: rows are there, nobody sees them, the repeated run replaces them
+    os.makedirs(tmp_path / "a" / "rows" / "run=5" / "bucket=0")
+    os.makedirs(tmp_path / "a" / "state" / "run=5" / "_temporary")
+    spark.createDataFrame([(999, "lost", 1)], schema).write.mode("append").parquet(str(tmp_path / "a" / "rows" / "run=5" / "bucket=0"))
+    assert {x["id"]: x["v"] for x in store.read().collect()} == want
+    assert store.merge(spark.createDataFrame([(1, "five", 1)], schema), 5)
+    assert {x["id"]: x["v"] for x in store.read().collect()} == want | {1: "five"}
+    empty = Artefact(spark, str(tmp_path / "b"), schema, "id")
+    assert empty.read().count() == 0 and empty.merge(spark.createDataFrame([], schema), 1) and empty.read().count() == 0
