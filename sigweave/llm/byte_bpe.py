@@ -5,7 +5,8 @@ displacement that sends each vocabulary word to a slot of its own, without spare
 vocabulary entry is resolved by one probe and one comparison. The others are merged byte by byte: a heap holds the
 ranks of neighbouring pairs over a linked list of parts, lowest rank first, leftmost first among equals.
 
-Equal pre-tokens of a batch are resolved once; a bounded memo per worker keeps results between batches. Documents are
+Equal pre-tokens of a group of documents are resolved once, the new ones of the group together; a bounded memo per worker
+keeps results between groups. Documents are
 rows of one narrow stage without any exchange; very long texts are split at pre-token boundaries.
 
 Defined results: a null text is empty (no ids); invalid ids raise KeyError in `decode`; other columns are ignored.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 from struct import pack
 
@@ -23,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sigweave.llm.pretokens import pre_tokens
+from sigweave.llm.pretokens import encode_in_groups
 
 MEMO = 500_000
 GOLD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -113,6 +115,10 @@ class Codec:
             ranks[w[:i]] << 32 | ranks[w[i:]]: r for w, r in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks
         }
         self.memo: dict[str, bytes] = {}
+        self.size = np.zeros(max(self.word) + 1, np.int64)
+        self.size[list(self.word)] = list(map(len, self.word.values()))
+        by_id = [self.word.get(i, b"") for i in range(len(self.size))]
+        self.flat, self.start = np.frombuffer(b"".join(by_id), np.uint8), np.cumsum(self.size) - self.size
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token: merges by rank with a heap over linked parts."""
@@ -145,19 +151,20 @@ class Codec:
             ids = [self.rank[i]] if i >= 0 else self.merge(b)
             self.memo[w] = pack(f"<{len(ids)}I", *ids)
 
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        return encode_in_groups(texts, self.memo, MEMO, self.learn, lambda t: None)
+
     def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
-        out = []
-        for words in pre_tokens(text):
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            if new := set(words).difference(self.memo):
-                self.learn(new)
-            out.append(b"".join(map(self.memo.__getitem__, words)))
-        return b"".join(out)
+        return next(self.encode_all([text]))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.word.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """The words of the ids, gathered from one string of all words."""
+        i = np.frombuffer(ids, "<u4")
+        if len(i) and (i.max() >= len(self.size) or not self.size[i].all()):
+            raise KeyError("an id is not in the vocabulary")
+        n = self.size[i]
+        return self.flat[np.repeat(self.start[i] - np.cumsum(n) + n, n) + np.arange(n.sum())].tobytes()
 
 
 @functools.cache
@@ -170,8 +177,7 @@ def _digest(path: str):
         c = codec(path)
         for b in batches:
             n, enc, dec = [], [], []
-            for text in b["text"]:
-                ids = c.encode(text.as_py() or "")
+            for ids in c.encode_all(t.as_py() or "" for t in b["text"]):
                 n.append(len(ids) // 4)
                 enc.append(hashlib.sha256(ids).hexdigest())
                 dec.append(hashlib.sha256(c.decode(ids)).hexdigest())
@@ -189,7 +195,7 @@ def encode_rows(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         c = codec(path)
         for b in batches:
-            ids = [np.frombuffer(c.encode(t.as_py() or ""), "<u4").astype(np.int32) for t in b["text"]]
+            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in c.encode_all(t.as_py() or "" for t in b["text"])]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["text"], pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "text", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text string, ids array<int>")

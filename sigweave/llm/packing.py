@@ -19,12 +19,13 @@ from __future__ import annotations
 
 import functools
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sigweave.llm.pretokens import pre_tokens
+from sigweave.llm.pretokens import encode_in_groups
 from sigweave.session import cut
 
 MEMO = 500_000
@@ -48,21 +49,21 @@ class WordTokenizer:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
 
-    def learn(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+    def learn(self, words: Iterable[str]) -> None:
+        new = list(words)
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.memo[w] = np.array(e.ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
+    def _whole(self, text: str) -> bytes | None:
         if any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        out = []
-        for words in pre_tokens(text):
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            if new := set(words).difference(self.memo):
-                self.learn(list(new))
-            out.append(b"".join(map(self.memo.__getitem__, words)))
-        return b"".join(out)
+        return None
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        return encode_in_groups(texts, self.memo, MEMO, self.learn, self._whole)
+
+    def encode(self, text: str) -> bytes:
+        return next(self.encode_all([text]))
 
 
 @functools.cache
@@ -78,8 +79,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, wi
         t = word_tokenizer(path)
         for b in batches:
             doc, start, length, crc, total, ids = [], [], [], [], [], []
-            for d, text in zip(b["doc_id"], b["text"], strict=True):
-                blob = t.encode(text.as_py() or "") + end
+            encoded = t.encode_all(x.as_py() or "" for x in b["text"])
+            for d, made in zip(b["doc_id"], encoded, strict=True):
+                blob = made + end
                 for at in range(0, len(blob), step):
                     part = blob[at : at + step]
                     doc.append(d.as_py())

@@ -73,13 +73,11 @@ def count_tokens(docs: DataFrame, path: str, sections: Callable = lines, rule: s
 
     def run(batches):
         c = codec(path)
-        size = np.zeros(max(c.word) + 1, np.int64)
-        for i, w in c.word.items():
-            size[i] = len(w)
         for b in batches:
             doc, cols = [], [[] for _ in range(5)]
-            for d, t, text in zip(b["doc_id"].to_pylist(), text_bytes(b["text"]), b["text"], strict=True):
-                last = np.cumsum(size[np.frombuffer(c.encode(text.as_py() or ""), "<u4")])
+            ids = c.encode_all(t.as_py() or "" for t in b["text"])
+            for d, t, found in zip(b["doc_id"].to_pylist(), text_bytes(b["text"]), ids, strict=True):
+                last = np.cumsum(c.size[np.frombuffer(found, "<u4")])
                 first = np.concatenate([[0], last[:-1]]) if len(last) else last
                 start, end = sections(t)
                 at, crosses = allocate(first, last, start, end, rule)
