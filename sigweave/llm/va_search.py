@@ -11,7 +11,9 @@ have a bounded number of rows, so a task's memory does not grow with the input.
 
 Defined results: rows with a null id, null vectors, null or non-finite components take no part; ids are unique (of
 repeated rows with one id the smallest vector stays); vectors of another length than the query's are no candidates of
-it; empty vectors score 0 among themselves; components beyond +-2**24 count as that bound, so that sums fit a long.
+it; empty vectors score 0 among themselves. Products and sums are exact at any size: where 64 bits might not hold them,
+Python integers do, and the order follows them; a score that no long can hold is shown as the nearest long. The query
+scales components by 256 first; a vector with one that is then no finite double takes no part.
 """
 
 from __future__ import annotations
@@ -20,53 +22,68 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sigweave.llm.vectors import finite, ids, matrix, one_row_per_id, top_k
+from sigweave.llm.vectors import finite, ids, one_row_per_id, top_k
 
-LIMIT = 2**24
+#: bytes of a score as a sortable number: products of any doubles, added up
+KEY = 272
 
 
-def approximate(exact: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def approximate(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cell numbers of every component, and the lowest and highest value of each (dimension, cell)."""
-    cells, low, high = 1 << bits, exact.min(0), exact.max(0)
-    width = np.maximum(1, -(-(high - low + 1) // cells))
-    codes = ((exact - low) // width).astype(np.uint8)
-    floor = low[:, None] + np.arange(cells)[None, :] * width[:, None]
-    return codes, floor, np.minimum(floor + width[:, None] - 1, high[:, None])
+    cells, low, high = 1 << bits, values.min(0), values.max(0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        share = (values - low) / np.where(high > low, high - low, 1.0)
+    codes = np.clip(np.nan_to_num(share) * cells, 0, cells - 1).astype(np.uint8)
+    floor, ceiling = (np.empty((values.shape[1], cells)) for _ in range(2))
+    for c in range(cells):
+        own = codes == c
+        floor[:, c], ceiling[:, c] = np.where(own, values, np.inf).min(0), np.where(own, values, -np.inf).max(0)
+    return codes, floor, ceiling
 
 
 def upper_bounds(queries: np.ndarray, codes: np.ndarray, floor: np.ndarray, ceiling: np.ndarray) -> np.ndarray:
     """(query, candidate) bounds: each component contributes its cell's end that suits the query's sign."""
     dims = np.arange(codes.shape[1])
     q = queries.astype(np.float64)
-    lows, highs = floor[dims, codes].astype(np.float64), ceiling[dims, codes].astype(np.float64)
-    bound = np.maximum(q, 0) @ highs.T + np.minimum(q, 0) @ lows.T
-    return bound + np.abs(bound) * 1e-9 + 0.5
+    lows, highs = floor[dims, codes], ceiling[dims, codes]
+    with np.errstate(over="ignore", invalid="ignore"):
+        bound = np.maximum(q, 0) @ highs.T + np.minimum(q, 0) @ lows.T
+        # rounding is bounded by the sum of the absolute products
+        bound += (np.abs(q) @ np.maximum(np.abs(lows), np.abs(highs)).T) * 1e-12 + 0.5
+    return np.where(np.isnan(bound), np.inf, bound)
 
 
-def search_block(qid: np.ndarray, queries: np.ndarray, vid: np.ndarray, exact: np.ndarray, k: int, bits: int = 4):
+def whole_numbers(queries: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both matrices as 64-bit integers where all products and sums fit, as Python integers otherwise."""
+    with np.errstate(over="ignore"):
+        most = np.abs(queries.astype(float)).max(0, initial=0) @ np.abs(values.astype(float)).max(0, initial=0)
+    if most < 2.0**62 and max(np.abs(queries.astype(float)).max(initial=0), np.abs(values.astype(float)).max(initial=0)) < 2.0**62:
+        return queries.astype(np.int64), values.astype(np.int64)
+    return tuple(np.array([int(x) for x in m.ravel().tolist()], object).reshape(m.shape) for m in (queries, values))
+
+
+def search_block(qid: np.ndarray, queries: np.ndarray, vid: np.ndarray, values: np.ndarray, k: int, bits: int = 4):
     """The k best (query, id, score) of one block for each query; reads exact rows only while a bound can still win."""
-    if exact.shape[1] == 0:
+    if values.shape[1] == 0:
         bound = np.zeros((len(qid), len(vid)))
     else:
-        codes, floor, ceiling = approximate(exact, bits)
-        bound = upper_bounds(queries, codes, floor, ceiling)
-    bound[qid[:, None] == vid[None, :]] = -np.inf  # a row is no candidate of itself
+        bound = upper_bounds(queries, *approximate(values.astype(np.float64), bits))
+    asks, exact = whole_numbers(queries, values)
     out_q, out_v, out_s = [], [], []
     first = min(len(vid), 8 * k)
     for i in range(len(qid)):
-        b, have_v, have_s = bound[i], np.empty(0, np.int64), np.empty(0, np.int64)
+        b, have_v, have_s = bound[i], np.empty(0, np.int64), np.empty(0, exact.dtype)
         order = np.argpartition(-b, first - 1)[:first] if first < len(vid) else np.arange(len(vid))
-        todo, done = order[np.isfinite(b[order])], None
+        done = vid == qid[i]  # a row is no candidate of itself
+        todo = order[~done[order]]
         while len(todo):
             have_v = np.concatenate([have_v, vid[todo]])
-            have_s = np.concatenate([have_s, exact[todo] @ queries[i]])
+            have_s = np.concatenate([have_s, exact[todo] @ asks[i]])
             best = np.lexsort((have_v, -have_s))[:k]
             have_v, have_s = have_v[best], have_s[best]
-            if done is None:
-                done = np.zeros(len(vid), bool)
             done[todo] = True
-            sure = have_s[-1] if len(have_s) == k else -np.inf
-            left = np.flatnonzero((b >= sure) & ~done & np.isfinite(b))
+            sure = float(have_s[-1]) if len(have_s) == k and abs(have_s[-1]) < 1 << 1000 else -np.inf
+            left = np.flatnonzero((b >= sure) & ~done)
             if len(left) > 4 * first:  # the best bounds first; the next kth score may rule out the rest
                 left = left[np.argpartition(-b[left], 4 * first)[: 4 * first]]
             todo = left
@@ -78,18 +95,29 @@ def search_block(qid: np.ndarray, queries: np.ndarray, vid: np.ndarray, exact: n
 
 def _cell(k: int, bits: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = [np.empty(0, np.int64)] * 3
+        q, v, s = [np.empty(0, np.int64)] * 3
         if left.num_rows and right.num_rows:
-            found = search_block(
-                ids(right["id"]), matrix(right["v"], np.int64), ids(left["id"]), matrix(left["v"], np.int64), k, bits
-            )
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
+            rows = [(ids(t["id"]), t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)) for t in (right, left)]
+            q, v, s = search_block(*rows[0], *rows[1], k, bits)
+        key = [(int(x) + (1 << 8 * KEY - 1)).to_bytes(KEY, "big") for x in s]
+        return pa.table({"query_id": q, "vec_id": v, "key": pa.array(key, pa.binary())})
 
     return run
 
 
+def _scores(batches):
+    """The score of each key; a long has no place for more than 63 bits, so its nearest value stands there."""
+    for b in batches:
+        s = [int.from_bytes(x, "big") - (1 << 8 * KEY - 1) for x in b["key"].to_pylist()]
+        s = pa.array([max(-(1 << 63), min((1 << 63) - 1, x)) for x in s], pa.int64())
+        yield pa.RecordBatch.from_arrays([b["query_id"], b["rank"], b["vec_id"], s], ["query_id", "rank", "vec_id", "score"])
+
+
 def exact_top_k(vectors: DataFrame, k: int, every: int, bits: int = 4, block: int = 8192, queries_per_block: int = 1024) -> DataFrame:
-    """(query_id, rank, vec_id, score) for each row of vectors(id, v array<bigint>) whose id is divisible by `every`."""
+    """(query_id, rank, vec_id, score) for each row of vectors(id, v) whose id is divisible by `every`.
+
+    Components are whole numbers, as bigint or as double (then of any size).
+    """
     rows = one_row_per_id(vectors.where(F.col("id").isNotNull() & finite(F.col("v"))), "id", "v")
     rows = rows.withColumn("dim", F.size("v"))
     queries = rows.where(F.col("id") % every == 0)
@@ -99,15 +127,17 @@ def exact_top_k(vectors: DataFrame, k: int, every: int, bits: int = 4, block: in
     q = queries.withColumn("q", F.pmod(F.xxhash64(F.col("id") + 1), F.lit(qblocks)).cast("int"))
     q = q.withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     key = ["dim", "b", "q"]
-    part = c.groupBy(*key).cogroup(q.groupBy(*key)).applyInArrow(_cell(k, bits), "query_id long, vec_id long, score long")
-    return top_k(part, k, F.col("score").desc(), F.col("vec_id")).select("query_id", "rank", "vec_id", "score")
+    part = c.groupBy(*key).cogroup(q.groupBy(*key)).applyInArrow(_cell(k, bits), "query_id long, vec_id long, key binary")
+    best = top_k(part, k, F.col("key").desc(), F.col("vec_id")).select("query_id", "rank", "vec_id", "key")
+    return best.mapInArrow(_scores, "query_id long, rank int, vec_id long, score long")
 
 
 def op10_va_search(spark, sf_dir: str) -> DataFrame:
     from sigweave.session import table
 
     e = table(spark, sf_dir, "embeddings").where(finite(F.col("embedding")))
-    scaled = F.transform("embedding", lambda x: F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.floor(x.cast("double") * 256.0))).cast("bigint"))
+    times = lambda x: x.cast("double") * 256.0  # noqa: E731  a double from 2**52 on is whole
+    scaled = F.transform("embedding", lambda x: F.when(F.abs(times(x)) < 2.0**52, F.floor(times(x)).cast("double")).otherwise(times(x)))
     return exact_top_k(e.select(F.col("vec_id").alias("id"), scaled.alias("v")), k=5, every=50)
 
 

@@ -31,9 +31,24 @@ def test_exact_search_odd_rows(spark):
     assert va_search.exact_top_k(vectors(spark, rows).limit(0), 5, 5).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e6, 1e12, 1e20, 1e150])
+def test_scores_of_any_size(spark, size):
+    """Components far beyond what products in 64 bits can hold keep their exact order."""
+    rng = np.random.default_rng(4)
+    x = np.floor(rng.normal(size=(60, 5)) * size)
+    x[30:40, 1:] = x[30, 1:]
+    x[31, 0] = np.nextafter(x[30, 0], np.inf) if size > 2**52 else x[30, 0] + 1
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = va_search.exact_top_k(spark.createDataFrame(rows, "id long, v array<double>"), 5, 10, block=16).collect()
+    score = lambda a, b: sum(int(p) * int(q) for p, q in zip(x[a].tolist(), x[b].tolist()))
+    long = lambda s: max(-(2**63), min(2**63 - 1, s))
+    want = {(q, r + 1, i, long(-s)) for q in range(0, 60, 10) for r, (s, i) in enumerate(sorted((-score(q, i), i) for i in range(60) if i != q)[:5])}
+    assert {tuple(r) for r in got} == want
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(0)
-    x, q = rng.integers(-500, 500, (200, 9)), rng.integers(-500, 500, (20, 9))
+    x, q = rng.integers(-500, 500, (200, 9)).astype(float), rng.integers(-500, 500, (20, 9))
     for bits in (1, 4, 6):
         assert (va_search.upper_bounds(q, *va_search.approximate(x, bits)) >= q @ x.T).all()
 
