@@ -113,28 +113,54 @@ def edges_to(nodes: DataFrame, edges: DataFrame, rel: str) -> DataFrame:
     return nodes.select(F.col("id").alias("dst")).join(edges.filter(F.col("rel") == rel), "dst")
 
 
+#: rows of a node up to which they are not split; beyond it at most SHARE nodes are
+HUB, SHARE = 10_000, 1000
+
+
+def _frequent(rows: DataFrame, key: str, parts: str) -> DataFrame:
+    """(key, parts) of the keys with more rows than HUB and than one SHARE-th of all: fewer than SHARE, so it is broadcast."""
+    bound = max(HUB, -(-rows.count() // SHARE))
+    n = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > bound)
+    return F.broadcast(n.select(key, F.ceil(F.col("_n") / bound).cast("int").alias(parts)))
+
+
+def _one_step(frontier: DataFrame, edges: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(entity, node) one edge behind the frontier (entity, node).
+
+    Edges of a hub lie in numbered blocks, and only frontier rows at a hub are copied to its blocks; where many entities
+    stand at one node, they are dealt into slices and its edges are copied to these. No task has more than a block and a slice.
+    """
+    crowds = _frequent(frontier, "node", "_slices").withColumnRenamed("node", "src")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
+    part = lambda c, n: F.coalesce(F.pmod(F.xxhash64(c), F.col(n)).cast("int"), F.lit(0))
+    f = frontier.select("entity", F.col("node").alias("src")).join(crowds, "src", "left").join(hubs, "src", "left")
+    f = f.select("entity", "src", part("entity", "_slices").alias("_s"), numbers("_blocks").alias("_b"))
+    e = edges.join(crowds, "src", "left").join(hubs, "src", "left").select("src", "dst", part("dst", "_blocks").alias("_b"), numbers("_slices").alias("_s"))
+    return f.join(e, ["src", "_b", "_s"]).select("entity", F.col("dst").alias("node")).distinct()
+
+
 def neighborhood(seeds: DataFrame, edges: DataFrame, hops: int = 2, rels=None, directed: bool = True, nodes: DataFrame | None = None) -> DataFrame:
     """(entity, node, hop): nodes reached from each entity's seeds within `hops` edges.
 
     With `nodes(id)` given, seeds that are no nodes of the graph are left out.
 
     Only new nodes form the next frontier; the last hop needs no such test, since the
-    final minimum over hops removes repeats. Hot nodes make skewed join keys on the
-    frontier side, which adaptive execution splits because the edge side of a key is small.
+    final minimum over hops removes repeats. Hubs and crowds are split (`_one_step`).
     """
     e = edges.select("src", "dst") if rels is None else edges.filter(F.col("rel").isin(list(rels))).select("src", "dst")
     if not directed:
         e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    e = e.distinct()
+    e = cut(e.distinct())
+    hubs = _frequent(e, "src", "_blocks")
     reached = seeds.select("entity", "node").distinct()
     if nodes is not None:
         reached = reached.join(nodes.select(F.col("id").alias("node")), "node", "left_semi").select("entity", "node")
-    reached = reached.withColumn("hop", F.lit(0))
+    reached = cut(reached.withColumn("hop", F.lit(0)))
     frontier = reached
     for h in range(1, hops + 1):
-        step = frontier.select("entity", F.col("node").alias("src")).join(e, "src").select("entity", F.col("dst").alias("node")).distinct()
+        step = _one_step(frontier.select("entity", "node"), e, hubs)
         if h < hops:
-            step = step.join(reached.select("entity", "node"), ["entity", "node"], "left_anti")
+            step = cut(step.join(reached.select("entity", "node"), ["entity", "node"], "left_anti"))
         frontier = step.withColumn("hop", F.lit(h))
         reached = reached.unionByName(frontier)
     return reached.groupBy("entity", "node").agg(F.min("hop").alias("hop"))

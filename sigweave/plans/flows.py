@@ -95,3 +95,16 @@ def src10(spark, sf):
     schema = "feature string, n bigint, accuracy double"
     read = lambda k: spark.read.schema(schema).json(f"{out}/{k}").withColumn("part", F.lit(k))
     return read("rows").unionByName(read("summary"))
+
+
+@query("src11_vector_files", "SELECT vec_id, label, embedding, vec_id % 3 = 0 AS again FROM embeddings")
+def src11(spark, sf):
+    """Vectors and their metadata go out as matrix files in two writes and come back by row ranges."""
+    from sigweave.sources.vectors import VectorFiles
+
+    spark.dataSource.register(VectorFiles)
+    e = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<float>").alias("embedding"), (F.col("vec_id") % 3 == 0).alias("again"))
+    out = scratch(spark, "vectors")
+    for again, mode in ((False, "overwrite"), (True, "append")):
+        e.filter(F.col("again") == again).repartition(3, "vec_id").write.format("vector_files").mode(mode).save(out)
+    return spark.read.format("vector_files").schema(e.schema).option("rows", 100).load(out)

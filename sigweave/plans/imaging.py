@@ -257,12 +257,32 @@ def ml1(spark, sf):
     return G.softmax_score(z, "logits", ["h0", "h1", "h2"]).select("vec_id", "value", S.rnd(F.col("confidence"), 6).alias("confidence"), S.rnd(F.col("severity"), 6).alias("severity"))
 
 
-@query("ml2_train_head")
-def ml2(spark, sf):
-    from sigweave.operators.training import evaluate_head, train_head
+C_HEADROWS = """hr0 AS (SELECT vec_id, CAST(label % 3 AS INT) AS target, embedding, CASE WHEN substr(md5('9|' || vec_id), 1, 1) < '4' THEN 'val' ELSE 'train' END AS split, CASE WHEN vec_id % 2 = 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS base FROM embeddings),
+cw0 AS (SELECT target, 1.0::DOUBLE/sqrt(count(*)::DOUBLE) AS raw FROM hr0 WHERE split = 'train' GROUP BY 1),
+cw AS (SELECT target, least(4.0::DOUBLE, greatest(0.5::DOUBLE, raw/(SELECT avg(raw) FROM cw0))) AS cw FROM cw0),
+hr AS (SELECT h.*, base*cw AS weight FROM hr0 h JOIN cw USING (target))"""
+
+
+def head_rows(spark, sf) -> DataFrame:
+    """Vectors with target, split, and weight: source weight times class weight."""
+    from sigweave.operators.sampling import class_weights
 
-    e = table(spark, sf, "embeddings").select("vec_id", (F.col("label") % 3).cast("double").alias("target"), "embedding")
+    e = table(spark, sf, "embeddings").select("vec_id", (F.col("label") % 3).cast("int").alias("target"), "embedding")
     h = F.substring(F.md5(F.concat_ws("|", F.lit("9"), F.col("vec_id").cast("string"))), 1, 1)
-    e = e.withColumn("split", F.when(h < "4", "val").otherwise("train")).withColumn("weight", F.when(F.col("vec_id") % 2 == 0, 2.0).otherwise(1.0))
-    model, pick = train_head(e, "embedding", "target", "weight", [0.0, 0.01, 0.1], 3)
-    return evaluate_head(model, e, "embedding", "target").withColumn("reg", F.lit(pick))
+    e = e.withColumn("split", F.when(h < "4", "val").otherwise("train")).withColumn("base", F.when(F.col("vec_id") % 2 == 0, 2.0).otherwise(1.0))
+    n = e.filter("split = 'train'").groupBy("target").agg(F.count("*").alias("n"))  # a row per class
+    w = class_weights(n.select(F.lit("head").alias("feature"), F.col("target").alias("value"), "n"), "sqrt")
+    return e.join(F.broadcast(w.select(F.col("value").alias("target"), F.col("weight").alias("cw"))), "target").withColumn("weight", F.col("base") * F.col("cw"))
+
+
+@query("ml2_train_head", with_([C_HEADROWS], f"""SELECT CAST(c AS INT) AS class, CAST(i - 1 AS INT) AS component, {r('sum(CASE WHEN target = c THEN weight*CASE WHEN i = 65 THEN 1.0::DOUBLE ELSE embedding[i]::DOUBLE END ELSE 0.0::DOUBLE END)/sum(weight)', 7)} AS moment
+  FROM hr, range(0, 3) a(c), range(1, 66) b(i) WHERE split = 'train' GROUP BY c, i"""))
+def ml2(spark, sf):
+    """The moments of the trained head over the training rows. They equal those of the targets only where the gradient of
+    the loss is zero; these the SQL takes from the data alone."""
+    from sigweave.operators.training import moments, train_head
+
+    e = cut(head_rows(spark, sf))
+    heads, reg = train_head(e, "embedding", "target", "weight", [0.001, 0.01, 0.1], 3)
+    m = moments(heads, e.filter("split = 'train'"), "embedding", "weight", reg)
+    return m.select("class", "component", S.rnd(F.col("moment"), 7).alias("moment"))
