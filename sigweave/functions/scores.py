@@ -108,3 +108,10 @@ def first_band(value: Column, bands: Sequence[tuple[float, str]]) -> Column:
     for top, word in bands:
         out = F.when(value <= top, F.lit(word)) if out is None else out.when(value <= top, F.lit(word))
     return out.otherwise(F.lit(bands[-1][1]))
+
+
+def fixed2(c: Column) -> Column:
+    """A number as text with two decimals, halves away from zero."""
+    cents = F.floor(F.abs(c) * 100 + F.lit(0.5)).cast("bigint")
+    sign = F.when((c < 0) & (cents > 0), "-").otherwise("")
+    return F.concat(sign, F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))

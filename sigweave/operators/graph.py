@@ -229,11 +229,11 @@ def citations(edges: DataFrame, n: int = 3) -> DataFrame:
     return e.withColumn("cite_rank", rn).filter(F.col("cite_rank") <= n).select("src", F.substring_index("dst", ":", -1).alias("outcome"), "rel", "cite_rank", "source", "snippet", "weight")
 
 
-def evidence_list(entries: DataFrame, groups: DataFrame, edges: DataFrame, n: int = 6) -> DataFrame:
+def evidence_list(entries: DataFrame, groups: DataFrame, edges: DataFrame, n: int = 6, weights: bool = False) -> DataFrame:
     """First n cited lines of every (entity, outcome): the largest contribution first, then the weight, supporting before opposing.
 
     Citations of one (source, outcome, relation) that repeat a snippet and source are one. Within such a group lines go by
-    weight, so n per group are enough; `pos` counts from 1.
+    weight, so n per group are enough; `pos` counts from 1. The citation's weight comes along if asked for.
     """
     cited = groups.join(citations(edges, n), ["src", "outcome", "rel"])
     seeds = entries.filter("node is not null").select("entity", F.col("node").alias("src")).distinct()
@@ -244,20 +244,44 @@ def evidence_list(entries: DataFrame, groups: DataFrame, edges: DataFrame, n: in
     )
     order = [F.abs("contribution").desc(), F.desc("weight"), F.col("polarity") == "argues_against", F.col("src"), F.col("source"), F.col("snippet")]
     pos = F.row_number().over(W.partitionBy("entity", "outcome").orderBy(*order))
-    return lines.withColumn("pos", pos).filter(F.col("pos") <= n).drop("weight", "src")
+    return lines.withColumn("pos", pos).filter(F.col("pos") <= n).drop("src", *([] if weights else ["weight"]))
+
+
+# The words and marks of prompt lines, which must read as published.
+AGAINST, SUPPORTS, NO_SOURCE = "argues AGAINST", "supports", "rule KB"
+CARD_HEAD, CARD_SUPPORT, CARD_WEIGHT, CARD_SYMPTOMS = "PATTERN ", ") \u2014 support ", " (w=", "   often with: "
 
 
 def prompt_lines(evidence: DataFrame) -> DataFrame:
-    """(entity, outcome, pos, line): evidence as text lines, each with its source and snippet."""
-    tag = F.when(F.col("polarity") == "argues_against", "argues AGAINST").otherwise("supports")
+    """(entity, outcome, pos, line): evidence as text lines, each with its source and snippet, and its weight where it is there."""
+    tag = F.when(F.col("polarity") == "argues_against", AGAINST).otherwise(SUPPORTS)
     quote = F.when(F.coalesce("snippet", F.lit("")) != "", F.concat(F.lit(' "'), "snippet", F.lit('"'))).otherwise("")
-    line = F.concat(F.lit("- "), "feature", F.lit("="), "value", F.lit(" "), tag, F.lit(" ["), F.coalesce("source", F.lit("rule KB")), F.lit("]"), quote)
+    weight = [F.lit(CARD_WEIGHT), S.fixed2(F.col("weight")), F.lit(")")] if "weight" in evidence.columns else []
+    line = F.concat(F.lit("- "), "feature", F.lit("="), "value", F.lit(" "), tag, *weight, F.lit(" ["), F.coalesce("source", F.lit(NO_SOURCE)), F.lit("]"), quote)
     return evidence.select("entity", "outcome", "pos", line.alias("line"))
 
 
+def prompt_cards(ranked: DataFrame, evidence: DataFrame, context: DataFrame, names: DataFrame | None = None, symptoms: int = 6) -> DataFrame:
+    """(entity, outcome, card): one text per ranked outcome: its name and support, its evidence lines, what it often comes with.
+
+    `ranked(entity, outcome, score)`; `evidence` as of `evidence_list` with weights, a few rows per outcome; `context(entity,
+    outcome, kind, item)` with the kind `symptom`; `names(outcome, name)` for the heading, the outcome itself where there is none.
+    """
+    lines = prompt_lines(evidence).groupBy("entity", "outcome").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
+    item = F.row_number().over(W.partitionBy("entity", "outcome").orderBy("item"))
+    seen = context.filter("kind = 'symptom'").select("entity", "outcome", "item").distinct().withColumn("n", item).filter(F.col("n") <= symptoms)
+    seen = seen.groupBy("entity", "outcome").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "item"))), lambda x: x["item"]), ", ").alias("s"))
+    r = ranked.select("entity", "outcome", "score").join(lines, ["entity", "outcome"], "left").join(seen, ["entity", "outcome"], "left")
+    r = r.withColumn("name", F.lit(None).cast("string")) if names is None else r.join(names.select("outcome", "name"), "outcome", "left")
+    head = F.concat(F.lit(CARD_HEAD), F.coalesce("name", "outcome"), F.lit(" ("), "outcome", F.lit(CARD_SUPPORT), S.fixed2(F.col("score")))
+    body = F.transform(F.coalesce(F.col("l.line"), F.array().cast("array<string>")), lambda x: F.concat(F.lit("   "), x))
+    tail = F.when(F.col("s").isNotNull(), F.array(F.concat(F.lit(CARD_SYMPTOMS), "s"))).otherwise(F.array().cast("array<string>"))
+    return r.select("entity", "outcome", F.array_join(F.concat(F.array(head), body, tail), "\n").alias("card"))
+
+
 def match_citations(matched: DataFrame, evidence: DataFrame, n: int = 3) -> DataFrame:
     """(entity, outcome, pos, feature, source): the first n citations of every match."""
-    c = evidence.filter(F.col("pos") <= n).select("entity", "outcome", "pos", "feature", F.coalesce("source", F.lit("rule KB")).alias("source"))
+    c = evidence.filter(F.col("pos") <= n).select("entity", "outcome", "pos", "feature", F.coalesce("source", F.lit(NO_SOURCE)).alias("source"))
     return matched.select("entity", "outcome").join(c, ["entity", "outcome"])
 
 

@@ -324,6 +324,19 @@ def g9_prompt(spark, sf):
     return G.prompt_lines(Evidence(spark, sf).lines)
 
 
+def fixed2_sql(x: str) -> str:
+    return f"(CASE WHEN {x} < 0 AND floor(abs({x})*100+0.5) > 0 THEN '-' ELSE '' END || CAST(floor(floor(abs({x})*100+0.5)/100) AS BIGINT) || '.' || lpad(CAST(CAST(floor(abs({x})*100+0.5) AS BIGINT) % 100 AS VARCHAR), 2, '0'))"
+
+
+@query("g9_prompt_cards", with_([*P_EVID, C_LIST.replace("source, snippet, contribution,", "source, snippet, contribution, weight,", 1)], f"""SELECT k.entity, k.outcome, 'PATTERN ' || k.outcome || ' (' || k.outcome || ') \u2014 support ' || {fixed2_sql('k.score')} || coalesce(l.t, '') || chr(10) || '   often with: ' || k.outcome || ' symptom 1, ' || k.outcome || ' symptom 2' AS card
+  FROM evk k LEFT JOIN (SELECT entity, outcome, string_agg(chr(10) || '   - ' || feature || '=' || value || CASE WHEN polarity = 'argues_against' THEN ' argues AGAINST (w=' ELSE ' supports (w=' END || {fixed2_sql('weight')} || ') [' || source || '] "' || snippet || '"', '' ORDER BY pos) AS t FROM evl GROUP BY 1, 2) l USING (entity, outcome)"""))
+def g9_cards(spark, sf):
+    b = Evidence(spark, sf)
+    cited = cited_edges(spark, sf)
+    edges = cited.select("src", "rel", "dst").distinct().unionByName(CONTEXT.small(spark))
+    return G.prompt_cards(b.evidence, G.evidence_list(b.entries, b.groups, cited, weights=True), G.walked_context(b.entries, b.evidence, edges, WALKED))
+
+
 @query("g11_citations", with_([*P_EVID, C_LIST], "SELECT entity, outcome, pos, feature, source FROM evl JOIN mat USING (entity, outcome) WHERE pos <= 3"))
 def g11_citations(spark, sf):
     b = Evidence(spark, sf)
