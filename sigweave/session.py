@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -72,3 +73,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder, visible to every executor."""
     _ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of the tables of finished rounds at once.
+
+    Spark's cleaner removes shuffles, broadcasts and checkpoint files when the driver's collector finds that no frame refers
+    to them, which may be long after many rounds of small jobs. Here Python's references go first, then the driver collects.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
