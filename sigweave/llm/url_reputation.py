@@ -16,6 +16,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sigweave.session import cut
+
 #: (verdict, host, path), given by the contract of the query
 RULES = (
     ("allow", "com", "/"),
@@ -55,7 +57,11 @@ def suffix(host: Column) -> Column:
 
 
 def _shrunk(level: DataFrame, max_strength: float) -> DataFrame:
-    """Posterior a, b of each group from its counts k of n and its parent's mean `m`; one strength for the level."""
+    """Posterior a, b of each group from its counts k of n and its parent's mean `m`; one strength for the level.
+
+    The level is stored, since its strength and its rows both come from it.
+    """
+    level = cut(level)
     spread = F.col("m") * (1 - F.col("m"))
     seen = F.col("n") > 0
     fit = level.select(
@@ -75,8 +81,8 @@ def _shrunk(level: DataFrame, max_strength: float) -> DataFrame:
 def host_reputation(outcomes: DataFrame, prior_good: float = 0.9, prior_strength: float = 10.0, max_strength: float = 1000.0) -> DataFrame:
     """(host, n, good_rate, bound_sd) of every host in `outcomes(host, good)`; `good` null adds a host without counts."""
     h = outcomes.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k"))
-    h = h.withColumns({"domain": registered_domain(F.col("host")), "suffix": suffix(F.col("host"))})
-    d = h.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    h = cut(h.withColumns({"domain": registered_domain(F.col("host")), "suffix": suffix(F.col("host"))}))  # a row per host
+    d = cut(h.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
     s = d.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     top = s.select(
         ((F.coalesce(F.sum("k"), F.lit(0)) + prior_good * prior_strength) / (F.coalesce(F.sum("n"), F.lit(0)) + prior_strength)).alias("m")
