@@ -29,13 +29,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sigweave.llm.links import IdFilter, buckets_of, components
+from sigweave.llm.links import IdFilter, buckets_of, components, few_tasks
 from sigweave.llm.shingles import mixed, shingles
 from sigweave.llm.textbytes import text_bytes
-from sigweave.session import cut
+from sigweave.session import cut, release
 
 BITS, BLOCK, DOCS, SLICE = 1024, 2000, 2000, 500
 CLOSED, GROWTH = 2, 8
+#: open runs that are broadcast
+RUNS = 500_000
 
 
 def size_bands(percent: int, upto: int = 1 << 40) -> np.ndarray:
@@ -268,17 +270,18 @@ def _verify(percent: int):
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) whose whole sets are alike.
+def verified(docs: DataFrame, pairs: DataFrame, n_pairs: int, percent: int) -> DataFrame:
+    """The pairs(a, b) whose whole sets are alike; `n_pairs` is their number.
 
     Pairs are dealt out by their first document (in slices of `SLICE` partners); a part gets the set of each document it
     needs once.
     """
     parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    pairs = few_tasks(pairs, n_pairs)
+    ids = cut(few_tasks(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), n_pairs))
     slices = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(SLICE)).alias("slices"))
     part = F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("slices"))), F.lit(parts))
-    p = pairs.join(slices, "a").select(part.alias("part"), "a", "b")
+    p = few_tasks(pairs.join(slices, "a"), n_pairs).select(part.alias("part"), "a", "b")
     needs = p.select("part", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = whole_sets(docs, ids).join(needs, "doc_id").select(F.col("part").alias("to"), "doc_id", "s")
     return p.groupBy("part").cogroup(sets.groupBy("to")).applyInArrow(_verify(percent), "a long, b long")
@@ -298,26 +301,36 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))
     members = members.join(sizes, "run").withColumn("own", own).withColumn("other", other)
     part = F.when(F.col("blocks") == 1, F.col("run")).otherwise(F.xxhash64("run", F.least("own", "other"), F.greatest("own", "other")))
-    members = cut(members.select(part.alias("run"), "doc_id").distinct())
     bits = rows.where("doc_id is not null and n_shingles > 0").select("doc_id", "n_shingles", "bits").distinct()
-    links, comps, turn, open_runs = None, None, 0, None
+    # stored with what proposing needs, so that later rounds only pick their runs
+    members = cut(members.select(part.alias("run"), "doc_id").distinct().join(bits, "doc_id"))
+    release(spark)
+    links, comps, turn, m, n_rows = None, None, 0, members, None
     while True:
-        m = members if open_runs is None else members.join(open_runs, "run")
-        m = m.join(bits, "doc_id")
         if comps is None:
             m = m.withColumn("component", F.col("doc_id"))
         else:
             m = m.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        proposed = cut(m.groupBy("run").applyInArrow(_propose(percent, turn), "run long, a long, b long"))
+            m = m if n_rows is None else few_tasks(m, n_rows)
+        proposed = m.groupBy("run").applyInArrow(_propose(percent, turn), "run long, a long, b long")
+        proposed = cut(proposed if n_rows is None else few_tasks(proposed, n_rows))
         pairs = cut(proposed.where("a is not null").select("a", "b").distinct())
-        if not pairs.isEmpty():
-            found = verified(docs, pairs, percent)
+        n_pairs = pairs.count()
+        release(spark)
+        if n_pairs:
+            found = few_tasks(verified(docs, pairs, n_pairs, percent), n_pairs)
             links = cut(found if links is None else links.unionByName(found))
+            release(spark)
             comps = components(links)
         open_runs = proposed.where("a is null").select("run").distinct()
-        if open_runs.isEmpty():
+        n_open = proposed.where("a is null").count()
+        if not n_open:
             break
-        open_runs, turn = cut(open_runs), turn + 1
+        # a run is 8 bytes: up to RUNS of them are broadcast, more are joined by shuffle
+        open_runs = cut(few_tasks(open_runs, n_open))
+        m = cut(members.join(F.broadcast(open_runs) if n_open <= RUNS else open_runs, "run", "left_semi"))
+        n_rows, turn = m.count(), turn + 1
+        m = few_tasks(m, n_rows)
     if comps is not None:
         classes = classes.join(comps.withColumnRenamed("id", "node"), "node", "left")
         classes = classes.withColumn("node", F.coalesce("component", "node"))
@@ -331,17 +344,18 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Rows without words or without an id are in no class and stay.
     """
-    found = near_duplicates(docs, percent).where("component_id is not null and n_shingles > 0")
+    found = cut(near_duplicates(docs, percent).where("component_id is not null and n_shingles > 0").select("doc_id", "component_id", "row"))
+    release(docs.sparkSession)
     first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("x")).select("x.doc_id", "x.row")
     others = found.select("doc_id", "row").distinct().join(first, ["doc_id", "row"], "left_anti").withColumn("drop", F.lit(True))
     key = F.xxhash64(F.col("text").cast("string"))
-    marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__row": key})
-    names = {"doc_id": "__id", "row": "__row", "drop": "__drop"}
-    marked = marked.join(others.withColumnsRenamed(names), ["__id", "__row"], "left").where("__drop is null")
-    again = F.row_number().over(Window.partitionBy("__id", "__row").orderBy("__id"))  # a row that is there several times
     words = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    marked = marked.withColumn("__again", again).where((F.col("__again") == 1) | F.col("__id").isNull() | ~words)
-    return marked.select(*docs.columns)
+    marked = docs.select(F.struct("*").alias("all"), F.col("doc_id").cast("long").alias("id"), key.alias("row"), words.alias("words"))
+    others = others.withColumnRenamed("doc_id", "id")
+    marked = marked.join(others, ["id", "row"], "left").where("drop is null")
+    again = F.row_number().over(Window.partitionBy("id", "row").orderBy("id"))  # a row that is there several times
+    marked = marked.withColumn("again", F.when(F.col("id").isNotNull() & F.col("words"), again)).where("again is null or again = 1")
+    return marked.select("all.*")
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:

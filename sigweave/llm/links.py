@@ -7,7 +7,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sigweave.llm.shingles import mixed
-from sigweave.session import cut
+from sigweave.session import cut, release
+
+
+#: rows of a task, and tasks at least, where tables of links are worked on
+TASK_ROWS, TASKS = 20_000, 8
+
+
+def few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """`df` in about as many tasks as its number of rows needs: small tables of links have no use for every shuffle partition."""
+    return df.coalesce(max(TASKS, -(-rows // TASK_ROWS)))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,13 +26,18 @@ def components(links: DataFrame) -> DataFrame:
     round is one table in the shared folder. Ids without a link are not listed.
     """
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("l")).select(F.col("a").alias("id"), F.least("a", "l").alias("component")))
+    n = both.count()
+    both = few_tasks(both, n)
+    labels = cut(few_tasks(both.groupBy("a").agg(F.min("b").alias("l")), n).select(F.col("a").alias("id"), F.least("a", "l").alias("component")))
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        nxt = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("old"))
+        near = few_tasks(both.join(labels.withColumnRenamed("id", "b"), "b"), n).groupBy("a").agg(F.min("component").alias("near"))
+        nxt = few_tasks(labels.join(few_tasks(near, n).withColumnRenamed("a", "id"), "id"), n).select("id", F.least("component", "near").alias("component"), F.col("component").alias("old"))
+        nxt = cut(nxt)
         to = nxt.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        nxt = cut(nxt.join(to, "component", "left").select("id", F.least("component", "further").alias("component"), "old"))
+        jumped = nxt.join(to, "component", "left").select("id", F.least("component", "further").alias("component"), "old")
+        nxt = cut(few_tasks(jumped, n))
         labels = nxt.select("id", "component")
+        release(links.sparkSession)
         if nxt.where("component <> old").isEmpty():
             return labels
 
