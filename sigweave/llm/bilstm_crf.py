@@ -1,7 +1,8 @@
 """Character-level bidirectional LSTM with CRF transitions, in numpy: training by Adam, decoding by Viterbi.
 
 Inputs are fixed-length windows of character codes. An input is one code, so the product with the input weights is a row
-lookup; all windows of a batch advance together.
+lookup; all windows of a batch advance together. Gates and cells use the softsign curve x / (1 + |x|) where the usual LSTM
+has logistic and hyperbolic curves: exponentials would take most of the time of a step. Training and decoding share it.
 """
 
 from __future__ import annotations
@@ -9,8 +10,13 @@ from __future__ import annotations
 import numpy as np
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
+def softsign(x: np.ndarray) -> np.ndarray:
+    return x / (1 + np.abs(x))
+
+
+def slope(y: np.ndarray) -> np.ndarray:
+    """Slope of the softsign curve where its value is y."""
+    return (1 - np.abs(y)) ** 2
 
 
 def logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
@@ -19,7 +25,7 @@ def logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 class Tagger:
-    def __init__(self, codes: int, tags: int, hidden: int = 16, seed: int = 11):
+    def __init__(self, codes: int, tags: int, hidden: int = 8, seed: int = 11):
         rng = np.random.default_rng(seed)
         f = lambda *s: (rng.normal(size=s) * 0.2).astype(np.float32)
         self.hidden, self.tags = hidden, tags
@@ -35,10 +41,10 @@ class Tagger:
         wx, wh = self.p[f"x{d}"], self.p[f"h{d}"]
         for s in range(t) if d == "f" else range(t - 1, -1, -1):
             z = wx[codes[:, s]] + hid @ wh
-            gates = sigmoid(z[:, : 3 * h])
-            new, before = np.tanh(z[:, 3 * h :]), (hid, cell)
+            gates = 0.5 + 0.5 * softsign(z[:, : 3 * h])
+            new, before = softsign(z[:, 3 * h :]), (hid, cell)
             cell = gates[:, h : 2 * h] * cell + gates[:, :h] * new
-            squashed = np.tanh(cell)
+            squashed = softsign(cell)
             hid = gates[:, 2 * h :] * squashed
             out[s] = hid
             if keep:
@@ -46,36 +52,38 @@ class Tagger:
         return out, states
 
     def _ahead(self, codes: np.ndarray, d: str, e: np.ndarray) -> None:
-        """Adds one direction's share to the scores e(step, window, tag); keeps one step's states only."""
+        """Adds one direction's share to the scores e(step, tag, window); keeps one step's states only."""
         n, t, h = codes.shape[0], codes.shape[1], self.hidden
-        sign = np.repeat(np.float32([-1, -1, -1, -2]), h)  # sigmoid(x) = 1 / (1 + exp(-x)), tanh(x) = 2 sigmoid(2 x) - 1
-        by_gate = lambda w: np.ascontiguousarray((w * sign).reshape(-1, 4, h).transpose(1, 0, 2), np.float32)
-        wx, wh = by_gate(self.p[f"x{d}"]), by_gate(self.p[f"h{d}"])
-        out = self.p["out"][:h] if d == "f" else self.p["out"][h:]
-        hid, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
+        by_gate = lambda w: np.ascontiguousarray(w.reshape(-1, 4, h).transpose(1, 0, 2))
+        wx, wh = by_gate(self.p[f"x{d}"]), by_gate(self.p[f"h{d}"] * np.float32(0.5))
+        out = np.ascontiguousarray((self.p["out"][:h] if d == "f" else self.p["out"][h:]).T * np.float32(0.5))
+        hid, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)  # hid is kept at twice its value
         z, y, steps = np.empty((4, n, h), np.float32), np.empty((4, n, h), np.float32), codes.T.astype(np.intp, order="C")
-        with np.errstate(over="ignore"):  # 1 / (1 + inf) is 0, as it should be
-            for s in range(t) if d == "f" else range(t - 1, -1, -1):
-                for k in range(4):
-                    np.take(wx[k], steps[s], axis=0, out=z[k], mode="clip")
-                np.matmul(hid, wh, out=y)
-                z += y
-                np.exp(z, out=z)
-                z += 1
-                np.divide(1, z, out=z)
-                z[3] *= 2
-                z[3] -= 1
-                cell *= z[1]
-                z[0] *= z[3]
-                cell += z[0]
-                np.tanh(cell, out=hid)
-                hid *= z[2]
-                e[s] += hid @ out
+        size, share = np.empty((n, h), np.float32), np.empty((self.tags, n), np.float32)
+        for s in range(t) if d == "f" else range(t - 1, -1, -1):
+            for k in range(4):
+                np.take(wx[k], steps[s], axis=0, out=z[k], mode="clip")
+            np.matmul(hid, wh, out=y)
+            z += y
+            np.abs(z, out=y)
+            y += 1
+            z /= y
+            z[:3] += 1  # twice the gates
+            cell *= z[1]
+            z[0] *= z[3]
+            cell += z[0]
+            cell *= np.float32(0.5)
+            np.abs(cell, out=size)
+            size += 1
+            np.divide(cell, size, out=hid)
+            hid *= z[2]
+            np.matmul(out, hid.T, out=share)
+            e[s] += share
 
     def emissions(self, codes: np.ndarray) -> np.ndarray:
-        """(step, window, tag) scores."""
-        e = np.empty((codes.shape[1], codes.shape[0], self.tags), np.float32)
-        e[:] = self.p["bias"]
+        """(step, tag, window) scores."""
+        e = np.empty((codes.shape[1], self.tags, codes.shape[0]), np.float32)
+        e[:] = self.p["bias"][:, None]
         for d in "fb":
             self._ahead(codes, d, e)
         return e
@@ -88,12 +96,14 @@ class Tagger:
         """
         step = self.p["step"]
         h = np.minimum(0, step[0, 0] - step[:, 0])
-        first = (e[0] - h).max(1) <= e[0, :, 0]
-        best = (step + h[:, None] - h[None, :]).max(0)
-        ok = first
+        ok = (e[0] - h[:, None]).max(0) <= e[0, 0]
+        best = (step + h[:, None] - h[None, :]).max(0)[1:, None] - step[0, 0]
+        room = np.empty((self.tags - 1, e.shape[2]), np.float32)
+        worst = np.full(e.shape[2], -np.inf, np.float32)
         for x in e[1:]:
-            ok = ok & ((x + best).max(1) <= x[:, 0] + step[0, 0])
-        return ok
+            np.add(x[1:], best, out=room)
+            np.maximum(worst, room.max(0) - x[0], out=worst)
+        return ok & (worst <= 0)
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
         """Best tags of each window."""
@@ -101,7 +111,7 @@ class Tagger:
         tags = np.zeros(codes.shape, np.int64)
         todo = np.flatnonzero(~self._all_outside(e))
         if len(todo):
-            tags[todo] = self._best_path(e[:, todo])
+            tags[todo] = self._best_path(e[:, :, todo].transpose(0, 2, 1))
         return tags
 
     def _best_path(self, e: np.ndarray) -> np.ndarray:
@@ -125,8 +135,9 @@ class Tagger:
         for s, gates, new, squashed, (hid, cell) in reversed(states):
             i, f, o = gates[:, :h], gates[:, h : 2 * h], gates[:, 2 * h :]
             dh = dh + grad[s]
-            dc = dc + dh * o * (1 - squashed**2)
-            dz = np.concatenate([dc * new * i * (1 - i), dc * cell * f * (1 - f), dh * squashed * o * (1 - o), dc * i * (1 - new**2)], 1)
+            dc = dc + dh * o * slope(squashed)
+            turn = lambda g: 0.5 * slope(2 * g - 1)
+            dz = np.concatenate([dc * new * turn(i), dc * cell * turn(f), dh * squashed * turn(o), dc * i * slope(new)], 1)
             np.add.at(gx, codes[:, s], dz)
             gh += hid.T @ dz
             dh, dc = dz @ wh.T, dc * f

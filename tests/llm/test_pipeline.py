@@ -49,3 +49,32 @@ def test_every_document_is_packed(stages):
 
 def test_run_gives_the_rows_of_the_stages(spark, sf, stages):
     assert corpus_pipeline.run(spark, sf).count() == stages["packing"].count()
+
+
+@pytest.mark.parametrize("n_chars", [True, False])
+def test_stages_take_odd_rows_and_any_column_names(spark, sf, n_chars):
+    """Null ids and texts, empty and repeated rows, columns named like those the stages make, no count of characters."""
+    base = spark.read.parquet(f"{sf}/documents.parquet").limit(150)
+    base = base.selectExpr("doc_id", "text", "lang", "n_chars" if n_chars else "1 as other")
+    odd = [(None, None), (None, "a b c"), (None, "a b c"), (5_000_001, None), (5_000_002, ""), (5_000_003, "one two three four five six"), (5_000_003, "one two three four five six"), (5_000_004, "  ")]
+    more = spark.createDataFrame([(i, t, "en", 0) for i, t in odd], base.schema)
+    names = ["score", "id", "row", "drop", "again", "all", "words", "__score", "__id", "__row", "__again", "__first", "at", "b"]
+    docs = base.unionByName(more).selectExpr("*", *[f"'x' as `{n}`" for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.dtypes == docs.dtypes, name
+        rows = out.collect()
+        docs = spark.createDataFrame(rows, docs.schema)
+        assert all(r[n] == "x" for r in rows for n in names)
+        if name == "near_duplicates":
+            ids = [r.doc_id for r in rows]
+            assert ids.count(5_000_003) <= 1 and ids.count(None) == [r.doc_id for r in before].count(None)
+        before = rows
+    packed = corpus_pipeline.pack_sequences(spark, docs, sf)
+    assert packed.select("doc_id").distinct().count() == len({r.doc_id for r in before})
+
+
+def test_stages_of_an_empty_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs, sf).count() == 0
