@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -109,21 +109,22 @@ def mask_distance(px: DataFrame) -> DataFrame:
     out = F.when(~F.col("mask"), F.col("x"))
     before, after = F.max(out).over(line.orderBy("x")), F.min(out).over(line.orderBy(F.desc("x")))
     gap = F.least(F.col("x") - before, after - F.col("x")).cast("double")
-    lined = px.select(F.struct("*").alias("_px"), "image", "x", "y", (gap * gap).alias("_g"))
+    rest = [c for c in px.columns if c not in ("image", "x")]
+    lined = px.select(F.struct(*rest).alias("_px"), "image", "x", "y", F.coalesce(gap * gap, F.lit(float("nan"))).alias("_g"))
     columns = lined.groupBy("image", "x").agg(F.array_sort(F.collect_list(F.struct("y", "_g", "_px"))).alias("_c"))
-    columns = columns.select(F.col("_c.y").cast("array<double>").alias("y"), F.col("_c._g").alias("g"), F.col("_c._px").alias("px"))
-
-    def envelope(batches):
-        for b in batches:
-            size = np.diff(b["y"].offsets.to_numpy())
-            d = np.sqrt(lower_envelope(size, b["y"].flatten().to_numpy(), b["g"].flatten().to_numpy(zero_copy_only=False)))
-            flat = pa.array(d, mask=~np.isfinite(d))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([b["px"], lists], ["px", "d"])
-
-    schema = T.StructType([columns.schema["px"], T.StructField("d", T.ArrayType(T.DoubleType()))])
-    rows = columns.mapInArrow(envelope, schema).select(F.explode(F.arrays_zip("px", "d")).alias("z"))
-    return rows.select("z.px.*", F.col("z.d").alias("dist"))
+    # the planner no longer knows where rows are after Python, so whole columns are dealt out by image, not pixels later on
+    columns = by_image(columns.withColumn("_d", _distances(F.col("_c.y").cast("array<double>"), F.col("_c._g"))))
+    rows = columns.select("image", "x", F.explode(F.arrays_zip(F.col("_c._px").alias("px"), F.col("_d").alias("d"))).alias("z"))
+    kept = {"image": F.col("image"), "x": F.col("x"), **{c: F.col("z.px")[c].alias(c) for c in rest}}
+    return rows.select(*[kept[c] for c in px.columns], F.when(~F.isnan("z.d"), F.col("z.d")).alias("dist"))
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _distances(at: pd.Series, squared: pd.Series) -> pd.Series:
+    """Distances of the pixels of each column (places ascending) from the squared ones along its lines."""
+    size = at.map(len).to_numpy()
+    flat = np.sqrt(lower_envelope(size, np.concatenate(at.tolist()), np.concatenate(squared.tolist())))
+    return pd.Series(np.split(flat, np.cumsum(size)[:-1]))
 
 
 def lower_envelope(size: np.ndarray, at: np.ndarray, height: np.ndarray) -> np.ndarray:

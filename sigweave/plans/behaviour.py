@@ -200,13 +200,13 @@ def a6(spark, sf):
 
 @query("a6_exact_percentiles", f"""WITH x AS (SELECT 'value:' || event_type AS feature, value AS v FROM events UNION ALL SELECT 'price:' || l_returnflag, l_extendedprice*(1-l_discount) FROM lineitem),
   p AS (SELECT feature, quantile_cont(v, [s/20.0 for s in range(0, 21)]) AS q FROM x GROUP BY 1)
-  SELECT feature, CAST(i - 1 AS INT) AS step, {r('q[i]', 4)} AS point FROM p, range(1, 22) t(i)""")
+  SELECT feature, CAST(i - 1 AS INT) AS step, {r('q[i]', 6)} AS point FROM p, range(1, 22) t(i)""")
 def a6x(spark, sf):
     """Percentile curves of raw doubles, with no bound on how many distinct ones a group has."""
     e = table(spark, sf, "events").select(F.concat(F.lit("value:"), "event_type").alias("feature"), F.col("value").alias("v"))
     li = table(spark, sf, "lineitem").select(F.concat(F.lit("price:"), "l_returnflag").alias("feature"), (F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))).alias("v"))
     p = exact_percentiles(e.unionByName(li), ["feature"], "v", [s / 20.0 for s in range(21)])
-    return p.select("feature", F.round(F.col("share") * 20).cast("int").alias("step"), S.rnd(F.col("value"), 4).alias("point"))
+    return p.select("feature", F.round(F.col("share") * 20).cast("int").alias("step"), S.rnd(F.col("value"), 6).alias("point"))
 
 
 @query("w8_cat_weight", with_([C_SIG, C_FREQ], f"""SELECT s.entity, s.feature, s.value, {r('greatest(0.1::DOUBLE, 1.0::DOUBLE - coalesce(f.freq, 0.3::DOUBLE))')} AS rel
