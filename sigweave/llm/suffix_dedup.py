@@ -375,12 +375,11 @@ def dedup_report(docs: DataFrame, length: int = 100) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """All rows and columns of docs(doc_id, text, ...), repeated strings cut out of `text`.
 
-    Bytes of a character of which a part was removed go with it, so the text stays valid. Column names that begin with two
-    underscores are kept for this module.
+    Bytes of a character of which a part was removed go with it, so the text stays valid. Other columns may have any name.
     """
-    rows = with_ranges(docs, length)
     names, at = docs.columns, docs.columns.index("text")
-    rows = rows.select(*names, "__first", "__last")
+    plain = docs.toDF(*[n if n in ("doc_id", "text") else f"c{i}" for i, n in enumerate(names)])
+    rows = with_ranges(plain, length).select(*plain.columns, "__first", "__last")
 
     def run(batches):
         for b in batches:
