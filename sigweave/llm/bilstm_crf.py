@@ -88,44 +88,90 @@ class Tagger:
             self._ahead(codes, d, e)
         return e
 
-    def _all_outside(self, e: np.ndarray) -> np.ndarray:
-        """Windows whose best path is surely tag 0 throughout.
+    def _doubtful(self, e: np.ndarray) -> np.ndarray:
+        """(step, window): where tag 0 is not surely on the best path although it was at the step before.
 
-        Every step is compared by itself, after the part of a step's score that only pays on the way back to tag 0 was moved
-        to the way there; where tag 0 wins at each, no path is better.
+        With tag 0 at one step, it is at the next one as well if it beats every other tag by more than that tag can gain
+        over it on any way from there on.
         """
         step = self.p["step"]
-        h = np.minimum(0, step[0, 0] - step[:, 0])
-        ok = (e[0] - h[:, None]).max(0) <= e[0, 0]
-        best = (step + h[:, None] - h[None, :]).max(0)[1:, None] - step[0, 0]
-        room = np.empty((self.tags - 1, e.shape[2]), np.float32)
-        worst = np.full(e.shape[2], -np.inf, np.float32)
-        for x in e[1:]:
-            np.add(x[1:], best, out=room)
-            np.maximum(worst, room.max(0) - x[0], out=worst)
-        return ok & (worst <= 0)
+        gain = np.maximum(0, (step - step[0]).max(1))
+        out = np.empty((e.shape[0], e.shape[2]), bool)
+        ahead = (step[0] + gain)[1:, None] - step[0, 0]
+        for s, x in enumerate(e):
+            out[s] = (x[1:] + (ahead if s else gain[1:, None])).max(0) > x[0]
+        return out
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
-        """Best tags of each window."""
+        """Best tags of each window: the best path is searched from each doubtful step until tag 0 is sure again."""
         e = self.emissions(codes)
-        tags = np.zeros(codes.shape, np.int64)
-        todo = np.flatnonzero(~self._all_outside(e))
-        if len(todo):
-            tags[todo] = self._best_path(e[:, :, todo].transpose(0, 2, 1))
+        step, (t, k, n) = self.p["step"], e.shape
+        doubt, gain = self._doubtful(e), np.maximum(0, (step - step[0]).max(1))
+        tags = np.zeros((n, t), np.int64)
+        # the first doubtful step from each step on, t where there is none
+        following = np.full((t + 1, n), t, np.int32)
+        following[:t] = np.minimum.accumulate(np.where(doubt, np.arange(t, dtype=np.int32)[:, None], np.int32(t))[::-1])[::-1]
+        windows = np.flatnonzero(following[0] < t)
+        at = following[0, windows].astype(np.int64)
+        first, back, ends = at.copy(), {}, []
+        best = np.where(np.arange(k) == 0, np.float32(0), np.float32(-1e30))[None].repeat(len(windows), 0)
+        turn = 0
+        while len(windows):
+            s = best[:, :, None] + step
+            back[turn] = (windows, at, s.argmax(1).astype(np.int8))
+            best = np.where(at[:, None] == 0, 0, s.max(1)) + e[at, :, windows]
+            sure = ((best + gain)[:, 1:] <= best[:, :1]).all(1)
+            over = sure | (at == t - 1)
+            if over.any():
+                ends.append((windows[over], first[over], at[over], best[over].argmax(1)))
+            # windows that are sure go on at their next doubtful step, with tag 0 before it
+            nxt = np.where(sure, following[at + 1, windows], at + 1)
+            best[sure] = np.where(np.arange(k) == 0, np.float32(0), np.float32(-1e30))
+            first = np.where(sure, nxt, first)
+            keep = nxt < t
+            windows, at, first, best, turn = windows[keep], nxt[keep], first[keep], best[keep], turn + 1
+        if ends:
+            w, lo, hi, tag = (np.concatenate(x) for x in zip(*ends, strict=True))
+            tags[w, hi] = tag
+            pointers = np.zeros((n, t, k), np.int8)
+            for window, place, came in back.values():
+                pointers[window, place] = came
+            while len(w):
+                go = hi > lo
+                w, lo, hi, tag = w[go], lo[go], hi[go], tag[go]
+                tag = pointers[w, hi, tag].astype(np.int64)
+                hi = hi - 1
+                tags[w, hi] = tag
         return tags
 
     def _best_path(self, e: np.ndarray) -> np.ndarray:
-        step = self.p["step"]
-        best, back = e[0], []
-        for x in e[1:]:
-            s = best[:, :, None] + step[None]
-            back.append(s.argmax(1).astype(np.int8))
-            best = s.max(1) + x
-        tags = np.empty(e.shape[:2], np.int64)
-        tags[-1] = best.argmax(1)
-        rows = np.arange(e.shape[1])
-        for s in range(len(back) - 1, -1, -1):
-            tags[s] = back[s][rows, tags[s + 1]]
+        """Best tags of each window from scores (step, tag, window), the smaller tag among equals.
+
+        The way ahead keeps the best score of every tag only; which tag came before is looked up on the way back, for the
+        one tag of each window that was taken.
+        """
+        step, (t, k, n) = self.p["step"], e.shape
+        best, room = np.empty_like(e), np.empty((k, k, n), np.float32)
+        best[0] = e[0]
+        for s in range(1, t):
+            np.add(best[s - 1][:, None, :], step[:, :, None], out=room)
+            high = room[0]
+            for j in range(1, k):
+                np.maximum(high, room[j], out=high)
+            np.add(high, e[s], out=best[s])
+        tags = np.empty((t, n), np.int64)
+        tags[-1] = best[-1].argmax(0)
+        for s in range(t - 1, 0, -1):
+            after, now, high = step[:, tags[s]], np.zeros(n, np.int64), None
+            for j in range(k):
+                score = best[s - 1, j] + after[j]
+                if high is None:
+                    high = score
+                else:
+                    more = score > high
+                    now[more] = j
+                    np.maximum(high, score, out=high)
+            tags[s - 1] = now
         return tags.T
 
     def _lstm_back(self, d: str, codes: np.ndarray, states: list, grad: np.ndarray, g: dict) -> None:

@@ -168,11 +168,17 @@ def test_paths_that_are_not_searched_have_no_tag():
     for bias in (0.0, 0.4, 1.0, 3.0):
         m.p["bias"][0] = bias
         e = m.emissions(codes)
-        best = m._best_path(e.transpose(0, 2, 1))
-        assert not best[m._all_outside(e)].any() and (m.decode(codes) == best).all()
+        best = m._best_path(e)
+        assert not best[~m._doubtful(e).any(0)].any() and (m.decode(codes) == best).all()
+    for seed in range(20):  # any transitions: the search from doubtful steps gives the best path over the whole window
+        m = bilstm_crf.Tagger(6, 5, hidden=4, seed=seed)
+        m.p["step"] = rng.normal(size=(5, 5)).astype(np.float32)
+        m.p["bias"][0] = seed % 4
+        assert (m.decode(codes) == m._best_path(m.emissions(codes))).all()
+    e = m.emissions(codes)
     both = np.concatenate([m._lstm(codes, d, False)[0] for d in "fb"], 2)
     assert np.allclose(e.transpose(0, 2, 1), both @ m.p["out"] + m.p["bias"], atol=1e-4)
-    assert m._all_outside(e).any()
+    assert not m._doubtful(e).all()
 
 
 def test_training_sample_holds_every_kind_beside_copies(spark):
