@@ -84,13 +84,17 @@ def principal_axis(px: DataFrame) -> DataFrame:
 def axis_zones(axis: DataFrame) -> DataFrame:
     """Add `tn` (0 root .. 1 tip) and `third`; the tip is the narrower end.
 
-    Width of an end = mean |w| beyond the outer quartile of t.
+    Width of an end = mean |w| beyond the outer quartile of t, both rounded half up to six digits. They are made from whole
+    millionths, so that halves do not fall with the order of a sum.
     """
-    q = axis.withColumn("_q1", F.percentile("t", F.lit(0.25)).over(per_image())).withColumn("_q3", F.percentile("t", F.lit(0.75)).over(per_image()))
-    far = lambda c: F.avg(F.when(c, F.abs("w"))).over(per_image())
-    e = q.withColumn("_pos", S.rnd(F.coalesce(far(F.col("t") > S.rnd(F.col("_q3"), 6)), F.lit(1e9)), 6)).withColumn(
-        "_neg", S.rnd(F.coalesce(far(F.col("t") < S.rnd(F.col("_q1"), 6)), F.lit(1e9)), 6)
-    )
+    millionths = lambda c: F.floor(c * 1e6 + F.lit(0.5)).cast("long")
+    q = axis.withColumn("_tu", millionths(F.col("t"))).withColumn("_wu", millionths(F.abs("w")))
+    quartile = lambda p: F.floor(F.percentile("_tu", F.lit(p)).over(per_image()) + F.lit(0.5))
+    q = q.withColumn("_q1", quartile(0.25)).withColumn("_q3", quartile(0.75))
+    total = lambda c, x: F.sum(F.when(c, x)).over(per_image()).cast("double")
+    far = lambda c: F.floor(total(c, F.col("_wu")) / total(c, F.lit(1)) + F.lit(0.5))
+    none = F.lit(10**15)
+    e = q.withColumn("_pos", F.coalesce(far(F.col("_tu") > F.col("_q3")), none)).withColumn("_neg", F.coalesce(far(F.col("_tu") < F.col("_q1")), none))
     tt = F.when(F.col("_pos") < F.col("_neg"), F.col("t")).otherwise(-F.col("t"))
     e = e.withColumn("_tt", tt)
     lo, hi = F.min("_tt").over(per_image()), F.max("_tt").over(per_image())

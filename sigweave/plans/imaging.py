@@ -40,8 +40,9 @@ px AS (SELECT image, label, CAST(pos % 8 AS INT) AS x, CAST(pos // 8 AS INT) AS
 C_AXIS = f"""mo AS (SELECT image, count(*) AS n, sum(x)/count(*) AS cx, sum(y)/count(*) AS cy, sum(x*x)/count(*) AS qxx, sum(y*y)/count(*) AS qyy, sum(x*y)/count(*) AS qxy FROM px WHERE mask GROUP BY 1),
 th AS (SELECT *, 0.5*atan2({r('2.0::DOUBLE*(qxy - cx*cy)', 9)}, {r('(qxx - cx*cx) - (qyy - cy*cy)', 9)}) AS th FROM mo),
 ax AS (SELECT p.*, {r('(x-cx)*cos(th) + (y-cy)*sin(th)')} AS t, {r('(y-cy)*cos(th) - (x-cx)*sin(th)')} AS w FROM px p JOIN th USING (image) WHERE mask)"""
-C_ZONES = f"""qt AS (SELECT image, {r('quantile_cont(t, 0.25)')} AS q1, {r('quantile_cont(t, 0.75)')} AS q3 FROM ax GROUP BY 1),
-en AS (SELECT image, {r('coalesce(avg(CASE WHEN t > q3 THEN abs(w) END), 1e9)')} AS pos, {r('coalesce(avg(CASE WHEN t < q1 THEN abs(w) END), 1e9)')} AS neg FROM ax JOIN qt USING (image) GROUP BY 1),
+C_ZONES = f"""qt0 AS (SELECT *, CAST(floor(t*1e6+0.5) AS BIGINT) AS tu, CAST(floor(abs(w)*1e6+0.5) AS BIGINT) AS wu FROM ax),
+qt AS (SELECT image, floor(quantile_cont(tu::DOUBLE, 0.25)+0.5) AS q1, floor(quantile_cont(tu::DOUBLE, 0.75)+0.5) AS q3 FROM qt0 GROUP BY 1),
+en AS (SELECT image, coalesce(floor(sum(wu) FILTER (tu > q3)::DOUBLE/count(*) FILTER (tu > q3)+0.5), 1e15) AS pos, coalesce(floor(sum(wu) FILTER (tu < q1)::DOUBLE/count(*) FILTER (tu < q1)+0.5), 1e15) AS neg FROM qt0 JOIN qt USING (image) GROUP BY 1),
 tt AS (SELECT a.*, CASE WHEN pos < neg THEN t ELSE -t END AS tt FROM ax a JOIN en USING (image)),
 mm AS (SELECT image, min(tt) AS lo, max(tt) AS hi FROM tt GROUP BY 1),
 zn AS (SELECT tt.* EXCLUDE (tt), {r('(tt-lo)/(hi-lo+1e-6)')} AS tn FROM tt JOIN mm USING (image)),

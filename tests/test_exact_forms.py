@@ -183,3 +183,12 @@ def test_distances_equal_brute_force(spark):
     for p in (p for p in zoned.filter("image < 5").collect() if far[p.image]):
         share = p.dist / far[p.image]
         assert p.ring == ("center" if share >= 0.55 else "edge" if 0.10 < share <= 0.35 else "other")
+
+
+def test_end_widths_at_halves_do_not_hang_on_floating_sums(spark):
+    """The mean |w| of one end is half a millionth over 0.250950, as wide as the other end's once it is rounded up."""
+    w = [0.25095, 0.250951, 0.1, 0.1, 0.1, 0.1, 0.250951, 0.250951]
+    for order in (1, -1):
+        rows = [(1, i, 0, float(order * i), x) for i, x in enumerate(w)]
+        got = pixels.axis_zones(spark.createDataFrame(rows, "image int, x int, y int, t double, w double")).collect()
+        assert {r["x"] for r in got if r["third"] == "tip"} == ({0, 1, 2} if order == 1 else {5, 6, 7})  # equal widths: t is turned
