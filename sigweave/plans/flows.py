@@ -25,14 +25,16 @@ def st1(spark, sf):
     return ST.stream_score(events(spark, sf), votes, F.col("value").between(5, 400), F.col("event_type"), sev)
 
 
-@query("st2_stream_refine", f"""WITH c AS (SELECT user_id AS entity, event_type AS outcome, count(*) AS n_answers, sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END*floor(value+0.5))/1000.0::DOUBLE AS ev FROM events GROUP BY 1, 2)
-  SELECT entity, outcome, n_answers, {r('1.0::DOUBLE/(1.0::DOUBLE+exp(-(ln(0.3::DOUBLE/(1.0::DOUBLE-0.3::DOUBLE)) + 1.4::DOUBLE*ev)))')} AS confidence FROM c""")
+@query("st2_stream_refine", f"""WITH w AS (SELECT time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS start, user_id AS entity, event_type AS outcome, count(*) AS n, sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END*floor(value+0.5)) AS u FROM events GROUP BY 1, 2, 3),
+  c AS (SELECT start, entity, outcome, sum(n) OVER k AS n_answers, sum(u) OVER k/1000.0::DOUBLE AS ev FROM w WINDOW k AS (PARTITION BY entity, outcome ORDER BY start))
+  SELECT start, entity, outcome, n_answers, {r('1.0::DOUBLE/(1.0::DOUBLE+exp(-(ln(0.3::DOUBLE/(1.0::DOUBLE-0.3::DOUBLE)) + 1.4::DOUBLE*ev)))')} AS confidence FROM c""")
 def st2(spark, sf):
-    """Confidence after the last answer of every (entity, outcome), sessions that end after three idle days included."""
+    """Confidence of every (entity, outcome) after each of its days, sessions that end after three idle days included."""
     e = events(spark, sf)
     units = F.floor(F.col("value") + F.lit(0.5))
     a = e.select("ts", F.col("user_id").alias("entity"), F.col("event_type").alias("outcome"), F.when(F.col("event_id") % 2 == 0, units).otherwise(-units).alias("units"))
-    return ST.refined_totals(ST.stream_refine(a, 0.3, idle="3 days"), 0.3)
+    d = ST.stream_refine_days(a, 0.3, idle="3 days")
+    return d.withColumn("start", ST.utc_wall(F.col("start")))
 
 
 @query("st3_stream_trend", f"""WITH w AS (SELECT time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') AS s, user_id, event_type, count(*) AS n, sum(floor(value*100+0.5)) AS c FROM events GROUP BY 1, 2, 3)
