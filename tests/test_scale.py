@@ -192,3 +192,13 @@ def test_every_window_of_a_stream_comes_out(spark, tmp_path):
     stream = scoring.event_stream(spark, str(tmp_path / "events"))
     got = [(r["n"], r["mean_cents"], r["closed"]) for r in scoring.stream_trend(stream, "value").orderBy("start").collect()]
     assert got == [(1, 300.0, True), (2, 150.0, False)]
+
+
+def test_lines_are_made_in_many_tasks(spark, sf, monkeypatch):
+    """Tasks are cut by entry nodes, not by bytes: a few bytes of entries become many lines."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(graph, "ENTRIES", 20, raising=False)
+    lines = QUERIES["g9_evidence_list"](spark, sf)
+    per = lines.groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("entity").alias("n")).agg(F.count("*"), F.max("n")).first()
+    assert per[0] >= 3 and per[1] <= 20
