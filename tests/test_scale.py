@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sigweave.operators import corpus, evaluate, graph, labels, retrieval
 from sigweave.operators.ranking import distributed_rank, hash_rank, previous_in_group
 from sigweave.plans import QUERIES
+from sigweave.session import cut
 
 
 def test_distributed_rank_with_a_hot_group(spark):
@@ -202,3 +203,20 @@ def test_lines_are_made_in_many_tasks(spark, sf, monkeypatch):
     lines = QUERIES["g9_evidence_list"](spark, sf)
     per = lines.groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("entity").alias("n")).agg(F.count("*"), F.max("n")).first()
     assert per[0] >= 3 and per[1] <= 20
+
+
+def test_keys_are_counted_without_being_shuffled(spark, sf, monkeypatch):
+    """Looking for hubs shuffles one row per hash value and task, and a walk without hubs stores no edges."""
+    stored = []
+    monkeypatch.setattr(graph, "cut", lambda df: stored.append(df.columns) or cut(df))
+    e = spark.range(20_000).select(F.concat(F.lit("n"), F.col("id") % 5000).alias("src"), F.lit("r").alias("rel"), F.col("id").cast("string").alias("dst"))
+    assert graph._frequent(e, "src", "_blocks") is None and stored == [["_slot", "_n"]]
+    monkeypatch.setattr(graph, "HUB", 3)
+    monkeypatch.setattr(graph, "SHARE", 10_000)
+    assert {tuple(x) for x in graph._frequent(e, "src", "_blocks").collect()} == {(f"n{i}", 2) for i in range(5000)}
+    monkeypatch.undo()
+    monkeypatch.setattr(graph, "cut", lambda df: stored.append(df.columns) or cut(df))
+    stored.clear()
+    seeds = spark.range(50).select(F.col("id").alias("entity"), F.concat(F.lit("n"), F.col("id")).alias("node"))
+    assert graph.neighborhood(seeds, e, 1).count() == 50 * 5
+    assert ["src", "dst"] not in stored
