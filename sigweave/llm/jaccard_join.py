@@ -7,7 +7,7 @@ a level joins a band with the next one and with itself. With at most D differenc
 sets agree in a word (pigeonhole): sketch words are the join keys. Empty words are no keys, unless a set has so many
 of them that its agreeing words might all be empty.
 
-Keys travel in blobs (a row per block of documents and bucket), so a shuffle moves about 10 bytes per key. Members of a
+Keys travel in blobs (a row per block of documents and bucket), so a shuffle moves about 8 bytes per key. Members of a
 key form a run; equal runs are one run. In a run a second parity sketch (1 bit per shingle, as many bits as shingles
 at least) bounds the difference again, with whole rows of Hamming distances at a time. What passes is verified on whole sets. A run never
 emits all its pairs: members that are in one class already are skipped, and while more than `CLOSED` pairs per member
@@ -36,6 +36,9 @@ from sigweave.session import cut, release
 
 BITS, BLOCK, DOCS, SLICE = 1024, 2000, 2000, 500
 CLOSED, GROWTH = 2, 8
+#: bytes of a key that travel; the bucket, a hash of the whole key, tells keys apart as well. Keys that meet by chance lose no link,
+#: their sets are in one run and are compared like others
+KEY_BYTES = 6
 #: open runs that are broadcast
 RUNS = 500_000
 
@@ -118,6 +121,31 @@ def profile(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, row long, n_shingles long, k1 long, k2 long, bits binary")
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """The low KEY_BYTES bytes of each key."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def unpacked_keys(b: bytes) -> np.ndarray:
+    whole = np.zeros((len(b) // KEY_BYTES, 8), np.uint8)
+    whole[:, :KEY_BYTES] = np.frombuffer(b, np.uint8).reshape(-1, KEY_BYTES)
+    return whole.view("<u8").ravel().astype(np.uint64)
+
+
+def packed_ids(ids: np.ndarray) -> bytes:
+    """The smallest id, then what the others have over it, in as few bytes each as the largest of these needs.
+
+    With many buckets most keys of a document are in a bucket of their own, and its id goes with each of them.
+    """
+    over = ids.astype(np.uint64) - np.uint64(ids.min().astype(np.uint64))
+    return ids.min().astype("<i8").tobytes() + over.astype(np.min_scalar_type(over.max()).newbyteorder("<")).tobytes()
+
+
+def unpacked_ids(b: bytes, n: int) -> np.ndarray:
+    over = np.frombuffer(b, f"<u{(len(b) - 8) // n}", offset=8).astype(np.uint64)
+    return (over + np.frombuffer(b, "<u8", 1)).astype(np.int64)
+
+
 def _keys(percent: int, buckets: int):
     edges = size_bands(percent)
 
@@ -134,9 +162,9 @@ def _keys(percent: int, buckets: int):
             at = order[lo:hi]
             used, index = np.unique(own[at], return_inverse=True)
             rows["bucket"].append(n)
-            rows["keys"].append(keys[at].tobytes())
+            rows["keys"].append(packed_keys(keys[at]))
             rows["own"].append(index.astype(np.uint16).tobytes())
-            rows["docs"].append(np.array(docs, np.int64)[used].tobytes())
+            rows["docs"].append(packed_ids(np.array(docs, np.int64)[used]))
             rows["sets"].append(np.array(sets, np.int64)[used].tobytes())
         kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], list(rows))
@@ -171,8 +199,8 @@ def _runs(t: pa.Table) -> pa.Table:
     keys, docs, sets = [], [], []
     for k, o, d, s in zip(t["keys"], t["own"], t["docs"], t["sets"], strict=True):
         own = np.frombuffer(o.as_py(), np.uint16)
-        keys.append(np.frombuffer(k.as_py(), np.uint64))
-        docs.append(np.frombuffer(d.as_py(), np.int64)[own])
+        keys.append(unpacked_keys(k.as_py()))
+        docs.append(unpacked_ids(d.as_py(), int(own.max()) + 1)[own])
         sets.append(np.frombuffer(s.as_py(), np.int64)[own])
     keys, docs, sets = np.concatenate(keys), np.concatenate(docs), np.concatenate(sets)
     order = np.argsort(keys, kind="stable")
