@@ -110,6 +110,17 @@ def test_terms_are_stored_and_moved_by_block(spark, monkeypatch):
     assert len(hot) == blocks.filter("_k < 0").count() < 91 and sum(x["_n"] for x in hot) == 91
 
 
+def test_fused_ranking_stores_a_row_per_text(spark, sf, monkeypatch):
+    """Fusion ranks the same lexical index: it stores texts with their asked terms, never documents times terms."""
+    from sigweave.plans import QUERIES
+
+    stored, keep = [], retrieval.cut
+    monkeypatch.setattr(retrieval, "cut", lambda df: stored.append(keep(df)) or stored[-1])
+    rows = QUERIES["r3_rrf"](spark, sf).count()
+    texts = [spark.read.parquet(f"{sf}/{x}.parquet").count() for x in ("documents", "benchmark")]
+    assert rows == 5 * texts[1] and stored and sum(x.count() for x in stored) <= sum(texts)
+
+
 def test_runs_below_the_kth_score_are_not_scored():
     """Documents of other subjects share the common terms of a query only: their runs are left out, the result is whole."""
     rng = np.random.default_rng(3)
