@@ -94,6 +94,54 @@ def test_far_queries_get_their_exact_neighbours(spark):
         assert got[q] == np.lexsort((np.arange(600), d))[:10].tolist()
 
 
+@pytest.mark.parametrize("at,spread", [(0, 1.0), (0, 1e-170), (0, 1e160), (1e6, 1e-7), (0, 0.0)])
+def test_rows_left_out_by_products_are_not_among_the_nearest(at, spread):
+    """Ties, rows that rounding cannot tell apart, numbers whose squares are no numbers, and the query itself."""
+    rng = np.random.default_rng(6)
+    x, q = at + rng.integers(-3, 4, (400, 6)) * spread, at + rng.integers(-3, 4, (30, 6)) * spread
+    x[:30], own, qid = q, rng.permutation(400), np.arange(30)
+    want = []
+    with np.errstate(over="ignore"):
+        for i in range(30):
+            d = np.sqrt(((x - q[i]) ** 2).sum(1))
+            best = [j for j in np.lexsort((own, d)) if own[j] != qid[i]][:10]
+            want += [(i, own[j], d[j]) for j in best]
+        row, vid, d = lsh_search.closest(x, own, q, qid, 10, np.full(30, np.inf))
+    assert list(zip(row, vid, d, strict=True)) == want
+    # buckets of many sizes, some visited by no query, rows that lie in two of them
+    bucket = np.r_[rng.integers(0, 9, 400) ** 2, np.full(400, 100)]
+    query, probe = np.repeat(np.arange(30), 9), np.tile(np.r_[np.arange(1, 9) ** 2, 7], 30)
+    both = np.tile(np.arange(400), 2)
+    with np.errstate(over="ignore"):
+        row, vid, d = lsh_search.in_buckets(x[both], own[both], bucket, q, qid, np.r_[query, 0], np.r_[probe, 100], 10)
+    for i in range(30):
+        seen = np.unique(both[(bucket > 0) & ((bucket < 100) | (i == 0))])
+        with np.errstate(over="ignore"):
+            far = np.sqrt(((x[seen] - q[i]) ** 2).sum(1))
+        best = [seen[j] for j in np.lexsort((own[seen], far)) if own[seen[j]] != qid[i]][:10]
+        assert vid[row == i].tolist() == own[best].tolist()
+
+
+def test_few_distances_are_taken_component_by_component(monkeypatch):
+    rng = np.random.default_rng(2)
+    x, q, taken = rng.normal(size=(6000, 16)), rng.normal(size=(50, 16)), []
+    leading = lsh_search.leading
+    monkeypatch.setattr(lsh_search, "leading", lambda row, *rest: (taken.append(len(row)), leading(row, *rest))[1])
+    lsh_search.in_buckets(x, np.arange(6000), np.arange(6000) // 2000, q, np.arange(50) + 9000, np.repeat(np.arange(50), 3), np.tile(np.arange(3), 50), 10)
+    assert sum(taken) < 0.03 * 50 * 6000
+
+
+def test_vectors_are_dealt_to_their_groups_in_one_exchange(spark, monkeypatch):
+    plans, cut = [], lsh_search.cut
+    monkeypatch.setattr(lsh_search, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 8)))], "id long, v array<float>")
+    lsh_search.nearest(docs, 5, 10, bucket_rows=20).collect()
+    (found,) = (p for p in plans if "FlatMapCoGroupsInArrow" in p)
+    assert "SortMergeJoin" not in found and found.count("Exchange hashpartitioning") == 3  # rows and probes by group, results by query
+    assert "SortAggregate" not in found  # rows are stored once before
+
+
 def test_probes_come_in_order_of_success():
     q = np.array([[0.1, 3.7]])
     rows, cells = lsh_search.probe_cells(q, 1.0, 0.9, 3)
