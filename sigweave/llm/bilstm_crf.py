@@ -24,6 +24,10 @@ def logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     return (m + np.log(np.exp(x - m).sum(axis, keepdims=True))).squeeze(axis)
 
 
+#: steps after a doubtful one whose best paths are looked at for all such steps together
+AHEAD = 3
+
+
 class Tagger:
     def __init__(self, codes: int, tags: int, hidden: int = 8, seed: int = 11):
         rng = np.random.default_rng(seed)
@@ -51,18 +55,23 @@ class Tagger:
                 states.append((s, gates, new, squashed, before))
         return out, states
 
-    def _ahead(self, codes: np.ndarray, d: str, e: np.ndarray) -> None:
-        """Adds one direction's share to the scores e(step, tag, window); keeps one step's states only."""
-        n, t, h = codes.shape[0], codes.shape[1], self.hidden
-        by_gate = lambda w: np.ascontiguousarray(w.reshape(-1, 4, h).transpose(1, 0, 2))
-        wx, wh = by_gate(self.p[f"x{d}"]), by_gate(self.p[f"h{d}"] * np.float32(0.5))
-        out = np.ascontiguousarray((self.p["out"][:h] if d == "f" else self.p["out"][h:]).T * np.float32(0.5))
-        hid, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)  # hid is kept at twice its value
-        z, y, steps = np.empty((4, n, h), np.float32), np.empty((4, n, h), np.float32), codes.T.astype(np.intp, order="C")
-        size, share = np.empty((n, h), np.float32), np.empty((self.tags, n), np.float32)
-        for s in range(t) if d == "f" else range(t - 1, -1, -1):
-            for k in range(4):
-                np.take(wx[k], steps[s], axis=0, out=z[k], mode="clip")
+    def emissions(self, codes: np.ndarray) -> np.ndarray:
+        """(step, tag, window) scores. Both directions advance together, from either end; only one step's states are kept."""
+        (n, t), h = codes.shape, self.hidden
+        by_gate = lambda w: w.reshape(-1, 4, h).transpose(1, 0, 2)
+        half = np.float32(0.5)
+        wx = np.concatenate([by_gate(self.p[f"x{d}"]) for d in "fb"], 1)  # (gate, code of one direction or the other, unit)
+        wh = np.stack([by_gate(self.p[f"h{d}"] * half) for d in "fb"], 1)  # (gate, direction, unit, unit)
+        out = np.ascontiguousarray(self.p["out"].reshape(2, h, self.tags).transpose(0, 2, 1) * half)
+        steps, at = np.ascontiguousarray(codes.T), np.empty((2, n), np.intp)
+        hid, cell = np.zeros((2, n, h), np.float32), np.zeros((2, n, h), np.float32)  # hid is kept at twice its value
+        z, y, size = np.empty((4, 2, n, h), np.float32), np.empty((4, 2, n, h), np.float32), np.empty((2, n, h), np.float32)
+        share, e = np.empty((2, self.tags, n), np.float32), np.empty((t, self.tags, n), np.float32)
+        e[:] = self.p["bias"][:, None]
+        for s in range(t):
+            at[0] = steps[s]
+            np.add(steps[t - 1 - s], len(self.p["xf"]), out=at[1])
+            wx.take(at, 1, z, "clip")
             np.matmul(hid, wh, out=y)
             z += y
             np.abs(z, out=y)
@@ -72,74 +81,101 @@ class Tagger:
             cell *= z[1]
             z[0] *= z[3]
             cell += z[0]
-            cell *= np.float32(0.5)
+            cell *= half
             np.abs(cell, out=size)
             size += 1
             np.divide(cell, size, out=hid)
             hid *= z[2]
-            np.matmul(out, hid.T, out=share)
-            e[s] += share
-
-    def emissions(self, codes: np.ndarray) -> np.ndarray:
-        """(step, tag, window) scores."""
-        e = np.empty((codes.shape[1], self.tags, codes.shape[0]), np.float32)
-        e[:] = self.p["bias"][:, None]
-        for d in "fb":
-            self._ahead(codes, d, e)
+            np.matmul(out, hid.transpose(0, 2, 1), out=share)
+            e[s] += share[0]
+            e[t - 1 - s] += share[1]
         return e
 
     def _doubtful(self, e: np.ndarray) -> np.ndarray:
         """(step, window): where tag 0 is not surely on the best path although it was at the step before.
 
         With tag 0 at one step, it is at the next one as well if it beats every other tag by more than that tag can gain
-        over it on any way from there on.
+        over it on any way from there on. Where it does not, the best paths of the next `AHEAD` steps are looked at: in most
+        places tag 0 is sure at one of them, and all tags before it were 0.
         """
-        step = self.p["step"]
-        gain = np.maximum(0, (step - step[0]).max(1))
-        out = np.empty((e.shape[0], e.shape[2]), bool)
-        ahead = (step[0] + gain)[1:, None] - step[0, 0]
+        step, (t, k, n) = self.p["step"], e.shape
+        gain = np.maximum(0, (step - step[0]).max(1))[1:, None]
+        out = np.empty((t, n), bool)
+        ahead = (step[0, 1:, None] + gain) - step[0, 0]
+        others = np.empty((k - 1, n), np.float32)
         for s, x in enumerate(e):
-            out[s] = (x[1:] + (ahead if s else gain[1:, None])).max(0) > x[0]
+            np.add(x[1:], ahead if s else gain, out=others)
+            np.greater(others.max(0), x[0], out=out[s])
+        at, windows = np.divmod(np.flatnonzero(out), n)
+        best = np.where(at == 0, np.float32(0), step[0][:, None]) + self._scores(e, at, windows)
+        for more in range(1, AHEAD + 1):
+            left = at + more < t
+            at, windows, best = at[left], windows[left], best[:, left]
+            from_0 = best[0] + step[0, 0]
+            high = best[0] + step[0][:, None]
+            for tag in range(1, k):
+                np.maximum(high, best[tag] + step[tag][:, None], out=high)
+            best = high + self._scores(e, at + more, windows)
+            sure = (best[1:] + gain <= best[0]).all(0) & (from_0 == high[0])
+            out[at[sure], windows[sure]] = False
+            left = ~sure & (from_0 == high[0])
+            at, windows, best = at[left], windows[left], best[:, left]
         return out
 
+    @staticmethod
+    def _scores(e: np.ndarray, at: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """(tag, place) scores of single steps of windows."""
+        _, k, n = e.shape
+        return e.ravel().take(at * (k * n) + windows + np.arange(k)[:, None] * n)
+
     def decode(self, codes: np.ndarray) -> np.ndarray:
-        """Best tags of each window: the best path is searched from each doubtful step until tag 0 is sure again."""
+        """Best tags of each window: the best path is searched from each doubtful step until tag 0 is sure again.
+
+        Windows are searched side by side and stand last in all arrays. The way back is taken only where some step may have come
+        from another tag than 0.
+        """
         e = self.emissions(codes)
         step, (t, k, n) = self.p["step"], e.shape
-        doubt, gain = self._doubtful(e), np.maximum(0, (step - step[0]).max(1))
+        doubt, gain = self._doubtful(e), np.maximum(0, (step - step[0]).max(1))[1:, None]
         tags = np.zeros((n, t), np.int64)
-        # the first doubtful step from each step on, t where there is none
-        following = np.full((t + 1, n), t, np.int32)
-        following[:t] = np.minimum.accumulate(np.where(doubt, np.arange(t, dtype=np.int32)[:, None], np.int32(t))[::-1])[::-1]
-        windows = np.flatnonzero(following[0] < t)
-        at = following[0, windows].astype(np.int64)
-        first, back, ends = at.copy(), {}, []
-        best = np.where(np.arange(k) == 0, np.float32(0), np.float32(-1e30))[None].repeat(len(windows), 0)
-        turn = 0
+        at, windows = np.divmod(np.flatnonzero(doubt), n)
+        doubts = np.append(np.sort(windows * t + at), n * t)
+
+        def following(windows: np.ndarray, at: np.ndarray) -> np.ndarray:
+            """The first doubtful step of each window from a step on, t where there is none."""
+            return np.minimum(doubts[np.searchsorted(doubts, windows * t + at)] - windows * t, t)
+
+        windows = np.unique(windows)
+        at = following(windows, np.zeros_like(windows))
+        start = np.where(np.arange(k) == 0, np.float32(0), np.float32(-1e30))[:, None]  # tag 0 before the first step
+        best, first, clear = start.repeat(len(windows), 1), at.copy(), np.ones(len(windows), bool)
+        place, kept, ends, size = np.empty((n, t), np.int32), [], [], 0
         while len(windows):
-            s = best[:, :, None] + step
-            back[turn] = (windows, at, s.argmax(1).astype(np.int8))
-            best = np.where(at[:, None] == 0, 0, s.max(1)) + e[at, :, windows]
-            sure = ((best + gain)[:, 1:] <= best[:, :1]).all(1)
-            over = sure | (at == t - 1)
+            place[windows, at] = np.arange(size, size + len(windows))
+            kept.append(best)
+            size += len(windows)
+            ways = best[:, None] + step[:, :, None]
+            high = ways.max(0)
+            clear &= ways[0, 0] == high[0]
+            best = np.where(at == 0, np.float32(0), high) + self._scores(e, at, windows)
+            sure = (best[1:] + gain <= best[0]).all(0)
+            over = (sure | (at == t - 1)) & ~(sure & clear)
             if over.any():
-                ends.append((windows[over], first[over], at[over], best[over].argmax(1)))
+                ends.append((windows[over], first[over], at[over], best[:, over].argmax(0)))
             # windows that are sure go on at their next doubtful step, with tag 0 before it
-            nxt = np.where(sure, following[at + 1, windows], at + 1)
-            best[sure] = np.where(np.arange(k) == 0, np.float32(0), np.float32(-1e30))
-            first = np.where(sure, nxt, first)
+            nxt = np.where(sure, following(windows, at + 1), at + 1)
+            best = np.where(sure, start, best)
+            first, clear = np.where(sure, nxt, first), clear | sure
             keep = nxt < t
-            windows, at, first, best, turn = windows[keep], nxt[keep], first[keep], best[keep], turn + 1
+            windows, at, first, clear, best = windows[keep], nxt[keep], first[keep], clear[keep], best[:, keep]
         if ends:
             w, lo, hi, tag = (np.concatenate(x) for x in zip(*ends, strict=True))
+            before = np.concatenate(kept, 1)
             tags[w, hi] = tag
-            pointers = np.zeros((n, t, k), np.int8)
-            for window, place, came in back.values():
-                pointers[window, place] = came
             while len(w):
                 go = hi > lo
                 w, lo, hi, tag = w[go], lo[go], hi[go], tag[go]
-                tag = pointers[w, hi, tag].astype(np.int64)
+                tag = (before[:, place[w, hi]] + step[:, tag]).argmax(0)
                 hi = hi - 1
                 tags[w, hi] = tag
         return tags

@@ -35,7 +35,7 @@ KINDS = ("email", "ip", "card", "phone")
 MARK = re.compile(r"[0-9@]")
 WINDOW, MARGIN, SHORTEST = 48, 16, 7
 #: widths of a window to be tagged and of its context on either side, windows in a batch, characters tagged together
-DECODE, CONTEXT, BATCH, TOGETHER = 768, 32, 1024, 3 << 18
+DECODE, CONTEXT, BATCH, TOGETHER = 768, 32, 1024, 3 << 20
 #: the contract's patterns; the first part of an email is found by hand, from its `@` to the left
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -93,9 +93,12 @@ N_CODES = int(CODES.max()) + 1
 N_TAGS = 1 + 2 * len(KINDS)
 
 
+def points_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def codes_of(text: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return CODES[np.minimum(points, 255)]
+    return CODES.take(points_of(text), mode="clip")  # those beyond the table have its last code
 
 
 #: strata of the training windows: the kinds, then windows without a span
@@ -142,8 +145,10 @@ def spans_of(tags: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(kind[a]), int(at[a]), int(at[b]) + 1) for a, b in zip(first, last, strict=True) if kind[a] >= 0]
 
 
-def marks_of(codes: np.ndarray) -> np.ndarray:
-    return np.flatnonzero((codes == 1) | (codes == 5))
+def marks_of(text: str) -> np.ndarray:
+    """Places of digits and `@`."""
+    points = points_of(text)
+    return np.flatnonzero((points - np.uint32(48) < 10) | (points == 64))
 
 
 def cover(size: int) -> list[tuple[int, int, int, int]]:
@@ -237,13 +242,14 @@ def example(text: str, spans: list[tuple[int, int, int]], rng: np.random.Generat
     return codes, tags
 
 
-def labelled_windows(text: str) -> Iterable[tuple[int, int, int, list[tuple[int, int, int]]]]:
-    """(stratum, start, end, spans inside) of a text's windows.
+def labelled_windows(text: str, marks: np.ndarray) -> Iterable[tuple[int, int, int, list[tuple[int, int, int]]]]:
+    """(stratum, start, end, spans inside) of a text's windows about its marks.
 
-    A window about each base span has its kind as stratum, windows without any span have `MARKED` or `PLAIN`: those around
-    digits and `@`, and those over the rest of the text.
+    A window about each base span has its kind as stratum, windows around digits and `@` without any span have `MARKED`.
     """
-    spans, size, marked = base_spans(text), len(text), np.empty(0, np.int64)
+    if not len(marks):
+        return
+    spans, size = base_spans(text), len(text)
     held = np.zeros(size + 1, np.int64)
     for _, a, z in spans:
         held[a + 1 : z + 1] = 1
@@ -259,18 +265,20 @@ def labelled_windows(text: str) -> Iterable[tuple[int, int, int, list[tuple[int,
         s = max([s, *(y for _, x, y in near if x < s < y <= a)])  # a piece of another span is no example
         e = min([e, *(x for _, x, y in near if z <= x < e < y)])
         yield kind, s, e, [(k, max(x, s) - s, min(y, e) - s) for k, x, y in near if x < e and s < y]
-    if MARK.search(text):
-        marks = marks_of(codes_of(text))
-        for s, e, _, _ in windows_of(marks, size):
-            if held[e] == held[s]:
-                yield MARKED, s, e, []
-        marked = np.zeros(size + 1, np.int64)
-        marked[marks + 1] = 1
-        marked = np.cumsum(marked)
-    for s in range(0, size, WINDOW):
-        e = min(size, s + WINDOW)
-        if not len(marked) or marked[e] == marked[s]:
-            yield PLAIN, s, e, []
+    for s, e, _, _ in windows_of(marks, size):
+        if held[e] == held[s]:
+            yield MARKED, s, e, []
+
+
+def plain_windows(text: str, marks: np.ndarray) -> list[bytes]:
+    """Windows over the rest of the text, those of `PLAIN`, as bytes."""
+    plain = np.ones(-(-len(text) // WINDOW), bool)
+    plain[marks // WINDOW] = False
+    starts = (np.flatnonzero(plain) * WINDOW).tolist()
+    if text.isascii():
+        data = text.encode()
+        return [data[s : s + WINDOW] for s in starts]
+    return [text[s : s + WINDOW].encode("utf-8", "surrogatepass") for s in starts]
 
 
 def training_windows(docs: DataFrame, sample: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
@@ -283,22 +291,25 @@ def training_windows(docs: DataFrame, sample: int) -> list[tuple[str, list[tuple
     def run(batches):
         have: list[dict] = [{} for _ in range(STRATA)]
         bar = [np.iinfo(np.int64).max] * STRATA
+
+        def offer(stratum: int, w: str, spans: str) -> None:
+            raw = f"{w}\0{spans}".encode("utf-8", "surrogatepass")
+            h = (zlib.crc32(raw) << 31) + (zlib.crc32(raw, 0x9E3779B9) >> 1)
+            if h > bar[stratum]:
+                return
+            have[stratum][h, w, spans] = None
+            if len(have[stratum]) >= 2 * quota[stratum]:
+                have[stratum] = dict.fromkeys(sorted(have[stratum])[: quota[stratum]])
+                bar[stratum] = max(have[stratum])[0]
+
         for b in batches:
-            for t in b["text"]:
-                text = t.as_py()
-                for stratum, s, e, own in labelled_windows(text or ""):
-                    w, spans = text[s:e], " ".join(f"{k}:{a}:{z}" for k, a, z in own)
-                    raw = f"{w}\0{spans}".encode("utf-8", "surrogatepass")
-                    h = zlib.crc32(raw)
-                    if h > bar[stratum] >> 31:
-                        continue
-                    h = (h << 31) + (zlib.crc32(raw, 0x9E3779B9) >> 1)
-                    if h > bar[stratum]:
-                        continue
-                    have[stratum][h, w, spans] = None
-                    if len(have[stratum]) >= 2 * quota[stratum]:
-                        have[stratum] = dict.fromkeys(sorted(have[stratum])[: quota[stratum]])
-                        bar[stratum] = max(have[stratum])[0]
+            for text in b["text"].to_pylist():
+                marks = marks_of(text or "")
+                for stratum, s, e, own in labelled_windows(text or "", marks):
+                    offer(stratum, text[s:e], " ".join(f"{k}:{a}:{z}" for k, a, z in own))
+                for w in plain_windows(text or "", marks):
+                    if zlib.crc32(b"\0", zlib.crc32(w)) <= bar[PLAIN] >> 31:  # most are far beyond the bar
+                        offer(PLAIN, w.decode("utf-8", "surrogatepass"), "")
         rows = [(i, *x) for i, found in enumerate(have) for x in sorted(found)[: quota[i]]]
         if rows:
             cols = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.string(), pa.string()), strict=True)]

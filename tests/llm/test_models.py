@@ -181,6 +181,32 @@ def test_paths_that_are_not_searched_have_no_tag():
     assert not m._doubtful(e).all()
 
 
+def test_few_steps_of_plain_text_are_searched(spark, sf, monkeypatch):
+    """Doubts that the next few steps settle are not searched one by one; the tags are those of the whole search."""
+    docs = [r.text for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").limit(300).collect() if r.text]
+    model = pii.fit_tagger(spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet"))
+    lines = [t for t in docs if len(t) > 300 and not pii.base_spans(t)]
+    codes = np.stack([pii.codes_of(t)[:300] for t in lines])
+    e = model.emissions(codes)
+    doubt = model._doubtful(e)
+    assert doubt.mean() < 0.01
+    mixed = np.stack([pii.codes_of(f"{t[:90]} john.doe (at) mail.example.com or 4539. 1488. 0343. 6467 {t[90:200]}")[:250] for t in lines if len(t) > 200])
+    for c in (codes, mixed):
+        assert (model.decode(c) == model._best_path(model.emissions(c))).all()
+    assert (model.decode(mixed) > 0).any()
+
+
+def test_windows_of_the_training_sample_are_those_of_the_whole_text():
+    r = random.Random(9)
+    for _ in range(400):
+        text = "".join(r.choice(("ab ", "é", "7", "@", "\ud800", "x" * 60)) for _ in range(r.randint(0, 40)))
+        marks = [i for i, c in enumerate(text) if c in "0123456789@"]
+        assert pii.marks_of(text).tolist() == marks
+        want = [text[s : s + pii.WINDOW] for s in range(0, len(text), pii.WINDOW)]
+        got = [w.decode("utf-8", "surrogatepass") for w in pii.plain_windows(text, pii.marks_of(text))]
+        assert got == [w for w in want if not pii.MARK.search(w)]
+
+
 def test_training_sample_holds_every_kind_beside_copies(spark):
     rows = [(i, f"copied line {i % 3} of the table") for i in range(3000)]
     rows += [(9001, "to a.b@c.org now"), (9002, "at 10.2.3.4 now"), (9003, "card 4539 1488 0343 6467 now"), (9004, "call +1 (743) 555-3824 now")]
