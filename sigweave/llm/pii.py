@@ -71,7 +71,7 @@ def emails(text: str) -> list[tuple[int, int]]:
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the base rules, by kind and start."""
-    if not MARK.search(text):
+    if not len(marks_of(text)):
         return []
     out = [(0, s, e) for s, e in emails(text)]
     out += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))]
