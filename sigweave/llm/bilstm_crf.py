@@ -24,8 +24,8 @@ def logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     return (m + np.log(np.exp(x - m).sum(axis, keepdims=True))).squeeze(axis)
 
 
-#: steps after a doubtful one whose best paths are looked at for all such steps together
-AHEAD = 3
+#: steps after a doubtful one whose best paths are looked at for many such steps together, and how many
+AHEAD, SPOTS = 3, 4096
 
 
 class Tagger:
@@ -106,20 +106,19 @@ class Tagger:
         for s, x in enumerate(e):
             np.add(x[1:], ahead if s else gain, out=others)
             np.greater(others.max(0), x[0], out=out[s])
-        at, windows = np.divmod(np.flatnonzero(out), n)
-        best = np.where(at == 0, np.float32(0), step[0][:, None]) + self._scores(e, at, windows)
-        for more in range(1, AHEAD + 1):
-            left = at + more < t
-            at, windows, best = at[left], windows[left], best[:, left]
-            from_0 = best[0] + step[0, 0]
-            high = best[0] + step[0][:, None]
-            for tag in range(1, k):
-                np.maximum(high, best[tag] + step[tag][:, None], out=high)
-            best = high + self._scores(e, at + more, windows)
-            sure = (best[1:] + gain <= best[0]).all(0) & (from_0 == high[0])
-            out[at[sure], windows[sure]] = False
-            left = ~sure & (from_0 == high[0])
-            at, windows, best = at[left], windows[left], best[:, left]
+        spots = np.flatnonzero(out[: max(0, t - AHEAD)])
+        for first in range(0, len(spots), SPOTS):
+            at, windows = np.divmod(spots[first : first + SPOTS], n)
+            best = np.where(at == 0, np.float32(0), step[0][:, None]) + self._scores(e, at, windows)
+            for more in range(1, AHEAD + 1):
+                from_0, high = best[0] + step[0, 0], best[0] + step[0][:, None]
+                for tag in range(1, k):
+                    np.maximum(high, best[tag] + step[tag][:, None], out=high)
+                best, clear = high + self._scores(e, at + more, windows), from_0 == high[0]
+                sure = clear & (best[1:] + gain <= best[0]).all(0)
+                out[at[sure], windows[sure]] = False
+                left = np.flatnonzero(clear & ~sure)
+                at, windows, best = at[left], windows[left], best[:, left]
         return out
 
     @staticmethod
